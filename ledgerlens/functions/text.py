@@ -119,8 +119,48 @@ def plain_double(c: Column) -> Column:
     return let(c, plain)
 
 
+def _scaled(x: Column, decimals: int) -> Column:
+    """|x| * 10^decimals rounded half to even on the exact binary value, as a long.
+
+    The product of a double and a small power of ten is taken with its rounding error
+    (split product), so that a decimal tie is judged by the true value of the double.
+    """
+    scale = F.lit(float(10**decimals))
+
+    def judge(p: Column) -> Column:
+        whole = F.floor(p["prod"]).cast("long")
+        rest = p["prod"] - whole
+        up = (rest > 0.5) | ((rest == 0.5) & ((p["err"] > 0) | ((p["err"] == 0) & (whole % 2 == 1))))
+        return whole + up.cast("long")
+
+    def split(a: Column) -> Column:
+        high = a * 134217729.0 - (a * 134217729.0 - a)
+        prod = a * scale
+        return let(F.struct(prod.alias("prod"), ((high * scale - prod) + (a - high) * scale).alias("err")), judge)
+
+    return let(F.abs(x), split)
+
+
 def fixed(c: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", c)
+    """Text with a fixed number of decimals, rounded on the exact binary value."""
+
+    def text(x: Column) -> Column:
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")  # minus zero keeps its sign
+        digits = let(
+            _scaled(x, decimals),
+            lambda q: F.format_string(f"%s%d.%0{decimals}d", sign, F.floor(q / 10**decimals), q % 10**decimals),
+        )
+        return F.when(F.abs(x) < 1e12, digits).otherwise(F.format_string(f"%.{decimals}f", x))
+
+    return let(c.cast("double"), text)
+
+
+def round_exact(c: Column, decimals: int) -> Column:
+    """Rounding half to even on the exact binary value; keeps the sign of zero."""
+    return let(
+        c.cast("double"),
+        lambda x: F.when(F.abs(x) < 1e12, F.signum(x) * (_scaled(x, decimals) / float(10**decimals))).otherwise(x),
+    )
 
 
 # --- canonical forms inside running text ------------------------------------
@@ -316,7 +356,8 @@ def first_supported_snippet(c: Column, pattern: str) -> Column:
     the place. Negated matches are consumed unmarked, so later ones keep their place.
     """
     negated = rf"(?<!\b{any_of(vocab.NEGATION_WORDS)}\b[^\n]{{0,50}}\n?)"
-    both = rf"(?iuU){negated}({pattern})|(?:{pattern})"
+    # the pattern is looked for first, so the costly look-behind only runs where it stands
+    both = rf"(?iuU)(?={pattern}){negated}({pattern})|(?:{pattern})"
     def cut(pair: Column) -> Column:
         text, marked = pair["text"], pair["marked"]
         at = F.regexp_instr(marked, F.lit("\x01[^\x02]"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens import vocab
+from ledgerlens.functions.text import fixed, round_exact
 from ledgerlens.operators.ordering import lookup, positions
 
 EXACT = "decimal(28,6)"  # sums of metric values are exact, whatever the order of addition
@@ -51,11 +52,6 @@ def pick_focus(companies: DataFrame, set_cols: list[str], focus: str | None) ->
     return picked.filter("n_companies >= 2")
 
 
-def _round(c: str, digits: int) -> Column:
-    """Rounding that keeps the sign of a value that rounds to zero."""
-    return F.signum(c) * F.round(F.abs(c), digits)
-
-
 def _assess(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, variance, rank and flag from value, peer_sum, n_peers, n_ranked and rank."""
     has = F.col("value").isNotNull() & (F.col("n_peers") > 0)
@@ -72,7 +68,7 @@ def _assess(df: DataFrame, keys: list[str]) -> DataFrame:
     )
     return df.select(
         *keys, "metric_pos", "metric", "higher_is_better", F.col("value").alias("focus_company_value"),
-        _round("_mean", 2).alias("peer_average"), _round("_pct", 1).alias("focus_vs_peer_avg_pct"),
+        round_exact(F.col("_mean"), 2).alias("peer_average"), round_exact(F.col("_pct"), 1).alias("focus_vs_peer_avg_pct"),
         F.when(has, F.col("rank")).cast("long").alias("focus_rank"),
         F.when(has, F.col("n_ranked")).otherwise(0).cast("long").alias("total_ranked"), flag.alias("flag"),
     )
@@ -251,12 +247,13 @@ def report_rows(report: DataFrame) -> DataFrame:
     labels = F.create_map(*[F.lit(x) for pair in vocab.BENCHMARK_FLAG_LABELS.items() for x in pair])
 
     def number(c: str) -> Column:
-        return F.coalesce(F.format_number(c, 1), F.lit("-"))
+        return F.coalesce(F.format_number(round_exact(F.col(c), 1), 1), F.lit("-"))
 
     rank = F.when(
         F.col("focus_rank") > 0, F.concat_ws("/", F.col("focus_rank").cast("string"), F.col("total_ranked").cast("string"))
     ).otherwise("-")
-    variance = F.coalesce(F.concat(F.format_string("%+.1f", "focus_vs_peer_avg_pct"), F.lit("%")), F.lit("-"))
+    variance = F.concat(fixed(F.col("focus_vs_peer_avg_pct"), 1), F.lit("%"))
+    variance = F.when(variance.startswith("-"), variance).otherwise(F.concat(F.lit("+"), variance))
     keep = [c for c in report.columns if c in ("fiscal_year", "focus_company", "metric_pos", "metric")]
     return report.select(
         *keep, number("focus_company_value").alias("focus_text"), number("peer_average").alias("peer_text"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 from ledgerlens.functions.similarity import first_distinct, support_counts
 from ledgerlens.functions.text import (
-    NUMBER, any_of, detect_currency, detect_period, detect_unit, legal_name, let, squash, strip, tidy_value, word_key,
+    NUMBER, any_of, detect_currency, detect_period, detect_unit, legal_name, let, round_exact, squash, strip, tidy_value, word_key,
 )
 from ledgerlens.operators.chunking import split_at_pages
 from ledgerlens.operators.ordering import best_by, first_by, lookup
@@ -248,7 +248,7 @@ def mean_confidence(metrics: DataFrame, companies: DataFrame, doc: str = "doc_id
         companies.filter("confidence > 0").select(doc, "confidence")
     )
     exact = F.sum(F.col("confidence").cast("decimal(20,10)")).cast("double") / F.count(F.lit(1))
-    return both.groupBy(doc).agg(F.round(exact, 4).alias("confidence_score"))
+    return both.groupBy(doc).agg(round_exact(exact, 4).alias("confidence_score"))
 
 
 def document_confidence(
@@ -276,7 +276,7 @@ def document_confidence(
     coverage = unit(F.col("n_facts") / 4)
     score = F.greatest(0.52 * c + 0.28 * t + 0.20 * density, 0.82 * c + 0.13 * t + 0.05 * coverage)
     score = score - F.least(F.lit(0.5), F.col("n_errors") * 0.14) - F.least(F.lit(0.25), F.col("n_warnings") * 0.035)
-    return df.withColumn("confidence", F.round(unit(score) * 100, 2)).drop("mean_confidence")
+    return df.withColumn("confidence", round_exact(unit(score) * 100, 2)).drop("mean_confidence")
 
 
 def company_name_of(documents: DataFrame, text: str = "text", title: str | None = None) -> DataFrame:

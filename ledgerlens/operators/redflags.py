@@ -7,6 +7,7 @@ then columns of that row. Keyword rules are columns of the section row. No rule
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -65,12 +66,13 @@ def quoted(raw: Column, is_number: Column) -> Column:
 
 
 def evidence(label: str | Column, current: Column, prior: Column | None = None, change: Column | None = None, unit="%") -> Column:
+    """"Label: current=.., prior=.., change=..%." from texts; `change` comes formatted."""
     head = F.concat(label if isinstance(label, Column) else F.lit(label), F.lit(": current="), current)
     parts = [head]
     if prior is not None:
         parts.append(F.concat(F.lit("prior="), prior))
     if change is not None:
-        parts.append(F.concat(F.lit("change="), fixed(change, 2), F.lit(unit)))
+        parts.append(F.concat(F.lit("change="), change, F.lit(unit)))
     return F.concat(F.concat_ws(", ", *parts), F.lit("."))
 
 
@@ -87,8 +89,37 @@ def change_pct(concept: str) -> Column:
 
 # --- numeric rules -----------------------------------------------------------------
 
+SLOTS = 4  # most formatted numbers in one flag
 
-def _flag(when: Column, category: str, title: str, severity: Column | str, description: Column | str, proof: Column) -> Column:
+
+class _Numbers:
+    """Numbers of one flag's sentences. Rules write slot marks; the texts are put in once
+    per found flag, so that the formatting is not repeated in every rule."""
+
+    def __init__(self):
+        self.values: list[Column] = []
+
+    def __call__(self, number: Column) -> Column:
+        self.values.append(number.cast("double"))
+        return F.lit(f"\x01{len(self.values) - 1}\x02")
+
+    def column(self) -> Column:
+        missing = [F.lit(None).cast("double")] * (SLOTS - len(self.values))
+        return F.array(*self.values, *missing)
+
+
+def _fill_slots(name: str) -> Column:
+    """Slot marks in a text column replaced by the texts of `numbers`."""
+    out = f"`{name}`"
+    for i in range(SLOTS):
+        out = f"replace({out}, '\x01{i}\x02', coalesce(texts[{i}], ''))"
+    return F.expr(out).alias(name)
+
+
+def _flag(
+    when: Column, category: str, title: str, severity: Column | str, description: Column | str, proof: Column,
+    numbers: _Numbers | None = None,
+) -> Column:
     def text(c):
         return c if isinstance(c, Column) else F.lit(c)
 
@@ -97,7 +128,7 @@ def _flag(when: Column, category: str, title: str, severity: Column | str, descr
         F.struct(
             F.lit(category).alias("category"), F.lit(title).alias("title"), text(severity).alias("severity"),
             text(description).alias("description"), proof.alias("evidence"),
-            F.lit(vocab.RULE_ADVICE[title]).alias("recommendation"),
+            F.lit(vocab.RULE_ADVICE[title]).alias("recommendation"), (numbers or _Numbers()).column().alias("numbers"),
         ),
     )
 
@@ -105,8 +136,9 @@ def _flag(when: Column, category: str, title: str, severity: Column | str, descr
 def _decline(concept: str, name: str, category: str, title: str, t: dict) -> Column:
     chg = change_pct(concept)
     severity = F.when(chg <= t["decline_high_pct"], "High").when(chg <= t["decline_medium_pct"], "Medium").otherwise("Low")
-    words = F.concat(F.lit(f"{name} declined by "), fixed(F.abs(chg), 2), F.lit("% versus the prior period."))
-    return _flag(chg < 0, category, title, severity, words, evidence(name, *_raw(concept), chg))
+    n = _Numbers()
+    words = F.concat(F.lit(f"{name} declined by "), n(F.abs(chg)), F.lit("% versus the prior period."))
+    return _flag(chg < 0, category, title, severity, words, evidence(name, *_raw(concept), n(chg)), n)
 
 
 def numeric_rules(t: dict = vocab.RULE_THRESHOLDS) -> list[Column]:
@@ -122,12 +154,13 @@ def numeric_rules(t: dict = vocab.RULE_THRESHOLDS) -> list[Column]:
 
     growth, growth_prior = cur("revenue_growth"), prior("revenue_growth")
     drop = growth_prior - growth
+    n = _Numbers()
     rules.append(
         _flag(
             growth < growth_prior - t["revenue_slowdown_pp"], vocab.REVENUE, "Revenue slowdown",
             F.when(drop < 10, "Medium").otherwise("High"),
-            F.concat(F.lit("Revenue growth slowed by "), fixed(drop, 2), F.lit(" percentage points versus the prior period.")),
-            evidence("Revenue growth", *_raw("revenue_growth"), growth - growth_prior, "pp"),
+            F.concat(F.lit("Revenue growth slowed by "), n(drop), F.lit(" percentage points versus the prior period.")),
+            evidence("Revenue growth", *_raw("revenue_growth"), n(growth - growth_prior), "pp"), n,
         )
     )
     rules += [
@@ -164,6 +197,7 @@ def numeric_rules(t: dict = vocab.RULE_THRESHOLDS) -> list[Column]:
     cover = cur("interest_coverage")
     interest, revenue = cur("interest_expense"), cur("revenue")
     burden = F.when(revenue > 0, F.try_divide(F.abs(interest), revenue))
+    n = _Numbers()
     rules += [
         _flag(high, vocab.DEBT, "High debt-to-equity ratio", F.when(leverage >= 3.0, "Critical").otherwise("High"),
               f"Debt-to-equity ratio exceeds the configured high-risk threshold of {t['debt_to_equity_high']:.2f}.", leverage_proof),
@@ -177,21 +211,22 @@ def numeric_rules(t: dict = vocab.RULE_THRESHOLDS) -> list[Column]:
               F.when(burden >= 0.2, "High").otherwise("Medium"),
               "Interest or finance cost is high relative to reported revenue.",
               F.concat_ws(" ", evidence("Interest expense", plain_double(interest)), evidence("Revenue", plain_double(revenue)),
-                          F.concat(F.lit("Interest burden="), fixed(burden * 100, 2), F.lit("%.")))),
+                          F.concat(F.lit("Interest burden="), n(burden * 100), F.lit("%."))), n),
     ]
 
-    liab_chg = change_pct("total_liabilities")
+    liab_chg, n = change_pct("total_liabilities"), _Numbers()
     rules += [
         _flag(liab_chg >= t["liability_growth_warning_pct"], vocab.BALANCE_SHEET, "Rising liabilities",
               F.when(liab_chg >= t["liability_growth_high_pct"], "High").otherwise("Medium"),
-              F.concat(F.lit("Total liabilities increased by "), fixed(liab_chg, 2), F.lit("% versus the prior period.")),
-              evidence("Total liabilities", *_raw("total_liabilities"), liab_chg)),
+              F.concat(F.lit("Total liabilities increased by "), n(liab_chg), F.lit("% versus the prior period.")),
+              evidence("Total liabilities", *_raw("total_liabilities"), n(liab_chg)), n),
         _decline("total_assets", "Total assets", vocab.BALANCE_SHEET, "Falling assets", t),
     ]
 
     assets, liabilities = cur("total_assets"), cur("total_liabilities")
     equity = F.coalesce(cur("equity"), assets - liabilities)
     weak = F.coalesce(equity <= 0, F.lit(False))
+    n = _Numbers()
     share = F.when(assets > 0, F.try_divide(liabilities, assets))
     sheet = F.concat(
         F.concat_ws(
@@ -206,7 +241,7 @@ def numeric_rules(t: dict = vocab.RULE_THRESHOLDS) -> list[Column]:
         _flag(~weak & (share > t["liabilities_to_assets_warning"]), vocab.BALANCE_SHEET, "High liabilities relative to assets",
               F.when(share >= 0.9, "High").otherwise("Medium"),
               "Liabilities represent a high share of total assets based on the supplied metrics.",
-              F.concat(sheet, F.lit(" Liabilities/assets="), fixed(share * 100, 2), F.lit("%."))),
+              F.concat(sheet, F.lit(" Liabilities/assets="), n(share * 100), F.lit("%.")), n),
     ]
     return rules
 
@@ -220,17 +255,17 @@ def _margin_rule(t: dict) -> Column:
     now = F.when(valid, F.try_divide(base["cur"], revenue["cur"])) * 100
     before = F.when(valid, F.try_divide(base["prior"], revenue["prior"])) * 100
     lost = before - now
-    label = F.when(use_ebitda, "EBITDA").otherwise("Net profit")
+    label, n = F.when(use_ebitda, "EBITDA").otherwise("Net profit"), _Numbers()
     base_prior = F.when(base["prior_raw"].isNotNull(), quoted(base["prior_raw"], base["is_number"]))
     proof = F.concat_ws(
         " ",
-        F.concat(label, F.lit(" margin: current="), fixed(now, 2), F.lit("%, prior="), fixed(before, 2), F.lit("%.")),
+        F.concat(label, F.lit(" margin: current="), n(now), F.lit("%, prior="), n(before), F.lit("%.")),
         evidence("Revenue", *_raw("revenue")),
         evidence(label, quoted(base["current_raw"], base["is_number"]), base_prior),
     )
-    words = F.concat(label, F.lit(" margin compressed by "), fixed(lost, 2), F.lit(" percentage points versus the prior period."))
+    words = F.concat(label, F.lit(" margin compressed by "), n(lost), F.lit(" percentage points versus the prior period."))
     return _flag(lost >= t["margin_compression_pp"], vocab.PROFITABILITY, "Margin compression",
-                 F.when(lost >= 5, "High").otherwise("Medium"), words, proof)
+                 F.when(lost >= 5, "High").otherwise("Medium"), words, proof, n)
 
 
 def numeric_flags(metrics: DataFrame, keys: list[str], thresholds: dict = vocab.RULE_THRESHOLDS) -> DataFrame:
@@ -238,18 +273,48 @@ def numeric_flags(metrics: DataFrame, keys: list[str], thresholds: dict = vocab.
     wide = pick_concepts(metrics, keys)
     rules = [F.when(r.isNotNull(), F.struct(F.lit(i).cast("long").alias("pos"), r.alias("f"))) for i, r in enumerate(numeric_rules(thresholds))]
     hits = wide.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("r"))
-    return hits.select(*keys, "r.pos", "r.f.*")
+    texts = F.transform("numbers", lambda x: fixed(x, 2)).alias("texts")
+    found = hits.select(*keys, "r.pos", "r.f.*").select("*", texts)
+    return found.select(*keys, "pos", *[_fill_slots(c) if c in ("description", "evidence") else c for c in FLAG_FIELDS])
 
 
 # --- keyword rules ------------------------------------------------------------------
 
 
+def literal_starts(pattern: str) -> list[str] | None:
+    """Literal beginnings of a pattern's alternatives; null when one has none.
+
+    Text without any of them cannot match, and a plain substring search is much cheaper
+    than the pattern.
+    """
+    parts, depth, current = [], 0, ""
+    for ch in pattern:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            parts.append(current)
+            current = ""
+        else:
+            current += ch
+    starts = [re.match(r"[a-z0-9 ]*", part.removeprefix(r"\b"))[0] for part in [*parts, current]]
+    return starts if all(starts) else None
+
+
+def fold_case(c: Column) -> Column:
+    """Lower case in which the letters that match s, i and k without case are those letters."""
+    for odd, letter in (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("K", "k")):
+        c = F.replace(c, F.lit(odd), F.lit(letter))
+    return F.lower(c)
+
+
 def keyword_flags(sections: DataFrame, keys: list[str], rules=vocab.KEYWORD_RULES) -> DataFrame:
-    """Flags of (keys, pos, section, content) rows; one combined pattern guards all rules.
+    """Flags of (keys, pos, section, content) rows; substring searches guard all patterns.
 
     Each section is judged within its own row, sections in order and rules in order.
     """
-    guard = "(?iu)" + "|".join(f"(?:{pattern})" for *_, pattern, _ in rules)
+
+    def possible(low: Column, pattern: str) -> Column:
+        starts = literal_starts(pattern)
+        return F.lit(True) if starts is None else reduce(or_, [low.contains(s) for s in starts])
 
     def found(i: int, rule: tuple) -> Column:
         category, title, severity, pattern, advice = rule
@@ -257,11 +322,13 @@ def keyword_flags(sections: DataFrame, keys: list[str], rules=vocab.KEYWORD_RULE
         return F.struct(
             F.lit(i).alias("rule_pos"), F.lit(category).alias("category"), F.lit(title).alias("title"),
             F.lit(severity).alias("severity"), F.lit(words).alias("description"),
-            first_supported_snippet(F.col("content"), pattern).alias("snippet"), F.lit(advice).alias("recommendation"),
+            F.when(possible(F.col("low"), pattern), first_supported_snippet(F.col("content"), pattern)).alias("snippet"),
+            F.lit(advice).alias("recommendation"),
         )
 
     hits = (
-        sections.filter(F.col("content").rlike(guard))
+        sections.withColumn("low", fold_case(F.col("content")))
+        .filter(reduce(or_, [possible(F.col("low"), pattern) for *_, pattern, _ in rules]))
         .select(*keys, "pos", "section", F.array(*[found(i, r) for i, r in enumerate(rules)]).alias("hits"))
         .select(*keys, "pos", "section", F.explode(F.filter("hits", lambda h: h["snippet"].isNotNull())).alias("h"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import vocab
-from ledgerlens.functions.text import blank_to_null, strip
+from ledgerlens.functions.text import blank_to_null, round_exact, strip
 
 # Alternative keys of a metric object
 METRIC_KEY_ALIASES = {
@@ -169,7 +169,7 @@ def text_quality(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_pages"), F.sum("n_chars").alias("total_chars")
     ).withColumn(
         "native_quality",
-        F.round(F.least(F.lit(1.0), F.col("total_chars") / F.greatest(F.lit(1), F.col("n_pages") * 1200)), 4),
+        round_exact(F.least(F.lit(1.0), F.col("total_chars") / F.greatest(F.lit(1), F.col("n_pages") * 1200)), 4),
     )
 
 

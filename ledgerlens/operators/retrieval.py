@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ledgerlens import vocab
-from ledgerlens.functions.text import LINE_BREAK, let, squash, strip
+from ledgerlens.functions.text import let, round_exact, squash, strip
 from ledgerlens.operators.ordering import split_lookup, top_k
 
 SCORE_DIGITS = 12  # sums of doubles agree to this many digits whatever their order
@@ -188,7 +188,7 @@ def grounding_scores(findings: DataFrame, chunks: DataFrame, key: str, chunk_sco
     )
 
     def rate(part: str, whole: str, empty: float) -> Column:
-        return F.round(F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(empty)) * 100, 1)
+        return round_exact(F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(empty)) * 100, 1)
 
     return out.select(
         "*", rate("sub_answers_with_valid_citations", "sub_questions_answered", 0.0).alias("citation_validity_rate"),

@@ -134,7 +134,7 @@ cmp AS (SELECT nm.*, fv[1] AS value, CAST(total - coalesce(lv, 0) AS DOUBLE) AS
 mn AS (SELECT *, CASE WHEN value IS NOT NULL AND n_peers > 0 THEN peer_sum / n_peers END AS mean FROM cmp),
 pc AS (SELECT *, (value - mean) / nullif(abs(mean), 0) * 100 AS pct FROM mn),
 res AS (SELECT {keys}, company_name AS focus_company, metric_pos, metric, higher_is_better, value AS focus_company_value,
-    round(mean, 2) AS peer_average, round(pct, 1) AS focus_vs_peer_avg_pct,
+    CAST(printf('%.2f', mean) AS DOUBLE) AS peer_average, CAST(printf('%.1f', pct) AS DOUBLE) AS focus_vs_peer_avg_pct,
     CAST(CASE WHEN mean IS NOT NULL THEN rnk END AS BIGINT) AS focus_rank,
     CAST(CASE WHEN mean IS NOT NULL THEN n_ranked ELSE 0 END AS BIGINT) AS total_ranked,
     CASE WHEN pct IS NULL THEN 'no_data' WHEN CASE WHEN higher_is_better THEN pct ELSE -pct END >= 5 THEN 'outperform'
@@ -191,7 +191,7 @@ ORACLE = {
           || ' for ' || fiscal_year || ' across ' || n || ' metrics.' || tail AS narrative_summary
       FROM sen JOIN nms USING (fiscal_year)""",
     "benchmark_report_rows": _ONE + """ SELECT fiscal_year, focus_company, metric,
-        coalesce(format('{:,.1f}', focus_company_value), '-') AS focus_text, coalesce(format('{:,.1f}', peer_average), '-') AS peer_text,
+        coalesce(format('{:,.1f}', CAST(printf('%.1f', focus_company_value) AS DOUBLE)), '-') AS focus_text, coalesce(format('{:,.1f}', peer_average), '-') AS peer_text,
         coalesce(printf('%+.1f', focus_vs_peer_avg_pct) || '%', '-') AS variance_text,
         CASE WHEN focus_rank > 0 THEN focus_rank || '/' || total_ranked ELSE '-' END AS rank_text,
         CASE flag WHEN 'outperform' THEN 'Outperforms' WHEN 'underperform' THEN 'Underperforms' WHEN 'inline' THEN 'In line' ELSE 'No Data' END AS assessment

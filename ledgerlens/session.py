@@ -26,6 +26,8 @@ def get_spark(app_name: str = "ledgerlens", master: str | None = None, **conf) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # call sites of every column call are only needed to debug plan building
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
