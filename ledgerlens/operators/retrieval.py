@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ledgerlens import vocab
-from ledgerlens.functions.text import let, round_exact, squash, strip
+from ledgerlens.functions.text import SPACE, let, round_exact, squash, strip
 from ledgerlens.operators.ordering import split_lookup, top_k
 
 SCORE_DIGITS = 12  # sums of doubles agree to this many digits whatever their order
@@ -147,9 +147,9 @@ def cited_ids(finding: Column) -> Column:
 
 def numeric_claims(finding: Column) -> Column:
     """Number-like claims of at least two characters, reduced to what must be found."""
-    raw = F.transform(F.regexp_extract_all(finding, F.lit(r"\d+[\d,\.]*\s?(?:%|bps|cr|crore|x)?"), F.lit(0)), strip)
+    raw = F.transform(F.regexp_extract_all(finding, F.lit(rf"\d+[\d,\.]*{SPACE}?(?:%|bps|cr|crore|x)?"), F.lit(0)), strip)
     long = F.filter(raw, lambda n: F.length(n) >= 2)
-    return F.transform(long, lambda n: F.regexp_replace(F.get(F.split(n, r"\s+"), F.lit(0)), "[,.]+$", ""))
+    return F.transform(long, lambda n: F.regexp_replace(F.get(F.split(n, f"{SPACE}+"), F.lit(0)), "[,.]+$", ""))
 
 
 def check_citations(findings: DataFrame, chunks: DataFrame, keys: list[str], chunk_scope: list[str]) -> DataFrame:
