@@ -239,8 +239,9 @@ def metadata_date(c: Column) -> Column:
     """"D:YYYYMMDD..." stamps or text holding a recognisable date, as an ISO date."""
     stamp = F.regexp_extract(c, r"^D:(\d{8})", 1)
     found = F.regexp_extract(c, DATE_PATTERN, 0)
+    iso = F.regexp_extract(c, r"(?<!\d)(\d{4}-\d{1,2}-\d{1,2})T", 1)
     return F.coalesce(
-        F.when(stamp != "", F.try_to_date(stamp, "yyyyMMdd")), F.when(found != "", parse_date(found))
+        F.when(iso != "", F.try_to_date(iso, "yyyy-M-d")), F.when(stamp != "", F.try_to_date(stamp, "yyyyMMdd")), F.when(found != "", parse_date(found))
     ).cast("string")
 
 
