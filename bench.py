@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ledgerlens.plans import catalog
 from ledgerlens.session import get_spark
 
-RUNS = 3
+RUNS = 1
 HEADLINE = [
     "peer_benchmark", "peer_benchmark_all", "peer_rank", "numeric_flags", "keyword_flags", "flag_merge", "risk_summary",
     "section_chunks", "paragraph_chunks", "line_dedup_exact", "fuzzy_line_dedup", "normalised_documents", "tfidf_stats", "tfidf_topk",
@@ -33,7 +33,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(
         "bench", f"local[{cpus}]", **{
-            "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.sql.files.maxPartitionBytes": "4m",
+            "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
         },
     )
     spark.sparkContext.setLogLevel("OFF")

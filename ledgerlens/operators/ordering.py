@@ -84,7 +84,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     return df.join(table, keys, how)
 
 
-def split_lookup(df: DataFrame, table: DataFrame, key: str, weight: str, total: Column | int) -> DataFrame:
+def split_lookup(df: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """`lookup` for a key with known frequencies in `table[weight]`.
 
     Keys above 1 / HOT_SHARE of all rows number at most HOT_SHARE, so they are broadcast;

@@ -19,6 +19,7 @@ from ledgerlens.functions.text import (
     first_supported_snippet, fixed, let, metric_key, parse_number, plain_double, squash, word_key,
 )
 from ledgerlens.operators.ordering import lookup
+from ledgerlens.session import cut_lineage
 
 FLAG_FIELDS = ["category", "title", "severity", "description", "evidence", "recommendation"]
 
@@ -386,7 +387,8 @@ def merge(flags: DataFrame, keys: list[str]) -> DataFrame:
     """One flag per category and title, as folding in input order would leave it.
 
     The first flag of the highest severity stands; a longer evidence that comes later
-    replaces its evidence. Two aggregates, no ordered pass over a group.
+    replaces its evidence. Two aggregates, no ordered pass over a group; `flags` is read
+    twice, so a costly input should be stored first.
     """
     marked = flags.withColumn("_t", word_key(F.col("title")))
     cell = [*keys, "category", "_t"]
@@ -483,6 +485,7 @@ def analyse(requests: DataFrame, metrics: DataFrame, sections: DataFrame, others
     """The whole chain for many requests: (merged flags, one summary row per request)."""
     keys = ["request_id"]
     rule_flags = exact_dedup(numeric_flags(metrics, keys).unionByName(keyword_flags(sections, keys)), keys)
+    rule_flags = cut_lineage(rule_flags)  # read for the corpus and twice for the merge
     flags = rule_flags
     if others is not None:
         corpus = request_corpus(requests, metrics, sections, rule_flags)

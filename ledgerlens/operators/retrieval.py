@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from ledgerlens import vocab
 from ledgerlens.functions.text import SPACE, let, round_exact, squash, strip
 from ledgerlens.operators.ordering import split_lookup, top_k
+from ledgerlens.session import by_key, scratch_path
 
 SCORE_DIGITS = 12  # sums of doubles agree to this many digits whatever their order
 QUERY_BLOCK = 2_000  # question vectors held by one task at a time
@@ -61,21 +62,33 @@ def idf(n: Column, df: Column) -> Column:
 
 
 class TermIndex:
-    """Weights of all chunk terms: `weights` (keys, term, w) and `vocabulary` (term, idf).
+    """Weights of all chunk terms: `weights` (keys, term, w) and `vocabulary` (term, df, idf).
 
+    Like any index it is built once and stored: three tables in the shared folder. Chunks
+    are placed by key first, so their tokens are counted without moving the tokens.
     Chunks without a single term still count in n, as rows of an all-zero matrix would.
     """
 
     def __init__(self, chunks: DataFrame, keys: list[str], text: str = "text", stop_words=vocab.STOP_WORDS):
-        self.keys, self.stop_words = keys, stop_words
-        counts = term_counts(chunks, keys, text, stop_words)
-        n_chunks = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
+        self.keys, self.stop_words, self._spark = keys, stop_words, chunks.sparkSession
+        placed = by_key(chunks.select(*keys, F.col(text).alias("_text")), *keys)
+        # the row of an empty term keeps chunks without terms in the count
+        terms = F.concat(tokens(F.col("_text"), stop_words), F.array(F.lit("")))
+        counts = placed.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts = self._stored("counts", counts)
+        n_chunks = counts.filter("term = ''").count()
+        counts = counts.filter("term <> ''")
         df = document_frequencies(counts)
-        # two one-row totals; they reach the rows as scalars
-        self.vocabulary = df.withColumn("idf", idf(n_chunks.scalar(), F.col("df")))
-        total = df.agg(F.sum("df")).scalar()
+        self.vocabulary = self._stored("vocabulary", df.withColumn("idf", idf(F.lit(n_chunks), F.col("df"))))
+        total = self.vocabulary.agg(F.sum("df")).first()[0] or 0
         joined = split_lookup(counts, self.vocabulary, "term", "df", total)
-        self.weights = joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        weights = joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        self.weights = self._stored("weights", weights)
+
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        path = scratch_path(self._spark, f"index-{name}")
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
 
     def question_weights(self, questions: DataFrame, qkeys: list[str], text: str) -> DataFrame:
         """Unit-length weights of question terms that occur in the index."""
@@ -104,7 +117,7 @@ class TermIndex:
         by_term = asked.groupBy("term").agg(F.collect_list(F.struct(*qkeys, "qw")).alias("asked"))
         # measured at run time: the terms of one block are broadcast when small, and the
         # weights then stay partitioned by chunk for everything below
-        rows = self.weights.repartition(*self.keys).join(by_term, "term", "left")
+        rows = by_key(self.weights, *self.keys).join(by_term, "term", "left")
         part = F.transform("asked", lambda a: F.struct(*[a[q].alias(q) for q in qkeys], (a["qw"] * F.col("w")).alias("s")))
         by_chunk = rows.groupBy(*self.keys).agg(
             F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.flatten(F.collect_list(part)).alias("hits")

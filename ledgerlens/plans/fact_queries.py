@@ -9,6 +9,7 @@ from ledgerlens.functions.text import fixed
 from ledgerlens.operators import benchmark as B
 from ledgerlens.operators import facts as Fa
 from ledgerlens.plans import inputs as I
+from ledgerlens.session import by_key
 from ledgerlens.sources import files as Fi
 
 DOC = ["doc_id"]
@@ -35,7 +36,7 @@ def statements(spark, sf):
         F.lit("see note 7 on debt"),
     ]
     doc_id = F.col("pos") * 10000 + F.col("fiscal_year")
-    return fig.select(doc_id.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    return by_key(fig.select(doc_id.alias("doc_id"), F.concat_ws("\n", *lines).alias("text")), "doc_id")
 
 
 def _facts(spark, sf):
@@ -136,7 +137,7 @@ def extracted_documents(spark, sf):
 
 def all_documents_facts(spark, sf):
     """The chain over every document of the corpus, whole texts."""
-    out = Fa.extract_documents(I.table(spark, sf, "documents").select("doc_id", "text"))
+    out = Fa.extract_documents(I.texts(spark, sf, "documents").select("doc_id", "text"))
     return out["metric_facts"].select("doc_id", "index", "metric", "value", "unit", "period", "page_number")
 
 
@@ -161,7 +162,7 @@ def report_texts(spark, sf):
         F.concat(F.lit("voluntary attrition fell to "), pct("attrition_rate_pct"), F.lit("%")),
     )
     name = F.concat(F.lit("annual_report_"), F.col("pos"), F.lit(".pdf"))
-    return fig.select((F.col("pos") * 10000 + F.col("fiscal_year")).alias("doc_id"), text.alias("text"), name.alias("file_name"))
+    return by_key(fig.select((F.col("pos") * 10000 + F.col("fiscal_year")).alias("doc_id"), text.alias("text"), name.alias("file_name")), "doc_id")
 
 
 def report_metrics(spark, sf):

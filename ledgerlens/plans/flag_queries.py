@@ -10,6 +10,7 @@ from ledgerlens.operators import redflags as R
 from ledgerlens.operators import requests as Q
 from ledgerlens.operators.benchmark import with_prior_year
 from ledgerlens.plans import inputs as I
+from ledgerlens.session import cut_lineage
 
 KEYS = ["company", "financial_year"]
 
@@ -95,7 +96,7 @@ PHRASES = [
 
 def sections(spark, sf):
     """Every document as a section, with one sentence on a risk put behind its own text."""
-    docs = I.table(spark, sf, "documents")
+    docs = I.texts(spark, sf, "documents")
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.pmod("n_chars", F.lit(len(PHRASES))) + 1).cast("int"))
     return docs.select(
         "doc_id", F.lit(0).alias("pos"), F.col("source").alias("section"), F.concat("text", F.lit("\nIn the year "), phrase, F.lit(".")).alias("content")
@@ -109,9 +110,8 @@ def keyword_flags(spark, sf):
 # --- merge with flags of another source -------------------------------------------------
 
 
-def other_flags(spark, sf):
+def other_flags(own):
     """A second reader's view of the same figures: other words, other severities."""
-    own = R.numeric_flags(metrics(spark, sf), KEYS)
     even = F.length("evidence") % 2 == 0
     return own.select(
         *KEYS, (F.col("pos") + 1000).alias("pos"), F.regexp_replace("category", " Risks$", " risk").alias("category"),
@@ -123,13 +123,13 @@ def other_flags(spark, sf):
 
 
 def all_flags(spark, sf):
-    others = Q.accepted(R.check_flags(other_flags(spark, sf)))
-    return R.numeric_flags(metrics(spark, sf), KEYS).unionByName(others)
+    own = cut_lineage(R.numeric_flags(metrics(spark, sf), KEYS))  # read several times below
+    return own.unionByName(Q.accepted(R.check_flags(other_flags(own))))
 
 
 def flag_dedup(spark, sf):
     """Exact dedup where every flag comes twice, the second time with another severity."""
-    own = R.numeric_flags(metrics(spark, sf), KEYS)
+    own = cut_lineage(R.numeric_flags(metrics(spark, sf), KEYS))
     again = own.withColumn("pos", F.col("pos") + 500).withColumn(
         "severity", F.when(F.length("evidence") % 2 == 0, "Critical").otherwise("Low")
     )

@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.benchmark import with_prior_year
+from ledgerlens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take much work each, in at least as many tasks as there are cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def round4(c: Column) -> Column:
     """Four decimals by plain double arithmetic, the same in every engine."""
     return F.floor(c * 10000 + 0.5) / F.lit(10000.0)

@@ -14,7 +14,7 @@ CHUNK_BASE = 1_000_000  # chunk ids are unique over all documents: doc_id * CHUN
 
 def reports(spark, sf):
     """Documents with section headers; the whole text is kept."""
-    docs = I.table(spark, sf, "documents")
+    docs = I.texts(spark, sf, "documents")
     text = F.concat(
         F.lit("SECTION 1: "), F.upper("source"), F.lit("\n"), F.col("text"), F.lit("\n\nSECTION 2: LANGUAGE\nWritten in "),
         F.col("lang"), F.lit(". Length "), F.col("n_chars").cast("string"), F.lit(" characters."),
@@ -33,7 +33,7 @@ def section_chunks(spark, sf):
 
 
 def paragraph_chunks(spark, sf):
-    out = C.chunk_paragraphs(I.table(spark, sf, "documents"), ["doc_id"])
+    out = C.chunk_paragraphs(I.texts(spark, sf, "documents"), ["doc_id"])
     return out.select("doc_id", "index", "total", "character_count", F.md5("text").alias("text_hash"))
 
 
@@ -45,7 +45,7 @@ def small_paragraph_chunks(spark, sf):
 
 def page_pieces(spark, sf):
     """Web pages as pages of their host, in overlapping pieces."""
-    pages = I.table(spark, sf, "pages").select(
+    pages = I.texts(spark, sf, "pages").select(
         F.col("page_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("html").alias("text"), F.lit("text_layer").alias("source")
     )
     out = C.chunk_pages(pages, ["document_id"], ["page_number", "source"])
@@ -71,7 +71,7 @@ def _index(spark, sf):
 
 
 def tfidf_stats(spark, sf):
-    index = R.TermIndex(I.table(spark, sf, "documents"), ["doc_id"])
+    index = R.TermIndex(I.texts(spark, sf, "documents"), ["doc_id"])
     return index.vocabulary.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -112,7 +112,7 @@ KEYWORDS = "Operating MARGIN outlook hand"
 
 
 def keyword_retrieval(spark, sf):
-    docs = I.table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("content"))
+    docs = I.texts(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("content"))
     return R.keyword_search(docs, KEYWORDS).select("doc_id", "source")
 
 

@@ -19,7 +19,7 @@ KEY = ["l_orderkey", "l_linenumber"]
 
 
 def _lines(spark, sf):
-    return I.table(spark, sf, "lineitem").withColumn("amt", F.format_number("l_extendedprice", 2)).withColumn(
+    return I.texts(spark, sf, "lineitem").withColumn("amt", F.format_number("l_extendedprice", 2)).withColumn(
         "kind", (F.col("l_partkey") + F.col("l_linenumber")) % 6
     )
 
@@ -135,12 +135,12 @@ def legal_company_name(spark, sf):
 
 def page_clean(spark, sf):
     raw = F.concat(F.lit(" \x0c"), F.replace(F.replace("text", F.lit("\n"), F.lit("\n\n\n")), F.lit(" "), F.lit(" \t ")), F.lit("\n "))
-    return I.table(spark, sf, "documents").select("doc_id", F.md5(X.clean_page(raw)).alias("clean_hash"))
+    return I.texts(spark, sf, "documents").select("doc_id", F.md5(X.clean_page(raw)).alias("clean_hash"))
 
 
 def text_keys(spark, sf):
     t = F.col("text")
-    return I.table(spark, sf, "documents").select(
+    return I.texts(spark, sf, "documents").select(
         "doc_id", F.md5(X.word_key(t)).alias("word_key"), F.md5(X.metric_key(t)).alias("metric_key"), F.md5(X.squash(t)).alias("squashed"),
         X.approx_tokens(t).alias("tokens"),
     )
@@ -157,23 +157,23 @@ def metadata_date(spark, sf):
 
 
 def line_dedup_exact(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", D.distinct_lines_exact(F.col("text")).alias("text"))
+    return I.texts(spark, sf, "documents").select("doc_id", D.distinct_lines_exact(F.col("text")).alias("text"))
 
 
 def line_dedup_long(spark, sf):
     """The same on one row per line."""
-    lines = I.table(spark, sf, "documents").select("doc_id", F.posexplode(X.split_lines(F.col("text"))).alias("pos", "line"))
+    lines = I.texts(spark, sf, "documents").select("doc_id", F.posexplode(X.split_lines(F.col("text"))).alias("pos", "line"))
     return D.dedup_lines_long(lines, ["doc_id"]).select("doc_id", "pos", "line")
 
 
 def fuzzy_line_dedup(spark, sf):
-    docs = I.table(spark, sf, "documents").withColumn("kept", S.distinct_lines(F.col("text")))
+    docs = I.texts(spark, sf, "documents").withColumn("kept", S.distinct_lines(F.col("text")))
     return docs.select("doc_id", F.size(X.split_lines(F.col("kept"))).alias("n_lines"), F.md5("kept").alias("text_hash"))
 
 
 def scan_line_merge(spark, sf):
     """Native text, a scan of it with one letter misread, and no tables, merged per document."""
-    docs = I.table(spark, sf, "documents").select(
+    docs = I.texts(spark, sf, "documents").select(
         "doc_id", "text", F.replace("text", F.lit("th"), F.lit("tb")).alias("scan"),
         F.array().cast("array<struct<page:int,sheet:string,location:string,rows:array<array<string>>>>").alias("tables"),
     )
@@ -182,7 +182,7 @@ def scan_line_merge(spark, sf):
 
 
 def normalised_documents(spark, sf):
-    out = D.normalise_documents(I.table(spark, sf, "documents").select("doc_id", "text"))
+    out = D.normalise_documents(I.texts(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_hash"))
 
 
@@ -214,7 +214,7 @@ def cell_normal_form(spark, sf):
 
 def signal_lines(spark, sf):
     """Lines of all documents that look like figures, per document."""
-    lines = I.table(spark, sf, "documents").select("doc_id", F.explode(F.transform(X.split_lines(F.col("text")), X.strip)).alias("line"))
+    lines = I.texts(spark, sf, "documents").select("doc_id", F.explode(F.transform(X.split_lines(F.col("text")), X.strip)).alias("line"))
     return lines.filter(is_signal_line(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -223,7 +223,7 @@ def signal_lines(spark, sf):
 
 def file_manifest(spark, sf):
     """Web pages as uploads with and without suffix, judged by name, first bytes and mime type."""
-    p = I.table(spark, sf, "pages").withColumn("kind", F.col("page_id") % 6)
+    p = I.texts(spark, sf, "pages").withColumn("kind", F.col("page_id") % 6)
     name = F.concat(F.lit("f"), F.col("page_id"), _pick(F.lit(".JPEG"), F.lit(""), F.lit(".bin"), F.lit(".html"), F.lit(".dat"), F.lit("")))
     mime = _pick(F.lit(None).cast("string"), F.lit("image/png"), F.lit("application/vnd.ms-excel"), F.lit("x"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     head = F.when(F.col("kind") == 5, F.lit("255044462D31")).when((F.col("kind") == 4) & (F.col("page_id") % 4 == 0), F.lit("0001FF00")).otherwise(F.hex(F.left("html", F.lit(100))))
@@ -233,13 +233,13 @@ def file_manifest(spark, sf):
 
 
 def delimiter_detect(spark, sf):
-    return I.table(spark, sf, "pages").select("page_id", Fi.detect_delimiter(F.col("html")).alias("delimiter"))
+    return I.texts(spark, sf, "pages").select("page_id", Fi.detect_delimiter(F.col("html")).alias("delimiter"))
 
 
 def _site_pages(spark, sf):
     html = F.col("html")
     images = F.size(F.regexp_extract_all(html, F.lit("<li"), F.lit(0)))
-    return I.table(spark, sf, "pages").select(
+    return I.texts(spark, sf, "pages").select(
         F.regexp_extract("url", "//([^/]+)/", 1).alias("doc_id"), F.col("page_id").alias("page_number"), (F.length(html) % 400).alias("n_chars"), images.alias("n_images")
     )
 

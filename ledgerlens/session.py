@@ -60,3 +60,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few splits spread over the cores; a scan that has enough is left alone.
+
+    For text work that is heavy per row: one small file would otherwise be one task. At
+    scale the splits outnumber the cores and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows placed by key in the session's number of shuffle partitions, not merged into fewer.
+
+    Later groupings and windows on these keys then need no shuffle of their own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
