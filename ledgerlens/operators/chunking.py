@@ -88,9 +88,14 @@ def pack_paragraphs(c: Column, target: int = vocab.PACK_TARGET, overlap: int = v
 
 def chunk_paragraphs(documents: DataFrame, keys: list[str], text: str = "text", **sizes) -> DataFrame:
     """One row per packed chunk: keys, index (1-based), total, text, character_count."""
-    packed = documents.select(*keys, pack_paragraphs(F.col(text), **sizes).alias("chunks"))
-    rows = packed.select(*keys, F.size("chunks").alias("total"), F.posexplode("chunks").alias("i", "text"))
-    return rows.select(*keys, (F.col("i") + 1).alias("index"), "total", "text", F.length("text").alias("character_count"))
+    def describe(packed: Column) -> Column:
+        return F.transform(
+            packed,
+            lambda t, i: F.struct((i + 1).alias("index"), F.size(packed).alias("total"), t.alias("text"), F.length(t).alias("character_count")),
+        )
+
+    rows = documents.select(*keys, F.explode(let(pack_paragraphs(F.col(text), **sizes), describe)).alias("c"))
+    return rows.select(*keys, "c.*")
 
 
 def chunk_pages(pages: DataFrame, keys: list[str], metadata: list[str], text: str = "text") -> DataFrame:

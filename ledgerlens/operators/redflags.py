@@ -317,22 +317,22 @@ def keyword_flags(sections: DataFrame, keys: list[str], rules=vocab.KEYWORD_RULE
         starts = literal_starts(pattern)
         return F.lit(True) if starts is None else reduce(or_, [low.contains(s) for s in starts])
 
-    def found(i: int, rule: tuple) -> Column:
+    def found(i: int, rule: tuple, low: Column) -> Column:
         category, title, severity, pattern, advice = rule
         words = f"The supplied document section contains language matching {title.lower()}."
         return F.struct(
             F.lit(i).alias("rule_pos"), F.lit(category).alias("category"), F.lit(title).alias("title"),
             F.lit(severity).alias("severity"), F.lit(words).alias("description"),
-            F.when(possible(F.col("low"), pattern), first_supported_snippet(F.col("content"), pattern)).alias("snippet"),
+            F.when(possible(low, pattern), first_supported_snippet(F.col("content"), pattern)).alias("snippet"),
             F.lit(advice).alias("recommendation"),
         )
 
-    hits = (
-        sections.withColumn("low", fold_case(F.col("content")))
-        .filter(reduce(or_, [possible(F.col("low"), pattern) for *_, pattern, _ in rules]))
-        .select(*keys, "pos", "section", F.array(*[found(i, r) for i, r in enumerate(rules)]).alias("hits"))
-        .select(*keys, "pos", "section", F.explode(F.filter("hits", lambda h: h["snippet"].isNotNull())).alias("h"))
+    # the folded text is named once per row; every rule searches that value
+    hits = let(
+        fold_case(F.col("content")),
+        lambda low: F.filter(F.array(*[found(i, r, low) for i, r in enumerate(rules)]), lambda h: h["snippet"].isNotNull()),
     )
+    hits = sections.select(*keys, "pos", "section", F.explode(hits).alias("h"))
     order = F.lit(len(numeric_rules())) + F.col("pos") * len(rules) + F.col("h.rule_pos")
     return hits.select(
         *keys, order.cast("long").alias("pos"), "h.category", "h.title", "h.severity", "h.description",
