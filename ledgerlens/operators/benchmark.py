@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ledgerlens import vocab
 from ledgerlens.functions.text import fixed, round_exact
-from ledgerlens.operators.ordering import lookup, positions
+from ledgerlens.operators.ordering import lookup, positions, small_lookup
 
 EXACT = "decimal(28,6)"  # sums of metric values are exact, whatever the order of addition
 NESTED_LIMIT = 100_000  # most companies of one set in the nested (array, map, sentence) forms
@@ -88,11 +88,11 @@ def benchmark(
     cell = [*set_cols, "metric_pos"]
     rows = long_metrics(companies, set_cols, metrics)
     chosen = pick_focus(companies, set_cols, focus).drop("n_companies")
-    mine = lookup(rows, chosen, set_cols).filter("company_name = focus_company").groupBy(*cell, "focus_company").agg(
+    mine = small_lookup(rows, chosen, set_cols).filter("company_name = focus_company").groupBy(*cell, "focus_company").agg(
         F.min_by("value", "pos").alias("value"),
         F.min(F.when(F.col("value").isNotNull(), F.struct("signed", "pos"))).alias("best"),
     )
-    rows = lookup(rows, mine.withColumnRenamed("value", "focus_value"), cell)
+    rows = small_lookup(rows, mine.withColumnRenamed("value", "focus_value"), cell)
     peer = (F.col("company_name") != F.col("focus_company")) & F.col("value").isNotNull()
     peer_value = F.when(peer, F.col("value").cast(EXACT))
     same = ["metric", "higher_is_better", "focus_company", "focus_value"]
@@ -135,7 +135,7 @@ def benchmark_all(
     )
     own = F.col("last_value").isNotNull().cast("int")
     joined = (
-        lookup(names, totals, cell)
+        small_lookup(names, totals, cell)
         .withColumn("peer_sum", F.col("total") - F.coalesce(F.col("last_value"), F.lit(0).cast(EXACT)))
         .withColumn("n_peers", F.col("n_names") - own)
         .withColumnRenamed("company_name", "focus_company")
@@ -169,7 +169,7 @@ def _bounded(companies: DataFrame, set_cols: list[str]) -> DataFrame:
 
 def peer_values(companies: DataFrame, focus: str | None, set_cols: list[str], metrics=vocab.BENCHMARK_METRICS) -> DataFrame:
     """Long form of the peers' values: one row per set, metric and peer name."""
-    rows = lookup(
+    rows = small_lookup(
         long_metrics(companies, set_cols, metrics), pick_focus(companies, set_cols, focus).drop("n_companies"), set_cols
     )
     return (

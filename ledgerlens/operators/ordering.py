@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerlens.session import cut_lineage
+
+BROADCAST_ROWS = 200_000  # most rows of a derived table that is broadcast
 HOT_SHARE = 10_000  # a key is hot when it holds more than 1 / HOT_SHARE of the rows
 
 
@@ -42,7 +45,8 @@ def positions(
     """1-based place of each row in its group by ascending (`value`, `pos`); `pos` is unique and numeric.
 
     Exact for any group size. A value that fills several quantiles gets a range of its
-    own, which is cut further by `pos`.
+    own, which is cut further by `pos`. One group is sorted in pieces of about 1 / `ranges`
+    of its rows; raise `ranges` for groups of many billions.
     """
     steps = [i / ranges for i in range(1, ranges)]
     cuts = df.groupBy(*keys).agg(
@@ -52,7 +56,7 @@ def positions(
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     on_cut = F.array_contains("_cuts", F.col(value))
     placed = (
-        lookup(df, cuts, keys)
+        small_lookup(df, cuts, keys)
         .withColumn("_range", below * 2 + on_cut.cast("int"))
         .withColumn("_part", F.when(on_cut, F.size(F.filter("_pos_cuts", lambda c: c < F.col(pos)))).otherwise(0))
         .drop("_cuts", "_pos_cuts")
@@ -84,6 +88,22 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     return df.join(table, keys, how)
 
 
+def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """A result stored once, and whether it is small enough to send to every task."""
+    stored = cut_lineage(df)
+    return stored, stored.limit(rows + 1).count() <= rows
+
+
+def small_lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a large frame to a derived table that is expected to be small.
+
+    The table is stored and counted first. Within BROADCAST_ROWS it is broadcast and the
+    large side stays where it is; beyond that the join is a plain `lookup`.
+    """
+    stored, small = measured(table)
+    return df.join(F.broadcast(stored), keys, how) if small else lookup(df, stored, keys, how)
+
+
 def split_lookup(df: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """`lookup` for a key with known frequencies in `table[weight]`.
 

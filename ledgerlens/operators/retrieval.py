@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from ledgerlens import vocab
 from ledgerlens.functions.text import SPACE, let, round_exact, squash, strip
-from ledgerlens.operators.ordering import split_lookup, top_k
+from ledgerlens.operators.ordering import measured, small_lookup, split_lookup, top_k
 from ledgerlens.session import by_key, scratch_path
 
 SCORE_DIGITS = 12  # sums of doubles agree to this many digits whatever their order
@@ -62,7 +62,7 @@ def idf(n: Column, df: Column) -> Column:
 
 
 class TermIndex:
-    """Weights of all chunk terms: `weights` (keys, term, w) and `vocabulary` (term, df, idf).
+    """Unit-length weights of chunk terms: `weights` (keys, term, w); `vocabulary` (term, df, idf).
 
     Like any index it is built once and stored: three tables in the shared folder. Chunks
     are placed by key first, so their tokens are counted without moving the tokens.
@@ -82,8 +82,9 @@ class TermIndex:
         self.vocabulary = self._stored("vocabulary", df.withColumn("idf", idf(F.lit(n_chunks), F.col("df"))))
         total = self.vocabulary.agg(F.sum("df")).first()[0] or 0
         joined = split_lookup(counts, self.vocabulary, "term", "df", total)
-        weights = joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
-        self.weights = self._stored("weights", weights)
+        weights = by_key(joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w")), *keys)
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys)))  # the terms of one chunk
+        self.weights = self._stored("weights", weights.withColumn("w", F.col("w") / length))
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
         path = scratch_path(self._spark, f"index-{name}")
@@ -93,7 +94,7 @@ class TermIndex:
     def question_weights(self, questions: DataFrame, qkeys: list[str], text: str) -> DataFrame:
         """Unit-length weights of question terms that occur in the index."""
         counts = term_counts(questions, qkeys, text, self.stop_words)
-        w = counts.join(self.vocabulary, "term").withColumn("qw", F.col("tf") * F.col("idf")).select(*qkeys, "term", "qw")
+        w = small_lookup(self.vocabulary.select("term", "idf"), counts, ["term"]).withColumn("qw", F.col("tf") * F.col("idf")).select(*qkeys, "term", "qw")
         length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy(*qkeys)))
         return w.withColumn("qw", F.col("qw") / length)
 
@@ -113,18 +114,12 @@ class TermIndex:
         return found
 
     def _scored(self, asked: DataFrame, qkeys: list[str]) -> DataFrame:
-        # one row per question term with its questions, at most a block of them
+        # the question terms of one block, one row per term: broadcast when small, so that
+        # the stored weights are scanned in place and only matching rows are summed
         by_term = asked.groupBy("term").agg(F.collect_list(F.struct(*qkeys, "qw")).alias("asked"))
-        # measured at run time: the terms of one block are broadcast when small, and the
-        # weights then stay partitioned by chunk for everything below
-        rows = by_key(self.weights, *self.keys).join(by_term, "term", "left")
-        part = F.transform("asked", lambda a: F.struct(*[a[q].alias(q) for q in qkeys], (a["qw"] * F.col("w")).alias("s")))
-        by_chunk = rows.groupBy(*self.keys).agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.flatten(F.collect_list(part)).alias("hits")
-        )
-        hits = by_chunk.select(*self.keys, "length", F.explode("hits").alias("h"))
-        return hits.groupBy(*self.keys, *[F.col("h")[q].alias(q) for q in qkeys]).agg(
-            F.round(F.sum("h.s") / F.max("length"), SCORE_DIGITS).alias("score")
+        hits = small_lookup(self.weights, by_term, ["term"]).select(*self.keys, "w", F.explode("asked").alias("a"))
+        return hits.groupBy(*self.keys, *[F.col("a")[q].alias(q) for q in qkeys]).agg(
+            F.round(F.sum(F.col("w") * F.col("a.qw")), SCORE_DIGITS).alias("score")
         )
 
 
@@ -165,10 +160,16 @@ def numeric_claims(finding: Column) -> Column:
     return F.transform(long, lambda n: F.regexp_replace(F.get(F.split(n, f"{SPACE}+"), F.lit(0)), "[,.]+$", ""))
 
 
+def _named_chunks(chunks: DataFrame, cited: DataFrame, keys: list[str]) -> DataFrame:
+    """The chunks that are cited at all; few ids are sent to the chunks, not chunks to the ids."""
+    ids, small = measured(cited.select(*keys).filter("chunk_id IS NOT NULL").distinct())
+    return chunks.join(F.broadcast(ids) if small else ids, keys, "left_semi")
+
+
 def check_citations(findings: DataFrame, chunks: DataFrame, keys: list[str], chunk_scope: list[str]) -> DataFrame:
     """Per finding: whether it cites at least one chunk and every cited chunk exists."""
     cited = findings.select(*keys, *[c for c in chunk_scope if c not in keys], F.explode_outer(cited_ids(F.col("finding"))).alias("chunk_id"))
-    known = chunks.select(*chunk_scope, "chunk_id").withColumn("found", F.lit(True))
+    known = _named_chunks(chunks.select(*chunk_scope, "chunk_id"), cited, [*chunk_scope, "chunk_id"]).withColumn("found", F.lit(True))
     joined = cited.join(known, [*chunk_scope, "chunk_id"], "left")
     return joined.groupBy(*keys).agg(
         F.count("chunk_id").alias("n_cited"),
@@ -186,6 +187,7 @@ def grounding_scores(findings: DataFrame, chunks: DataFrame, key: str, chunk_sco
     scope = [c for c in chunk_scope if c not in keys]
     cited = findings.select(*keys, *scope, F.posexplode_outer(cited_ids(F.col("finding"))).alias("i", "chunk_id"))
     texts = chunks.select(*chunk_scope, "chunk_id", F.col("text").alias("cited_text"))
+    texts = _named_chunks(texts, cited, [*chunk_scope, "chunk_id"])
     by_part = cited.join(texts, [*chunk_scope, "chunk_id"], "left").groupBy(*keys).agg(
         F.every(F.col("cited_text").isNotNull()).alias("valid"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cited_text").isNotNull(), F.struct("i", "cited_text")))), lambda s: s["cited_text"]), " ").alias("cited"),

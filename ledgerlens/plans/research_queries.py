@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 from ledgerlens.operators import chunking as C
 from ledgerlens.operators import retrieval as R
+from ledgerlens.operators.ordering import small_lookup
+from ledgerlens.session import cut_lineage
 from ledgerlens.plans import inputs as I
 
 CHUNK_BASE = 1_000_000  # chunk ids are unique over all documents: doc_id * CHUNK_BASE + number
@@ -84,8 +86,8 @@ def _answers(spark, sf):
     text = chunks(spark, sf)
     parts = R.decompose(questions(spark, sf), ["item_id"])
     hits = R.TermIndex(text, ["doc_id", "chunk_no"]).search(parts, ["item_id", "part"], "sub_question", vocab.ANSWER_K)
-    hits = hits.join(text, ["doc_id", "chunk_no"]).withColumn("score", F.round("score", 3))
-    return R.answers(hits, parts, "item_id"), text
+    hits = small_lookup(text, hits, ["doc_id", "chunk_no"]).withColumn("score", F.round("score", 3))
+    return cut_lineage(R.answers(hits, parts, "item_id")), text
 
 
 def research_answers(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas, vocab
 from ledgerlens.functions.text import SPACE, squash, strip
+from ledgerlens.session import cut_lineage
 
 
 def read_company_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +167,7 @@ def curated_override(reports: DataFrame, curated: DataFrame, key: str) -> DataFr
         )
         return F.explode(F.array_distinct(F.flatten(spans)))
 
-    asked = reports.select(key, F.lower("company_name").alias("name"), "source_document").filter("name <> ''")
+    asked = cut_lineage(reports.select(key, F.lower("company_name").alias("name"), "source_document").filter("name <> ''"))
     known = curated.select("pos", F.lower("company_name").alias("name"), F.col("source_document").alias("file"))
     longer_doc = asked.select(key, pieces(F.col("name")).alias("name")).join(known.select("pos", "name"), "name").select(key, "pos")
     longer_known = known.select("pos", pieces(F.col("name")).alias("name")).join(asked.select(key, "name"), "name").select(key, "pos")
