@@ -46,7 +46,8 @@ def positions(
 
     Exact for any group size. A value that fills several quantiles gets a range of its
     own, which is cut further by `pos`. One group is sorted in pieces of about 1 / `ranges`
-    of its rows; raise `ranges` for groups of many billions.
+    of its rows; raise `ranges` for groups of many billions. The input is read three times,
+    so a costly one should be stored first.
     """
     steps = [i / ranges for i in range(1, ranges)]
     cuts = df.groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from ledgerlens import vocab
 from ledgerlens.operators import benchmark as B
 from ledgerlens.operators.ordering import positions
 from ledgerlens.plans import inputs as I
+from ledgerlens.session import cut_lineage
 
 YEAR = ["fiscal_year"]
 FOCUS = "Supplier#000000001"
@@ -16,11 +17,12 @@ SIDE_ROWS = [("revenue", "Revenue"), ("net_profit", "Net Profit"), ("liabilities
 
 
 def companies(spark, sf):
-    return I.benchmark_metrics(I.company_figures(spark, sf))
+    """Company metrics, stored once: the benchmark reads them in several passes."""
+    return cut_lineage(I.benchmark_metrics(I.company_figures(spark, sf)))
 
 
 def nations(spark, sf):
-    return I.benchmark_metrics(I.nation_figures(spark, sf))
+    return cut_lineage(I.benchmark_metrics(I.nation_figures(spark, sf)))
 
 
 def company_years(spark, sf):
@@ -58,7 +60,7 @@ def _brand_rows(spark, sf):
 def peer_rank(spark, sf):
     """Place of every company by revenue within its year, best first."""
     df = I.company_figures(spark, sf).select("fiscal_year", "company_name", "pos", "revenue", (-F.col("revenue")).alias("signed"))
-    return positions(df, YEAR, "signed", "pos", "rank").select("fiscal_year", "company_name", "revenue", "rank")
+    return positions(cut_lineage(df), YEAR, "signed", "pos", "rank").select("fiscal_year", "company_name", "revenue", "rank")
 
 
 def strengths_weaknesses(spark, sf):

@@ -9,7 +9,7 @@ from ledgerlens.functions.text import fixed
 from ledgerlens.operators import benchmark as B
 from ledgerlens.operators import facts as Fa
 from ledgerlens.plans import inputs as I
-from ledgerlens.session import by_key
+from ledgerlens.session import by_key, cut_lineage
 from ledgerlens.sources import files as Fi
 
 DOC = ["doc_id"]
@@ -17,7 +17,10 @@ CODES = ["USD", "EUR", "GBP"]
 
 
 def statements(spark, sf):
-    """A short statement of every company and year, line by line, from its figures."""
+    """A short statement of every company and year, line by line, from its figures.
+
+    Stored once, placed by document: the merges below group by document without a shuffle.
+    """
     fig = I.company_figures(spark, sf)
     code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("fiscal_year") % 3 + 1).cast("int"))
     revenue = F.concat(F.lit("Revenue: "), I.amount(F.col("revenue")), F.lit(" cr FY"), F.col("fiscal_year"))
@@ -36,7 +39,7 @@ def statements(spark, sf):
         F.lit("see note 7 on debt"),
     ]
     doc_id = F.col("pos") * 10000 + F.col("fiscal_year")
-    return by_key(fig.select(doc_id.alias("doc_id"), F.concat_ws("\n", *lines).alias("text")), "doc_id")
+    return cut_lineage(by_key(fig.select(doc_id.alias("doc_id"), F.concat_ws("\n", *lines).alias("text")), "doc_id"))
 
 
 def _facts(spark, sf):
@@ -188,7 +191,7 @@ def curated_override(spark, sf):
 
 def document_comparison(spark, sf):
     """Reports to comparison: extracted metrics of each year benchmarked against the first company."""
-    rows = Fi.extract_report_metrics(report_texts(spark, sf)).withColumnRenamed("doc_id", "pos")
+    rows = cut_lineage(Fi.extract_report_metrics(report_texts(spark, sf)).withColumnRenamed("doc_id", "pos"))
     return B.benchmark(rows, None, ["fiscal_year"])
 
 
