@@ -17,6 +17,7 @@ from ledgerlens.functions.text import (
 )
 from ledgerlens.operators.chunking import split_at_pages
 from ledgerlens.operators.ordering import best_by, first_by, lookup
+from ledgerlens.session import cut_lineage
 
 # --- patterns, built from the alias tables ----------------------------------------
 
@@ -116,41 +117,59 @@ def text_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return rows.select(*keys, pos.alias("pos"), "page_number", line.alias("line")).filter("line <> ''")
 
 
-def line_facts(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(metric facts, company facts) of (keys, pos, page_number, line) rows."""
+def facts_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """All facts of (keys, pos, page_number, line) rows in one pass; `kind` says which.
+
+    A line that is itself a company name gives that fact only. Table rows are looked up by
+    their first cell; other lines by the alias they state.
+    """
     spark = lines.sparkSession
     cells = F.filter(F.transform(F.split("line", "\t", -1), strip), lambda c: F.length(c) > 0)
     df = lines.withColumn("name", legal_name(F.col("line"))).withColumn("cells", F.when(F.col("line").contains("\t"), cells))
     df = df.withColumn("label_key", F.when(F.size("cells") >= 2, word_key(F.get("cells", F.lit(0)))))
-
-    metric_names = alias_frame(spark, vocab.METRIC_ALIASES).select("label_key", F.col("field").alias("cell_field"))
-    m = df.filter("name IS NULL").filter(F.col("line").rlike(r"\d")).join(F.broadcast(metric_names), "label_key", "left")
-    in_cells = F.when(
-        F.col("cell_field").isNotNull(),
-        F.transform(
-            F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: c.rlike(r"\d")),
-            lambda c: F.struct(F.col("cell_field").alias("field"), c.alias("value")),
-        ),
+    for aliases, column in ((vocab.METRIC_ALIASES, "metric_field"), (vocab.COMPANY_ALIASES, "company_field")):
+        names = alias_frame(spark, aliases).select("label_key", F.col("field").alias(column))
+        df = df.join(F.broadcast(names), "label_key", "left")
+
+    def fact(kind: str, field: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), field.alias("field"), value.alias("value"))
+
+    rest = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
+    in_cells = F.transform(F.filter(rest, lambda c: c.rlike(r"\d")), lambda c: fact("metric", F.col("metric_field"), c))
+    stated = let(
+        metric_from_line(F.col("line")),
+        lambda m: F.when(m.isNotNull(), F.array(fact("metric", m["field"], m["value"]))),
     )
-    m = m.withColumn("in_cells", in_cells).withColumn("stated", metric_from_line(F.col("line")))
-    found = F.when(F.size("in_cells") > 0, F.col("in_cells")).when(F.col("stated").isNotNull(), F.array("stated"))
-    m = m.select(*keys, "pos", "page_number", "line", F.posexplode(found).alias("i", "f"))
-    metrics = m.select(
-        *keys, (F.col("pos") * 8192 + F.col("i")).alias("pos"), F.col("f.field").alias("field"),
-        display_name(F.col("f.field")).alias("metric"), F.col("f.value").alias("value"), detect_unit(F.col("f.value")).alias("unit"),
-        detect_period(F.col("line")).alias("period"), "page_number", F.lit(vocab.LINE_CONFIDENCE).alias("confidence"),
-    )
-
-    company_names = alias_frame(spark, vocab.COMPANY_ALIASES).select("label_key", F.col("field").alias("cell_field"))
-    c = df.join(F.broadcast(company_names), "label_key", "left")
-    cell = F.when(F.col("cell_field").isNotNull(), F.struct(F.col("cell_field").alias("field"), F.get("cells", F.lit(1)).alias("value")))
+    by_cell = let(in_cells, lambda a: F.when(F.col("metric_field").isNotNull() & (F.size(a) > 0), a))
+    metrics = F.when(F.col("name").isNull() & F.col("line").rlike(r"\d"), F.coalesce(by_cell, stated))
+    cell = F.when(F.col("company_field").isNotNull(), F.struct(F.col("company_field").alias("field"), F.get("cells", F.lit(1)).alias("value")))
     own = F.when(F.col("name").isNotNull(), F.struct(F.lit("company_name").alias("field"), F.col("name").alias("value")))
-    c = c.withColumn("f", F.coalesce(own, cell, company_from_line(F.col("line")))).filter("f IS NOT NULL")
-    companies = c.select(
-        *keys, "pos", F.col("f.field").alias("field"), F.col("f.value").alias("value"), "page_number",
-        F.lit(vocab.COMPANY_CONFIDENCE).alias("confidence"),
+    company = let(
+        F.coalesce(own, cell, company_from_line(F.col("line"))),
+        lambda c: F.when(c.isNotNull(), F.array(fact("company", c["field"], c["value"]))),
     )
-    return metrics, companies
+    none = F.array().cast("array<struct<kind:string,field:string,value:string>>")
+    rows = df.select(
+        *keys, "pos", "page_number", "line", F.posexplode(F.concat(F.coalesce(metrics, none), F.coalesce(company, none))).alias("i", "f")
+    )
+    is_metric = F.col("f.kind") == "metric"
+    return rows.select(
+        *keys, (F.col("pos") * 8192 + F.col("i")).alias("pos"), "f.kind", "f.field", "f.value", "page_number",
+        F.when(is_metric, display_name(F.col("f.field"))).alias("metric"), F.when(is_metric, detect_unit(F.col("f.value"))).alias("unit"),
+        F.when(is_metric, detect_period(F.col("line"))).alias("period"),
+        F.when(is_metric, vocab.LINE_CONFIDENCE).otherwise(vocab.COMPANY_CONFIDENCE).alias("confidence"),
+    )
+
+
+def split_facts(facts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(metric facts, company facts) of a mixed frame."""
+    metrics = facts.filter("kind = 'metric'").select(*keys, "pos", "field", "metric", "value", "unit", "period", "page_number", "confidence")
+    return metrics, facts.filter("kind = 'company'").select(*keys, "pos", "field", "value", "page_number", "confidence")
+
+
+def line_facts(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(metric facts, company facts) of lines; store `facts_of_lines` first to use both."""
+    return split_facts(facts_of_lines(lines, keys), keys)
 
 
 def display_name(field: Column) -> Column:
@@ -299,7 +318,8 @@ def extract_documents(documents: DataFrame, doc: str = "doc_id", text: str = "te
 
     chunks = chunk_paragraphs(normalise_documents(documents.select(doc, text), text), [doc], text)
     keys = [doc, "index"]
-    metrics, companies = line_facts(text_lines(chunks, keys), keys)
+    # the texts are read once; the facts found are few and stored
+    metrics, companies = split_facts(cut_lineage(facts_of_lines(text_lines(chunks, keys), keys)), keys)
     metrics = dedup_facts(metrics, keys, ["metric", "value", "period", "page_number"])
     companies = dedup_facts(companies, keys, ["field", "value", "page_number"])
     far = F.col("index").cast("long") * (1 << 48)  # chunk order before line order

@@ -118,6 +118,14 @@ def keyword_retrieval(spark, sf):
     return R.keyword_search(docs, KEYWORDS).select("doc_id", "source")
 
 
+def keyword_match(spark, sf):
+    """Whether the turn before shares any word with each turn of a conversation."""
+    turns = I.table(spark, sf, "conversations")
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    both = turns.join(asked, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", R.keyword_match(F.col("text"), F.col("query")).alias("matched"))
+
+
 def _centroids(spark, sf):
     """One query vector per label: the mean of its vectors, to six decimals."""
     vectors = I.table(spark, sf, "embeddings")
@@ -272,6 +280,8 @@ ORACLE = {
         CAST(printf('%.1f', coalesce(sum(grounded) / nullif(sum(checked), 0), 1.0) * 100) AS DOUBLE) AS numeric_grounding_rate
       FROM ck GROUP BY 1""",
     "keyword_retrieval": "SELECT doc_id, source FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in KEYWORDS.lower().split()),
+    "keyword_match": f"SELECT a.conv_id, a.turn, len(list_filter(string_split(trim(regexp_replace(lower(b.text), '{WS}+', ' ', 'g')), ' '), lambda w: w <> '' AND contains(lower(a.text), w))) > 0 AS matched "
+    "FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1",
     "vector_topk": f"WITH {_CENTROID.format(where='')} SELECT query_id, CAST(fr AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM fe WHERE fr <= 5",
     "vector_topk_filtered": f"WITH {_CENTROID.format(where='')}, kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr) AS r FROM fe WHERE label = query_id) "
     "SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, label, round(score, 9) AS score FROM kp WHERE r <= 5",
