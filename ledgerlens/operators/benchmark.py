@@ -18,7 +18,7 @@ from ledgerlens.operators.ordering import lookup, positions, small_lookup
 
 EXACT = "decimal(28,6)"  # sums of metric values are exact, whatever the order of addition
 NESTED_LIMIT = 100_000  # most companies of one set in the nested (array, map, sentence) forms
-TOO_FEW = "Comparison Agent needs at least 2 companies (focus + peers)."
+TOO_FEW = "a comparison needs at least 2 companies (focus and peers)"
 
 
 def long_metrics(companies: DataFrame, set_cols: list[str], metrics=vocab.BENCHMARK_METRICS) -> DataFrame:
