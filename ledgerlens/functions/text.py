@@ -28,6 +28,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def first_per_key(items: Column) -> Column:
+    """An array of structs (k, t) without those whose k came before, in order.
+
+    Sorted by key and place, so that a long list costs n log n and not n squared.
+    """
+
+    def pick(listed: Column) -> Column:
+        def firsts(placed: Column) -> Column:
+            starts = F.filter(placed, lambda e, j: (j == 0) | (F.get(placed, j - 1)["k"] != e["k"]))
+            return F.transform(F.sort_array(F.transform(starts, lambda e: e["i"])), lambda i: F.get(listed, i))
+
+        return let(F.sort_array(F.transform(listed, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i")))), firsts)
+
+    return let(items, pick)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import vocab
 from ledgerlens.functions.similarity import split_pieces
-from ledgerlens.functions.text import LINE_BREAK, SPACE, any_of, legal_name, let, split_lines, squash, strip, word_key
+from ledgerlens.functions.text import LINE_BREAK, SPACE, any_of, first_per_key, legal_name, let, split_lines, squash, strip, word_key
 
 HEADER = r"SECTION \d+:"
 FIRST_LINE = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*"
@@ -170,12 +170,7 @@ def signal_text(c: Column) -> Column:
 
     listed = F.filter(F.flatten(F.transform(split_at_pages(c), entries)), lambda e: e["t"].isNotNull())
 
-    def once(e: Column) -> Column:
-        keys = F.transform(e, lambda x: x["k"])
-        first = let(keys, lambda k: F.filter(e, lambda x, i: F.array_position(k, x["k"]) == i + 1))
-        return F.array_join(F.transform(first, lambda x: x["t"]), "\n")
-
-    return strip(let(listed, once))
+    return strip(F.array_join(F.transform(first_per_key(listed), lambda e: e["t"]), "\n"))
 
 
 def cut_to_lines(text: Column, limit: Column) -> Column:

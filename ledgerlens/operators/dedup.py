@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.similarity import distinct_lines, new_scan_lines, nfkc
-from ledgerlens.functions.text import canonical_text, let, split_lines, squash, strip
+from ledgerlens.functions.text import SPACE, canonical_text, first_per_key, split_lines, squash, strip
 from ledgerlens.operators.ordering import first_by
 
 
@@ -14,11 +14,8 @@ def distinct_lines_exact(c: Column) -> Column:
     """Text with each line once (first place kept), compared by collapsed lower case."""
     lines = F.filter(F.transform(split_lines(c), strip), lambda s: F.length(s) > 0)
 
-    def once(kept: Column) -> Column:
-        keys = F.transform(kept, lambda s: F.lower(squash(s)))
-        return let(keys, lambda k: F.filter(kept, lambda s, i: F.array_position(k, F.get(k, i)) == i + 1))
-
-    return F.array_join(let(lines, once), "\n")
+    items = F.transform(lines, lambda s: F.struct(F.lower(squash(s)).alias("k"), s.alias("t")))
+    return F.array_join(F.transform(first_per_key(items), lambda e: e["t"]), "\n")
 
 
 def dedup_lines_long(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,8 +32,6 @@ def rows_to_text(rows: Column) -> Column:
 
 
 def table_signature(rows: Column) -> Column:
-    from ledgerlens.functions.text import SPACE
-
     return F.lower(F.regexp_replace(F.left(rows_to_text(rows), F.lit(1000)), f"{SPACE}+", " "))
 
 

@@ -114,10 +114,11 @@ class TermIndex:
         return found
 
     def _scored(self, asked: DataFrame, qkeys: list[str]) -> DataFrame:
-        # the question terms of one block, one row per term: broadcast when small, so that
-        # the stored weights are scanned in place and only matching rows are summed
+        # the question terms of one block, one row per term: broadcast when few in all, so
+        # that the stored weights are scanned in place and only matching rows are summed
+        asked, small = measured(asked)
         by_term = asked.groupBy("term").agg(F.collect_list(F.struct(*qkeys, "qw")).alias("asked"))
-        hits = small_lookup(self.weights, by_term, ["term"]).select(*self.keys, "w", F.explode("asked").alias("a"))
+        hits = self.weights.join(F.broadcast(by_term) if small else by_term, "term").select(*self.keys, "w", F.explode("asked").alias("a"))
         return hits.groupBy(*self.keys, *[F.col("a")[q].alias(q) for q in qkeys]).agg(
             F.round(F.sum(F.col("w") * F.col("a.qw")), SCORE_DIGITS).alias("score")
         )
