@@ -132,5 +132,7 @@ def kept_documents(df: DataFrame, text_col: str = "text", host_col: str = "sourc
     shuffled; only a host table beyond the broadcast bound makes the last join move them.
     """
     verdicts = _verdicts(failures(measures(df, text_col, host_col)), max_rate).filter("host_failed").select("host", F.lit(True).alias("bad"))
-    passed = failures(measures(df, text_col, host_col, row=F.struct(*df.columns))).filter(~F.col("base_failed"))
-    return passed.select("row", "host").join(bounded(verdicts), "host", "left").filter(F.col("bad").isNull()).select("row.*")
+    judged = failures(measures(df, text_col, host_col, row=F.struct(*df.columns)))
+    # not a filter: the optimizer would push it below and evaluate the measures again for every window of a text
+    passed = judged.select(F.explode(F.when(~F.col("base_failed"), F.array(F.struct("row", "host")))).alias("p")).select("p.*")
+    return passed.join(bounded(verdicts), "host", "left").filter(F.col("bad").isNull()).select("row.*")

@@ -42,8 +42,10 @@ WITH w AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
          row_number() OVER () AS k
   FROM documents),
+each AS (SELECT k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
 win AS (
-  SELECT k, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+  SELECT k, i, g FROM (
+    SELECT k, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM each WINDOW o AS (PARTITION BY k ORDER BY i)) WHERE g IS NOT NULL),
 rep AS (SELECT k, g FROM win GROUP BY k, g HAVING count(*) > 1),
 hit AS (SELECT DISTINCT k, unnest([i, i + 1, i + 2]) AS i FROM win JOIN rep USING (k, g)),
 n_hit AS (SELECT k, count(*) AS n FROM hit GROUP BY k),
