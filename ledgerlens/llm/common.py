@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ledgerlens.session import scratch_path
 
@@ -113,3 +114,8 @@ class Rolling:
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def fields(first: StructField, rest: str) -> StructType:
+    """A schema of one given field and others in DDL."""
+    return StructType([first, *StructType.fromDDL(rest).fields])
