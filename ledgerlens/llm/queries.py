@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import language_id, quality_classifier, quality_rules, toxicity, url_filters, warc
+from ledgerlens.llm import language_id, near_duplicates, quality_classifier, quality_rules, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("node")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_classifier, op4_quality_rules, op5_warc, op6_toxicity, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_warc, op6_toxicity, op9_url_filters)}
 
 _PRIOR = """
   SELECT sum({r}) / sum(n)::DOUBLE AS m,
@@ -47,6 +51,23 @@ _PRIOR = """
          least(greatest(CASE WHEN spread > 0 THEN m * (1 - m) / spread - 1 ELSE 1e6 END, 1), 1e6) AS s FROM hosts"""
 
 ORACLE = {
+    "op1_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+each AS (SELECT k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+two AS (SELECT k, n, x || ' ' || lead(x) OVER (PARTITION BY k ORDER BY i) AS g, x FROM each),
+sh AS (SELECT DISTINCT k, coalesce(g, x) AS g FROM two WHERE g IS NOT NULL OR n = 1),
+size AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN size x ON x.k = a JOIN size y ON y.k = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(k, r) AS (SELECT k, k FROM w UNION SELECT reach.k, b FROM reach JOIN edges ON r = a),
+comp AS (SELECT reach.k, min(doc_id) AS component_id FROM reach JOIN w ON w.k = r GROUP BY reach.k)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w JOIN comp USING (k) LEFT JOIN size USING (k)""",
     "op4_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
