@@ -107,6 +107,16 @@ def _named_texts(size: int):
     return named
 
 
+def _named_rows(size: int):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, "text"):
+            row, ids = part.column("row"), part.column("doc_id")
+            columns = pa.schema([("row", row.type), ("doc_id", ids.type), ("node", pa.binary())])
+            yield batch_of(columns, row, ids, [_name(s) for s in shingle_sets(data, offsets, size)])
+
+    return named
+
+
 def _alike(least_equal: int):
     """Pairs whose signatures agree in at least so many places."""
 
@@ -197,7 +207,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row; node names the row's shingle set."""
+    """doc_id, n_shingles, component_id and kept for every row; node names the row's shingle set, root its component."""
     sketched = stage(sketches(df, id_col, text_col, size), "sketches")
     nodes = stage(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
 
@@ -208,8 +218,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     found = linked_components(nodes, texts_of, size, percent)
     lows = found.join(nodes.select(F.col("node").alias("key"), "low"), "key").groupBy("root").agg(F.min("low").alias("component_id"))
-    grouped = stage(found.join(stage(lows, "lows"), "root").select(F.col("key").alias("node"), "component_id"), "grouped")
-    named = nodes.select("node", "low").join(grouped, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    grouped = stage(found.join(stage(lows, "lows"), "root").select(F.col("key").alias("node"), "root", "component_id"), "grouped")
+    named = nodes.select("node", "low").join(grouped, "node", "left")
+    named = named.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
     result = sketched.select("doc_id", "node", "n").join(stage(named, "named"), "node")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "node")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "node", "root")
+
+
+def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component with all its columns: that with the component's id (its smallest set, its first row).
+
+    Rows with an empty set are all kept. Texts stay where they are unless the rows to drop
+    are too many to send to every task.
+    """
+    judged = stage(near_duplicates(df, id_col, text_col, size, percent).filter("n_shingles > 0"), "judged")
+    heads = stage(judged.filter("kept").groupBy("root").agg(F.min(F.struct("node", "doc_id")).alias("head")), "heads")
+    lost = judged.join(heads, "root").filter((F.col("node") != F.col("head.node")) | ~F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
+    lost = bounded(stage(lost.select("node", "doc_id").distinct(), "lost"))
+    again = judged.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node", "doc_id")
+    again = stage(again, "again")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.mapInArrow(_named_rows(size), StructType([*rows.select("row", "doc_id").schema.fields, *StructType.fromDDL("node binary").fields]))
+
+    def same(other: DataFrame):
+        return (rows.node == other.node) & rows.doc_id.eqNullSafe(other.doc_id)
+
+    left = rows.join(lost, same(lost), "left_anti")
+    if not again.limit(1).count():
+        return left.select("row.*")
+    again, rows = bounded(again), left
+    once = left.join(again, same(again), "left_anti")
+    first = left.join(again, same(again), "left_semi").groupBy("node", "doc_id").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(first.select("row.*"))

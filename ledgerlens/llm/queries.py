@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import language_id, near_duplicates, quality_classifier, quality_rules, toxicity, url_filters, warc
+from ledgerlens.llm import decontamination, language_id, mixing, near_duplicates, quality_classifier, quality_rules, repeats, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("node")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("node", "root")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +39,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carried=["doc_id"])
+    return mixed.select("row.doc_id", "tokens", "source_group", "lang_group", "topic_group", "weight", "probability", "selected")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_warc, op6_toxicity, op9_url_filters)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), carried=["doc_id"])
+    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_warc, op6_toxicity, op7_mixing, op8_decontamination, op9_url_filters, op10_repeats)}
 
 _PRIOR = """
   SELECT sum({r}) / sum(n)::DOUBLE AS m,
@@ -110,6 +124,27 @@ SELECT page_id, payload_bytes,
          ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> ((3 - i % 4) * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
        CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN lead END AS refers_to
 FROM q""",
+    "op8_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+word AS (SELECT k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+gram AS (
+  SELECT k, i, n, array_to_string(xs[1 : n], ' ') AS g
+  FROM (SELECT k, i, list(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS xs FROM word), (SELECT DISTINCT n FROM win) WHERE len(xs) >= n),
+found AS (SELECT k, i, n, item_id FROM gram JOIN win USING (n, g)),
+hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM found) GROUP BY k),
+item AS (SELECT k, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM found WHERE item_id IS NOT NULL GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN item USING (k)""",
     "op9_url_filters": r"""
 WITH rules(h, p, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 u AS (
