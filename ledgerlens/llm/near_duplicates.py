@@ -6,9 +6,9 @@ of its own, drawn step by step, and the draw stops as soon as no place can impro
 of the signature put nodes into buckets.
 
 Within a bucket not every pair is compared. First every node meets the bucket's smallest
-node; nodes that link are united. Buckets that still hold several components go through
-rounds in which an ever larger random part of their nodes meets the nodes of the other
-components, until one component is left or every node has met all others. So no link
+node; nodes that link are united. In the buckets that still hold several components, the
+nodes outside the largest one meet the nodes of the other components, in blocks of nodes
+that compare their sets in a task and hand on one pair per node and component. So no link
 between candidates is lost, while a bucket of copies takes one comparison per copy. Pairs
 whose signatures agree too little for the similarity (six standard deviations below it)
 are dropped; the others are compared on their full shingle sets.
@@ -40,7 +40,7 @@ from ledgerlens.llm.graph import components
 
 BANDS, ROWS = 42, 6
 PLACES = BANDS * ROWS
-FIRST_ROUND, GROWTH = 4, 16  # nodes of a bucket that meet the others in the first round, and the factor per round
+CHUNK = 256  # nodes of a bucket in one block
 WORDS = Rolling(31)
 
 
@@ -180,24 +180,90 @@ def linked_components(nodes: DataFrame, texts_of, size: int, percent: int) -> Da
     matcher = _Matcher(nodes, texts, size, percent, PLACES)
     links = matcher.links(members.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     found = components(links)
-    done, chosen = 0, FIRST_ROUND
-    # a node's turn comes at a fixed random place in its bucket
-    turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
-    while True:
-        rooted = _roots(found, members.filter(F.col("size") > max(done, 2)))
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-        split = stage(split, "split")
-        if not split.limit(1).count():
-            return found
-        rooted = stage(rooted.join(split, "bucket").withColumn("turn", turn).select("bucket", "node", "root", "size", "turn"), "rooted")
-        leaders = rooted.filter((F.col("turn") >= done) & (F.col("turn") < chosen))
-        leaders = leaders.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        met = rooted.join(leaders, (rooted.bucket == leaders.bucket) & (rooted.root != leaders.other_root))
-        pairs = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        links = matcher.links(pairs)
-        if links.limit(1).count():
-            found = components(links.unionByName(found.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))))
-        done, chosen = chosen, chosen * GROWTH
+    left = _unmet_links(found, members, texts, matcher)
+    if left is None:
+        return found
+    return components(left.unionByName(found.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))))
+
+
+def _unmet_links(found: DataFrame, members: DataFrame, texts: DataFrame, matcher: _Matcher) -> DataFrame | None:
+    """Links between components within the buckets that still hold several, or None if no bucket does."""
+    rooted = _roots(found, members.filter("size > 2"))  # two nodes have met
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+    split = stage(split.filter("roots > 1").select("bucket", "main", F.col("n").alias("main_n")), "split")
+    if not split.limit(1).count():
+        return None
+    rooted = rooted.select("bucket", "node", "root", "size").join(split, "bucket")
+    rooted = rooted.withColumn("blocks", F.ceil(F.col("size") / CHUNK)).withColumn("minor_blocks", F.ceil((F.col("size") - F.col("main_n")) / CHUNK))
+    rooted = stage(rooted, "rooted")
+    sets = texts.mapInArrow(_short_sets(matcher.size), "node binary, shingles binary")
+
+    def gathered(rows: DataFrame, blocks: str, name: str) -> DataFrame:
+        """One row per bucket and block, of about CHUNK nodes."""
+        block = F.pmod(F.xxhash64("node"), F.col(blocks)).alias("block")
+        rows = rows.join(sets, "node").select("bucket", "main", block, F.struct("node", "root", "shingles").alias("member"))
+        return rows.groupBy("bucket", "main", "block").agg(F.collect_list("member").alias(name)).drop("block")
+
+    kind = "array<struct<node: binary, root: binary, shingles: binary>>"
+    small = gathered(rooted.filter("blocks = 1"), "blocks", "others").select("main", "others", F.lit(None).cast(kind).alias("minors"))
+    large = rooted.filter("blocks > 1")
+    minors = gathered(large.filter("root != main"), "minor_blocks", "minors").drop("main")
+    large = gathered(large, "blocks", "others").join(minors, "bucket").select("main", "others", "minors")
+    pairs = small.unionByName(large).mapInArrow(_block_pairs(matcher.percent), "a binary, b binary").distinct()
+    return matcher.links(stage(pairs, "pairs"))
+
+
+def _short_sets(size: int):
+    """The shingle sets of nodes in 32 bits each."""
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, "text"):
+            short = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(data, offsets, size)]
+            yield batch_of(pa.schema([("node", pa.binary()), ("shingles", pa.binary())]), part.column("node").cast(pa.binary()), short)
+
+    return shortened
+
+
+def _block_pairs(percent: int):
+    """Of each minor node and each other component in the block: the most similar pair, and all pairs at the very limit.
+
+    The short sets can only show too much in common. A pair that would pass with one
+    shingle less is taken as good; the others are all handed on to be compared in full.
+    """
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[bytes, bytes]] = set()
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                others = row["others"]
+                minors = row["minors"] or [m for m in others if m["root"] != row["main"]]
+                sets = [np.frombuffer(m["shingles"], np.uint32) for m in others]
+                n = np.array([len(s) for s in sets])
+                shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+                order = np.argsort(shingles, kind="stable")
+                shingles, owner = shingles[order], owner[order]
+                roots = np.unique([m["root"] for m in others], return_inverse=True)[1]
+                place = {m["root"]: r for m, r in zip(others, roots)}
+                for minor in minors:
+                    own = np.frombuffer(minor["shingles"], np.uint32)
+                    low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+                    many = high - low
+                    at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    common = np.bincount(owner[at], minlength=len(sets))
+                    alike = np.flatnonzero((100 * common >= percent * (len(own) + n - common)) & (roots != place.get(minor["root"], -1)))
+                    best: dict[int, tuple[float, int]] = {}
+                    for j in alike:
+                        share = common[j] / (len(own) + n[j] - common[j])
+                        if 100 * (common[j] - 1) < percent * (len(own) + n[j] - common[j] + 1):
+                            found.add((max(minor["node"], others[j]["node"]), min(minor["node"], others[j]["node"])))
+                        elif roots[j] not in best or share > best[roots[j]][0]:
+                            best[roots[j]] = (share, j)
+                    found |= {(max(minor["node"], others[j]["node"]), min(minor["node"], others[j]["node"])) for _, j in best.values()}
+            yield batch_of(pa.schema([("a", pa.binary()), ("b", pa.binary())]), [a for a, _ in found], [b for _, b in found])
+
+    return paired
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
