@@ -23,7 +23,7 @@ from ledgerlens.llm.common import ascii_lower, bounded, split_words, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-RAREST = 3  # lists that are intersected before a candidate is looked up in its text
+RAREST = 2  # lists that are intersected before a candidate is looked up in its text
 
 
 def words_of(text: Column) -> Column:
