@@ -66,7 +66,7 @@ def candidates(index: DataFrame, probe: DataFrame, slop: int = 0) -> DataFrame:
     start = F.col("position") - F.col("place")
     if slop:
         start = F.explode(F.sequence(start - slop, start + slop))
-    hits = index.join(bounded(probe), "term").select("key", "window", "lists", "rank", start.alias("start"))
+    hits = index.join(bounded(probe), "term").select("key", "window", "lists", "rank", start.alias("start")).filter(F.col("start") >= -slop)
     agreed = hits.groupBy("key", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("ranks"), F.first("lists").alias("lists"))
     return agreed.filter(F.col("ranks") == F.expr("shiftleft(1, lists) - 1")).select("key", "window", "start")
 

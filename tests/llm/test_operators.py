@@ -170,7 +170,7 @@ def test_decontamination_against_brute_force(spark, odd):
     rng = random.Random(2)
     bench = [(i, words(rng, rng.randrange(8, 30), 300)) for i in range(8)] + [(8, "Solo"), (9, ""), (10, None), (None, words(rng, 12, 300)), (11, "W7 w8")]
     texts = [words(rng, 40, 300) + " " + rng.choice([b for b in bench if b[1]])[1][:90] + ", " + words(rng, 5, 300) for _ in range(20)]
-    rows = list(enumerate(texts)) + [(100, "SOLO solo"), (101, None), (102, bench[0][1] * 2)] + [(r.doc_id, r.text) for r in odd.filter("doc_id < 7 OR doc_id IS NULL").collect()]
+    rows = list(enumerate(texts)) + [(100, "SOLO solo"), (101, None), (102, bench[0][1] * 2), (103, " ".join(bench[0][1].split()[3:]))] + [(r.doc_id, r.text) for r in odd.filter("doc_id < 7 OR doc_id IS NULL").collect()]
     items = spark.createDataFrame(bench, "item_id long, text string")
     got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items)
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()]
