@@ -21,8 +21,6 @@ from ledgerlens import vocab
 # Ship these helpers inside the task, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_SPACES = re.compile(r"\s+")
-
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit per character of `a`."""
@@ -63,53 +61,32 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def _line_key(line: str) -> str:
-    return _SPACES.sub(" ", line).lower()
-
+def _novel(keys, known, percent: int, window: int, least: int, learn: bool) -> list[bool]:
+    near = list(known)
+    equal, flags = set(near), []
+    for key in keys:
+        rivals = near[-window:] if len(key) > least else []
+        flags.append(not key or key not in equal and not any(at_least(key, rival, percent) for rival in rivals))
+        if learn and key and flags[-1]:
+            equal.add(key)
+            near.append(key)
+    return flags
 
-def _distinct_lines(text: str | None, percent: int = 98, window: int = 80) -> str | None:
-    if text is None:
-        return None
-    kept, seen, recent = [], set(), deque(maxlen=window)
-    for line in map(str.strip, text.splitlines()):
-        if not line:
-            if kept and kept[-1]:
-                kept.append("")
-            continue
-        key = _line_key(line)
-        if key in seen or (len(key) > 12 and any(at_least(key, other, percent) for other in recent)):
-            continue
-        seen.add(key)
-        recent.append(key)
-        kept.append(line)
-    return "\n".join(kept).strip()
 
+def novel_keys(percent: int, window: int, least: int = 0, learn: bool = True):
+    """Column function: ordered keys and known keys -> whether a key is unlike those before it.
 
-@F.pandas_udf(T.StringType())
-def distinct_lines(texts: pd.Series) -> pd.Series:
-    """Text without repeated or nearly repeated lines, in document order."""
-    return texts.map(_distinct_lines)
-
-
-def _new_scan_lines(native: str | None, scanned: str | None, percent: int = 97, window: int = 400) -> str | None:
-    if scanned is None:
-        return None
-    known = deque(
-        (_line_key(line.strip()) for line in (native or "").splitlines() if len(line.strip()) > 12), maxlen=window
-    )
-    exact = set(known)
-    fresh = []
-    for line in filter(None, map(str.strip, scanned.splitlines())):
-        key = _line_key(line)
-        if key not in exact and not any(at_least(key, other, percent) for other in known):
-            fresh.append(line)
-    return "\n".join(fresh)
+    Keys that equal a known one are not novel, nor are keys longer than `least` that
+    resemble one of the last `window` known ones; with `learn` novel keys become known.
+    Empty keys pass.
+    """
 
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def mark(keys: pd.Series, known: pd.Series) -> pd.Series:
+        pairs = zip(keys, known)
+        return pd.Series([None if k is None else _novel(k, () if o is None else o, percent, window, least, learn) for k, o in pairs], dtype=object)
 
-@F.pandas_udf(T.StringType())
-def new_scan_lines(native: pd.Series, scanned: pd.Series) -> pd.Series:
-    """Lines of the scan that the native text does not already hold."""
-    return pd.Series([_new_scan_lines(n, s) for n, s in zip(native, scanned)], dtype=object)
+    return mark
 
 
 def _pieces(text: str, size: int, overlap: int, separators) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.similarity import distinct_lines, new_scan_lines, nfkc
+from ledgerlens.functions.similarity import nfkc, novel_keys
 from ledgerlens.functions.text import SPACE, canonical_text, first_per_key, split_lines, squash, strip
 from ledgerlens.operators.ordering import first_by
 
@@ -18,6 +18,36 @@ def distinct_lines_exact(c: Column) -> Column:
     return F.array_join(F.transform(first_per_key(items), lambda e: e["t"]), "\n")
 
 
+def _keyed_lines(text: Column) -> Column:
+    """Stripped lines, each with the form it is compared by."""
+    return F.transform(split_lines(text), lambda line: F.struct(strip(line).alias("line"), F.lower(squash(strip(line))).alias("key")))
+
+
+def _keys(lines: Column) -> Column:
+    return F.transform(lines, lambda x: x["key"])
+
+
+def _marked(lines: Column, flags: Column) -> Column:
+    """The lines that are flagged."""
+    both = F.arrays_zip(lines.alias("x"), flags.alias("flag"))
+    return F.transform(F.filter(both, lambda z: z["flag"]), lambda z: z["x"]["line"])
+
+
+def distinct_lines(text: Column, percent: int = 98, window: int = 80, least: int = 12) -> Column:
+    """Text without repeated or nearly repeated lines, in order; runs of blank lines become one."""
+    lines = _keyed_lines(text)
+    kept = _marked(lines, novel_keys(percent, window, least)(_keys(lines), F.array().cast("array<string>")))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+
+
+def new_scan_lines(native: Column, scanned: Column, percent: int = 97, window: int = 400, least: int = 12) -> Column:
+    """Lines of the scan that the last `window` long lines of the native text do not already hold."""
+    long = F.filter(_keyed_lines(F.coalesce(native, F.lit(""))), lambda x: F.char_length(x["line"]) > least)
+    known = F.slice(_keys(long), F.greatest(F.size(long) - window + 1, F.lit(1)), F.lit(window))
+    lines = F.filter(_keyed_lines(scanned), lambda x: x["line"] != "")
+    return F.array_join(_marked(lines, novel_keys(percent, window, learn=False)(_keys(lines), known)), "\n")
+
+
 def dedup_lines_long(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Exact dedup of (keys, pos, line) rows: the first row per signature, as an aggregate."""
     signed = lines.withColumn("line", strip(F.col("line"))).filter("line <> ''").withColumn("signature", F.lower(squash(F.col("line"))))

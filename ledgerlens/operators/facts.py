@@ -173,7 +173,7 @@ def line_facts(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]
 
 
 def display_name(field: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for f in vocab.METRIC_FIELDS for x in (f, vocab.display_name(f))])
+    table = F.create_map(*[F.lit(x) for pair in vocab.DISPLAY_NAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, field), field)
 
 
@@ -246,14 +246,18 @@ def distinct_metrics(facts: DataFrame, doc: str = "doc_id", percent: int = 96) -
 def detect_document_currency(metrics: DataFrame, chosen: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Most frequent currency over metric texts, chosen fields counted again; ties by first seen."""
     fields = F.create_map(*[F.lit(x) for i, f in enumerate(vocab.METRIC_FIELDS) for x in (f, i)])
-    both = metrics.select(doc, F.col("place").cast("long").alias("p"), "unit", "value").unionByName(
-        chosen.select(doc, (F.element_at(fields, F.col("field")) + F.lit(1 << 40)).cast("long").alias("p"), "unit", "value")
-    )
+
+    def placed(rows: DataFrame, source: int, place: Column) -> DataFrame:
+        return rows.select(doc, F.struct(F.lit(source).alias("source"), place.cast("long").alias("place")).alias("p"), "unit", "value")
+
+    # chosen fields come after all metrics, however many places those take
+    both = placed(metrics, 0, F.col("place")).unionByName(placed(chosen, 1, F.element_at(fields, F.col("field"))))
     texts = both.select(doc, "p", F.posexplode(F.array("unit", "value")).alias("i", "t"))
     seen = texts.withColumn("code", detect_currency(F.col("t"))).filter("code IS NOT NULL").groupBy(doc, "code").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("p", "i")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("p.source", "p.place", "i")).alias("first")
     )
-    return seen.groupBy(doc).agg(F.max_by("code", F.struct("n", -F.col("first.p"), -F.col("first.i"))).alias("currency"))
+    order = F.struct("n", -F.col("first.source"), -F.col("first.place"), -F.col("first.i"))
+    return seen.groupBy(doc).agg(F.max_by("code", order).alias("currency"))
 
 
 def wide_facts(best: DataFrame, doc: str = "doc_id", fields=vocab.METRIC_FIELDS) -> DataFrame:

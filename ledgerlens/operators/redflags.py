@@ -348,9 +348,8 @@ def canonical_category(c: Column) -> Column:
         out = F.lit(vocab.OTHER)
         for name, words in reversed(vocab.CATEGORY_KEYWORDS):
             out = F.when(reduce(or_, [text.contains(w) for w in words]), name).otherwise(out)
-        for word, name in vocab.CATEGORY_WORDS.items():
-            out = F.when(text.isin(word, f"{word} risk", f"{word} risks"), name).otherwise(out)
-        return F.when(text == "audit", vocab.AUDITOR).otherwise(out)
+        table = F.create_map(*[F.lit(x) for pair in vocab.CATEGORY_VARIANTS.items() for x in pair])
+        return F.coalesce(F.try_element_at(table, text), out)
 
     return let(word_key(c), pick)
 

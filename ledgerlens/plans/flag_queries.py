@@ -328,7 +328,7 @@ FROM one"""
 
 def _category_sql(text: str) -> str:
     t = f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
-    exact = " ".join(f"WHEN t IN ('{w}', '{w} risk', '{w} risks') THEN '{c}'" for w, c in vocab.CATEGORY_WORDS.items())
+    exact = " ".join(f"WHEN t = '{w}' THEN '{c}'" for w, c in vocab.CATEGORY_VARIANTS.items())
     words = " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{c}'" for c, ws in vocab.CATEGORY_KEYWORDS)
     return f"SELECT p_partkey, CASE WHEN t = 'audit' THEN '{vocab.AUDITOR}' {exact} {words} ELSE '{vocab.OTHER}' END AS category FROM (SELECT p_partkey, {t} AS t FROM part)"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,8 @@ def get_spark(app_name: str = "ledgerlens", master: str | None = None, **conf) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (tests, a laptop) is one made and set.
+    Only where the session names none and runs on one machine (tests, a laptop) is one
+    made and set; on a cluster the executors could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -46,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -73,8 +77,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows placed by key in the session's number of shuffle partitions, not merged into fewer.
+    """Rows placed by key; adaptive execution sizes the partitions.
 
     Later groupings and windows on these keys then need no shuffle of their own.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(*keys)
