@@ -11,23 +11,48 @@ operator in ledgerlens.llm says.
 
 from __future__ import annotations
 
+import os
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, mixing, near_duplicates, quality_rules, repeats
-from ledgerlens.llm.common import stage
+from ledgerlens.llm.common import drop_staged, stage, staged_paths
+
+_left: list[str] = []  # tables that the last stage staged for its result
+
+
+def _sweeping(step):
+    """A stage begins by removing what the one before staged: its result has been written and read back by then."""
+
+    @wraps(step)
+    def swept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        if not any(os.path.basename(path) in file for path in _left for file in read):
+            drop_staged(spark, _left)
+            _left.clear()
+        with staged_paths() as paths:
+            result = step(spark, docs, sf_dir)
+        _left.extend(paths)
+        return result
+
+    return swept
 
 
+@_sweeping
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
     return quality_rules.kept_documents(docs)
 
 
+@_sweeping
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8)."""
     return near_duplicates.kept_documents(docs)
 
 
+@_sweeping
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes or more that stand more than once."""
     cut = repeats.remove_repeats(docs, carried=[c for c in docs.columns if c != "text"])
@@ -36,11 +61,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.select(*docs.columns)
 
 
+@_sweeping
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words of any benchmark item."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_sweeping
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics have the target shares."""
     return mixing.mix(docs).filter("selected").select("row.*", "weight", "probability")

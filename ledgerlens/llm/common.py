@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,31 @@ LOWER[65:91] += 32
 U64 = np.uint64
 
 
+_recorded: list[list[str]] = []  # of the scopes that are open
+
+
+@contextmanager
+def staged_paths():
+    """The list of tables that are staged within the scope."""
+    _recorded.append([])
+    try:
+        yield _recorded[-1]
+    finally:
+        _recorded.pop()
+
+
+def drop_staged(spark, paths: list[str]) -> None:
+    """Removes staged tables that no frame reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back; cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
+    for paths in _recorded:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
