@@ -2,7 +2,8 @@
 
 Input: one row per company and comparison set, with `pos` (input order), the company
 name and one column per metric. A *set* is what is compared together, here usually a
-fiscal year. Means, counts and the focus rank are partial aggregates and ranks of all
+fiscal year. Sums of values hold at any size (`functions.sums`); non-finite values have
+no part in a mean. Means, counts and the focus rank are partial aggregates and ranks of all
 companies come from value ranges, so one set may hold any share of the rows.
 """
 
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens import vocab
+from ledgerlens.functions import sums
 from ledgerlens.functions.text import fixed, round_exact
 from ledgerlens.operators.ordering import lookup, positions, small_lookup
 
-EXACT = "decimal(28,6)"  # sums of metric values are exact, whatever the order of addition
 NESTED_LIMIT = 100_000  # most companies of one set in the nested (array, map, sentence) forms
 TOO_FEW = "a comparison needs at least 2 companies (focus and peers)"
 
@@ -55,7 +56,7 @@ def pick_focus(companies: DataFrame, set_cols: list[str], focus: str | None) ->
 def _assess(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, variance, rank and flag from value, peer_sum, n_peers, n_ranked and rank."""
     has = F.col("value").isNotNull() & (F.col("n_peers") > 0)
-    mean = F.when(has, F.try_divide(F.col("peer_sum").cast("double"), F.col("n_peers").cast("double")))
+    mean = F.when(has, F.try_divide(F.col("peer_sum"), F.col("n_peers").cast("double")))
     df = df.withColumn("_mean", mean)
     pct = F.try_divide(F.col("value") - F.col("_mean"), F.abs("_mean")) * 100
     df = df.withColumn("_pct", pct)
@@ -68,7 +69,7 @@ def _assess(df: DataFrame, keys: list[str]) -> DataFrame:
     )
     return df.select(
         *keys, "metric_pos", "metric", "higher_is_better", F.col("value").alias("focus_company_value"),
-        round_exact(F.col("_mean"), 2).alias("peer_average"), round_exact(F.col("_pct"), 1).alias("focus_vs_peer_avg_pct"),
+        round_exact(sums.steady(F.col("_mean")), 2).alias("peer_average"), round_exact(sums.steady(F.col("_pct")), 1).alias("focus_vs_peer_avg_pct"),
         F.when(has, F.col("rank")).cast("long").alias("focus_rank"),
         F.when(has, F.col("n_ranked")).otherwise(0).cast("long").alias("total_ranked"), flag.alias("flag"),
     )
@@ -94,20 +95,18 @@ def benchmark(
     )
     rows = small_lookup(rows, mine.withColumnRenamed("value", "focus_value"), cell)
     peer = (F.col("company_name") != F.col("focus_company")) & F.col("value").isNotNull()
-    peer_value = F.when(peer, F.col("value").cast(EXACT))
     same = ["metric", "higher_is_better", "focus_company", "focus_value"]
-    totals = rows.groupBy(*cell, *same).agg(
-        F.count("value").alias("n_ranked"),
-        (F.count_if(F.col("value").isNotNull() & (F.struct("signed", "pos") < F.col("best"))) + 1).alias("rank"),
-        F.sum(peer_value).alias("peer_sum"),
-        F.count(peer_value).alias("n_peers"),
-    )
-    if not unique_names:
-        peers = (
-            rows.filter(peer).groupBy(*cell, "company_name").agg(F.max_by("value", "pos").cast(EXACT).alias("v"))
-            .groupBy(*cell).agg(F.sum("v").alias("peer_sum"), F.count("v").alias("n_peers"))
-        )
-        totals = totals.drop("peer_sum", "n_peers").join(peers, cell, "left").na.fill({"n_peers": 0})
+    before = F.col("value").isNotNull() & (F.struct("signed", "pos") < F.col("best"))
+    ranks = {"n_ranked": F.col("value").isNotNull(), "n_before": F.coalesce(before, F.lit(False))}
+    if unique_names:
+        peer_value = F.when(peer, F.col("value"))
+        totals = sums.grouped(rows, [*cell, *same], peer_value, "parts", {**ranks, "n_peers": sums.split(peer_value).isNotNull()})
+    else:
+        totals = rows.groupBy(*cell, *same).agg(*[F.sum(c.cast("long")).alias(n) for n, c in ranks.items()])
+        names = rows.filter(peer).groupBy(*cell, "company_name").agg(F.max_by("value", "pos").alias("v"))
+        peers = sums.grouped(names, cell, F.col("v"), "parts", {"n_peers": sums.split(F.col("v")).isNotNull()})
+        totals = totals.join(peers, cell, "left").na.fill({"n_peers": 0})
+    totals = totals.withColumn("rank", F.col("n_before") + 1).withColumn("peer_sum", sums.total(F.col("parts")))
     return _assess(totals.withColumnRenamed("focus_value", "value"), [*set_cols, "focus_company"])
 
 
@@ -123,20 +122,19 @@ def benchmark_all(
     missing = rows.filter("value IS NULL").select(*keys, "pos", "value", F.lit(None).cast("long").alias("rank"))
     names = ranked.unionByName(missing)
     if unique_names:
-        names = names.select(*keys, "value", F.col("value").cast(EXACT).alias("last_value"), "rank", F.col("value").isNotNull().cast("int").alias("n"))
+        names = names.select(*keys, "value", F.col("value").alias("last_value"), "rank", F.col("value").isNotNull().cast("int").alias("n"))
     else:
         names = names.groupBy(*keys).agg(
             F.min_by("value", "pos").alias("value"),
-            F.max_by(F.col("value").cast(EXACT), F.when(F.col("value").isNotNull(), F.col("pos"))).alias("last_value"),
+            F.max_by("value", F.when(F.col("value").isNotNull(), F.col("pos"))).alias("last_value"),
             F.min("rank").alias("rank"), F.count("value").alias("n"),
         )
-    totals = names.groupBy(*cell).agg(
-        F.sum("last_value").alias("total"), F.count("last_value").alias("n_names"), F.sum("n").alias("n_ranked")
-    )
-    own = F.col("last_value").isNotNull().cast("int")
+    counted = sums.split(F.col("last_value")).isNotNull()
+    totals = sums.grouped(names, cell, F.col("last_value"), "parts", {"n_names": counted, "n_ranked": F.col("n")})
+    own = counted.cast("int")
     joined = (
         small_lookup(names, totals, cell)
-        .withColumn("peer_sum", F.col("total") - F.coalesce(F.col("last_value"), F.lit(0).cast(EXACT)))
+        .withColumn("peer_sum", sums.total(F.col("parts"), F.col("last_value")))
         .withColumn("n_peers", F.col("n_names") - own)
         .withColumnRenamed("company_name", "focus_company")
     )

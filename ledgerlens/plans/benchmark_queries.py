@@ -127,16 +127,16 @@ def _all_focus_sql(keys: str, src: str, metrics) -> str:
 lm AS ({_unpivot(metrics, keys, src)}),
 rk AS (SELECT *, CASE WHEN value IS NOT NULL THEN row_number() OVER (PARTITION BY {keys}, metric_pos, value IS NULL ORDER BY signed, pos) END AS rnk FROM lm),
 nm AS (SELECT {keys}, metric_pos, metric, higher_is_better, company_name, arg_min(ROW(value), pos) AS fv,
-         arg_max(CAST(value AS DECIMAL(28,6)), pos) FILTER (value IS NOT NULL) AS lv, min(rnk) AS rnk, count(value) AS n
+         arg_max(CAST(value * pow(2, 60) AS HUGEINT), pos) FILTER (value IS NOT NULL) AS lv, min(rnk) AS rnk, count(value) AS n
        FROM rk GROUP BY ALL),
 tot AS (SELECT {keys}, metric_pos, sum(lv) AS total, count(lv) AS n_names, sum(n) AS n_ranked FROM nm GROUP BY ALL),
-cmp AS (SELECT nm.*, fv[1] AS value, CAST(total - coalesce(lv, 0) AS DOUBLE) AS peer_sum,
+cmp AS (SELECT nm.*, fv[1] AS value, CAST(CAST(total AS HUGEINT) - coalesce(lv, 0) AS DOUBLE) / pow(2, 60) AS peer_sum,
           n_names - CASE WHEN lv IS NULL THEN 0 ELSE 1 END AS n_peers, n_ranked
         FROM nm JOIN tot USING ({keys}, metric_pos)),
 mn AS (SELECT *, CASE WHEN value IS NOT NULL AND n_peers > 0 THEN peer_sum / n_peers END AS mean FROM cmp),
 pc AS (SELECT *, (value - mean) / nullif(abs(mean), 0) * 100 AS pct FROM mn),
 res AS (SELECT {keys}, company_name AS focus_company, metric_pos, metric, higher_is_better, value AS focus_company_value,
-    CAST(printf('%.2f', mean) AS DOUBLE) AS peer_average, CAST(printf('%.1f', pct) AS DOUBLE) AS focus_vs_peer_avg_pct,
+    CAST(printf('%.2f', CAST(printf('%.14e', mean) AS DOUBLE)) AS DOUBLE) AS peer_average, CAST(printf('%.1f', CAST(printf('%.14e', pct) AS DOUBLE)) AS DOUBLE) AS focus_vs_peer_avg_pct,
     CAST(CASE WHEN mean IS NOT NULL THEN rnk END AS BIGINT) AS focus_rank,
     CAST(CASE WHEN mean IS NOT NULL THEN n_ranked ELSE 0 END AS BIGINT) AS total_ranked,
     CASE WHEN pct IS NULL THEN 'no_data' WHEN CASE WHEN higher_is_better THEN pct ELSE -pct END >= 5 THEN 'outperform'
