@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens import schemas
+from ledgerlens.operators.ordering import small_lookup
 from ledgerlens.session import cut_lineage
 
 
@@ -94,9 +95,17 @@ def document_details(documents: DataFrame, metrics: DataFrame, flags: DataFrame)
 
 
 def session_tree(sessions: DataFrame, documents: DataFrame, companies: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Sessions with their documents, companies and metrics; sessions without any stay."""
-    d = documents.join(companies.select("company_id", "company_name"), "company_id", "left").join(metrics, "document_id", "left")
-    return sessions.select("session_id", "session_name").join(d, "session_id", "left")
+    """Sessions with their documents, companies and metrics; sessions without any stay.
+
+    The documents are the large side of an inner join, so a session with most of them is
+    not gathered: a small set of sessions is broadcast, else adaptive execution splits the
+    hot keys. Sessions without documents are found from the session ids alone.
+    """
+    named = sessions.select("session_id", "session_name")
+    held = small_lookup(documents, named, ["session_id"])
+    tree = held.join(companies.select("company_id", "company_name"), "company_id", "left").join(metrics, "document_id", "left")
+    alone = named.join(documents.select("session_id").distinct(), "session_id", "left_anti")
+    return tree.unionByName(alone, allowMissingColumns=True)
 
 
 def comparison_pairs(comparisons: DataFrame, companies: DataFrame) -> DataFrame:
