@@ -128,11 +128,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(df: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows that `quality_rules` keeps, with all their columns.
 
-    Texts are measured twice, once for the hosts and once for the documents, rather than
-    shuffled; only a host table beyond the broadcast bound makes the last join move them.
+    Each text is measured once: rows, hosts and flags are written together, the hosts are
+    judged from the narrow columns, and no text is shuffled unless the host table is beyond
+    the broadcast bound.
     """
-    verdicts = _verdicts(failures(measures(df, text_col, host_col)), max_rate).filter("host_failed").select("host", F.lit(True).alias("bad"))
-    judged = failures(measures(df, text_col, host_col, row=F.struct(*df.columns)))
-    # not a filter: the optimizer would push it below and evaluate the measures again for every window of a text
-    passed = judged.select(F.explode(F.when(~F.col("base_failed"), F.array(F.struct("row", "host")))).alias("p")).select("p.*")
-    return passed.join(bounded(verdicts), "host", "left").filter(F.col("bad").isNull()).select("row.*")
+    judged = stage(failures(measures(df, text_col, host_col, row=F.struct(*df.columns))).select("row", "host", "base_failed", *RULES), "judged")
+    bad = _verdicts(judged, max_rate).filter("host_failed").select("host", F.lit(True).alias("bad"))
+    passed = judged.filter(~F.col("base_failed")).select("row", "host")
+    return passed.join(bounded(bad), "host", "left").filter(F.col("bad").isNull()).select("row.*")
