@@ -379,11 +379,11 @@ def first_supported_snippet(c: Column, pattern: str) -> Column:
         text, marked = pair["text"], pair["marked"]
         at = F.regexp_instr(marked, F.lit("\x01[^\x02]"))
         start = F.length(F.regexp_replace(F.left(marked, at - 1), "\x01[^\x02]*\x02", ""))
-        word = F.length(F.regexp_extract(F.substring(marked, at, F.lit(400)), "^\x01([^\x02]*)\x02", 1))
+        word = F.call_function("locate", F.lit("\x02"), marked, at) - at - 1
         left = F.greatest(F.lit(0), start - 80)
         snippet = F.substring(text, left + 1, start - left + word + 120)
         return F.when(at > 0, F.concat(F.lit('"'), squash(snippet), F.lit('"')))
 
-    text = F.translate(c, "\x01\x02", "")
-    pair = F.struct(text.alias("text"), F.regexp_replace(text, both, "\x01$1\x02$0").alias("marked"))
+    masked = F.translate(c, "\x01\x02", "\x03\x03")  # only to find places; the snippet keeps what the text holds
+    pair = F.struct(c.alias("text"), F.regexp_replace(masked, both, "\x01$1\x02$0").alias("marked"))
     return F.when(c.rlike(f"(?iuU){pattern}"), let(pair, cut))

@@ -109,11 +109,11 @@ def alias_frame(spark, aliases: dict) -> DataFrame:
 
 
 def text_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Non-blank lines in order with the page they stand on: keys, pos, page_number, line."""
+    """Non-blank lines in order with the page they stand on: keys, pos (part, line), page_number, line."""
     parts = texts.select(*keys, F.posexplode(split_at_pages(F.col(text))).alias("part", "p"))
     rows = parts.select(*keys, "part", F.col("p.page").alias("page_number"), F.posexplode("p.lines").alias("i", "raw"))
     line = F.when(F.col("raw").contains("\t"), strip(F.col("raw"))).otherwise(squash(F.col("raw")))
-    pos = F.col("part").cast("long") * (1 << 22) + F.col("i")  # a part holds fewer than 4 million lines
+    pos = F.struct("part", F.col("i").alias("line"))
     return rows.select(*keys, pos.alias("pos"), "page_number", line.alias("line")).filter("line <> ''")
 
 
@@ -121,7 +121,8 @@ def facts_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     """All facts of (keys, pos, page_number, line) rows in one pass; `kind` says which.
 
     A line that is itself a company name gives that fact only. Table rows are looked up by
-    their first cell; other lines by the alias they state.
+    their first cell; other lines by the alias they state. A fact's `pos` is the line's
+    `pos` and the fact's place in the line, so no two facts share one.
     """
     spark = lines.sparkSession
     cells = F.filter(F.transform(F.split("line", "\t", -1), strip), lambda c: F.length(c) > 0)
@@ -154,7 +155,7 @@ def facts_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
     is_metric = F.col("f.kind") == "metric"
     return rows.select(
-        *keys, (F.col("pos") * 8192 + F.col("i")).alias("pos"), "f.kind", "f.field", "f.value", "page_number",
+        *keys, F.struct(F.col("pos").alias("line"), F.col("i").alias("item")).alias("pos"), "f.kind", "f.field", "f.value", "page_number",
         F.when(is_metric, display_name(F.col("f.field"))).alias("metric"), F.when(is_metric, detect_unit(F.col("f.value"))).alias("unit"),
         F.when(is_metric, detect_period(F.col("line"))).alias("period"),
         F.when(is_metric, vocab.LINE_CONFIDENCE).otherwise(vocab.COMPANY_CONFIDENCE).alias("confidence"),
@@ -201,8 +202,8 @@ def dedup_facts(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFr
 def best_metrics(facts: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Per document and field: highest confidence, then most complete, then longest value."""
     complete = sum(F.coalesce(F.col(c).cast("string") != "", F.lit(False)).cast("int") for c in ("value", "unit", "period", "page_number"))
-    score = [F.coalesce("confidence", F.lit(0.0)), complete, F.length("value"), -F.col("pos")]
-    return best_by(facts, [doc, "field"], score, ["metric", "value", "unit", "period", "page_number", "confidence", "pos"])
+    score = [F.coalesce("confidence", F.lit(0.0)), complete, F.coalesce(F.length("value"), F.lit(-1))]
+    return best_by(facts, [doc, "field"], score, "pos", ["metric", "value", "unit", "period", "page_number", "confidence", "pos"])
 
 
 def best_company_values(facts: DataFrame, doc: str = "doc_id", percent: int = 92) -> DataFrame:
@@ -211,9 +212,12 @@ def best_company_values(facts: DataFrame, doc: str = "doc_id", percent: int = 92
     listed = listed.withColumn("support", support_counts(percent)(F.transform("c", lambda x: x["value"])))
     scored = F.zip_with(
         "c", "support",
-        lambda x, n: F.struct(n.alias("n"), x["confidence"].alias("conf"), F.length(strip(x["value"])).alias("len"), (-x["pos"]).alias("p"), x["value"].alias("value")),
+        lambda x, n: F.struct(
+            (-n).alias("n"), (-F.coalesce(x["confidence"], F.lit(0.0))).alias("conf"), (-F.coalesce(F.length(strip(x["value"])), F.lit(-1))).alias("len"),
+            x["pos"].alias("p"), x["value"].alias("value"),
+        ),
     )
-    return listed.select(doc, "field", F.array_max(scored)["value"].alias("value"))
+    return listed.select(doc, "field", F.array_min(scored)["value"].alias("value"))
 
 
 def distinct_metrics(facts: DataFrame, doc: str = "doc_id", percent: int = 96) -> DataFrame:
@@ -326,9 +330,8 @@ def extract_documents(documents: DataFrame, doc: str = "doc_id", text: str = "te
     metrics, companies = split_facts(cut_lineage(facts_of_lines(text_lines(chunks, keys), keys)), keys)
     metrics = dedup_facts(metrics, keys, ["metric", "value", "period", "page_number"])
     companies = dedup_facts(companies, keys, ["field", "value", "page_number"])
-    far = F.col("index").cast("long") * (1 << 48)  # chunk order before line order
-    metrics = metrics.withColumn("pos", far + F.col("pos"))
-    companies = companies.withColumn("pos", far + F.col("pos"))
+    place = F.struct("index", F.col("pos").alias("fact"))  # chunk order before line order
+    metrics, companies = metrics.withColumn("pos", place), companies.withColumn("pos", place)
     return {
         "chunks": chunks, "metric_facts": metrics, "company_facts": companies, "metrics": distinct_metrics(metrics, doc),
         "chosen": best_metrics(metrics, doc), "company": best_company_values(companies, doc),

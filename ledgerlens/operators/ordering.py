@@ -27,9 +27,10 @@ def first_by(df: DataFrame, keys: list[str], pos: str, columns: list[str] | None
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
-def best_by(df: DataFrame, keys: list[str], score: list[Column], columns: list[str]) -> DataFrame:
-    """The row with the highest score per key; `score` must end in a unique column."""
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*score)).alias("_row"))
+def best_by(df: DataFrame, keys: list[str], score: list[Column], pos: str, columns: list[str]) -> DataFrame:
+    """The row with the highest score (numbers, not null) per key; the lowest `pos`, of any ordered type, among equals."""
+    lowest = F.struct(*[(-s).alias(f"s{i}") for i, s in enumerate(score)], F.col(pos))
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), lowest).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in columns if c not in keys])
 
 

@@ -378,7 +378,7 @@ def check_flags(flags: DataFrame) -> DataFrame:
 def exact_dedup(flags: DataFrame, keys: list[str]) -> DataFrame:
     """One flag per category, title and start of evidence: the first of the highest severity."""
     marks = [F.col("category").alias("_c"), word_key(F.col("title")).alias("_t"), F.left(word_key(F.col("evidence")), F.lit(140)).alias("_e")]
-    best = F.max_by(F.struct(*FLAG_FIELDS), F.struct(severity_rank(F.col("severity")), -F.col("pos")))
+    best = F.min_by(F.struct(*FLAG_FIELDS), F.struct((-severity_rank(F.col("severity"))).alias("s"), "pos"))
     return flags.groupBy(*keys, *marks).agg(F.min("pos").alias("pos"), best.alias("f")).select(*keys, "pos", "f.*")
 
 
@@ -393,9 +393,9 @@ def merge(flags: DataFrame, keys: list[str]) -> DataFrame:
     cell = [*keys, "category", "_t"]
     fields = [f for f in FLAG_FIELDS if f not in ("category", "evidence")]
     base = marked.groupBy(*cell).agg(
-        F.max_by(F.struct(F.col("pos").alias("base_pos"), *fields), F.struct(severity_rank(F.col("severity")), -F.col("pos"))).alias("b")
+        F.min_by(F.struct(F.col("pos").alias("base_pos"), *fields), F.struct((-severity_rank(F.col("severity"))).alias("s"), "pos")).alias("b")
     )
-    longest = F.max_by("evidence", F.struct(F.length("evidence"), -F.col("pos")))
+    longest = F.min_by("evidence", F.struct((-F.coalesce(F.length("evidence"), F.lit(-1))).alias("n"), "pos"))
     later = lookup(marked.select(*cell, "pos", "evidence"), base, cell).filter("pos >= b.base_pos")
     merged = later.groupBy(*cell, "b").agg(longest.alias("evidence"))
     return merged.select(*keys, "category", *[F.col("b")[f].alias(f) for f in fields], "evidence")
@@ -489,7 +489,10 @@ def analyse(requests: DataFrame, metrics: DataFrame, sections: DataFrame, others
     if others is not None:
         corpus = request_corpus(requests, metrics, sections, rule_flags)
         usable = grounded(check_flags(others).filter("reason IS NULL").drop("reason"), corpus)
-        far = F.lit(1 << 40)  # after every rule flag
-        flags = rule_flags.unionByName(usable.withColumn("pos", F.col("pos") + far), allowMissingColumns=True)
+        def placed(df: DataFrame, source: int) -> DataFrame:
+            return df.withColumn("pos", F.struct(F.lit(source).alias("source"), F.col("pos").cast("long").alias("pos")))
+
+        # every flag of another source stands after every rule flag
+        flags = placed(rule_flags, 0).unionByName(placed(usable, 1), allowMissingColumns=True)
     merged = merge(flags, keys)
     return merged, risk_summary(requests, merged, keys)

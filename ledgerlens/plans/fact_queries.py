@@ -94,15 +94,14 @@ def company_values(spark, sf):
         F.struct(F.lit(2).alias("r"), F.concat("value", F.lit(" ")).alias("v"), F.lit(0.5).alias("c")),
     )
     rows = companies.select("doc_id", "field", "pos", F.explode(readers).alias("x")).select(
-        "doc_id", "field", (F.col("pos") * 3 + F.col("x.r")).alias("pos"), F.col("x.v").alias("value"), F.col("x.c").alias("confidence")
+        "doc_id", "field", F.struct("pos", F.col("x.r").alias("reader")).alias("pos"), F.col("x.v").alias("value"), F.col("x.c").alias("confidence")
     )
     return Fa.best_company_values(rows)
 
 
 def document_currency(spark, sf):
     metrics = _metrics(spark, sf)
-    placed = metrics.withColumn("place", F.col("pos"))
-    return Fa.detect_document_currency(placed, Fa.best_metrics(metrics))
+    return Fa.detect_document_currency(Fa.distinct_metrics(metrics), Fa.best_metrics(metrics))
 
 
 def _doc_signals(spark, sf):
@@ -115,7 +114,7 @@ def _doc_signals(spark, sf):
 def doc_confidence(spark, sf):
     metrics, companies = _facts(spark, sf)
     metrics = _once(metrics)
-    out = Fa.document_confidence(_doc_signals(spark, sf), metrics, Fa.best_metrics(metrics), companies)
+    out = Fa.document_confidence(_doc_signals(spark, sf), Fa.distinct_metrics(metrics), Fa.best_metrics(metrics), companies)
     return out.select("doc_id", "n_facts", "n_scalars", "confidence")
 
 

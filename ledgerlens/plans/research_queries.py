@@ -11,9 +11,6 @@ from ledgerlens.operators.ordering import small_lookup
 from ledgerlens.session import cut_lineage
 from ledgerlens.plans import inputs as I
 
-CHUNK_BASE = 1_000_000  # chunk ids are unique over all documents: doc_id * CHUNK_BASE + number
-
-
 def reports(spark, sf):
     """Documents with section headers; the whole text is kept."""
     docs = I.texts(spark, sf, "documents")
@@ -25,9 +22,10 @@ def reports(spark, sf):
 
 
 def chunks(spark, sf):
+    """Chunks with ids that are unique over all documents: the document, the chunk number and, in two digits, how long that number is."""
     out = C.chunk_sections(reports(spark, sf), ["doc_id"])
-    number = (F.col("doc_id") * CHUNK_BASE + F.col("chunk_no")).cast("string")
-    return out.withColumn("chunk_id", F.concat(F.lit("C"), number))
+    number = F.col("chunk_no").cast("string")
+    return out.withColumn("chunk_id", F.concat(F.lit("C"), "doc_id", number, F.lpad(F.length(number).cast("string"), 2, "0")))
 
 
 def section_chunks(spark, sf):
@@ -203,7 +201,7 @@ cf AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id O
 se AS (SELECT *, string_split(regexp_replace(b, '[.]{WS}+', '.' || chr(1), 'g'), chr(1)) AS s FROM cf),
 gr AS (SELECT doc_id, o, section, s, unnest(range(0, (len(s) + 2) // 3)) AS i FROM se),
 ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, i) AS INTEGER) AS chunk_no, section, {strip_sql("array_to_string(s[i * 3 + 1 : i * 3 + 3], ' ')")} AS text FROM gr),
-cc AS (SELECT doc_id, chunk_no, 'C' || (doc_id * {CHUNK_BASE} + chunk_no) AS chunk_id, section, text FROM ch)"""
+cc AS (SELECT doc_id, chunk_no, 'C' || doc_id || chunk_no || lpad(CAST(length(CAST(chunk_no AS VARCHAR)) AS VARCHAR), 2, '0') AS chunk_id, section, text FROM ch)"""
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in vocab.STOP_WORDS) + ")"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas, vocab
 from ledgerlens.functions.text import SPACE, squash, strip
+from ledgerlens.operators.ordering import lookup
 from ledgerlens.session import cut_lineage
 
 
@@ -68,14 +69,16 @@ def manifest_rows(files: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest of the files below a folder; only the first 4 KiB of each is kept."""
+    """Manifest of the files below a folder; only the first 4 KiB of each is kept.
+
+    Files above the size limit are not opened: their rows come from the listing, their kind from the name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return manifest_rows(
-        files.select(
-            F.col("path").alias("name"), F.col("length").alias("size"), F.hex(F.substring("content", 1, 4096)).alias("head_hex"),
-            F.lit(None).cast("string").alias("mime"),
-        )
-    )
+    head = F.hex(F.substring("content", 1, 4096))
+    columns = [F.col("path").alias("name"), F.col("length").alias("size")]
+    opened = files.filter(F.col("length") <= vocab.MAX_FILE_BYTES).select(*columns, head.alias("head_hex"))
+    large = files.filter(F.col("length") > vocab.MAX_FILE_BYTES).select(*columns, F.lit("").alias("head_hex"))
+    return manifest_rows(opened.unionByName(large).withColumn("mime", F.lit(None).cast("string")))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -95,16 +98,41 @@ def detect_delimiter(sample: Column) -> Column:
     return F.array_max(counts)["mark"]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All cells as collapsed text, empty cells kept, malformed lines dropped."""
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="DROPMALFORMED", nullValue="\u0000", emptyValue="")
-    return df.select(*[squash(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in df.columns])
+SAMPLE_CHARS = 8192  # of the first lines, to find the delimiter
 
 
-def read_table_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """One row per delimited line with its cells; the header's cells ride along as `header`."""
-    df = read_delimited(spark, path, sep)
-    return df.select(F.array(*[F.lit(c) for c in df.columns]).alias("header"), F.array(*[F.col(f"`{c}`") for c in df.columns]).alias("cells"))
+def _header_names(cells: list[str | None]) -> list[str]:
+    """Names of the header's cells: those without a text by their place, repeated ones numbered."""
+    names: list[str] = []
+    for i, cell in enumerate(cells):
+        name, n = cell or f"Unnamed: {i}", 0
+        while (f"{name}.{n}" if n else name) in names:
+            n += 1
+        names.append(f"{name}.{n}" if n else name)
+    return names
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Rows of delimited files that share one header: (pos, cells), the header first (pos -1).
+
+    Cells are collapsed text. A short line is filled with empty cells; a line with more
+    cells than the header is left out, unless what it has more is one empty cell. Without
+    `sep` the delimiter is found in the first lines. `pos` keeps the order in the input.
+    """
+    none = spark.createDataFrame([], "pos long, cells array<string>")
+    if sep is None:
+        lines = spark.read.text(path).limit(200).agg(F.left(F.array_join(F.collect_list("value"), "\n"), F.lit(SAMPLE_CHARS)).alias("sample"))
+        sep = lines.select(detect_delimiter(F.col("sample"))).first()[0]
+    head = spark.read.csv(path, sep=sep, header=False, inferSchema=False).first()
+    if head is None:
+        return none
+    columns = [f"c{i}" for i in range(len(head))]
+    schema = ", ".join(f"{c} string" for c in [*columns, "more"])
+    # one column more than the header has: only a line with too many cells fills it
+    lines = spark.read.schema(schema).csv(path, sep=sep, header=True, mode="PERMISSIVE").withColumn("pos", F.monotonically_increasing_id())
+    rows = lines.filter("more IS NULL").select("pos", F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]).alias("cells"))
+    header = spark.createDataFrame([(-1, _header_names(list(head)))], none.schema)
+    return header.unionByName(rows).select("pos", F.transform("cells", squash).alias("cells"))
 
 
 def normalise_cells(rows: Column) -> Column:
@@ -148,7 +176,7 @@ def extract_report_metrics(reports: DataFrame, text: str = "text", file_name: st
 def title_case(c: Column) -> Column:
     """Each run of letters with a capital first letter."""
     return F.array_join(
-        F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 10_000)))), ""
+        F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), ""
     )
 
 
@@ -156,7 +184,7 @@ def curated_override(reports: DataFrame, curated: DataFrame, key: str) -> DataFr
     """Curated metrics in place of extracted ones where a name contains the other or the file matches.
 
     Names are short, so containment is an equi-join: every substring of the longer name
-    meets the shorter one. The first curated row in input order wins.
+    meets the shorter one, once per different name. The first curated row in input order wins.
     """
     metrics = [c for c in curated.columns if c not in ("pos",)]
 
@@ -169,10 +197,15 @@ def curated_override(reports: DataFrame, curated: DataFrame, key: str) -> DataFr
 
     asked = cut_lineage(reports.select(key, F.lower("company_name").alias("name"), "source_document").filter("name <> ''"))
     known = curated.select("pos", F.lower("company_name").alias("name"), F.col("source_document").alias("file"))
-    longer_doc = asked.select(key, pieces(F.col("name")).alias("name")).join(known.select("pos", "name"), "name").select(key, "pos")
-    longer_known = known.select("pos", pieces(F.col("name")).alias("name")).join(asked.select(key, "name"), "name").select(key, "pos")
-    same_file = asked.join(known, asked["source_document"] == known["file"]).select(key, "pos")
-    match = longer_doc.unionByName(longer_known).unionByName(same_file).groupBy(key).agg(F.min("pos").alias("pos"))
+    names = asked.select("name").distinct()
+    curated_names = known.groupBy("name").agg(F.min("pos").alias("pos"))
+    longer_doc = names.select(F.col("name").alias("asked"), pieces(F.col("name")).alias("name")).join(curated_names, "name").select("asked", "pos")
+    longer_known = curated_names.select("pos", pieces(F.col("name")).alias("name")).join(names, "name").select(F.col("name").alias("asked"), "pos")
+    by_name = longer_doc.unionByName(longer_known).groupBy(F.col("asked").alias("name")).agg(F.min("pos").alias("pos"))
+    by_file = known.groupBy(F.col("file").alias("source_document")).agg(F.min("pos").alias("pos"))
+    same_name = lookup(asked, by_name, ["name"]).select(key, "pos")
+    same_file = lookup(asked, by_file, ["source_document"]).select(key, "pos")
+    match = same_name.unionByName(same_file).groupBy(key).agg(F.min("pos").alias("pos"))
     values = curated.select("pos", F.struct(*metrics).alias("curated"))
     joined = reports.join(match, key, "left").join(values, "pos", "left").drop("pos")
     replaced = [

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,21 +26,36 @@ def index_new_documents(documents: DataFrame, keys: list[str], out: str, checkpo
     return writer.trigger(availableNow=True).start()
 
 
-def flag_new_metrics(
-    changes: DataFrame, keys: list[str], all_metrics: Callable[[], DataFrame], out: str, checkpoint: str
-) -> StreamingQuery:
-    """Red flags of the requests touched by each batch, written per batch id.
+def flag_new_metrics(changes: DataFrame, keys: list[str], out: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Red flags of the requests touched by each batch; `current_flags` reads the result.
 
-    Only requests named in the batch are read back and evaluated. A batch that is
-    replayed overwrites its own folder, so results appear once.
+    The metrics of each batch are kept by bucket of the request, and only the buckets that a
+    batch touches are read back. A metric that is sent again for a request replaces what
+    earlier batches said of it. A batch that is replayed overwrites its own folders.
     """
+    history = f"{out}/metrics"
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(*keys).distinct()
-        metrics = all_metrics().join(touched, keys, "left_semi")
-        flags = merge(exact_dedup(numeric_flags(metrics, keys), keys), keys)
-        flags.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        own.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{history}/batch={batch_id}")
+        written = spark.read.parquet(f"{history}/batch={batch_id}")
+        touched = written.select(*keys, "bucket").distinct()
+        read = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        stored = spark.read.schema(own.withColumn("batch", F.lit(0)).schema).option("basePath", history).parquet(f"{history}/batch=*")
+        stored = stored.filter(F.col("bucket").isin(read) & (F.col("batch") <= batch_id)).join(touched.drop("bucket"), keys, "left_semi")
+        newest = stored.groupBy(*keys, "metric").agg(F.max("batch").alias("batch"))
+        metrics = stored.join(newest, [*keys, "metric", "batch"], "left_semi").drop("bucket", "batch")
+        touched.drop("bucket").write.mode("overwrite").parquet(f"{out}/requests/batch={batch_id}")
+        merge(exact_dedup(numeric_flags(metrics, keys), keys), keys).write.mode("overwrite").parquet(f"{out}/flags/batch={batch_id}")
 
     return (
         changes.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def current_flags(spark: SparkSession, keys: list[str], out: str) -> DataFrame:
+    """The flags of each request's newest batch; a request that lost its flags has none."""
+    newest = spark.read.option("basePath", f"{out}/requests").parquet(f"{out}/requests/batch=*").groupBy(*keys).agg(F.max("batch").alias("batch"))
+    flags = spark.read.option("basePath", f"{out}/flags").parquet(f"{out}/flags/batch=*")
+    return flags.join(newest, [*keys, "batch"], "left_semi").drop("batch")

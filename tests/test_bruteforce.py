@@ -350,13 +350,44 @@ def test_sources_read_back(spark, tmp_path):
     rows = {r.company_name: r.reason for r in Fi.read_company_metrics(spark, str(tmp_path / "m.json")).collect()}
     assert rows == {"A": None, "B": "missing: source_document, revenue_cr"}
     (tmp_path / "t.csv").write_text('name;x\n"a  b";1\n;2\n')
-    assert [tuple(r) for r in Fi.read_delimited(spark, str(tmp_path / "t.csv"), ";").collect()] == [("a b", "1"), ("", "2")]
+    found = Fi.read_delimited(spark, str(tmp_path / "t.csv")).orderBy("pos").collect()
+    assert [r.cells for r in found] == [["name", "x"], ["a b", "1"], ["", "2"]]
     (tmp_path / "n.txt").write_text("  <b>hi</b>\n")
     assert [r.text for r in Fi.read_text_files(spark, str(tmp_path / "n.txt")).collect()] == ["<b>hi</b>"]
     kinds = {r.name.rsplit("/", 1)[1]: r.kind for r in Fi.read_manifest(spark, str(tmp_path)).collect()}
     assert kinds == {"m.json": ".json", "t.csv": ".csv", "n.txt": ".txt"}
 
 
+def test_delimited_lines_of_any_length(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,a,,b\n1,2,3,4\nshort\n\n1,2,3,4,5\n5,,,\n6,7,8,9,\n" + "x" * 20_000 + ",2\n")
+    (tmp_path / "none.csv").write_text("")
+    found = Fi.read_delimited(spark, str(tmp_path / "t.csv")).orderBy("pos").collect()
+    assert [r.cells for r in found] == [
+        ["a", "a.1", "Unnamed: 2", "b"], ["1", "2", "3", "4"], ["short", "", "", ""], ["5", "", "", ""], ["6", "7", "8", "9"], ["x" * 20_000, "2", "", ""],
+    ]
+    assert Fi.read_delimited(spark, str(tmp_path / "none.csv")).collect() == []
+
+
+def test_places_of_facts_never_meet(spark):
+    wide = "Revenue\t" + "\t".join(str(i) for i in range(10_000))
+    pages = "\n".join(f"Page {i}\nDebt: EUR {i}" for i in range(1, 41))
+    docs = spark.createDataFrame([(1, f"{wide}\nRevenue\t7\n{pages}"), (2, ""), (3, None)], "doc_id int, text string")
+    facts = Fa.facts_of_lines(Fa.text_lines(docs, ["doc_id"]), ["doc_id"])
+    places = facts.orderBy("pos").select("pos", "field", "value").collect()
+    assert len({r.pos for r in places}) == len(places) == 10_000 + 1 + 40
+    assert [r.value for r in places[9_998:10_002]] == ["9998", "9999", "7", "EUR 1"]
+    metrics, _ = Fa.split_facts(facts, ["doc_id"])
+    first = Fa.dedup_facts(metrics.filter("field = 'debt'").withColumn("value", F.lit("EUR 5")), ["doc_id"], ["field", "value"]).first()
+    assert first.page_number == "1"
+
+
+def test_control_marks_and_long_matches_stay_in_the_evidence(spark):
+    long = "fraud" + "d" * 900
+    texts = ["one \x01fraud\x02 here", "no fraud \x01\x02, then fraud", f"see {long} end", "\x01\x02"]
+    got = values(spark, texts, lambda c: X.first_supported_snippet(c, r"\bfraud+\b"))
+    assert got == ['"one \x01fraud\x02 here"', None, f'"see {long} end"', None]
+
+
 def test_results_keep_rows_when_input_is_moved(spark):
     """First-wins results do not depend on the partitions of the input."""
     lines = [(d, i, f"line {rng % 7}") for d, i, rng in itertools.product(range(3), range(30), [0])]
