@@ -247,8 +247,14 @@ def distinct_metrics(facts: DataFrame, doc: str = "doc_id", percent: int = 96) -
     return rows.select(doc, "place", *[F.col("s.fact")[c].alias(c) for c in columns])
 
 
-def detect_document_currency(metrics: DataFrame, chosen: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Most frequent currency over metric texts, chosen fields counted again; ties by first seen."""
+def detect_document_currency(
+    metrics: DataFrame, chosen: DataFrame, doc: str = "doc_id", documents: DataFrame | None = None, text: str = "text"
+) -> DataFrame:
+    """Most frequent currency over metric texts, chosen fields counted again; ties by first seen.
+
+    With `documents`, those whose facts name no currency take the first that the head of
+    their text names; documents without any have no row.
+    """
     fields = F.create_map(*[F.lit(x) for i, f in enumerate(vocab.METRIC_FIELDS) for x in (f, i)])
 
     def placed(rows: DataFrame, source: int, place: Column) -> DataFrame:
@@ -261,7 +267,12 @@ def detect_document_currency(metrics: DataFrame, chosen: DataFrame, doc: str = "
         F.count(F.lit(1)).alias("n"), F.min(F.struct("p.source", "p.place", "i")).alias("first")
     )
     order = F.struct("n", -F.col("first.source"), -F.col("first.place"), -F.col("first.i"))
-    return seen.groupBy(doc).agg(F.max_by("code", order).alias("currency"))
+    of_facts = seen.groupBy(doc).agg(F.max_by("code", order).alias("currency"))
+    if documents is None:
+        return of_facts
+    told = documents.select(doc, detect_currency(F.left(text, F.lit(vocab.CURRENCY_HEAD_CHARS))).alias("told"))
+    both = lookup(told, of_facts, [doc], "left")
+    return both.select(doc, F.coalesce("currency", "told").alias("currency")).filter("currency IS NOT NULL")
 
 
 def wide_facts(best: DataFrame, doc: str = "doc_id", fields=vocab.METRIC_FIELDS) -> DataFrame:
@@ -332,7 +343,9 @@ def extract_documents(documents: DataFrame, doc: str = "doc_id", text: str = "te
     companies = dedup_facts(companies, keys, ["field", "value", "page_number"])
     place = F.struct("index", F.col("pos").alias("fact"))  # chunk order before line order
     metrics, companies = metrics.withColumn("pos", place), companies.withColumn("pos", place)
+    distinct, chosen = distinct_metrics(metrics, doc), best_metrics(metrics, doc)
     return {
-        "chunks": chunks, "metric_facts": metrics, "company_facts": companies, "metrics": distinct_metrics(metrics, doc),
-        "chosen": best_metrics(metrics, doc), "company": best_company_values(companies, doc),
+        "chunks": chunks, "metric_facts": metrics, "company_facts": companies, "metrics": distinct,
+        "chosen": chosen, "company": best_company_values(companies, doc),
+        "currency": detect_document_currency(distinct, chosen, doc, documents, text),
     }

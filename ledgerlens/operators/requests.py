@@ -173,10 +173,6 @@ def text_quality(pages: DataFrame) -> DataFrame:
     )
 
 
-def plain_text_quality(text: Column) -> Column:
-    return F.least(F.lit(1.0), F.length(text) / 8000)
-
-
 def processing_summary(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Status row per document from (doc_id, page_number, source) and (doc_id, ...) chunks."""
     by_doc = pages.groupBy("doc_id").agg(

@@ -101,7 +101,7 @@ def company_values(spark, sf):
 
 def document_currency(spark, sf):
     metrics = _metrics(spark, sf)
-    return Fa.detect_document_currency(Fa.distinct_metrics(metrics), Fa.best_metrics(metrics))
+    return Fa.detect_document_currency(Fa.distinct_metrics(metrics), Fa.best_metrics(metrics), documents=statements(spark, sf))
 
 
 def _doc_signals(spark, sf):

@@ -48,20 +48,3 @@ COMPANY_METRICS = (
     "dso_days double, fcf_to_pat_pct double, revenue_per_employee_lakh double, attrition_rate_pct double, net_debt_cr double"
 )
 COMPANY_METRICS_REQUIRED = ("company_name", "fiscal_year", "source_document", "revenue_cr")
-
-METRIC_INPUT = (
-    "request_id string, company string, financial_year string, pos int, metric string, value string, current string, "
-    "previous string, prior string, current_year string, prior_year string, current_value string, current_period string, "
-    "current_year_value string, previous_value string, previous_period string, prior_value string, prior_period string, "
-    "last_year string, last_year_value string, unit string, source string, kind string"
-)
-SECTIONS = ("request_id string, pos int, section string, content string")
-METRIC_FACTS = (
-    "doc_id bigint, chunk_index int, pos bigint, metric string, value string, unit string, period string, "
-    "page_number string, confidence double"
-)
-COMPANY_FACTS = ("doc_id bigint, chunk_index int, pos bigint, field string, value string, page_number string, confidence double")
-VECTOR_CHUNKS = (
-    "session_id string, document_id string, company_name string, file_name string, page_number int, source string, "
-    "section string, chunk_index int, text string, embedding array<float>"
-)

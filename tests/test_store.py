@@ -10,6 +10,7 @@ from ledgerlens.operators import facts as Fa
 from ledgerlens.session import scratch_path, shared_folder, spread
 from ledgerlens.sources import files as Fi
 from ledgerlens.sources import store as St
+from ledgerlens.streaming import incremental as Inc
 
 FIELDS = [m[0] for m in vocab.BENCHMARK_METRICS]
 
@@ -81,6 +82,23 @@ def test_extra_company_values_and_currency(spark):
     m = spark.createDataFrame([(1, 0, "revenue", "EUR", "5"), (1, 1, "debt", None, "USD 4")], "doc_id int, place int, field string, unit string, value string")
     assert Fa.detect_document_currency(m, m.filter("field = 'debt'")).first().currency == "USD"
     assert Fa.detect_document_currency(m, m.filter("field = 'none'")).first().currency == "EUR"
+    docs = spark.createDataFrame([(1, "in GBP"), (2, "paid in GBP, later USD"), (3, "x" * 12_000 + " USD"), (4, None), (5, "")], "doc_id int, text string")
+    found = Fa.detect_document_currency(m, m.filter("field = 'none'"), documents=docs).collect()
+    assert {r.doc_id: r.currency for r in found} == {1: "EUR", 2: "GBP"}
+
+
+def test_stream_replaces_the_flags_of_a_request(spark, tmp_path):
+    schema = "request_id string, pos int, metric string, current_raw string, prior_raw string, is_number boolean"
+
+    def send(n, rows):
+        spark.createDataFrame([(r, 0, "Revenue", now, before, True) for r, now, before in rows], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        changes = Inc.read_new_files(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema)
+        Inc.flag_new_metrics(changes, ["request_id"], str(tmp_path / "out"), str(tmp_path / "log"), buckets=2).awaitTermination()
+        return {(r.request_id, r.title) for r in Inc.current_flags(spark, ["request_id"], str(tmp_path / "out")).collect()}
+
+    assert send(0, [("a", "50", "100"), ("b", "50", "100")]) == {("a", "Revenue decline"), ("b", "Revenue decline")}
+    assert send(1, [("a", "120", "100"), ("c", "120", "100")]) == {("b", "Revenue decline")}
+    assert send(2, [("c", "10", "100")]) == {("b", "Revenue decline"), ("c", "Revenue decline")}
 
 
 def test_shared_folder_and_spread(spark):
