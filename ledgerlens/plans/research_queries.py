@@ -44,7 +44,7 @@ def small_paragraph_chunks(spark, sf):
 
 
 def page_pieces(spark, sf):
-    """Web pages as pages of their host, in overlapping pieces."""
+    """Web pages as documents of one page, in overlapping pieces."""
     pages = I.texts(spark, sf, "pages").select(
         F.col("page_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("html").alias("text"), F.lit("text_layer").alias("source")
     )

@@ -95,7 +95,7 @@ def cleared_references(spark, sf):
 
 def appended_ids(spark, sf):
     """Consecutive ids for new rows: the ids must be 101..100+n, each once."""
-    rows = I.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    rows = I.table(spark, sf, "orders").select("o_orderkey")
     out = St.numbered(rows, 101, "query_id")
     return out.agg(F.min("query_id").alias("first_id"), F.max("query_id").alias("last_id"), F.count_distinct("query_id").alias("n_ids"), F.count_distinct("o_orderkey").alias("n_rows"))
 
@@ -163,7 +163,7 @@ ORACLE = {
     "SELECT c_custkey, c_name, c_nationkey, c_acctbal, coalesce(o_orderpriority, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN l ON o_custkey = c_custkey",
     "keyed_delete": "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "cleared_references": "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM orders",
-    "appended_ids": "SELECT CAST(101 AS BIGINT) AS first_id, 100 + count(*) AS last_id, count(*) AS n_ids, count(DISTINCT o_orderkey) AS n_rows FROM orders WHERE o_orderstatus = 'F'",
+    "appended_ids": "SELECT CAST(101 AS BIGINT) AS first_id, 100 + count(*) AS last_id, count(*) AS n_ids, count(DISTINCT o_orderkey) AS n_rows FROM orders",
     "chunk_delete": _DEL + " SELECT * FROM ix WHERE NOT EXISTS (SELECT 1 FROM de WHERE de.document_id = ix.document_id AND de.session_id = ix.session_id)",
     "chunk_delete_results": _DEL + " SELECT document_id, session_id, EXISTS (SELECT 1 FROM ix WHERE ix.document_id = de.document_id AND ix.session_id = de.session_id) AS deleted FROM de",
     "stored_lifecycle": "WITH q AS (SELECT o_orderstatus AS question, CASE WHEN o_custkey % 2 = 0 THEN 'changed' ELSE o_orderpriority END AS answer FROM orders WHERE o_orderstatus <> 'P') SELECT question, answer, count(*) AS n_rows, count(*) AS n_ids FROM q GROUP BY 1, 2",

@@ -226,7 +226,7 @@ def file_manifest(spark, sf):
     p = I.texts(spark, sf, "pages").withColumn("kind", F.col("page_id") % 6)
     name = F.concat(F.lit("f"), F.col("page_id"), _pick(F.lit(".JPEG"), F.lit(""), F.lit(".bin"), F.lit(".html"), F.lit(".dat"), F.lit("")))
     mime = _pick(F.lit(None).cast("string"), F.lit("image/png"), F.lit("application/vnd.ms-excel"), F.lit("x"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    head = F.when(F.col("kind") == 5, F.lit("255044462D31")).when((F.col("kind") == 4) & (F.col("page_id") % 4 == 0), F.lit("0001FF00")).otherwise(F.hex(F.left("html", F.lit(100))))
+    head = F.when(F.col("kind") == 5, F.lit("255044462D31")).when((F.col("kind") == 4) & (F.col("page_id") % 4 == 0), F.lit("0001FF00")).otherwise(F.hex(F.substring(F.encode("html", "UTF-8"), 1, 4096)))
     size = F.when(F.col("page_id") % 17 == 0, 0).when(F.col("page_id") % 19 == 0, vocab.MAX_FILE_BYTES + 1).otherwise(F.length("html"))
     out = Fi.manifest_rows(p.select("page_id", name.alias("name"), size.alias("size"), head.alias("head_hex"), mime.alias("mime")))
     return out.select("page_id", F.col("kind").alias("file_kind"), F.array_join("errors", "; ").alias("errors"))
