@@ -334,3 +334,35 @@ def test_mixing_reaches_targets(spark, odd):
     shares = {r[0]: r[1] / total for r in picked.groupBy("lang_group").agg(F.sum("tokens")).collect()}
     assert abs(shares["en"] - 0.5) < 0.05 and abs(shares["fr"] - 0.3) < 0.05 and abs(total / 400_000 - 0.4) < 0.04
     assert mixing.mix(odd).count() == odd.count()
+
+
+def test_mixing_weighs_every_source(spark, monkeypatch):
+    rng = random.Random(11)
+    names = ["hot", "hot", "hot", "b", "c", "d", None]
+    rows = [(i, words(rng, 60 + i % 40), rng.choice(["en", "en", "fr", "de", "xx", None]), rng.choice(names)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert "source" not in mixing.TARGETS and not any("src" in v for t in mixing.TARGETS.values() for v in t)
+
+    def found(share):
+        return sorted(mixing.mix(df, share=share, carried=["doc_id"]).select("row.doc_id", "tokens", "source_group", "lang_group", "weight", "probability", "selected").collect())
+
+    for share in (0.3, 0.7, 0.97):
+        result = found(share)
+        total, observed, met, lang = sum(r.tokens for r in result), Counter(), Counter(), Counter()
+        for r in result:
+            observed[r.source_group] += r.tokens
+            met[r.source_group] += r.tokens * r.weight / total
+            lang[r.lang_group] += r.tokens * r.weight / total
+        assert set(met) == {"hot", "b", "c", "d", "*"}
+        roots = {s: n**0.5 for s, n in observed.items()}
+        for s in roots:
+            assert abs(met[s] - roots[s] / sum(roots.values())) < 1e-6
+        assert abs(lang["fr"] - 0.16 / 0.89) < 1e-6 and met["hot"] < 0.75 * observed["hot"] / total
+        assert abs(sum(r.tokens * r.probability for r in result) / total - share) < 1e-9
+        with monkeypatch.context() as m:  # the same where the sources are too many for the driver
+            m.setattr(mixing, "HELD", 2)
+            for r, s in zip(result, found(share), strict=True):
+                assert r[:4] == s[:4] and abs(r.weight - s.weight) < 1e-6 and abs(r.probability - s.probability) < 1e-6
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "HELD", 2)
+        assert mixing.mix(df.withColumn("text", F.lit(" "))).filter("weight = 0 AND probability = 0 AND NOT selected").count() == 2000
