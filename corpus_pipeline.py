@@ -69,7 +69,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_sweeping
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have the target shares."""
+    """A sample whose sources, languages and classes of length (the tables name no topic) have the target shares."""
     return mixing.mix(docs).filter("selected").select("row.*", "weight", "probability")
 
 

@@ -8,6 +8,10 @@ not named there counts as OTHER. The cell weights are raked until every marginal
 target share, and documents are sampled with a probability in proportion to their cell's
 weight, calibrated so that the expected tokens are a given share of all.
 
+The tables name no topic. Unless the caller gives a topic column with targets of its own,
+the class of length of the text stands in its place: what is met then is a marginal of
+lengths, not of subjects.
+
 The cells are stored with one row per source. The driver rakes those of up to HELD sources
 itself; more stay a table, each round is one pass over it, and the driver holds sums per
 language and topic only.
