@@ -197,7 +197,7 @@ def _unmet_links(found: DataFrame, members: DataFrame, texts: DataFrame, matcher
     rooted = rooted.select("bucket", "node", "root", "size").join(split, "bucket")
     rooted = rooted.withColumn("blocks", F.ceil(F.col("size") / CHUNK)).withColumn("minor_blocks", F.ceil((F.col("size") - F.col("main_n")) / CHUNK))
     rooted = stage(rooted, "rooted")
-    sets = texts.mapInArrow(_short_sets(matcher.size), "node binary, shingles binary")
+    sets = texts.mapInArrow(_full_sets(matcher.size), "node binary, shingles binary")
 
     def gathered(rows: DataFrame, blocks: str, name: str) -> DataFrame:
         """One row per bucket and block, of about CHUNK nodes."""
@@ -214,23 +214,19 @@ def _unmet_links(found: DataFrame, members: DataFrame, texts: DataFrame, matcher
     return matcher.links(stage(pairs, "pairs"))
 
 
-def _short_sets(size: int):
-    """The shingle sets of nodes in 32 bits each."""
+def _full_sets(size: int):
+    """The shingle sets of nodes, all bits of each shingle."""
 
-    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):
-            short = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(data, offsets, size)]
-            yield batch_of(pa.schema([("node", pa.binary()), ("shingles", pa.binary())]), part.column("node").cast(pa.binary()), short)
+            sets = [s.tobytes() for s in shingle_sets(data, offsets, size)]
+            yield batch_of(pa.schema([("node", pa.binary()), ("shingles", pa.binary())]), part.column("node").cast(pa.binary()), sets)
 
-    return shortened
+    return full
 
 
 def _block_pairs(percent: int):
-    """Of each minor node and each other component in the block: the most similar pair, and all pairs at the very limit.
-
-    The short sets can only show too much in common. A pair that would pass with one
-    shingle less is taken as good; the others are all handed on to be compared in full.
-    """
+    """Of each minor node and each other component in the block: the most similar pair that has the similarity."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,15 +235,15 @@ def _block_pairs(percent: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 others = row["others"]
                 minors = row["minors"] or [m for m in others if m["root"] != row["main"]]
-                sets = [np.frombuffer(m["shingles"], np.uint32) for m in others]
+                sets = [np.frombuffer(m["shingles"], U64) for m in others]
                 n = np.array([len(s) for s in sets])
-                shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+                shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
                 order = np.argsort(shingles, kind="stable")
                 shingles, owner = shingles[order], owner[order]
                 roots = np.unique([m["root"] for m in others], return_inverse=True)[1]
                 place = {m["root"]: r for m, r in zip(others, roots)}
                 for minor in minors:
-                    own = np.frombuffer(minor["shingles"], np.uint32)
+                    own = np.frombuffer(minor["shingles"], U64)
                     low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
                     many = high - low
                     at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -256,9 +252,7 @@ def _block_pairs(percent: int):
                     best: dict[int, tuple[float, int]] = {}
                     for j in alike:
                         share = common[j] / (len(own) + n[j] - common[j])
-                        if 100 * (common[j] - 1) < percent * (len(own) + n[j] - common[j] + 1):
-                            found.add((max(minor["node"], others[j]["node"]), min(minor["node"], others[j]["node"])))
-                        elif roots[j] not in best or share > best[roots[j]][0]:
+                        if roots[j] not in best or share > best[roots[j]][0]:
                             best[roots[j]] = (share, j)
                     found |= {(max(minor["node"], others[j]["node"]), min(minor["node"], others[j]["node"])) for _, j in best.values()}
             yield batch_of(pa.schema([("a", pa.binary()), ("b", pa.binary())]), [a for a, _ in found], [b for _, b in found])

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,26 @@ def test_near_duplicates_dense_group(spark):
     assert sorted(got) == sorted(brute_components(rows, 2))
 
 
+def test_near_duplicates_in_blocks_at_the_limit():
+    """Two common words that agree in the upper half of their fingerprints count as two."""
+    many = [f"w{i}" for i in range(200_000)]
+    raw = " ".join(many).encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.cumsum([0] + [len(w) + 1 for w in many])
+    offsets[-1] = len(raw)
+    upper = np.array([s[0] for s in near_duplicates.shingle_sets(data, offsets, 1)]) >> np.uint64(32)
+    values, first, n = np.unique(upper, return_index=True, return_counts=True)
+    assert (n > 1).any()
+    pair = [many[i] for i in np.flatnonzero(upper == values[n > 1][0])[:2]]
+    texts = [" ".join([*pair, *"abcdef", own]) for own in "xy"]  # 8 of 10 in common
+    batch = pa.RecordBatch.from_pydict({"node": [b"1", b"2"], "text": texts})
+    (sets,) = near_duplicates._full_sets(1)(iter([batch]))
+    members = [r | {"root": r["node"]} for r in sets.to_pylist()]
+    block = pa.RecordBatch.from_pylist([{"main": b"1", "others": members, "minors": None}])
+    (found,) = near_duplicates._block_pairs(80)(iter([block]))
+    assert found.to_pylist() == [{"a": b"2", "b": b"1"}]
+    assert next(near_duplicates._block_pairs(81)(iter([block]))).num_rows == 0
+
+
 def test_near_duplicates_keeps_one_of_each_group(odd):
     kept = near_duplicates.kept_documents(odd, size=2)
     assert kept.columns == odd.columns
