@@ -23,6 +23,7 @@ from ledgerlens.llm.common import ascii_lower, bounded, split_words, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+MASK = 63  # lists that one whole number marks
 RAREST = 2  # lists that are intersected before a candidate is looked up in its text
 
 
@@ -67,8 +68,11 @@ def candidates(index: DataFrame, probe: DataFrame, slop: int = 0) -> DataFrame:
     if slop:
         start = F.explode(F.sequence(start - slop, start + slop))
     hits = index.join(bounded(probe), "term").select("key", "window", "lists", "rank", start.alias("start")).filter(F.col("start") >= -slop)
-    agreed = hits.groupBy("key", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("ranks"), F.first("lists").alias("lists"))
-    return agreed.filter(F.col("ranks") == F.expr("shiftleft(1, lists) - 1")).select("key", "window", "start")
+    masks = -(-(probe.agg(F.max("lists")).first()[0] or 1) // MASK)  # 1 unless windows are long
+    marks = [F.bit_or(F.expr(f"IF(rank DIV {MASK} = {i}, shiftleft(1L, rank % {MASK}), 0L)")).alias(f"mask{i}") for i in range(masks)]
+    agreed = hits.groupBy("key", "window", "start").agg(F.first("lists").alias("lists"), *marks)
+    met = F.aggregate(F.array(*[F.bit_count(f"mask{i}") for i in range(masks)]), F.lit(0), lambda a, b: a + b)
+    return agreed.filter(met == F.col("lists")).select("key", "window", "start")
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:

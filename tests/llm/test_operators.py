@@ -209,6 +209,18 @@ def test_phrase_and_proximity(spark):
     assert decontamination.proximity_matches(index, windows, 2).select("key").distinct().count() == 3
 
 
+def test_phrase_and_proximity_of_long_windows(spark):
+    for n in (31, 32, 64, 130):
+        phrase = [f"p{i}" for i in range(n)]
+        swapped = [*phrase[: n - 2], phrase[-1], phrase[-2]]
+        texts = [(1, " ".join(["x", *phrase, "y"])), (2, " ".join(swapped)), (3, " ".join(phrase[:-1]))]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        items = spark.createDataFrame([(1, " ".join(phrase))], "item_id long, text string")
+        index, windows = decontamination.build_index(df), decontamination.test_windows(items, window=n)
+        assert [r.start for r in decontamination.phrase_matches(index, windows).collect()] == [1]
+        assert decontamination.proximity_matches(index, windows, 1).select("key").distinct().count() == 2
+
+
 def test_quality_rules(odd, empty, spark):
     rows = {r.doc_id: r for r in quality_rules.quality_rules(odd).collect()}
     assert (rows[4].n_words, rows[4].base_failed, rows[4].kept) == (0, True, False)
