@@ -1,7 +1,8 @@
-"""Repeated byte strings of a fixed length, by a radix sort of windows that stops at that length.
+"""Repeated byte strings of a fixed length, by minimizers and fingerprints of windows.
 
 A window is a suffix cut to `length` bytes; two windows are repeats if they are equal in all
-of them. Windows are dealt by most significant digits first. The first digit is the
+of them. No suffix is sorted, in place of a radix sort by leading bytes windows are dealt by
+what equal windows must share, and grouped by fingerprint. They are first dealt by the
 window's least gram (GRAM bytes, the least by fingerprint of all in the window): neighbours
 share it, so one row stands for a run of some 170 windows, and a gram that stands once ends
 its windows at once. Within a gram a pass compares ever smaller parts of a run:
@@ -160,7 +161,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     texts = df.select(text_key(F.col(text_col)).alias("key"), text.alias("text")).filter(F.octet_length("text") >= length)
     runs = stage(texts.mapInArrow(_runs(length, gram), RUN), "runs")
 
-    # first digit: grams that stand more than once
+    # grams that stand more than once
     grams = stage(runs.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "grams")
     shared = runs.join(grams, "gram").groupBy("gram", "hull", "key", "first", "last", "anchor").agg(F.sum("n").alias("n"))
     shared = stage(shared, "shared")
