@@ -12,7 +12,8 @@ from ledgerlens.session import cut_lineage
 
 YEAR = ["fiscal_year"]
 FOCUS = "Supplier#000000001"
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]  # columns of the SQL; the query takes them from the table
+PIVOT_LIMIT = 1_000  # most regions as columns; more stop the job
 SIDE_ROWS = [("revenue", "Revenue"), ("net_profit", "Net Profit"), ("liabilities", "Total Debt"), ("margin", "Profit Margin")]
 
 
@@ -97,7 +98,11 @@ def side_by_side_pivot(spark, sf):
     fig = I.region_figures(spark, sf).withColumn("margin", I.round4(F.try_divide("net_profit", "revenue") * 100))
     rows = F.array(*[F.struct(F.lit(label).alias("metric"), F.format_string("%.4f", F.col(c)).alias("value")) for c, label in SIDE_ROWS])
     long = fig.select("fiscal_year", "company_name", F.explode(rows).alias("m")).select("fiscal_year", "company_name", "m.*")
-    wide = B.side_by_side(long, YEAR, "metric", "company_name", "value", REGIONS)
+    names = I.table(spark, sf, "region").select("r_name").distinct().filter("r_name IS NOT NULL")
+    n = names.count()
+    if n > PIVOT_LIMIT:
+        raise ValueError(f"{n} regions are too many columns; use the long form")
+    wide = B.side_by_side(long, YEAR, "metric", "company_name", "value", sorted(r[0] for r in names.collect()))
     return wide.toDF(*[c.replace(" ", "_") for c in wide.columns])
 
 

@@ -1,6 +1,7 @@
 """Operators beside plain loops on small and deliberately skewed inputs."""
 
 import itertools
+import os
 import random
 import re
 
@@ -400,3 +401,18 @@ def test_results_keep_rows_when_input_is_moved(spark):
 def test_status_order(spark):
     df = spark.createDataFrame([(["Timeout", "Unsupported file type: x"],), ([],), (["odd"],), (["Memory error"],)], "e array<string>")
     assert [r.c for r in df.select(Q.status_code(F.col("e")).alias("c")).collect()] == [415, 200, 500, 507]
+
+
+def test_side_by_side_has_every_region(spark, sf_dir, tmp_path):
+    """A region that no list in the code names has its column and its values."""
+    from ledgerlens.plans import benchmark_queries
+
+    for name in os.listdir(sf_dir):
+        if name != "region.parquet":
+            os.symlink(os.path.join(sf_dir, name), tmp_path / name)
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    region.replace({"ASIA": "NEW LAND"}, subset=["r_name"]).write.parquet(str(tmp_path / "region.parquet"))
+    wide = benchmark_queries.side_by_side_pivot(spark, str(tmp_path))
+    assert wide.columns == ["fiscal_year", "metric", "AFRICA", "AMERICA", "EUROPE", "MIDDLE_EAST", "NEW_LAND"]
+    old = {(r.fiscal_year, r.metric): r.ASIA for r in benchmark_queries.side_by_side_pivot(spark, sf_dir).collect()}
+    assert old and {(r.fiscal_year, r.metric): r.NEW_LAND for r in wide.collect()} == old
