@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, language_id, mixing, near_duplicates, quality_classifier, quality_rules, repeats, toxicity, url_filters, warc
+from ledgerlens.llm import decontamination, jaccard_join, language_id, mixing, near_duplicates, quality_classifier, quality_rules, ranked_search, repeats, toxicity, url_filters, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_warc, op6_toxicity, op7_mixing, op8_decontamination, op9_url_filters, op10_repeats)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_warc, op6_toxicity, op7_mixing, op8_decontamination, op9_url_filters, op10_repeats, op11_ranked_search, op12_jaccard_join, op13_whitening)}
 
 _PRIOR = """
   SELECT sum({r}) / sum(n)::DOUBLE AS m,
@@ -157,4 +169,39 @@ best AS (
   SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
   FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM s LEFT JOIN best USING (k)""",
+    "op11_ranked_search": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+d AS (SELECT k, doc_id, len(ts)::BIGINT AS n, ts FROM t WHERE len(ts) > 0),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM d),
+m AS (SELECT k, doc_id, 25 + ((75 * n * docs) // tokens) AS m FROM d, size),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark),
+asked AS (SELECT q, x, count(*)::BIGINT AS times FROM (SELECT q, unnest(ts) AS x FROM i) GROUP BY 1, 2),
+post AS (SELECT k, x, count(*)::BIGINT AS tf FROM (SELECT k, unnest(ts) AS x FROM d) WHERE x IN (SELECT x FROM asked) GROUP BY 1, 2),
+w AS (SELECT x, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM post, size GROUP BY x, docs),
+s AS (
+  SELECT q, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN w USING (x) JOIN post USING (x) JOIN m USING (k) GROUP BY q, k, doc_id),
+r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (q) WHERE rank <= 10""",
+    "op12_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT k, array_to_string(ws[i : i + 2], ' ') AS g
+  FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+size AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN size x ON x.k = a JOIN size y ON y.k = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(k, r) AS (SELECT k, k FROM w UNION SELECT reach.k, b FROM reach JOIN edges ON r = a),
+comp AS (SELECT reach.k, min(doc_id) AS component_id FROM reach JOIN w ON w.k = r GROUP BY reach.k)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w JOIN comp USING (k) LEFT JOIN size USING (k)""",
 }
