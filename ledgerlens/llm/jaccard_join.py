@@ -24,6 +24,7 @@ Buckets are joined in three steps, each on the pairs the one before left open:
    promising partners in each other component;
 3. the same again with all partners that the bounds leave, in buckets still split.
 
+A pair is left to the least bucket both are in, as far as their FIRST least buckets show it.
 So a group of copies costs a comparison per copy, and a pair is compared in full only if its
 points allow the link. Pairs are verified on sets of 64-bit shingle fingerprints (of words'
 xxh3 values); united by union-find and star contraction.
@@ -55,6 +56,7 @@ CROWD = 256  # sets beyond which a slab is poor
 BLOCK = 1024  # points of a bucket in one block
 LEAF, FAN = 16, 8  # points of a leaf, boxes of a node
 NEAR = 4
+FIRST = 16  # least open buckets of a set that its points carry, so that a pair is handed on once
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -261,12 +263,16 @@ def _tree_pairs(percent: int, most: int | None):
                 points, own = ([np.frombuffer(m["point"], np.uint16) for m in side] for side in (others, minors))
                 groups = min(map(len, [*points, *own]))
                 tree = CountTree(np.array([folded(p, groups) for p in points]), np.array([m["n"] for m in others]), percent)
+                earlier = np.full((len(others), FIRST), row["key"])
+                for j, m in enumerate(others):
+                    earlier[j, : len(m["first"])] = np.minimum(m["first"], row["key"])
                 names = np.unique([m["root"] for m in others], return_inverse=True)
                 roots, place = names[1], {r: j for j, r in enumerate(names[0].tolist())}
                 found: set[tuple[bytes, bytes]] = set()
                 for minor, point in zip(minors, own):
                     at, share = tree.near(folded(point, groups), minor["n"])
-                    away = roots[at] != place.get(minor["root"], -1)
+                    before = [k for k in minor["first"] if k < row["key"]]  # a pair that shares one of these is met there
+                    away = (roots[at] != place.get(minor["root"], -1)) & ~np.isin(earlier[at], before).any(axis=1)
                     at, share = at[away], share[away]
                     if most is not None and len(at) > most:
                         order = np.lexsort((-share, roots[at]))
@@ -343,18 +349,19 @@ def _open_blocks(found: DataFrame, members: DataFrame, nodes: DataFrame) -> Data
         return None
     rooted = rooted.select("key", "node", "root", "size").join(split, "key")
     rooted = rooted.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("minor_blocks", F.ceil((F.col("size") - F.col("main_n")) / BLOCK))
-    rooted = stage(rooted.join(nodes.select("node", "n", "point"), "node"), "rooted")
+    first = rooted.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("first"))  # one set's slabs
+    rooted = stage(rooted.join(nodes.select("node", "n", "point"), "node").join(first, "node"), "rooted")
 
     def gathered(rows: DataFrame, blocks: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.col(blocks)).alias("block")
-        rows = rows.select("key", "main", block, F.struct("node", "root", "n", "point").alias("member"))
+        rows = rows.select("key", "main", block, F.struct("node", "root", "n", "point", "first").alias("member"))
         return rows.groupBy("key", "main", "block").agg(F.collect_list("member").alias(name)).drop("block")
 
-    kind = "array<struct<node: binary, root: binary, n: bigint, point: binary>>"
-    small = gathered(rooted.filter("blocks = 1"), "blocks", "others").select("main", "others", F.lit(None).cast(kind).alias("minors"))
+    kind = "array<struct<node: binary, root: binary, n: bigint, point: binary, first: array<bigint>>>"
+    small = gathered(rooted.filter("blocks = 1"), "blocks", "others").select("key", "main", "others", F.lit(None).cast(kind).alias("minors"))
     large = rooted.filter("blocks > 1")
     minors = gathered(large.filter("root != main"), "minor_blocks", "minors").drop("main")
-    return small.unionByName(gathered(large, "blocks", "others").join(minors, "key").select("main", "others", "minors"))
+    return small.unionByName(gathered(large, "blocks", "others").join(minors, "key").select("key", "main", "others", "minors"))
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
