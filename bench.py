@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ledgerlens.plans import catalog
 from ledgerlens.session import get_spark
 
-RUNS = 1
+RUNS = 2
 HEADLINE = [
     "peer_benchmark", "peer_benchmark_all", "peer_rank", "numeric_flags", "keyword_flags", "flag_merge", "risk_summary",
     "section_chunks", "paragraph_chunks", "line_dedup_exact", "fuzzy_line_dedup", "normalised_documents", "tfidf_stats", "tfidf_topk",

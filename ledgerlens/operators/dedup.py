@@ -20,32 +20,34 @@ def distinct_lines_exact(c: Column) -> Column:
 
 def _keyed_lines(text: Column) -> Column:
     """Stripped lines, each with the form it is compared by."""
-    return F.transform(split_lines(text), lambda line: F.struct(strip(line).alias("line"), F.lower(squash(strip(line))).alias("key")))
+    return F.transform(F.transform(split_lines(text), strip), lambda line: F.struct(line.alias("line"), F.lower(squash(line)).alias("key")))
 
 
 def _keys(lines: Column) -> Column:
-    return F.transform(lines, lambda x: x["key"])
+    return lines["key"]
 
 
-def _marked(lines: Column, flags: Column) -> Column:
-    """The lines that are flagged."""
-    both = F.arrays_zip(lines.alias("x"), flags.alias("flag"))
-    return F.transform(F.filter(both, lambda z: z["flag"]), lambda z: z["x"]["line"])
+def _marked(df: DataFrame, lines: Column, known: Column, novel) -> DataFrame:
+    """`_kept`: the lines whose keys are novel. The lines are a column of their own, so they are built once."""
+    held = df.withColumn("_lines", lines).withColumn("_flags", novel(_keys(F.col("_lines")), known))
+    kept = F.filter(F.arrays_zip("_lines", "_flags"), lambda z: z["_flags"])
+    return held.withColumn("_kept", F.transform(kept, lambda z: z["_lines"]["line"])).drop("_lines", "_flags")
 
 
-def distinct_lines(text: Column, percent: int = 98, window: int = 80, least: int = 12) -> Column:
-    """Text without repeated or nearly repeated lines, in order; runs of blank lines become one."""
-    lines = _keyed_lines(text)
-    kept = _marked(lines, novel_keys(percent, window, least)(_keys(lines), F.array().cast("array<string>")))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+def distinct_lines(df: DataFrame, text: str, out: str, percent: int = 98, window: int = 80, least: int = 12) -> DataFrame:
+    """`out`: the text without repeated or nearly repeated lines, in order; runs of blank lines become one."""
+    none = F.array().cast("array<string>")
+    marked = _marked(df, _keyed_lines(F.col(text)), none, novel_keys(percent, window, least))
+    return marked.withColumn(out, strip(F.regexp_replace(F.array_join("_kept", "\n"), "\n{3,}", "\n\n"))).drop("_kept")
 
 
-def new_scan_lines(native: Column, scanned: Column, percent: int = 97, window: int = 400, least: int = 12) -> Column:
-    """Lines of the scan that the last `window` long lines of the native text do not already hold."""
+def new_scan_lines(df: DataFrame, native: str, scanned: str, out: str, percent: int = 97, window: int = 400, least: int = 12) -> DataFrame:
+    """`out`: lines of the scan that the last `window` long lines of the native text do not already hold."""
     long = F.filter(_keyed_lines(F.coalesce(native, F.lit(""))), lambda x: F.char_length(x["line"]) > least)
     known = F.slice(_keys(long), F.greatest(F.size(long) - window + 1, F.lit(1)), F.lit(window))
-    lines = F.filter(_keyed_lines(scanned), lambda x: x["line"] != "")
-    return F.array_join(_marked(lines, novel_keys(percent, window, learn=False)(_keys(lines), known)), "\n")
+    lines = F.filter(_keyed_lines(F.col(scanned)), lambda x: x["line"] != "")
+    marked = _marked(df, lines, known, novel_keys(percent, window, learn=False))
+    return marked.withColumn(out, F.array_join("_kept", "\n")).drop("_kept")
 
 
 def dedup_lines_long(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,20 +91,18 @@ def render_tables(tables: Column) -> Column:
 
 def merge_sources(documents: DataFrame, native: str, scanned: str, tables: str) -> DataFrame:
     """One text per document from native text, new lines of the scan and rendered tables."""
-    documents = documents.withColumn("_scan", new_scan_lines(F.col(native), F.col(scanned)))
+    documents = new_scan_lines(documents, native, scanned, "_scan")
     rendered = strip(render_tables(F.col(tables)))
     parts = [
         F.nullif(strip(F.col(native)), F.lit("")),
         F.nullif(strip(F.col("_scan")), F.lit("")),
         F.when(rendered != "", F.concat(F.lit("Extracted Tables\n"), rendered)),
     ]
-    return documents.withColumn("_merged", F.concat_ws("\n\n", *parts)).withColumn(
-        "merged_text", distinct_lines(F.col("_merged"))
-    ).drop("_scan", "_merged")
+    return distinct_lines(documents.withColumn("_merged", F.concat_ws("\n\n", *parts)), "_merged", "merged_text").drop("_scan", "_merged")
 
 
 def normalise_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """Text in canonical form without repeated lines."""
     steps = documents.withColumn(text, nfkc(F.col(text)))
     steps = steps.withColumn(text, canonical_text(F.col(text)))
-    return steps.withColumn(text, distinct_lines(F.col(text)))
+    return distinct_lines(steps, text, text)

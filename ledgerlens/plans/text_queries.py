@@ -167,7 +167,7 @@ def line_dedup_long(spark, sf):
 
 
 def fuzzy_line_dedup(spark, sf):
-    docs = I.texts(spark, sf, "documents").withColumn("kept", D.distinct_lines(F.col("text")))
+    docs = D.distinct_lines(I.texts(spark, sf, "documents"), "text", "kept")
     return docs.select("doc_id", F.size(X.split_lines(F.col("kept"))).alias("n_lines"), F.md5("kept").alias("text_hash"))
 
 

@@ -77,8 +77,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows placed by key; adaptive execution sizes the partitions.
+    """Rows placed by key in as many partitions as a shuffle has, at least one per core.
 
-    Later groupings and windows on these keys then need no shuffle of their own.
+    Later groupings and windows on these keys need no shuffle of their own. The number is
+    given, as adaptive execution would merge small rows that take much work each into one task.
     """
-    return df.repartition(*keys)
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

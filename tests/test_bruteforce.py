@@ -67,7 +67,8 @@ def test_distinct_lines_keeps_order_and_blank_runs(spark):
     text = "Alpha line number one\n\n\n\nalpha   LINE number one\nAlpha line number onf\nshort\nshorx\n\nend"
     long = "x" * 99
     many = "\n".join([f"{long}a", *[f"{i:03d} filler {i * 7919:09d} {i}" for i in range(80)], f"{long}b"])
-    got = values(spark, [text, f"{long}a\n{long}b\nz", many, None, "", " \n\n "], D.distinct_lines)
+    df = spark.createDataFrame(list(enumerate([text, f"{long}a\n{long}b\nz", many, None, "", " \n\n "])), "i int, t string")
+    got = [r.v for r in D.distinct_lines(df, "t", "v").orderBy("i").collect()]
     # the near copy is one letter off in 21 (95 %), below the threshold; short lines are never compared
     assert got[0] == "Alpha line number one\n\nAlpha line number onf\nshort\nshorx\n\nend"
     assert got[1] == f"{long}a\nz"
@@ -77,7 +78,9 @@ def test_distinct_lines_keeps_order_and_blank_runs(spark):
 
 def test_scan_lines_compare_with_all_recent_native_lines(spark):
     native = "Revenue for the year was high\nshort"
-    got = values(spark, ["revenue for the  year was high\nRevenue for the year was low\nshort", None], lambda c: D.new_scan_lines(F.lit(native), c))
+    scans = ["revenue for the  year was high\nRevenue for the year was low\nshort", None]
+    df = spark.createDataFrame([(i, native, s) for i, s in enumerate(scans)], "i int, native string, t string")
+    got = [r.v for r in D.new_scan_lines(df, "native", "t", "v").orderBy("i").collect()]
     assert got == ["Revenue for the year was low\nshort", None]
 
 
@@ -118,7 +121,6 @@ def test_plain_double_matches_repr(spark):
     assert [r.t for r in df.select("i", X.plain_double(F.col("x")).alias("t")).orderBy("i").collect()] == [repr(x) for x in numbers]
 
 
-NEGATION = r"\b(no|not|without|none|nil|neither)\b.{0,50}$"
 
 
 def test_snippets(spark):
