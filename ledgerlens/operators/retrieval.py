@@ -1,9 +1,8 @@
 """Ranked passages for questions: term weights, vectors and keywords, with citations.
 
-Term index: chunk tokens are counted per chunk, document frequencies per term. The join
-of the two spreads frequent terms (see `split_lookup`). Scores are summed where the
-chunk's tokens already are, and each partition keeps k rows per question before the
-last shuffle.
+Term index: inverted lists in shards of chunks, cut into blocks that carry their largest
+weight. Questions come to the shards, which skip blocks that cannot reach their k best, so
+what is shuffled is k rows per question and shard.
 """
 
 from __future__ import annotations
@@ -12,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerlens import vocab
+from ledgerlens.functions import postings
 from ledgerlens.functions.text import SPACE, let, round_exact, squash, strip
-from ledgerlens.operators.ordering import measured, small_lookup, split_lookup, top_k
-from ledgerlens.session import by_key, scratch_path
+from ledgerlens.operators.ordering import BROADCAST_ROWS, measured, small_lookup, top_k
+from ledgerlens.session import scratch_path
 
-SCORE_DIGITS = 12  # sums of doubles agree to this many digits whatever their order
+QUERY_TERMS = 50_000  # question terms that come to a shard at a time
 QUERY_BLOCK = 2_000  # question vectors held by one task at a time
 
 
@@ -62,66 +63,90 @@ def idf(n: Column, df: Column) -> Column:
 
 
 class TermIndex:
-    """Unit-length weights of chunk terms: `weights` (keys, term, w); `vocabulary` (term, df, idf).
+    """Unit-length weights of chunk terms, in stored shards of posting blocks; `vocabulary` (scope, term, df, idf).
 
-    Like any index it is built once and stored: three tables in the shared folder. Chunks
-    are placed by key first, so their tokens are counted without moving the tokens.
-    Chunks without a single term still count in n, as rows of an all-zero matrix would.
+    With `scope` columns every scope (a session, a document) is an index of its own: its own
+    frequencies, and questions see only its chunks. A shard holds the postings of up to SHARD
+    chunks of one scope, so frequent terms and large scopes are split over many. Chunks
+    without a single term still count in n, as rows of an all-zero matrix would.
+
+    Postings are never joined by term: the shards' terms, one row each, meet the vocabulary,
+    and the idf goes back to the shard.
     """
 
-    def __init__(self, chunks: DataFrame, keys: list[str], text: str = "text", stop_words=vocab.STOP_WORDS):
-        self.keys, self.stop_words, self._spark = keys, stop_words, chunks.sparkSession
-        placed = by_key(chunks.select(*keys, F.col(text).alias("_text")), *keys)
-        # the row of an empty term keeps chunks without terms in the count
-        terms = F.concat(tokens(F.col("_text"), stop_words), F.array(F.lit("")))
-        counts = placed.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-        counts = self._stored("counts", counts)
-        n_chunks = counts.filter("term = ''").count()
-        counts = counts.filter("term <> ''")
-        df = document_frequencies(counts)
-        self.vocabulary = self._stored("vocabulary", df.withColumn("idf", idf(F.lit(n_chunks), F.col("df"))))
-        total = self.vocabulary.agg(F.sum("df")).first()[0] or 0
-        joined = split_lookup(counts, self.vocabulary, "term", "df", total)
-        weights = by_key(joined.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w")), *keys)
-        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys)))  # the terms of one chunk
-        self.weights = self._stored("weights", weights.withColumn("w", F.col("w") / length))
+    def __init__(self, chunks: DataFrame, keys: list[str], text: str = "text", stop_words=vocab.STOP_WORDS, scope: list[str] | None = None):
+        self.keys, self.scope, self.stop_words, self._spark, self._blocks = keys, scope or [], stop_words, chunks.sparkSession, None
+        words = F.array_join(tokens(F.col(text), stop_words), " ").alias("_words")
+        rows = chunks.select(*self.scope, F.struct(*keys).alias("_id"), words)
+        if self.scope:
+            rows = self._by_scope(self._stored("words", rows))
+        schema = T.StructType([*[rows.schema[c] for c in self.scope], T.StructField("ids", T.ArrayType(rows.schema["_id"].dataType)), *T.StructType.fromDDL(postings.LISTS).fields])
+        built = postings.shards(len(self.scope), keys, to_arrow_schema(schema))
+        self._shards = self._stored("shards", rows.mapInArrow(built, schema).withColumn("shard", F.monotonically_increasing_id()))
+        self.vocabulary = self._stored("vocabulary", self._frequencies())
+
+    def _by_scope(self, rows: DataFrame) -> DataFrame:
+        """Rows placed and sorted by scope; a large scope is dealt to as many places as it fills."""
+        sizes = rows.groupBy(*self.scope).agg(F.ceil(F.count(F.lit(1)) / (4 * postings.SHARD)).alias("_parts"))
+        dealt = small_lookup(rows, sizes.filter("_parts > 1"), self.scope, "left")
+        part = F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1)))
+        return dealt.withColumn("_part", part).repartition(*self.scope, "_part").sortWithinPartitions(*self.scope).select(*self.scope, "_id", "_words")
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
         path = scratch_path(self._spark, f"index-{name}")
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def _frequencies(self) -> DataFrame:
+        own = self.scope
+        listed = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("starts", i + 1) - F.get("starts", i)).cast("long").alias("n")))
+        df = self._shards.select(*own, F.explode(listed).alias("t")).groupBy(*own, "t.term").agg(F.sum("t.n").alias("df"))
+        if not own:
+            n = self._shards.agg(F.sum(F.size("ids"))).first()[0] or 0
+            return df.withColumn("idf", idf(F.lit(n), F.col("df")))
+        sizes = self._shards.groupBy(*own).agg(F.sum(F.size("ids")).alias("_n"))
+        return small_lookup(df, sizes, own).withColumn("idf", idf(F.col("_n"), F.col("df"))).drop("_n")
+
+    @property
+    def blocks(self) -> DataFrame:
+        """The shards with weights and the largest weight of every block; built and stored at the first search."""
+        if self._blocks is None:
+            listed = self._shards.select(*self.scope, "shard", F.posexplode("terms").alias("i", "term"))
+            known = small_lookup(listed, self.vocabulary.drop("df"), [*self.scope, "term"])
+            known = known.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "idf"))), lambda t: t["idf"]).alias("idf"))
+            rows = self._shards.join(known, "shard").select(*self.scope, "ids", "terms", "starts", "places", "counts", "idf")
+            schema = T.StructType([*rows.schema.fields[: len(self.scope) + 1], *T.StructType.fromDDL(postings.WEIGHED).fields])
+            self._blocks = self._stored("blocks", rows.mapInArrow(postings.weighed(len(self.scope) + 1, to_arrow_schema(schema)), schema))
+        return self._blocks
+
     def question_weights(self, questions: DataFrame, qkeys: list[str], text: str) -> DataFrame:
-        """Unit-length weights of question terms that occur in the index."""
-        counts = term_counts(questions, qkeys, text, self.stop_words)
-        w = small_lookup(self.vocabulary.select("term", "idf"), counts, ["term"]).withColumn("qw", F.col("tf") * F.col("idf")).select(*qkeys, "term", "qw")
-        length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy(*qkeys)))
+        """Unit-length weights of question terms that occur in the index (in the question's scope)."""
+        own = [*self.scope, *[q for q in qkeys if q not in self.scope]]
+        counts = term_counts(questions, own, text, self.stop_words)
+        w = small_lookup(self.vocabulary.drop("df"), counts, [*self.scope, "term"]).withColumn("qw", F.col("tf") * F.col("idf")).select(*own, "term", "qw")
+        length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy(*own)))
         return w.withColumn("qw", F.col("qw") / length)
 
     def search(self, questions: DataFrame, qkeys: list[str], text: str, k: int = vocab.TFIDF_K) -> DataFrame:
-        """Top k chunks per question by cosine: cut to k first, then drop scores of zero.
+        """Top k chunks per question by cosine, one pass over the blocks for all questions.
 
-        Ties go to the lower chunk keys. No score of zero is ever produced, because only
-        shared terms join, so cutting first changes nothing.
+        The questions of a scope come to its shards, QUERY_TERMS terms at a time; every shard
+        hands on its k best per question and skips blocks that cannot reach them. Ties go to
+        the lower chunk keys; scores of zero are no hits.
         """
-        n_blocks = -(-questions.count() // QUERY_BLOCK)
-        found = None
-        for block in range(max(n_blocks, 1)):
-            own = questions if n_blocks <= 1 else questions.filter(F.pmod(F.xxhash64(*qkeys), F.lit(n_blocks)) == block)
-            near = self._scored(self.question_weights(own, qkeys, text), qkeys)
-            near = top_k(near, qkeys, [F.col("score").desc(), *[F.col(c) for c in self.keys]], k)
-            found = near if found is None else found.unionByName(near)
-        return found
-
-    def _scored(self, asked: DataFrame, qkeys: list[str]) -> DataFrame:
-        # the question terms of one block, one row per term: broadcast when few in all, so
-        # that the stored weights are scanned in place and only matching rows are summed
-        asked, small = measured(asked)
-        by_term = asked.groupBy("term").agg(F.collect_list(F.struct(*qkeys, "qw")).alias("asked"))
-        hits = self.weights.join(F.broadcast(by_term) if small else by_term, "term").select(*self.keys, "w", F.explode("asked").alias("a"))
-        return hits.groupBy(*self.keys, *[F.col("a")[q].alias(q) for q in qkeys]).agg(
-            F.round(F.sum(F.col("w") * F.col("a.qw")), SCORE_DIGITS).alias("score")
-        )
+        own = [*self.scope, *[q for q in qkeys if q not in self.scope]]
+        numbered = self._stored("questions", questions.select(*own, F.col(text).alias("_text")).withColumn("_q", F.monotonically_increasing_id()))
+        asked = self._stored("asked", self.question_weights(numbered, [*self.scope, "_q"], "_text"))
+        total = asked.count()
+        part = F.pmod(F.xxhash64("_q"), F.lit(-(-total // QUERY_TERMS) or 1)).alias("_part")
+        place = F.coalesce(*[F.col(c) for c in self.scope]) if len(self.scope) == 1 else F.struct(*self.scope) if self.scope else F.lit(0)
+        packed = asked.withColumn("_scope", place).groupBy("_scope", part).agg(F.collect_list(F.struct("_q", "term", "qw")).alias("asked")).drop("_part")
+        shards = self.blocks.withColumn("_scope", place).join(F.broadcast(packed) if total <= BROADCAST_ROWS else packed, "_scope").drop("_scope", *self.scope)
+        chunk = self.blocks.schema["ids"].dataType.elementType
+        schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_id", chunk), T.StructField("score", T.DoubleType())])
+        hits = shards.mapInArrow(postings.searched(k, to_arrow_schema(schema)), schema).select("_q", "_id.*", "score")
+        best = top_k(hits, ["_q"], [F.col("score").desc(), *[F.col(c) for c in self.keys]], k)
+        return best.join(numbered.drop("_text"), "_q").select(*qkeys, *self.keys, "score", "rank")
 
 
 # --- answers ----------------------------------------------------------------------

@@ -80,6 +80,15 @@ def tfidf_topk(spark, sf):
     return hits.select("item_id", "rank", "doc_id", "chunk_no", F.round("score", 3).alias("score"))
 
 
+def tfidf_topk_by_session(spark, sf):
+    """The same within one session: the sources are the sessions, and each asks the items that fall to it."""
+    sources = I.table(spark, sf, "documents").select("doc_id", F.col("source").alias("session_id"))
+    index = R.TermIndex(small_lookup(chunks(spark, sf), sources, ["doc_id"]), ["doc_id", "chunk_no"], scope=["session_id"])
+    asked = questions(spark, sf).withColumn("session_id", F.concat(F.lit("src"), F.col("item_id") % 20))
+    hits = index.search(asked, ["item_id"], "question", vocab.TFIDF_K)
+    return hits.select("item_id", "rank", "doc_id", "chunk_no", F.round("score", 3).alias("score"))
+
+
 def _answers(spark, sf):
     text = chunks(spark, sf)
     parts = R.decompose(questions(spark, sf), ["item_id"])
@@ -263,6 +272,20 @@ ORACLE = {
     "tfidf_stats": f"WITH docs AS (SELECT doc_id, text FROM documents){index_sql('docs', 'doc_id')} SELECT term, df, round(idf, 9) AS idf FROM voc",
     "tfidf_topk": f"{_CHUNKS}, asked AS (SELECT item_id, text AS qtext FROM benchmark){index_sql('cc', 'doc_id, chunk_no')}{search_sql('asked', 'item_id', vocab.TFIDF_K)}"
     " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_no, round(score, 3) AS score FROM top",
+    "tfidf_topk_by_session": f"""{_CHUNKS}, ss AS (SELECT cc.*, source AS session_id FROM cc JOIN documents USING (doc_id) WHERE source IS NOT NULL),
+tk AS (SELECT session_id, doc_id, chunk_no, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM ss),
+tf AS (SELECT session_id, doc_id, chunk_no, term, count(*) AS tf FROM tk WHERE term NOT IN {_STOP} GROUP BY ALL),
+nn AS (SELECT session_id, count(*) AS n FROM ss GROUP BY 1),
+voc AS (SELECT session_id, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf JOIN nn USING (session_id) GROUP BY 1, 2),
+we AS (SELECT session_id, doc_id, chunk_no, term, tf * idf AS w FROM tf JOIN voc USING (session_id, term)),
+le AS (SELECT session_id, doc_id, chunk_no, sqrt(sum(w * w)) AS len FROM we GROUP BY ALL),
+qt AS (SELECT item_id, 'src' || item_id % 20 AS session_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM benchmark),
+qw AS (SELECT session_id, item_id, term, count(*) * any_value(idf) AS q FROM qt JOIN voc USING (session_id, term) GROUP BY ALL),
+ql AS (SELECT item_id, sqrt(sum(q * q)) AS qlen FROM qw GROUP BY ALL),
+sc AS (SELECT item_id, doc_id, chunk_no, round(sum(q / qlen * w) / any_value(len), 12) AS score
+       FROM qw JOIN ql USING (item_id) JOIN we USING (session_id, term) JOIN le USING (session_id, doc_id, chunk_no) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_no) AS INTEGER) AS rank, doc_id, chunk_no, round(score, 3) AS score
+FROM sc QUALIFY rank <= {vocab.TFIDF_K}""",
     "research_answers": _ANSWERS + """, tg AS (SELECT item_id, '[' || chunk_id || ' | ' || section || ']' AS tag, min(part * 10 + rank) AS o FROM hit GROUP BY 1, 2),
       ci AS (SELECT item_id, string_agg(tag, ' ' ORDER BY o) AS citations FROM tg GROUP BY 1)
       SELECT item_id, CAST(count(*) AS INTEGER) AS n_parts, string_agg('- On "' || sub_question || '": ' || finding, chr(10) ORDER BY part) AS synthesis,
