@@ -107,15 +107,11 @@ class Shard:
         self.term_at, self.blocks, self.tops, self.block_at, self.places, self.weights = term_at, blocks, tops, block_at, places, weights
         self.texts, self.block, self.scored = texts, block, 0
 
-    def _score(self, lists: list[tuple[float, slice]], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the texts in the wanted blocks; only their postings are read."""
-        score = np.zeros(self.texts)
-        for weight, own in lists:
-            take = np.flatnonzero(wanted[self.blocks[own]]) + own.start
-            size = self.block_at[take + 1] - self.block_at[take]
-            at = np.repeat(self.block_at[take] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            self.scored += len(at)
-            score[self.places[at]] += weight * self.weights[at]
+    def _score(self, entries: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the texts in some blocks, given as entries of all asked terms; only their postings are read."""
+        at, size = _ranges(self.block_at[entries], self.block_at[entries + 1])
+        self.scored += len(at)
+        score = np.bincount(self.places[at], np.repeat(weight, size) * self.weights[at], self.texts)
         held = np.flatnonzero(score > 0)
         return held, np.round(score[held], DIGITS)
 
@@ -125,21 +121,26 @@ class Shard:
         Blocks whose terms' largest weights cannot add up to the k-th score of the most
         promising ones are skipped; equal scores are not, as the order of ids decides there.
         """
-        lists = [(w, slice(int(self.term_at[i]), int(self.term_at[i + 1]))) for t, w in sorted(asked) if (i := self.number.get(t)) is not None]
-        bound = np.zeros(self.texts // self.block + 1)
-        for weight, own in lists:
-            bound[self.blocks[own]] += weight * self.tops[own]
-        bound += 2 * 10.0**-DIGITS  # sums of doubles, and rounding
-        open_ = (bound >= least) & (bound > 2 * 10.0**-DIGITS)
+        known = [(i, w) for t, w in sorted(asked) if (i := self.number.get(t)) is not None]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        number = np.array([i for i, _ in known])
+        entries, size = _ranges(self.term_at[number], self.term_at[number + 1])
+        weight, block = np.repeat([w for _, w in known], size), self.blocks[entries]
+        slack = 2 * 10.0**-DIGITS  # sums of doubles, and rounding
+        bound = np.bincount(block, weight * self.tops[entries], self.texts // self.block + 1)
+        open_ = (bound > 0) & (bound + slack >= least)
         first = np.zeros(len(bound), bool)
         order = np.flatnonzero(open_)
         first[order[np.argsort(-bound[order], kind="stable")[:PROBE]]] = True
-        places, score = self._score(lists, first)
+        take = first[block]
+        places, score = self._score(entries[take], weight[take])
         if len(score) >= k:
             least = max(least, np.partition(score, len(score) - k)[len(score) - k])
-        rest = open_ & ~first & (bound >= least)
+        rest = open_ & ~first & (bound + slack >= least)
         if rest.any():
-            more, scores = self._score(lists, rest)
+            take = rest[block]
+            more, scores = self._score(entries[take], weight[take])
             places, score = np.concatenate([places, more]), np.concatenate([score, scores])
         keep = score >= least
         places, score = places[keep], score[keep]
@@ -147,6 +148,12 @@ class Shard:
         return places[order], score[order]
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of several ranges, one after the other, and their sizes."""
+    size = (stops - starts).astype(np.int64)
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
 def searched(k: int, schema: pa.Schema, block: int = BLOCK):
     """Shards with the questions asked of them -> question, id and score of each shard's k best.
 

@@ -17,7 +17,7 @@ from ledgerlens import vocab
 from ledgerlens.functions import postings
 from ledgerlens.functions.text import SPACE, let, round_exact, squash, strip
 from ledgerlens.operators.ordering import BROADCAST_ROWS, measured, small_lookup, top_k
-from ledgerlens.session import scratch_path
+from ledgerlens.session import by_key, scratch_path
 
 QUERY_TERMS = 50_000  # question terms that come to a shard at a time
 QUERY_BLOCK = 2_000  # question vectors held by one task at a time
@@ -112,9 +112,11 @@ class TermIndex:
         """The shards with weights and the largest weight of every block; built and stored at the first search."""
         if self._blocks is None:
             listed = self._shards.select(*self.scope, "shard", F.posexplode("terms").alias("i", "term"))
-            known = small_lookup(listed, self.vocabulary.drop("df"), [*self.scope, "term"])
+            words = self.vocabulary.drop("df")  # stored, so it is only counted
+            words = F.broadcast(words) if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else words
+            known = listed.join(words, [*self.scope, "term"])
             known = known.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "idf"))), lambda t: t["idf"]).alias("idf"))
-            rows = self._shards.join(known, "shard").select(*self.scope, "ids", "terms", "starts", "places", "counts", "idf")
+            rows = by_key(self._shards, "shard").join(known, "shard").select(*self.scope, "ids", "terms", "starts", "places", "counts", "idf")
             schema = T.StructType([*rows.schema.fields[: len(self.scope) + 1], *T.StructType.fromDDL(postings.WEIGHED).fields])
             self._blocks = self._stored("blocks", rows.mapInArrow(postings.weighed(len(self.scope) + 1, to_arrow_schema(schema)), schema))
         return self._blocks
