@@ -7,6 +7,7 @@ what is shuffled is k rows per question and shard.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerlens import vocab
-from ledgerlens.functions import postings
+from ledgerlens.functions import postings, vectors
 from ledgerlens.functions.text import SPACE, let, round_exact, squash, strip
 from ledgerlens.operators.ordering import BROADCAST_ROWS, measured, small_lookup, top_k
 from ledgerlens.session import by_key, scratch_path
 
 QUERY_TERMS = 50_000  # question terms that come to a shard at a time
-QUERY_BLOCK = 2_000  # question vectors held by one task at a time
+QUERY_BLOCK = 2_000  # question vectors that come to a block at a time
+BROADCAST_NUMBERS = 4_000_000  # most entries of question vectors that are sent to every task
+PIVOTS = 8  # stored vectors whose distances bound those between others
 
 
 # --- questions ------------------------------------------------------------------
@@ -62,6 +65,21 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((F.lit(1) + n) / (F.lit(1) + df)) + 1
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows stored once in the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal_by_scope(rows: DataFrame, scope: list[str], size: int) -> DataFrame:
+    """Stored rows (with an `_id`) placed and sorted by scope; a scope of more than `size` rows is dealt to as many places as it fills."""
+    sizes = rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+    dealt = small_lookup(rows, sizes.filter("_parts > 1"), scope, "left")
+    part = F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1)))
+    return by_key(dealt.withColumn("_part", part), *scope, "_part").sortWithinPartitions(*scope).select(*rows.columns)
+
+
 class TermIndex:
     """Unit-length weights of chunk terms, in stored shards of posting blocks; `vocabulary` (scope, term, df, idf).
 
@@ -79,23 +97,14 @@ class TermIndex:
         words = F.array_join(tokens(F.col(text), stop_words), " ").alias("_words")
         rows = chunks.select(*self.scope, F.struct(*keys).alias("_id"), words)
         if self.scope:
-            rows = self._by_scope(self._stored("words", rows))
+            rows = deal_by_scope(self._stored("words", rows), self.scope, 4 * postings.SHARD)
         schema = T.StructType([*[rows.schema[c] for c in self.scope], T.StructField("ids", T.ArrayType(rows.schema["_id"].dataType)), *T.StructType.fromDDL(postings.LISTS).fields])
         built = postings.shards(len(self.scope), keys, to_arrow_schema(schema))
         self._shards = self._stored("shards", rows.mapInArrow(built, schema).withColumn("shard", F.monotonically_increasing_id()))
         self.vocabulary = self._stored("vocabulary", self._frequencies())
 
-    def _by_scope(self, rows: DataFrame) -> DataFrame:
-        """Rows placed and sorted by scope; a large scope is dealt to as many places as it fills."""
-        sizes = rows.groupBy(*self.scope).agg(F.ceil(F.count(F.lit(1)) / (4 * postings.SHARD)).alias("_parts"))
-        dealt = small_lookup(rows, sizes.filter("_parts > 1"), self.scope, "left")
-        part = F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1)))
-        return dealt.withColumn("_part", part).repartition(*self.scope, "_part").sortWithinPartitions(*self.scope).select(*self.scope, "_id", "_words")
-
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        path = scratch_path(self._spark, f"index-{name}")
-        df.write.parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        return _written(df, f"index-{name}")
 
     def _frequencies(self) -> DataFrame:
         own = self.scope
@@ -244,73 +253,55 @@ def grounding_scores(findings: DataFrame, chunks: DataFrame, key: str, chunk_sco
 
 def vector_search(
     chunks: DataFrame, queries: DataFrame, chunk_id: str, k: int = vocab.VECTOR_K, overfetch: int = vocab.VECTOR_OVERFETCH,
-    scope: str | None = None, filters: dict[str, str] | None = None,
+    scope: str | None = None, filters: dict[str, str] | None = None, columns: list[str] | None = None,
 ) -> DataFrame:
-    """k nearest chunks per query by squared distance, exact.
+    """k nearest chunks per query by squared distance, exact: query_id, rank, the chunk's id, score and further `columns` of it.
 
     queries: query_id, embedding, and the scope column; `filters` maps chunk columns to
     query columns. As an index does, overfetch * k neighbours are taken first and the
-    filters apply to those, so fewer than k may remain.
-
-    Every task compares its chunks with a block of queries and keeps only its nearest few,
-    so the shuffle carries overfetch * k rows per query and task. Queries beyond one block
-    take further passes over the chunks.
+    filters apply to those, so fewer than k may remain. Chunks and queries without a vector
+    are left out.
+
+    Chunks are stored in blocks of one scope, of vectors at like distances from a few pivots; a
+    large scope is dealt to many places. The queries of a scope come to its blocks, QUERY_BLOCK
+    at a time, in one pass. Every task skips blocks that the triangle inequality puts beyond a
+    query's nearest few so far, so the shuffle carries little more than overfetch * k rows per
+    query and task. Other columns are looked up for the fetched chunks only.
     """
-    filters = filters or {}
-    limit = k * overfetch
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
-    columns = list(dict.fromkeys([chunk_id, *([scope] if scope else []), *filters]))
-    found = None
-    for block in range(max(n_blocks, 1)):
-        part = queries if n_blocks <= 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        near = _nearest(chunks, part, columns, chunk_id, scope, limit)
-        found = near if found is None else found.unionByName(near)
-    fetched = top_k(found, ["query_id"], [F.col("score"), F.col(chunk_id)], limit, "fetch_rank")
-    asked = queries.select("query_id", *[F.col(c).alias(f"_want_{c}") for c in filters.values()])
-    kept = fetched.join(asked, "query_id")
+    filters, limit, own = filters or {}, k * overfetch, [scope] if scope else []
+    spark = chunks.sparkSession
+    rows = chunks.select(*own, F.col(chunk_id).alias("_id"), F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    asked = queries.select(*own, "query_id", F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    asked = _written(asked.withColumn("_q", F.monotonically_increasing_id()), "queries")
+    hit = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_id", chunks.schema[chunk_id].dataType), T.StructField("score", T.DoubleType())])
+    pivots = [r["v"] for r in rows.select("v", F.xxhash64("_id").alias("h")).orderBy("h").limit(PIVOTS).collect()]
+    if not pivots:
+        found = spark.createDataFrame([], hit)
+    else:
+        pivots = np.array(pivots)
+        if scope:
+            rows = deal_by_scope(_written(rows, "vectors"), own, vectors.RUN * vectors.BLOCK)
+        doubles = T.StructType.fromDDL("vectors array<double>, low array<double>, high array<double>")
+        schema = T.StructType([*[rows.schema[c] for c in own], T.StructField("ids", T.ArrayType(hit["_id"].dataType)), *doubles.fields])
+        blocks = _written(rows.mapInArrow(vectors.built(to_arrow_schema(schema), len(own), pivots), schema), "blocks")
+        n = asked.count()
+        part = F.pmod(F.xxhash64("_q"), F.lit(-(-n // QUERY_BLOCK) or 1)).alias("_part")
+        place = F.col(scope) if scope else F.lit(0)
+        packed = asked.groupBy(place.alias("_scope"), part).agg(F.collect_list(F.struct("_q", "v")).alias("asked")).drop("_part")
+        met = blocks.withColumn("_scope", place).join(F.broadcast(packed) if n * pivots.shape[1] <= BROADCAST_NUMBERS else packed, "_scope")
+        found = met.mapInArrow(vectors.searched(to_arrow_schema(hit), pivots, limit), hit)
+    fetched = _written(top_k(found, ["_q"], [F.col("score"), F.col("_id")], limit, "fetch_rank"), "fetched")
+    kept = fetched.join(asked.select("_q", "query_id"), "_q").drop("_q").withColumnRenamed("_id", chunk_id)
+    carried = list(dict.fromkeys([*filters, *(columns or [])]))
+    if carried:
+        wanted = kept.select(chunk_id).distinct()
+        known = chunks.select(chunk_id, *[c for c in carried if c != chunk_id])
+        kept = kept.join(small_lookup(known, wanted, [chunk_id]), chunk_id)
+    wants = queries.select("query_id", *[F.col(c).alias(f"_want_{c}") for c in filters.values()])
+    kept = kept.join(wants, "query_id") if filters else kept
     for column, want in filters.items():
         kept = kept.filter(F.col(f"_want_{want}").isNull() | (F.col(f"_want_{want}") == F.col(column)))
-    kept = kept.drop(*[f"_want_{c}" for c in filters.values()])
-    return top_k(kept, ["query_id"], [F.col("fetch_rank")], k)
-
-
-def _nearest(chunks: DataFrame, queries: DataFrame, columns: list[str], chunk_id: str, scope: str | None, limit: int) -> DataFrame:
-    spark = chunks.sparkSession
-    rows = queries.select("query_id", "embedding", *([scope] if scope else [])).toPandas()  # at most one block
-    held = spark.sparkContext.broadcast(rows)
-    query_type = queries.schema["query_id"].dataType
-    schema = T.StructType(
-        [T.StructField("query_id", query_type), *[chunks.schema[c] for c in columns], T.StructField("score", T.DoubleType())]
-    )
-
-    def nearest(batches):
-        import numpy as np
-        import pandas as pd
-
-        asked = held.value
-        if asked.empty:
-            return
-        wanted = np.stack(asked["embedding"].map(lambda v: np.asarray(v, dtype="float64")))
-        best: list = [None] * len(asked)
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack(batch["embedding"].map(lambda v: np.asarray(v, dtype="float64")))
-            for q in range(len(asked)):
-                own = np.flatnonzero(batch[scope] == asked[scope].iloc[q]) if scope else np.arange(len(batch))
-                diff = vectors[own] - wanted[q]
-                score = np.einsum("ij,ij->i", diff, diff)
-                if len(own) > limit:  # keep all that tie with the last place, then order them
-                    near = score <= np.partition(score, limit - 1)[limit - 1]
-                    own, score = own[near], score[near]
-                here = batch[columns].iloc[own].assign(score=score)
-                both = here if best[q] is None else pd.concat([best[q], here])
-                best[q] = both.sort_values(["score", chunk_id]).head(limit)
-        for q, frame in enumerate(best):
-            if frame is not None and len(frame):
-                yield frame.assign(query_id=asked["query_id"].iloc[q])[[f.name for f in schema]]
-
-    return chunks.select(*columns, "embedding").mapInPandas(nearest, schema)
+    return top_k(kept.drop(*[f"_want_{c}" for c in filters.values()]), ["query_id"], [F.col("fetch_rank")], k)
 
 
 # --- keywords and history ------------------------------------------------------------

@@ -133,33 +133,40 @@ def keyword_match(spark, sf):
     return both.select("conv_id", "turn", R.keyword_match(F.col("text"), F.col("query")).alias("matched"))
 
 
-def _centroids(spark, sf):
-    """One query vector per label: the mean of its vectors, to six decimals."""
-    vectors = I.table(spark, sf, "embeddings")
-    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean = mean.withColumn("m", F.floor(F.col("m") * 1e6 + 0.5) / F.lit(1e6))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    return mean.groupBy("label").agg(listed.alias("embedding")).select(F.col("label").alias("query_id"), F.col("label").alias("want"), "embedding")
+HIT = ["text", "file_name", "page_number", "chunk_index", "source"]
+
+
+def _vectors(spark, sf):
+    """Stored vectors as chunks of documents, ten to a page."""
+    v = I.table(spark, sf, "embeddings")
+    return v.select(
+        "vec_id", "label", "embedding", F.concat(F.lit("piece "), "vec_id").alias("text"), F.concat(F.lit("file"), "label", F.lit(".pdf")).alias("file_name"),
+        F.floor(F.col("vec_id") / 10).alias("page_number"), (F.col("vec_id") % 10).alias("chunk_index"), F.lit("text_layer").alias("source"),
+    )
+
+
+def _asked_vectors(spark, sf):
+    """Every fiftieth vector asks for its neighbours."""
+    v = I.table(spark, sf, "embeddings").filter("vec_id % 50 = 0")
+    return v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"), F.col("label").alias("session_id"), "embedding")
 
 
 def vector_topk(spark, sf):
-    hits = R.vector_search(I.table(spark, sf, "embeddings"), _centroids(spark, sf), "vec_id")
-    return hits.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+    hits = R.vector_search(_vectors(spark, sf), _asked_vectors(spark, sf), "vec_id", columns=HIT)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"), *HIT)
 
 
 def vector_topk_filtered(spark, sf):
     """Company filter after the over-fetch, so fewer than k may remain."""
-    hits = R.vector_search(I.table(spark, sf, "embeddings"), _centroids(spark, sf), "vec_id", filters={"label": "want"})
-    return hits.select("query_id", "rank", "vec_id", "label", F.round("score", 9).alias("score"))
+    hits = R.vector_search(_vectors(spark, sf), _asked_vectors(spark, sf), "vec_id", filters={"label": "want"}, columns=HIT)
+    return hits.select("query_id", "rank", "vec_id", "label", F.round("score", 9).alias("score"), *HIT)
 
 
 def vector_topk_by_session(spark, sf):
     """Search within a session: the label is the session of chunk and query."""
-    vectors = I.table(spark, sf, "embeddings").withColumn("session_id", F.col("label"))
-    queries = _centroids(spark, sf).withColumn("session_id", F.col("want"))
-    hits = R.vector_search(vectors, queries, "vec_id", scope="session_id")
-    return hits.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+    chunks_of = _vectors(spark, sf).withColumn("session_id", F.col("label"))
+    hits = R.vector_search(chunks_of, _asked_vectors(spark, sf), "vec_id", scope="session_id", columns=HIT)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"), *HIT)
 
 
 def chat_history(spark, sf):
@@ -260,11 +267,11 @@ fi AS (SELECT p.item_id, p.part, p.sub_question,
        FROM parts p LEFT JOIN hit USING (item_id, part) GROUP BY 1, 2, 3)"""
 )
 
-_CENTROID = """cn AS (SELECT label, i, floor(avg(CAST(x AS DOUBLE)) * 1e6 + 0.5) / 1e6 AS m FROM
-   (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
-qv AS (SELECT label AS query_id, list(m ORDER BY i) AS q FROM cn GROUP BY 1),
-ds AS (SELECT query_id, vec_id, label, list_sum(list_transform(range(1, len(q) + 1), lambda j: (CAST(embedding[j] AS DOUBLE) - q[j]) ** 2)) AS score FROM embeddings, qv{where}),
+_NEAREST = """ch AS (SELECT *, 'piece ' || vec_id AS text, 'file' || label || '.pdf' AS file_name, vec_id // 10 AS page_number, vec_id % 10 AS chunk_index, 'text_layer' AS source FROM embeddings),
+qv AS (SELECT vec_id AS query_id, label AS want, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+ds AS (SELECT query_id, want, ch.*, list_sum(list_transform(range(1, len(q) + 1), lambda j: (CAST(embedding[j] AS DOUBLE) - CAST(q[j] AS DOUBLE)) ** 2)) AS score FROM ch, qv{where}),
 fe AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS fr FROM ds QUALIFY fr <= 15)"""
+_HIT = "round(score, 9) AS score, text, file_name, page_number, chunk_index, source"
 
 ORACLE = {
     "section_chunks": _CHUNKS + " SELECT * FROM cc",
@@ -303,10 +310,10 @@ FROM sc QUALIFY rank <= {vocab.TFIDF_K}""",
     "keyword_retrieval": "SELECT doc_id, source FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in KEYWORDS.lower().split()),
     "keyword_match": f"SELECT a.conv_id, a.turn, len(list_filter(string_split(trim(regexp_replace(lower(b.text), '{WS}+', ' ', 'g')), ' '), lambda w: w <> '' AND contains(lower(a.text), w))) > 0 AS matched "
     "FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1",
-    "vector_topk": f"WITH {_CENTROID.format(where='')} SELECT query_id, CAST(fr AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM fe WHERE fr <= 5",
-    "vector_topk_filtered": f"WITH {_CENTROID.format(where='')}, kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr) AS r FROM fe WHERE label = query_id) "
-    "SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, label, round(score, 9) AS score FROM kp WHERE r <= 5",
-    "vector_topk_by_session": f"WITH {_CENTROID.format(where=' WHERE label = query_id')} SELECT query_id, CAST(fr AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM fe WHERE fr <= 5",
+    "vector_topk": f"WITH {_NEAREST.format(where='')} SELECT query_id, CAST(fr AS INTEGER) AS rank, vec_id, {_HIT} FROM fe WHERE fr <= 5",
+    "vector_topk_filtered": f"WITH {_NEAREST.format(where='')}, kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr) AS r FROM fe WHERE label = want) "
+    f"SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, label, {_HIT} FROM kp WHERE r <= 5",
+    "vector_topk_by_session": f"WITH {_NEAREST.format(where=' WHERE label = want')} SELECT query_id, CAST(fr AS INTEGER) AS rank, vec_id, {_HIT} FROM fe WHERE fr <= 5",
     "chat_history": """WITH q AS (SELECT u.conv_id AS session_id, u.turn AS query_id, u.text AS question, a.text AS answer FROM conversations u
         LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
       m AS (SELECT session_id, query_id, 0 AS turn, 'user' AS role, question AS content FROM q UNION ALL SELECT session_id, query_id, 1, 'assistant', answer FROM q WHERE answer IS NOT NULL)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from ledgerlens import vocab
-from ledgerlens.functions import postings
+from ledgerlens.functions import postings, vectors
 from ledgerlens.operators import retrieval as R
 
 
@@ -94,3 +94,49 @@ def test_skipped_blocks_hold_no_hit():
         assert again[0].tolist() == places.tolist()  # a k-th score from elsewhere leaves out only what is below it
         skipped -= shard.scored
     assert skipped > 0
+
+
+# --- vectors ------------------------------------------------------------------------
+
+
+def test_pruned_blocks_hold_no_neighbour():
+    """Clustered vectors with ties: what pruning leaves are exactly the nearest, for far fewer comparisons."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 6
+    x = np.round(centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 8)), 1)
+    x[100:160] = x[0]
+    pivots, queries = x[:6], np.concatenate([x[:20], rng.normal(size=(5, 8)) * 50])
+    near = vectors.Nearest(queries, pivots, 7)
+    found = []
+    for part, low, high in vectors.blocks(x, pivots, 64):
+        assert (np.diff(part) > 0).all()
+        q, place, score = near.add(x[part], low, high)
+        found += list(zip(q.tolist(), score.tolist(), part[place].tolist()))
+    for q, v in enumerate(queries):
+        full = ((x - v) ** 2).sum(axis=1)
+        want = sorted(zip(full.tolist(), range(len(x))))[:7]
+        got = sorted((s, i) for own, s, i in found if own == q)[:7]
+        assert [i for _, i in got] == [i for _, i in want]
+    assert near.compared < 0.5 * len(x) * len(queries)
+
+
+@pytest.mark.parametrize("scope", ["session", None])
+def test_vector_search_in_sessions(spark, monkeypatch, scope):
+    """A hot session that is dealt to many places, sessions without chunks, null vectors, and the hits' own columns."""
+    for name, value in (("BLOCK", 8), ("RUN", 2)):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors.built, "__defaults__", (8,))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 5)
+    rng = random.Random(2)
+    rows = [(i, "hot" if i % 3 else f"s{i % 4}", [float(rng.randint(0, 4)) for _ in range(3)]) for i in range(300)] + [(900, "hot", None)]
+    asked = [(q, ["hot", "s1", "none"][q % 3], [float(rng.randint(0, 4)) for _ in range(3)]) for q in range(24)] + [(99, "hot", None)]
+    chunks = spark.createDataFrame([(i, s, v, f"text {i}") for i, s, v in rows], "c long, session string, embedding array<float>, text string").repartition(4)
+    queries = spark.createDataFrame(asked, "query_id long, session string, embedding array<float>")
+    hits = R.vector_search(chunks, queries, "c", k=3, overfetch=2, scope=scope, columns=["text"]).collect()
+    want = set()
+    for q, s, v in asked:
+        if v:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(e, v)), i) for i, own, e in rows if e and (own == s or not scope))[:3]
+            want |= {(q, r + 1, i, d, f"text {i}") for r, (d, i) in enumerate(near)}
+    assert {(r.query_id, r["rank"], r.c, r.score, r.text) for r in hits} == want and len(hits) == len(want)
+    assert R.vector_search(chunks.limit(0), queries, "c", scope=scope).collect() == []
