@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -103,6 +104,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None =
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_values(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of each text (A-Z lower-cased on request), and for each text (and the end) its first word."""
+    own = LOWER[data] if lower else data
+    each = [own[a:b].tobytes().split() for a, b in zip(offsets, offsets[1:])]
+    first = np.cumsum([0, *map(len, each)])
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for words in each for w in words), U64, int(first[-1])), first
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -111,9 +120,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial fingerprints modulo 2^64 of any span of a byte array, from one running sum."""
+    """Polynomial fingerprints modulo 2^64 of any span of an array of bytes or of hashes, from one running sum.
+
+    For spans of 1,024 and more there are different ones that agree whatever the base (a
+    Thue-Morse sequence and its mirror image), so nothing that long is told apart by it alone.
+    """
 
     def __init__(self, seed: int):
+        self.seed = U64(seed)
         self.table = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
         self.base = int(mix(np.array([seed + 77], U64))[0]) | 1
         self.inverse = pow(self.base, -1, 1 << 64)
@@ -127,7 +141,8 @@ class Rolling:
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)
         out = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        values = self.table[data] if data.dtype == np.uint8 else mix(data + self.seed)
+        np.cumsum(values * self.up[: len(data)], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

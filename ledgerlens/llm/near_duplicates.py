@@ -13,7 +13,7 @@ between candidates is lost, while a bucket of copies takes one comparison per co
 whose signatures agree too little for the similarity (six standard deviations below it)
 are dropped; the others are compared on their full shingle sets.
 
-Shingles are known by 64-bit, sets by 128-bit fingerprints. With the default bands a pair
+Shingles are known by 64-bit fingerprints (of their words' xxh3 values), sets by 128-bit ones. With the default bands a pair
 at the similarity of 0.8 shares no bucket with a chance of 3 in a million, one at 0.9 with
 less than 1e-13.
 
@@ -35,19 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlens.llm.common import LOWER, U64, Rolling, batch_of, bounded, fields, mix, slices, stage, word_spans
+from ledgerlens.llm.common import U64, batch_of, bounded, fields, mix, slices, stage, word_values
 from ledgerlens.llm.graph import components
 
 BANDS, ROWS = 42, 6
 PLACES = BANDS * ROWS
 CHUNK = 256  # nodes of a bucket in one block
-WORDS = Rolling(31)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle fingerprints of each text."""
-    starts, ends, first = word_spans(data, offsets)
-    word = WORDS.spans(WORDS.sums(LOWER[data]), starts, ends)
+    word, first = word_values(data, offsets, lower=True)
 
     def joined(words: np.ndarray, n: int) -> np.ndarray:
         out = mix(words[: len(words) - n + 1] + U64(n))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import jaccard_join, ranked_search, whitening
+from ledgerlens.llm import jaccard_join, near_duplicates, ranked_search, whitening
 from tests.llm.test_operators import SCHEMA, empty, odd, shingles, words  # noqa: F401
 
 
@@ -181,7 +181,9 @@ def test_words_whose_polynomials_agree_are_told_apart(spark):
     for n in (512, 1024, 4096):
         word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
         rows += [(len(rows), word), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")))]
-    assert all(d == c for d, _, c in joined(spark.createDataFrame(rows, "doc_id long, text string")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(d == c for d, _, c in joined(df))
+    assert all(r["kept"] for r in near_duplicates.near_duplicates(df, size=2).collect())
 
 
 # --- whitening ----------------------------------------------------------------------
