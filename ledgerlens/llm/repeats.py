@@ -1,9 +1,9 @@
-"""Repeated byte strings of a fixed length, by minimizers and fingerprints of windows.
+"""Repeated strings of a fixed length in bytes or in words, by minimizers and fingerprints of windows.
 
-A window is a suffix cut to `length` bytes; two windows are repeats if they are equal in all
-of them. No suffix is sorted, in place of a radix sort by leading bytes windows are dealt by
+A window is a suffix cut to `length` bytes (or words, whatever stands between them); two
+windows are repeats if they are equal in all of them. No suffix is sorted, in place of a radix sort by leading bytes windows are dealt by
 what equal windows must share, and grouped by fingerprint. They are first dealt by the
-window's least gram (GRAM bytes, the least by fingerprint of all in the window): neighbours
+window's least gram (GRAM bytes or WORD_GRAM words, the least by fingerprint of all in the window): neighbours
 share it, so one row stands for a run of some 170 windows, and a gram that stands once ends
 its windows at once. Within a gram a pass compares ever smaller parts of a run:
 
@@ -17,7 +17,7 @@ counts per fingerprint, combined before the shuffle, and joins with one row per
 
 Defined cases: a null or empty text has no bytes; texts shorter than the length have no
 windows; a document that stands more than once repeats all its windows; matches never
-cross documents; an empty table gives an empty result; cutting may split a UTF-8 character,
+cross documents; with words, the bytes from the first word of a window to its last are cut; an empty table gives an empty result; cutting may split a UTF-8 character,
 so the remaining bytes are binary (`kept_text` leaves split characters out); other columns
 are carried where stated.
 """
@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import U64, Rolling, batch_of, bounded, fields, slices, stage
+from ledgerlens.llm.common import U64, Rolling, batch_of, bounded, fields, slices, stage, word_spans, word_values
 
 LENGTH = 400
-GRAM = 64
+GRAM, WORD_GRAM = 64, 8
 BLOCK = 16
 ONE, TWO = Rolling(41), Rolling(43)
 LOW = U64(0xFFFFFFFF)
@@ -49,7 +49,7 @@ def text_key(text: Column) -> Column:
 
 
 class Prints:
-    """128-bit fingerprints of spans of one byte array."""
+    """128-bit fingerprints of spans of one array of bytes or of hashes of words."""
 
     def __init__(self, data: np.ndarray):
         self.one, self.two = ONE.sums(data), TWO.sums(data)
@@ -64,6 +64,12 @@ class Prints:
         return [hashlib.blake2b(raw[i : i + width], digest_size=16).digest() for i in range(0, len(raw), width)]
 
 
+def _symbols(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with what their texts consist of: bytes, or hashes of words; and where each text begins."""
+    for part, data, offsets in slices(batches, "text"):
+        yield (part, *word_values(data, offsets)) if words else (part, data, offsets)
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours, from running minima within blocks of that width."""
     n = len(values)
@@ -95,11 +101,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(length: int, gram: int):
+def _runs(length: int, gram: int, words: bool):
     """A row per distinct run of a text with its number there; what repeats within the text comes as spans (no gram)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "text"):
+        for part, data, offsets in _symbols(batches, words):
             prints, keys, rows = Prints(data), part.column("key").to_pylist(), []
             for key, a, b in zip(keys, offsets, offsets[1:]):
                 if b - a < length:
@@ -117,12 +123,12 @@ def _runs(length: int, gram: int):
     return found
 
 
-def _blocks(length: int):
+def _blocks(length: int, words: bool):
     """The blocks of each run: offset range, hull and core."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = pa.schema([("key", pa.binary()), ("anchor", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("core", pa.binary()), ("hull", pa.binary())])
-        for part, data, offsets in slices(batches, "text"):
+        for part, data, offsets in _symbols(batches, words):
             prints, rows = Prints(data), []
             for key, runs, base in zip(part.column("key").to_pylist(), part.column("runs").to_pylist(), offsets):
                 for run in runs:
@@ -139,12 +145,12 @@ def _blocks(length: int):
     return found
 
 
-def _windows(length: int):
+def _windows(length: int, words: bool):
     """Every window of each block."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("window", pa.binary())])
-        for part, data, offsets in slices(batches, "text"):
+        for part, data, offsets in _symbols(batches, words):
             prints, rows = Prints(data), []
             for key, blocks, base in zip(part.column("key").to_pylist(), part.column("blocks").to_pylist(), offsets):
                 starts = np.concatenate([np.arange(b["anchor"] - b["high"], b["anchor"] - b["low"] + 1) for b in blocks])
@@ -154,12 +160,12 @@ def _windows(length: int):
     return found
 
 
-def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """key (see text_key) and spans (sorted by start, they may overlap) for every text with repeated windows; bytes, stop excluded."""
-    gram = min(GRAM, length)
+def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, words: bool = False) -> DataFrame:
+    """key (see text_key) and spans (sorted by start, they may overlap) for every text with repeated windows; in bytes or words, stop excluded."""
+    gram = min(WORD_GRAM if words else GRAM, length)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = df.select(text_key(F.col(text_col)).alias("key"), text.alias("text")).filter(F.octet_length("text") >= length)
-    runs = stage(texts.mapInArrow(_runs(length, gram), RUN), "runs")
+    runs = stage(texts.mapInArrow(_runs(length, gram, words), RUN), "runs")
 
     # grams that stand more than once
     grams = stage(runs.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "grams")
@@ -180,7 +186,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     open_runs = stage(open_runs.groupBy("key").agg(F.collect_list(F.struct("first", "last", "anchor", "gram")).alias("runs")), "open-runs")
     wanted = bounded(stage(open_runs.select("key"), "open-keys"))
     open_texts = stage(texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "open-texts")
-    blocks = open_texts.join(open_runs, "key").select("key", "text", "runs").mapInArrow(_blocks(length), "key binary, anchor long, low long, high long, core binary, hull binary")
+    blocks = open_texts.join(open_runs, "key").select("key", "text", "runs").mapInArrow(_blocks(length, words), "key binary, anchor long, low long, high long, core binary, hull binary")
     blocks = stage(blocks, "blocks")
     one = F.struct("key", "anchor", "low", "high")
     block_hulls = stage(blocks.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "block-hulls")
@@ -192,7 +198,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     mixed = stage(block_hulls.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.min("n").alias("least")).filter("hulls > 1 AND least = 1").select("core"), "mixed")
     open_blocks = block_hulls.join(mixed, "core").select("one.*")
     open_blocks = stage(open_blocks.groupBy("key").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("blocks")), "open-blocks")
-    windows = open_texts.join(open_blocks, "key").select("key", "text", "blocks").mapInArrow(_windows(length), "key binary, start long, window binary")
+    windows = open_texts.join(open_blocks, "key").select("key", "text", "blocks").mapInArrow(_windows(length, words), "key binary, start long, window binary")
     windows = stage(windows, "windows")
     again = stage(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window"), "again")
     covers = covers.unionByName(windows.join(again, "window").select("key", "start", (F.col("start") + length).alias("stop")))
@@ -200,11 +206,18 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     return covers.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(words: bool):
+    return lambda batches: _cut_rows(batches, words)
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in slices(batches, "text"):
         rows, given = [], part.column("text").is_valid().to_pylist()
-        for spans, valid, a, b in zip(part.column("spans").to_pylist(), given, offsets, offsets[1:]):
+        starts, ends, first = word_spans(data, offsets) if words else (None, None, offsets)
+        for spans, valid, a, b, w in zip(part.column("spans").to_pylist(), given, offsets, offsets[1:], first):
             removed = merged([(s["start"], s["stop"]) for s in spans or []])
+            if words:
+                removed = [(int(starts[w + s] - a), int(ends[w + e - 1] - a)) for s, e in removed]
             edges = [0, *(p for s in removed for p in s), int(b - a)]
             kept = b"".join(data[a + s : a + e].tobytes() for s, e in zip(edges[::2], edges[1::2]))
             rows.append((int(b - a), int(b - a) - len(kept), [{"start": s, "stop": e} for s, e in removed], kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if valid else None))
@@ -214,10 +227,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(columns, row, *[list(c) for c in zip(*rows)])
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, carried: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, carried: list[str] | None = None, words: bool = False) -> DataFrame:
     """row (the carried columns), n_bytes, n_removed, removed (spans), kept (bytes), kept_sha256 and kept_text (null for a null text) of every row."""
-    spans = stage(repeated_spans(df, text_col, length), "spans")
+    spans = stage(repeated_spans(df, text_col, length, words), "spans")
     rows = df.select(F.struct(*(carried or df.columns)).alias("row"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
     rows = rows.join(spans, "key", "left").select("row", "text", "spans")
     rest = "n_bytes long, n_removed long, removed array<struct<start: bigint, stop: bigint>>, kept binary, kept_sha256 string, kept_text string"
-    return rows.mapInArrow(_cut, fields(rows.schema["row"], rest))
+    return rows.mapInArrow(_cut(words), fields(rows.schema["row"], rest))

@@ -154,6 +154,22 @@ def test_repeats_odd_rows(odd, length):
     assert sorted(got, key=str) == sorted(((d, *c) for (d, _), c in zip(rows, brute_cut([t for _, t in rows], length))), key=str)
 
 
+def test_repeats_of_words_against_brute_force(odd):
+    """Windows of 12 words, long texts included: words covered by a window that also stands elsewhere."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
+    split = [t.split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + 12]) for w in split for i in range(len(w) - 11))
+    want = []
+    for (doc_id, text), w in zip(rows, split):
+        gone = set()
+        for i in range(len(w) - 11):
+            if seen[tuple(w[i : i + 12])] > 1:
+                gone |= set(range(i, i + 12))
+        want.append((doc_id, len(text), [x for i, x in enumerate(w) if i not in gone]))
+    got = repeats.remove_repeats(odd, length=12, words=True, carried=["doc_id"]).collect()
+    assert sorted([(r.row.doc_id, r.n_bytes, bytes(r.kept).split()) for r in got], key=str) == sorted(want, key=str)
+
+
 def test_repeats_against_brute_force(spark):
     """Passages shared in whole and in part, at the length's very limits, within and across texts."""
     rng = random.Random(11)

@@ -1,5 +1,7 @@
 """The registered queries beside their SQL, and the pipeline's stages on their own inputs."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -40,6 +42,28 @@ def test_pipeline_stages(spark, sf_dir):
             assert docs.count() == corpus_pipeline.decontamination.decontaminate(before, items).filter("NOT contaminated").count()
 
 
+def test_stages_of_two_inputs_do_not_meet(spark, sf_dir):
+    """A stage called on a second input before the first result was written; and one result read twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    halves = [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")]
+    for _, step in corpus_pipeline.STAGES:
+        first, second = (step(spark, half, sf_dir) for half in halves)
+        assert first.count() == first.count() > 0 and second.count() > 0
+        halves = [stage(first, "test"), stage(second, "test")]
+
+
+def test_passages_of_fifty_words_go(spark, sf_dir):
+    """A passage of 54 short words, far below 400 bytes, shared by two documents; one of 49 stays."""
+    rng = random.Random(8)
+    make = lambda n: " ".join(f"{rng.randrange(16**4):04x}" for _ in range(n))
+    long, short = make(54), make(49)
+    texts = [f"{make(30)} {long}\n{make(30)}", f"{make(20)} {long.replace(' ', '  ')} {make(40)}", f"{make(70)} {short}", f"{short} {make(70)}", make(200)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, sf_dir).collect()}
+    assert len(got) == 5 and got[0].text.split() == texts[0].replace(long, "").split() and len(got[1].text.split()) == 60
+    assert [got[i].text for i in (2, 3, 4)] == texts[2:] and all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_pipeline_takes_odd_rows(spark, sf_dir):
     rows = [(1, None, None, None, None), (None, "", "en", "a", 0), (2, "w " * 30_000, "en", "a", 60_000), (2, "w " * 30_000, "en", "a", 60_000)]
     for table in (rows, []):
