@@ -20,21 +20,18 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import decontamination, mixing, near_duplicates, quality_rules, repeats
 from ledgerlens.llm.common import drop_staged, stage, staged_paths
 
-_left: list[str] = []  # tables that the last stage staged for its result
+REPEATED_WORDS = 50
 
 
 def _sweeping(step):
-    """A stage begins by removing what the one before staged: its result has been written and read back by then."""
+    """Of the tables that a stage staged, those its result does not read are removed at once; nothing is kept between calls."""
 
     @wraps(step)
     def swept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        if not any(os.path.basename(path) in file for path in _left for file in read):
-            drop_staged(spark, _left)
-            _left.clear()
         with staged_paths() as paths:
             result = step(spark, docs, sf_dir)
-        _left.extend(paths)
+        read = result.inputFiles()
+        drop_staged(spark, [path for path in paths if not any(os.path.basename(path) in file for file in read)])
         return result
 
     return swept
@@ -54,8 +51,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_sweeping
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes or more that stand more than once."""
-    cut = repeats.remove_repeats(docs, carried=[c for c in docs.columns if c != "text"])
+    """Texts without the passages of 50 words or more that stand more than once."""
+    cut = repeats.remove_repeats(docs, length=REPEATED_WORDS, words=True, carried=[c for c in docs.columns if c != "text"])
     n_chars = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("kept_text")).cast(docs.schema["n_chars"].dataType)
     cut = cut.select("row.*", F.col("kept_text").alias("text"), n_chars.alias("new_n_chars")).drop("n_chars").withColumnRenamed("new_n_chars", "n_chars")
     return cut.select(*docs.columns)
