@@ -77,7 +77,8 @@ def fact_best(spark, sf):
 
 
 def fact_pivot(spark, sf):
-    return Fa.wide_facts(Fa.best_metrics(_metrics(spark, sf)), fields=["revenue", "net_income", "assets", "ebitda", "current_ratio", "debt"])
+    """Every metric field as a column, whether or not a document states it."""
+    return Fa.wide_facts(Fa.best_metrics(_metrics(spark, sf)))
 
 
 def fact_fuzzy_dedup(spark, sf):
@@ -255,7 +256,7 @@ ORACLE = {
     "company_facts": _STATE + " SELECT *, 0.82 AS confidence FROM cf",
     "fact_dedup": _STATE + " SELECT doc_id, metric, value, period, page_number FROM mf QUALIFY row_number() OVER (PARTITION BY doc_id, metric, value, period ORDER BY o) = 1",
     "fact_best": _STATE + " SELECT doc_id, field, metric, value, unit, period, page_number FROM bf",
-    "fact_pivot": _STATE + " SELECT doc_id, " + ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in ("revenue", "net_income", "assets", "ebitda", "current_ratio", "debt")) + " FROM bf GROUP BY 1",
+    "fact_pivot": _STATE + " SELECT doc_id, " + ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in vocab.METRIC_FIELDS) + " FROM bf GROUP BY 1",
     "company_values": _STATE + " SELECT doc_id, field, value FROM cf",
     "document_currency": _STATE + " SELECT doc_id, code AS currency FROM st",
     "doc_confidence": _STATE + """, n AS (SELECT doc_id, count(DISTINCT concat_ws('|', metric, value, coalesce(unit, ''), coalesce(period, ''))) AS n_facts FROM mf GROUP BY 1),
