@@ -73,20 +73,24 @@ def _novel(keys, known, percent: int, window: int, least: int, learn: bool) -> l
     return flags
 
 
-def novel_keys(percent: int, window: int, least: int = 0, learn: bool = True):
-    """Column function: ordered keys and known keys -> whether a key is unlike those before it.
+def novel_lines(percent: int, window: int, least: int = 0, learn: bool = True):
+    """Column function: ordered lines, each after its key and a line break, and known keys -> the lines whose keys are unlike those before them.
 
     Keys that equal a known one are not novel, nor are keys longer than `least` that
     resemble one of the last `window` known ones; with `learn` novel keys become known.
-    Empty keys pass.
+    Lines with empty keys stay. Lines come back whole, so that what builds them is evaluated once.
     """
 
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def mark(keys: pd.Series, known: pd.Series) -> pd.Series:
-        pairs = zip(keys, known)
-        return pd.Series([None if k is None else _novel(k, () if o is None else o, percent, window, least, learn) for k, o in pairs], dtype=object)
+    def kept(keyed, known) -> list[str]:
+        keys, lines = zip(*(x.split("\n", 1) for x in keyed)) if len(keyed) else ((), ())
+        flags = _novel(keys, () if known is None else known, percent, window, least, learn)
+        return [line for line, flag in zip(lines, flags) if flag]
 
-    return mark
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pick(lines: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else kept(x, o) for x, o in zip(lines, known)], dtype=object)
+
+    return pick
 
 
 def _pieces(text: str, size: int, overlap: int, separators) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.similarity import nfkc, novel_keys
+from ledgerlens.functions.similarity import nfkc, novel_lines
 from ledgerlens.functions.text import SPACE, canonical_text, first_per_key, split_lines, squash, strip
 from ledgerlens.operators.ordering import first_by
 
@@ -27,18 +27,15 @@ def _keys(lines: Column) -> Column:
     return lines["key"]
 
 
-def _marked(df: DataFrame, lines: Column, known: Column, novel) -> DataFrame:
-    """`_kept`: the lines whose keys are novel. The lines are a column of their own, so they are built once."""
-    held = df.withColumn("_lines", lines).withColumn("_flags", novel(_keys(F.col("_lines")), known))
-    kept = F.filter(F.arrays_zip("_lines", "_flags"), lambda z: z["_flags"])
-    return held.withColumn("_kept", F.transform(kept, lambda z: z["_lines"]["line"])).drop("_lines", "_flags")
+def _paired(lines: Column) -> Column:
+    """Each line after its key, as one string."""
+    return F.transform(lines, lambda x: F.concat(x["key"], F.lit("\n"), x["line"]))
 
 
 def distinct_lines(df: DataFrame, text: str, out: str, percent: int = 98, window: int = 80, least: int = 12) -> DataFrame:
     """`out`: the text without repeated or nearly repeated lines, in order; runs of blank lines become one."""
-    none = F.array().cast("array<string>")
-    marked = _marked(df, _keyed_lines(F.col(text)), none, novel_keys(percent, window, least))
-    return marked.withColumn(out, strip(F.regexp_replace(F.array_join("_kept", "\n"), "\n{3,}", "\n\n"))).drop("_kept")
+    kept = novel_lines(percent, window, least)(_paired(_keyed_lines(F.col(text))), F.array().cast("array<string>"))
+    return df.withColumn(out, strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")))
 
 
 def new_scan_lines(df: DataFrame, native: str, scanned: str, out: str, percent: int = 97, window: int = 400, least: int = 12) -> DataFrame:
@@ -46,8 +43,7 @@ def new_scan_lines(df: DataFrame, native: str, scanned: str, out: str, percent:
     long = F.filter(_keyed_lines(F.coalesce(native, F.lit(""))), lambda x: F.char_length(x["line"]) > least)
     known = F.slice(_keys(long), F.greatest(F.size(long) - window + 1, F.lit(1)), F.lit(window))
     lines = F.filter(_keyed_lines(F.col(scanned)), lambda x: x["line"] != "")
-    marked = _marked(df, lines, known, novel_keys(percent, window, learn=False))
-    return marked.withColumn(out, F.array_join("_kept", "\n")).drop("_kept")
+    return df.withColumn(out, F.array_join(novel_lines(percent, window, learn=False)(_paired(lines), known), "\n"))
 
 
 def dedup_lines_long(lines: DataFrame, keys: list[str]) -> DataFrame:
