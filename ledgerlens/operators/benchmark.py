@@ -44,9 +44,10 @@ def set_sizes(companies: DataFrame, set_cols: list[str]) -> DataFrame:
     return sizes.withColumn("error", F.when(F.col("n_companies") < 2, F.lit(TOO_FEW)))
 
 
-def pick_focus(companies: DataFrame, set_cols: list[str], focus: str | None) -> DataFrame:
-    """The focus name per set: `focus` where the set has it, else its first company."""
-    order = F.struct((~F.col("company_name").eqNullSafe(F.lit(focus))).alias("miss"), F.col("pos"))
+def pick_focus(companies: DataFrame, set_cols: list[str], focus: str | Column | None) -> DataFrame:
+    """The focus name per set: `focus` (a name, or a column that names it) where the set has it, else its first company."""
+    wanted = focus if isinstance(focus, Column) else F.lit(focus)
+    order = F.struct((~F.col("company_name").eqNullSafe(wanted)).alias("miss"), F.col("pos"))
     picked = companies.groupBy(*set_cols).agg(
         F.min_by("company_name", order).alias("focus_company"), F.count(F.lit(1)).alias("n_companies")
     )
@@ -76,7 +77,7 @@ def _assess(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def benchmark(
-    companies: DataFrame, focus: str | None, set_cols: list[str], metrics=vocab.BENCHMARK_METRICS,
+    companies: DataFrame, focus: str | Column | None, set_cols: list[str], metrics=vocab.BENCHMARK_METRICS,
     unique_names: bool = False,
 ) -> DataFrame:
     """One focus company per set against its peers; one row per set and metric.

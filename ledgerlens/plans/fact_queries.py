@@ -8,6 +8,7 @@ from ledgerlens import vocab
 from ledgerlens.functions.text import fixed
 from ledgerlens.operators import benchmark as B
 from ledgerlens.operators import facts as Fa
+from ledgerlens.operators import report_comparison as Rc
 from ledgerlens.plans import inputs as I
 from ledgerlens.session import by_key, cut_lineage
 from ledgerlens.sources import files as Fi
@@ -201,6 +202,31 @@ def document_comparison(spark, sf):
     return B.benchmark(rows, None, ["fiscal_year"])
 
 
+def _figures(spark, sf):
+    """Metrics of every report, curated ones in place."""
+    return Rc.document_metrics(report_texts(spark, sf), _curated(spark, sf))
+
+
+def curated_comparison(spark, sf):
+    """The reports of each year compared, curated metrics in place, around a named company."""
+    figures = _figures(spark, sf)
+    year = F.pmod("doc_id", F.lit(10000)).cast("int")
+    members = figures.select(year.alias("report_year"), "doc_id", F.col("doc_id").alias("pos"))
+    return Rc.compare_documents(members, figures, ["report_year"], FOCUS)
+
+
+def pairwise_comparison(spark, sf):
+    """Every report against that of the same company a year before; every third pair asks for a focus."""
+    figures = _figures(spark, sf)
+    docs = figures.select("doc_id")
+    later = docs.select((F.col("doc_id") + 1).alias("second"), F.col("doc_id").alias("first"))
+    named = figures.select(F.col("doc_id").alias("second"), F.when(F.col("doc_id") % 3 == 0, F.col("company_name")).alias("focus"))
+    pairs = later.join(named, "second").withColumn("pair_id", F.col("first"))
+    return Rc.compare_pairs(pairs, figures)
+
+
+FOCUS = "Supplier 000000007 Limited Holdings"
+
 # --- oracle -------------------------------------------------------------------------
 
 _CODE = "['USD', 'EUR', 'GBP'][fiscal_year % 3 + 1]"
@@ -244,6 +270,29 @@ rm AS (SELECT pos * 10000 + fiscal_year AS doc_id, pos AS supp,
   NULL::DOUBLE AS revenue_per_employee_lakh, {_p2('attrition_rate_pct')} AS attrition_rate_pct FROM bm)"""
 
 
+_CURATED = """, cu AS (SELECT s_suppkey, 'Supplier ' || right(s_name, 9) || ' Limited Holdings' AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'annual_report_' || s_suppkey || '.pdf' ELSE 'none' END AS file, s_acctbal FROM supplier WHERE s_acctbal > 5000),
+      m AS (SELECT rm.*, cu.* FROM rm LEFT JOIN cu ON contains(lower(name), lower(company_name)) OR contains(lower(company_name), lower(name)) OR file = source_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s_suppkey) = 1)"""
+# a curated row has a revenue only: every other metric of a document that it replaces stays as extracted
+_FIGURES = _REPORTS + _CURATED + """, fg AS (SELECT m.* EXCLUDE (supp, company_name, fiscal_year, source_document, s_suppkey, name, file, s_acctbal, revenue_cr),
+      coalesce(name, company_name) AS company_name, coalesce(s_acctbal, revenue_cr) AS revenue_cr FROM m)"""
+
+
+def _named_comparison_sql() -> str:
+    from ledgerlens.plans.benchmark_queries import _FOCUS, _all_focus_sql
+
+    src = _FIGURES + ", rp AS (SELECT *, doc_id AS pos, CAST(doc_id % 10000 AS INTEGER) AS report_year FROM fg)," + _all_focus_sql("report_year", "rp", vocab.BENCHMARK_METRICS)
+    return src + _FOCUS.format(keys="report_year", focus=FOCUS, src="rp") + " SELECT res.* FROM res JOIN foc USING (report_year, focus_company)"
+
+
+def _pairwise_sql() -> str:
+    from ledgerlens.plans.benchmark_queries import _all_focus_sql
+
+    sides = "pr AS (SELECT a.doc_id AS pair_id, b.doc_id AS second, CASE WHEN b.doc_id % 3 = 0 THEN b.company_name END AS focus FROM fg a JOIN fg b ON b.doc_id = a.doc_id + 1)"
+    rows = "rp AS (SELECT pair_id, focus, 0 AS pos, fg.* FROM pr JOIN fg ON doc_id = pair_id UNION ALL SELECT pair_id, focus, 1, fg.* FROM pr JOIN fg ON doc_id = second)"
+    pick = ", foc AS (SELECT pair_id, arg_min(company_name, CASE WHEN company_name = focus THEN 0 ELSE 10 END + pos) AS focus_company FROM rp GROUP BY 1)"
+    return f"{_FIGURES}, {sides}, {rows},{_all_focus_sql('pair_id', 'rp', vocab.BENCHMARK_METRICS)}{pick} SELECT res.* FROM res JOIN foc USING (pair_id, focus_company)"
+
+
 def _comparison_sql() -> str:
     from ledgerlens.plans.benchmark_queries import _FOCUS, _all_focus_sql
 
@@ -271,11 +320,12 @@ ORACLE = {
     "document_company": _STATE + " SELECT doc_id, company_name || ' Limited' AS company_name FROM st",
     "concept_lookup": f"SELECT p_partkey, CASE p_size % {len(LABELS)} {_case(0)} END AS field, CASE p_size % {len(LABELS)} {_case(1)} END AS display FROM part",
     "report_metrics": _REPORTS + " SELECT * EXCLUDE (supp) FROM rm",
-    "curated_override": _REPORTS + """, cu AS (SELECT s_suppkey, 'Supplier ' || right(s_name, 9) || ' Limited Holdings' AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'annual_report_' || s_suppkey || '.pdf' ELSE 'none' END AS file, s_acctbal FROM supplier WHERE s_acctbal > 5000),
-      m AS (SELECT rm.*, cu.* FROM rm LEFT JOIN cu ON contains(lower(name), lower(company_name)) OR contains(lower(company_name), lower(name)) OR file = source_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s_suppkey) = 1)
+    "curated_override": _REPORTS + _CURATED + """
       SELECT doc_id, coalesce(name, company_name) AS company_name, CASE WHEN name IS NOT NULL THEN 'FY1990' ELSE fiscal_year END AS fiscal_year, source_document,
         CASE WHEN name IS NOT NULL THEN 'curated' ELSE 'Extracted from PDF' END AS source_page, coalesce(s_acctbal, revenue_cr) AS revenue_cr, name IS NOT NULL AS is_curated FROM m""",
     "document_comparison": _comparison_sql(),
+    "curated_comparison": _named_comparison_sql(),
+    "pairwise_comparison": _pairwise_sql(),
 }
 
 ORACLE["all_documents_facts"] = (

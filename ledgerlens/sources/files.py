@@ -180,37 +180,60 @@ def title_case(c: Column) -> Column:
     )
 
 
+GRAM = 3  # letters under which a short name is filed
+
+
+def _grams(name: Column, size: int) -> Column:
+    """Distinct runs of `size` letters; none in a shorter name."""
+    starts = F.when(F.length(name) >= size, F.sequence(F.lit(1), F.length(name) - (size - 1)))
+    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(name, i, F.lit(size))))
+
+
+def contained_names(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long) for every name of `long` that holds a name of `short`; both hold different, non-empty names.
+
+    A short name is filed under its rarest run of three letters (a shorter name under
+    itself); a long name asks with each of its own runs. Rows per name grow with its length.
+    """
+    runs = F.concat(*[_grams(F.col("long"), n) for n in range(1, GRAM + 1)])
+    asked = long.select("long", F.explode(runs).alias("gram"))
+    counts = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("short") < GRAM, F.array("short")).otherwise(_grams(F.col("short"), GRAM))
+    # a run that no long name has rules the short name out
+    counted = lookup(short.select("short", F.explode(own).alias("gram")), counts, ["gram"], "left")
+    filed = counted.groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    filed = filed.filter("rarest.n > 0").select("short", F.col("rarest.gram").alias("gram"))
+    return asked.join(filed, "gram").filter(F.col("long").contains(F.col("short"))).select("short", "long")
+
+
 def curated_override(reports: DataFrame, curated: DataFrame, key: str) -> DataFrame:
     """Curated metrics in place of extracted ones where a name contains the other or the file matches.
 
-    Names are short, so containment is an equi-join: every substring of the longer name
-    meets the shorter one, once per different name. The first curated row in input order wins.
+    The first curated row in input order wins. An empty name is contained in every name; a
+    null one in none. The report keeps its own source document. `key` is unique in `reports`.
     """
     metrics = [c for c in curated.columns if c not in ("pos",)]
-
-    def pieces(name: Column) -> Column:
-        spans = F.transform(
-            F.sequence(F.lit(1), F.length(name)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n)),
-        )
-        return F.explode(F.array_distinct(F.flatten(spans)))
-
-    asked = cut_lineage(reports.select(key, F.lower("company_name").alias("name"), "source_document").filter("name <> ''"))
+    asked = cut_lineage(reports.select(key, F.lower("company_name").alias("name"), "source_document"))
     known = curated.select("pos", F.lower("company_name").alias("name"), F.col("source_document").alias("file"))
-    names = asked.select("name").distinct()
-    curated_names = known.groupBy("name").agg(F.min("pos").alias("pos"))
-    longer_doc = names.select(F.col("name").alias("asked"), pieces(F.col("name")).alias("name")).join(curated_names, "name").select("asked", "pos")
-    longer_known = curated_names.select("pos", pieces(F.col("name")).alias("name")).join(names, "name").select(F.col("name").alias("asked"), "pos")
-    by_name = longer_doc.unionByName(longer_known).groupBy(F.col("asked").alias("name")).agg(F.min("pos").alias("pos"))
-    by_file = known.groupBy(F.col("file").alias("source_document")).agg(F.min("pos").alias("pos"))
+    names = asked.filter("name <> ''").select("name").distinct()
+    curated_names = cut_lineage(known.filter("name <> ''").groupBy("name").agg(F.min("pos").alias("pos")))
+    in_asked = contained_names(curated_names.select(F.col("name").alias("short")), names.select(F.col("name").alias("long")))
+    in_known = contained_names(names.select(F.col("name").alias("short")), curated_names.select(F.col("name").alias("long")))
+    pairs = in_asked.select(F.col("long").alias("asked"), F.col("short").alias("name")).unionByName(in_known.select(F.col("short").alias("asked"), F.col("long").alias("name")))
+    by_name = lookup(pairs, curated_names, ["name"]).groupBy(F.col("asked").alias("name")).agg(F.min("pos").alias("pos"))
+    by_file = known.filter("file IS NOT NULL").groupBy(F.col("file").alias("source_document")).agg(F.min("pos").alias("pos"))
+    # one row: the first curated row of an empty name, and the first of any name for reports of an empty one
+    empty = known.agg(F.min(F.when(F.col("name") == "", F.col("pos"))).alias("any_pos"), F.min(F.when(F.col("name").isNotNull(), F.col("pos"))).alias("first_pos"))
+    by_empty = asked.filter("name IS NOT NULL").join(F.broadcast(empty)).select(key, F.when(F.col("name") == "", F.col("first_pos")).otherwise(F.col("any_pos")).alias("pos"))
     same_name = lookup(asked, by_name, ["name"]).select(key, "pos")
     same_file = lookup(asked, by_file, ["source_document"]).select(key, "pos")
-    match = same_name.unionByName(same_file).groupBy(key).agg(F.min("pos").alias("pos"))
-    values = curated.select("pos", F.struct(*metrics).alias("curated"))
-    joined = reports.join(match, key, "left").join(values, "pos", "left").drop("pos")
+    match = same_name.unionByName(same_file).unionByName(by_empty.filter("pos IS NOT NULL")).groupBy(key).agg(F.min("pos").alias("pos"))
+    values = curated.select(F.col("pos").alias("_pos"), F.struct(*metrics).alias("_curated"))
+    found = match.join(values, match["pos"] == values["_pos"]).select(key, "_curated")
+    joined = reports.join(found, key, "left")
     replaced = [
-        F.when(F.col("curated").isNotNull(), F.col("curated")[c]).otherwise(F.col(c)).alias(c) if c != "source_document" else F.col(c)
+        F.when(F.col("_curated").isNotNull(), F.col("_curated")[c]).otherwise(F.col(c)).alias(c) if c != "source_document" else F.col(c)
         for c in metrics if c in reports.columns
     ]
     rest = [c for c in reports.columns if c not in metrics]
-    return joined.select(*rest, *replaced, F.col("curated").isNotNull().alias("is_curated"))
+    return joined.select(*rest, *replaced, F.col("_curated").isNotNull().alias("is_curated"))
