@@ -131,6 +131,21 @@ def stored_lifecycle(spark, sf):
     return left.groupBy("question", "answer").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("query_id").alias("n_ids"))
 
 
+INDEX = "session_id string, document_id string, chunk_index int, text string"
+
+
+def stored_index(spark, sf):
+    """Documents as chunks of 400 characters in a stored index: all, one batch again, then the labelled ones deleted."""
+    docs = I.texts(spark, sf, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    starts = F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(400))).alias("pos", "start")
+    chunks = docs.select("*", starts).select("session_id", "document_id", "pos", F.substring("text", F.col("start"), F.lit(400)).alias("text"))
+    index = St.ChunkIndex(spark, scratch_path(spark, "index"), INDEX)
+    index.add(chunks)
+    index.add(chunks.filter("CAST(document_id AS bigint) % 3 = 0"))
+    index.delete(_deletes(spark, sf).withColumn("document_id", F.col("document_id").cast("string")))
+    return index.rows.read().select("session_id", "document_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def stream_red_flags(spark, sf):
     """Red flags of requests whose metrics come in three batches, through a stream."""
     path, out = scratch_path(spark, "metrics"), scratch_path(spark, "flags")
@@ -148,6 +163,8 @@ _DEL = """WITH ix AS (SELECT source AS session_id, doc_id AS document_id, n_char
 de AS (SELECT l.doc_id AS document_id, CASE WHEN l.doc_id % 4 = 0 THEN 'nowhere' ELSE session_id END AS session_id FROM labels l JOIN ix ON ix.document_id = l.doc_id WHERE toxic = 1 OR quality = 0)"""
 
 ORACLE = {
+    "stored_index": _DEL + """, ch AS (SELECT source AS session_id, doc_id AS document_id, coalesce(text, '') AS text, unnest(range(0, greatest(CAST(ceil(length(coalesce(text, '')) / 400.0) AS BIGINT), 1))) AS i FROM documents)
+      SELECT session_id, CAST(document_id AS VARCHAR) AS document_id, CAST(i AS INTEGER) AS chunk_index, md5(substr(text, i * 400 + 1, 400)) AS text_md5 FROM ch ANTI JOIN de USING (session_id, document_id)""",
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in NAMES),
     "docs_per_session": _DOCS + " SELECT CAST(n_nationkey AS BIGINT) AS session_id, n_name AS session_name, count(document_id) AS document_count FROM nation LEFT JOIN docs ON session_id = n_nationkey GROUP BY 1, 2",
     "newest_sessions": "SELECT CAST(n_nationkey AS BIGINT) AS session_id, n_name AS session_name FROM nation ORDER BY n_nationkey % 7 DESC, n_nationkey DESC",

@@ -1,8 +1,8 @@
 """The eight tables and the chunk index: append, scan, keyed lookup, update, delete.
 
-A table is a Parquet folder with one sub-folder per version; readers take the newest.
-Changes are whole frames of keys and values, applied in one join, and written as the
-next version.
+A table is stored in buckets of its key (`sources.bucketed`). Changes are whole frames of
+keys and values, applied in one join to the buckets that they touch; several writers may
+work at once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from ledgerlens import schemas
 from ledgerlens.operators.ordering import small_lookup
 from ledgerlens.session import cut_lineage
+from ledgerlens.sources.bucketed import BUCKETS, BucketedTable, hashed
 
 
 # --- transformations -----------------------------------------------------------------
@@ -132,59 +133,87 @@ def delete_results(index: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 class Table:
-    """A versioned Parquet table below `root`."""
+    """One of the eight tables below `root`."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
+    def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = BUCKETS):
         self.spark, self.name = spark, name
-        self.path = f"{root.rstrip('/')}/{name}"
         self.key, self.schema = schemas.TABLES[name]
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n[:1] == "v" and n[1:].isdigit())
+        self.path = f"{root.rstrip('/')}/{name}"
+        self.rows = BucketedTable(spark, self.path, self.schema, [self.key], lambda: hashed(self.key, buckets))
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
-
-    def _publish(self, df: DataFrame) -> None:
-        versions = self._versions()
-        df.write.parquet(f"{self.path}/v{(versions[-1] if versions else 0) + 1}")
+        return self.rows.read()
 
     def append(self, rows: DataFrame) -> DataFrame:
-        """Rows with generated ids and default timestamps are added; returns them."""
+        """Rows with generated ids and default timestamps are added; returns them.
+
+        The ids are reserved first, so two writers never give one out twice; a writer that
+        fails in between leaves a gap.
+        """
         stamp = schemas.DEFAULT_TIMESTAMP.get(self.name)
         if stamp and stamp not in rows.columns:
             rows = rows.withColumn(stamp, F.current_timestamp())
-        last = self.read().agg(F.max(self.key)).first()[0] or 0
-        fresh = numbered(rows.drop(self.key), last + 1, self.key)
+        rows = cut_lineage(rows.drop(self.key))
+        fresh = numbered(rows, self.rows.reserve(rows.count()), self.key)
         columns = [c.split()[0] for c in self.schema.split(", ")]
-        fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).alias(c) for c in columns]).to(self.read().schema)
-        versions = self._versions()
-        if versions:  # only new files are written; the version stays
-            fresh.write.mode("append").parquet(f"{self.path}/v{versions[-1]}")
-        else:
-            self._publish(fresh)
+        empty = self.spark.createDataFrame([], self.schema)
+        fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).alias(c) for c in columns]).to(empty.schema)
+        self.rows.append(fresh)
         return fresh
 
+    def _typed(self, keys: DataFrame) -> DataFrame:
+        """Keys in the type of the table, as the bucket of a number depends on its width."""
+        return keys.withColumn(self.key, F.col(self.key).cast("bigint"))
+
     def get(self, value: int) -> DataFrame:
-        return find(self.read(), self.key, value)
+        """The row of one key or nothing, from its bucket alone."""
+        keys = self._typed(self.spark.createDataFrame([(value,)], f"{self.key} bigint"))
+        return find(self.rows.read_buckets(keys), self.key, value)
 
     def update(self, changes: DataFrame) -> None:
-        self._publish(apply_updates(self.read(), changes, self.key, schemas.UPDATABLE[self.name]))
+        """`new_value` in the table's changeable column, one row per key; the changes are stored before they are applied."""
+        stored = cut_lineage(self._typed(changes))
+        self.rows.rewrite(stored, lambda rows: apply_updates(rows, stored, self.key, schemas.UPDATABLE[self.name]))
 
     def delete(self, keys: DataFrame) -> None:
-        self._publish(apply_deletes(self.read(), keys, self.key))
+        stored = cut_lineage(self._typed(keys.select(self.key)))
+        self.rows.rewrite(stored, lambda rows: apply_deletes(rows, stored, self.key))
+
 
+class ChunkIndex:
+    """Chunks of documents by session: one document lies in one bucket, a session in `parts` of them.
 
-def append_chunks(chunks: DataFrame, path: str) -> None:
-    """Adds a document's chunks to the index, which is partitioned by session."""
-    chunks.write.mode("append").partitionBy("session_id").parquet(path)
+    `schema` names session_id, document_id (both strings) and chunk_index beside the chunk's own columns.
+    """
+
+    KEY = ["session_id", "document_id"]
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, sessions: int = BUCKETS, parts: int = 4):
+        self.sessions, self.parts, self.schema = sessions, parts, schema
+        self.rows = BucketedTable(spark, path, schema, self.KEY, lambda: hashed("session_id", sessions) * parts + hashed("document_id", parts))
+
+    def add(self, chunks: DataFrame, order: str = "pos") -> None:
+        """Documents with all their chunks; chunk_index counts from 0 in `order` within each.
+
+        A document that the session already holds is replaced, so that a batch sent again
+        changes nothing. The chunks of one document are bounded by its text.
+        """
+        place = (F.row_number().over(W.partitionBy(*self.KEY).orderBy(order)) - 1).cast("int")
+        columns = [c.split()[0] for c in self.schema.split(", ")]
+        fresh = cut_lineage(chunks.withColumn("chunk_index", place).select(*columns))
+        keys = cut_lineage(fresh.select(*self.KEY).distinct())
+        self.rows.rewrite(keys, lambda rows: delete_document_chunks(rows, keys).unionByName(fresh))
+
+    def session(self, session_id: str) -> DataFrame:
+        """The chunks of one session, from its buckets alone."""
+        first = self.rows.spark.createDataFrame([(session_id,)], "session_id string")
+        part = F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1)))
+        ours = [str(r.b) for r in first.select((hashed("session_id", self.sessions) * self.parts).alias("a"), part.alias("p")).select((F.col("a") + F.col("p")).alias("b")).collect()]
+        return self.rows._load(self.rows.latest()[1], ours).filter(F.col("session_id") == session_id)
+
+    def delete(self, deletes: DataFrame) -> DataFrame:
+        """Drops the chunks of (session_id, document_id) pairs; returns per pair whether any were there."""
+        stored = cut_lineage(deletes.select(*self.KEY))
+        found = cut_lineage(delete_results(self.rows.read_buckets(stored), stored))
+        self.rows.rewrite(stored, lambda rows: delete_document_chunks(rows, stored))
+        return found

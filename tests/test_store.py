@@ -50,16 +50,83 @@ def test_every_table_has_key_and_update_column():
         assert all(fk in columns and parent in schemas.TABLES for fk, parent in schemas.FOREIGN_KEYS.get(name, {}).items())
 
 
-def test_chunk_index_appends_by_session(spark):
-    path = scratch_path(spark, "index")
-    for doc in ("d1", "d2"):
-        rows = [("s1", doc, i, f"text {i}") for i in range(3)]
-        St.append_chunks(spark.createDataFrame(rows, "session_id string, document_id string, chunk_index int, text string"), path)
-    index = spark.read.parquet(path)
+def _index(spark):
+    return St.ChunkIndex(spark, scratch_path(spark, "index"), "session_id string, document_id string, chunk_index int, text string", sessions=4, parts=2)
+
+
+def _chunks(spark, rows):
+    return spark.createDataFrame([(s, d, i, f"{d} {i} {note}") for s, d, n, note in rows for i in range(n)], "session_id string, document_id string, pos int, text string")
+
+
+def test_chunk_index_replaces_a_document_and_counts_from_zero(spark):
+    index = _index(spark)
+    index.add(_chunks(spark, [("s1", "d1", 3, "a"), ("s1", "d2", 2, "a"), ("s2", "d1", 1, "a")]))
+    before = sorted(index.rows.read().collect())
+    index.add(_chunks(spark, [("s1", "d1", 3, "a")]))
+    assert sorted(index.rows.read().collect()) == before
+    index.add(_chunks(spark, [("s1", "d1", 2, "b")]).withColumn("pos", F.col("pos") + 40))
+    assert sorted((r.document_id, r.chunk_index, r.text) for r in index.session("s1").collect()) == [
+        ("d1", 0, "d1 0 b"), ("d1", 1, "d1 1 b"), ("d2", 0, "d2 0 a"), ("d2", 1, "d2 1 a")]
     gone = spark.createDataFrame([("s1", "d1"), ("s2", "d2")], "session_id string, document_id string")
-    left = St.delete_document_chunks(index, gone)
-    assert {(r.document_id, r.chunk_index) for r in left.collect()} == {("d2", i) for i in range(3)}
-    assert {(r.session_id, r.deleted) for r in St.delete_results(index, gone).collect()} == {("s1", True), ("s2", False)}
+    assert {(r.session_id, r.deleted) for r in index.delete(gone).collect()} == {("s1", True), ("s2", False)}
+    assert {(r.session_id, r.document_id) for r in index.rows.read().collect()} == {("s1", "d2"), ("s2", "d1")}
+    assert index.session("nowhere").isEmpty()
+
+
+def test_a_change_writes_touched_buckets_only(spark):
+    table = St.Table(spark, scratch_path(spark, "store"), "companies", buckets=8)
+    table.append(spark.range(100).select(F.concat(F.lit("c"), "id").alias("company_name")))
+    before = table.rows.latest()[1]["buckets"]
+    assert len(before) == 8
+    table.update(spark.createDataFrame([(5, "new")], "company_id int, new_value string"))
+    after = table.rows.latest()[1]["buckets"]
+    assert [b for b in before if before[b] != after[b]] == table.rows.touched(spark.range(5, 6).withColumnRenamed("id", "company_id"))
+    opened = {f.split("bucket=")[1].split("/")[0] for f in table.get(5).inputFiles()}
+    assert len(opened) == 1 and table.get(5).first().company_name == "new"
+    assert table.read().count() == 100 and table.rows.read(version=2).filter("company_name = 'new'").isEmpty()
+
+
+def test_two_writers_lose_nothing(spark):
+    """Both writers compute their change on the same version; the later one commits on top."""
+    root = scratch_path(spark, "store")
+    one, two = (St.Table(spark, root, "companies", buckets=2) for _ in range(2))
+    one.append(spark.range(20).select(F.concat(F.lit("c"), "id").alias("company_name")))
+    write, raced = one.rows._write, []
+
+    def interrupted(rows):
+        out = write(rows)
+        if not raced:
+            raced.append(True)
+            two.append(spark.createDataFrame([("late",)], "company_name string"))
+            two.update(spark.createDataFrame([(3, "two"), (4, "two")], "company_id long, new_value string"))
+            two.delete(spark.createDataFrame([(7,)], "company_id long"))
+        return out
+
+    one.rows._write = interrupted
+    one.update(spark.createDataFrame([(i, "one") for i in (1, 2, 3, 7)], "company_id long, new_value string"))
+    got = {r.company_id: r.company_name for r in one.read().collect()}
+    assert (got[1], got[2], got[3], got[4], got[21]) == ("one", "one", "one", "two", "late") and 7 not in got and len(got) == 20
+    assert one.rows._create(one.rows.latest()[0], {}) is False
+
+
+def test_appends_at_once_share_no_id(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = scratch_path(spark, "store")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: St.Table(spark, root, "companies").append(spark.range(10).select(F.lit(f"w{i}").alias("company_name"))), range(4)))
+    rows = St.Table(spark, root, "companies").read().collect()
+    assert sorted(r.company_id for r in rows) == list(range(1, 41)) and {r.company_name for r in rows} == {f"w{i}" for i in range(4)}
+
+
+def test_compaction_and_old_versions(spark):
+    table = St.Table(spark, scratch_path(spark, "store"), "companies", buckets=2)
+    for i in range(4):
+        table.append(spark.range(6).select(F.lit(f"w{i}").alias("company_name")))
+    before = sorted(table.read().collect())
+    table.rows.compact(folders=2)
+    assert all(len(f) == 1 for f in table.rows.latest()[1]["buckets"].values()) and sorted(table.read().collect()) == before
+    assert table.rows.vacuum() >= 8 and len(table.rows.versions()) == 1 and sorted(table.read().collect()) == before
 
 
 def test_comparison_written_as_json(spark):
