@@ -292,7 +292,15 @@ def mean_confidence(metrics: DataFrame, companies: DataFrame, doc: str = "doc_id
 def document_confidence(
     documents: DataFrame, metrics: DataFrame, chosen: DataFrame, companies: DataFrame, doc: str = "doc_id"
 ) -> DataFrame:
-    """0-100 score from (doc, model_confidence, text_quality, has_text, n_errors, n_warnings)."""
+    """0-100 score from (doc, model_confidence, text_quality, has_text, n_errors, n_warnings).
+
+    With a column `warnings` (texts) in place of `n_warnings`, those that only tell of the
+    plain reading of facts cost nothing; with `ocr_required` and `ocr_confidence`, a scan
+    counts as good as its reader says. `companies` holds (doc, field) of every scalar found.
+    """
+    if "warnings" in documents.columns:
+        counted = F.filter("warnings", lambda w: ~F.lower(w).contains(vocab.UNPENALISED_WARNING))
+        documents = documents.withColumn("n_warnings", F.coalesce(F.size(counted), F.lit(0)))
     columns = ["metric", "value", "unit", "period"]
     signature = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
     both = metrics.select(doc, *columns, "confidence").unionByName(chosen.select(doc, *columns, "confidence"))
@@ -310,6 +318,9 @@ def document_confidence(
     c = F.greatest(unit(F.coalesce("model_confidence", F.lit(0.0))), F.coalesce("mean_confidence", F.lit(0.0)))
     t = unit(F.col("text_quality"))
     t = F.when(F.col("has_text") & (F.col("n_errors") == 0), F.greatest(t, F.lit(0.85))).otherwise(t)
+    if "ocr_confidence" in documents.columns:
+        scanned = F.coalesce("ocr_required", F.lit(False)) & F.col("ocr_confidence").isNotNull()
+        t = F.when(scanned, F.greatest(t, unit(F.col("ocr_confidence")))).otherwise(t)
     density = unit((F.col("n_facts") + F.col("n_scalars")) / 18)
     coverage = unit(F.col("n_facts") / 4)
     score = F.greatest(0.52 * c + 0.28 * t + 0.20 * density, 0.82 * c + 0.13 * t + 0.05 * coverage)
@@ -330,6 +341,40 @@ def company_name_of(documents: DataFrame, text: str = "text", title: str | None
     return documents.withColumn("company_name", F.coalesce(legal_name(F.col(title)), first) if title else first)
 
 
+def document_records(
+    documents: DataFrame, signals: DataFrame, metrics: DataFrame, companies: DataFrame, doc: str = "doc_id", text: str = "text", title: str | None = None
+) -> DataFrame:
+    """One wide row per document: its company fields, a value per metric field, and its score.
+
+    `metrics` and `companies` are the facts found, stored by the caller as they are read
+    several times; `signals` is what `document_confidence` needs but the model's confidence,
+    which is the mean over the facts. A legal name in the title comes before the facts; the
+    text's own legal name and currency stand in where the facts have none. Documents
+    without facts have a row of nulls and their score.
+    """
+    distinct, chosen = distinct_metrics(metrics, doc), best_metrics(metrics, doc)
+    currency = detect_document_currency(distinct, chosen, doc, documents, text)
+    named = company_name_of(documents, text).select(doc, F.col("company_name").alias("value"))
+
+    def values(rows: DataFrame, rank: int, field: Column, value: str = "value") -> DataFrame:
+        return rows.select(doc, field.alias("field"), F.col(value).alias("value"), F.lit(rank).alias("rank"))
+
+    own = values(best_company_values(companies, doc), 1, F.col("field"))
+    scalars = own.unionByName(values(currency, 2, F.lit("currency"), "currency")).unionByName(values(named, 2, F.lit("company_name")))
+    if title:
+        titled = documents.select(doc, legal_name(F.col(title)).alias("value"))
+        scalars = scalars.unionByName(values(titled, 0, F.lit("company_name")))
+    scalars = cut_lineage(scalars.filter("value IS NOT NULL AND value <> ''"))  # for the row and for the score
+    fields = scalars.unionByName(values(chosen, 1, F.col("field")))
+    wide = fields.groupBy(doc).pivot("field", [*vocab.COMPANY_FIELDS, *vocab.METRIC_FIELDS]).agg(F.min_by("value", "rank"))
+    means = mean_confidence(metrics, companies, doc).withColumnRenamed("confidence_score", "model_confidence")
+    score = document_confidence(lookup(signals, means, [doc], "left"), distinct, chosen, scalars, doc)
+    rows = lookup(documents.select(doc), wide, [doc], "left")
+    return lookup(rows, score.select(doc, "n_facts", "n_scalars", "confidence"), [doc], "left").withColumn(
+        "confidence_score", round_exact(F.col("confidence") / 100, 4)
+    )
+
+
 def extract_documents(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
     """The whole chain: text -> chunks -> line facts -> merged facts per document."""
     from ledgerlens.operators.chunking import chunk_paragraphs

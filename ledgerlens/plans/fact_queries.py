@@ -120,6 +120,19 @@ def doc_confidence(spark, sf):
     return out.select("doc_id", "n_facts", "n_scalars", "confidence")
 
 
+def extraction_records(spark, sf):
+    """The whole record of every statement; a third are scans, and some warnings cost nothing."""
+    metrics, companies = _facts(spark, sf)
+    warnings = F.transform(
+        F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int")),
+        lambda i: F.when(i == 0, "Page 1: Deterministic explicit-fact fallback used").otherwise("low contrast"),
+    )
+    signals = _doc_signals(spark, sf).drop("model_confidence", "n_warnings").select(
+        "*", warnings.alias("warnings"), (F.col("doc_id") % 3 == 0).alias("ocr_required"), F.lit(0.91).alias("ocr_confidence")
+    )
+    return Fa.document_records(statements(spark, sf), signals, _once(metrics), companies)
+
+
 def mean_confidence(spark, sf):
     metrics, companies = _facts(spark, sf)
     return Fa.mean_confidence(metrics, companies)
@@ -253,6 +266,26 @@ _DISPLAY = {"Net Sales": ("revenue", "Revenue"), "EPS": ("eps", "EPS"), "total-a
             "ebit margin": (None, "EBIT Margin"), "Non-Current Debt": ("long_term_debt", "Long-term Debt"), "": (None, "Metric")}
 
 
+_TEXT_LENGTH = """(SELECT doc_id, length(concat_ws(chr(10), 'Page 1', company_name || ' Limited', 'Revenue: ' || a_rev || ' cr FY' || fiscal_year, 'Net income' || chr(9) || a_np || chr(9) || coalesce(a_pnp, '-'),
+              'The total assets was ' || code || ' ' || a_as || ' million.', '  OCR   page 02', 'Ticker: S' || pos, 'EBITDA (' || a_eb || ')', 'current ratio of ' || a_cr || 'x for now', 'Industry' || chr(9) || 'Services' || chr(9) || 'other',
+              'Revenue: ' || a_rev || ' cr FY' || fiscal_year, 'see note 7 on debt')) AS tl FROM st)"""
+_COMPANY_OF = {"company_name": "company_name || ' Limited'", "ticker": "'S' || pos", "industry": "'Services'", "currency": "code"}
+
+
+def _records_sql() -> str:
+    fields = ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in vocab.METRIC_FIELDS)
+    company = ", ".join(f"{_COMPANY_OF.get(f, 'NULL::VARCHAR')} AS {f}" for f in vocab.COMPANY_FIELDS)
+    return _STATE + f""", w AS (SELECT doc_id, {fields} FROM bf GROUP BY 1), co AS (SELECT doc_id, {company} FROM st),
+      n AS (SELECT doc_id, count(*) AS n, count(DISTINCT concat_ws('|', metric, value, coalesce(unit, ''), coalesce(period, ''))) AS n_facts FROM mf GROUP BY 1),
+      c AS (SELECT doc_id, n_facts, 4 AS n_scalars, greatest(CAST(printf('%.4f', (n * 0.88 + 3 * 0.82) / (n + 3)) AS DOUBLE), 0.88::DOUBLE) AS c,
+              greatest(CASE WHEN doc_id % 2 = 0 THEN greatest(0.85::DOUBLE, tl / 8000) ELSE tl / 8000 END, CASE WHEN doc_id % 3 = 0 THEN 0.91::DOUBLE ELSE 0 END) AS t
+            FROM n JOIN {_TEXT_LENGTH} USING (doc_id)),
+      s AS (SELECT *, greatest(0.52::DOUBLE * c + 0.28::DOUBLE * t + 0.20::DOUBLE * least(1.0::DOUBLE, (n_facts + n_scalars) / 18), 0.82::DOUBLE * c + 0.13::DOUBLE * t + 0.05::DOUBLE * least(1.0::DOUBLE, n_facts / 4))
+          - least(0.5::DOUBLE, doc_id % 2 * 0.14::DOUBLE) - least(0.25::DOUBLE, doc_id % 5 * 0.035::DOUBLE) AS s FROM c),
+      f AS (SELECT doc_id, n_facts, n_scalars, CAST(printf('%.2f', greatest(0, least(1.0::DOUBLE, s)) * 100) AS DOUBLE) AS confidence FROM s)
+      SELECT *, CAST(printf('%.4f', confidence / 100) AS DOUBLE) AS confidence_score FROM co JOIN w USING (doc_id) JOIN f USING (doc_id)"""
+
+
 def _case(i: int) -> str:
     return " ".join(f"WHEN {n} THEN '{_DISPLAY[label][i]}'" for n, label in enumerate(LABELS) if _DISPLAY[label][i])
 
@@ -325,6 +358,7 @@ ORACLE = {
         CASE WHEN name IS NOT NULL THEN 'curated' ELSE 'Extracted from PDF' END AS source_page, coalesce(s_acctbal, revenue_cr) AS revenue_cr, name IS NOT NULL AS is_curated FROM m""",
     "document_comparison": _comparison_sql(),
     "curated_comparison": _named_comparison_sql(),
+    "extraction_records": _records_sql(),
     "pairwise_comparison": _pairwise_sql(),
 }
 
