@@ -154,6 +154,26 @@ def merged_risk_summary(spark, sf):
     return out.select(*KEYS, "n_flags", "overall_risk", "summary")
 
 
+def analysed_requests(spark, sf):
+    """The whole chain: company figures and documents as requests, numeric and keyword rules, and a second
+    source whose flags count only where the request holds their evidence."""
+    company = F.concat_ws(" ", "company", "financial_year")
+    rows = metrics(spark, sf).withColumn("request_id", company)
+    texts = sections(spark, sf).withColumn("request_id", F.concat(F.lit("document "), "doc_id"))
+    figures = _requests(spark, sf).withColumn("request_id", company)
+    filed = texts.select(F.col("section").alias("company"), F.lit("2020").alias("financial_year"), "request_id")
+    requests = cut_lineage(figures.unionByName(filed))
+    told = texts.select("request_id", F.regexp_extract("content", "(In the year [^\n]*)$", 1).alias("evidence"))
+    told = told.unionByName(figures.select("request_id", company.alias("evidence")))
+    second = told.select("request_id", "evidence", F.lit("Second look").alias("title"), F.lit("severe").alias("severity"), F.lit(0).alias("pos"))
+    made_up = told.select("request_id", F.lit("hurricane destroyed warehouses worth 99887766").alias("evidence"), F.lit("Storm damage").alias("title"), F.lit("low").alias("severity"), F.lit(1).alias("pos"))
+    others = second.unionByName(made_up).select(
+        "*", F.lit("governance risk").alias("category"), F.lit("as told").alias("description"), F.lit("look into it").alias("recommendation")
+    )
+    flags, _ = R.analyse(requests, rows, texts, others)
+    return flags.select("request_id", "category", "title", "severity", "evidence")
+
+
 def flag_filter(spark, sf):
     """High debt flags in display order."""
     flags = R.filter_flags(numeric_flags(spark, sf), vocab.DEBT, "High")
@@ -343,6 +363,11 @@ ORACLE = {
     ) + " FROM g",
     "numeric_flags": _FLAGS + " SELECT * FROM fl",
     "keyword_flags": _keyword_sql(),
+    "analysed_requests": _FLAGS + f""", kw AS ({_keyword_sql()}), told AS (SELECT 'document ' || doc_id AS request_id, 'In the year ' || [{', '.join(f"'{p}'" for p in PHRASES)}][CAST(n_chars % {len(PHRASES)} AS INTEGER) + 1] || '.' AS evidence FROM documents
+        UNION ALL SELECT company_name || ' ' || fiscal_year, company_name || ' ' || fiscal_year FROM fig)
+      SELECT company || ' ' || financial_year AS request_id, category, title, severity, evidence FROM fl
+      UNION ALL SELECT 'document ' || doc_id, category, title, severity, evidence FROM kw
+      UNION ALL SELECT request_id, '{vocab.GOVERNANCE}', 'Second look', 'High', evidence FROM told""",
     "flag_dedup": _FLAGS + f""", tw AS (SELECT * FROM fl UNION ALL SELECT company, financial_year, pos + 500, category, title,
         CASE WHEN length(evidence) % 2 = 0 THEN 'Critical' ELSE 'Low' END, description, evidence FROM fl),
       rk AS (SELECT *, {_RANK} AS r FROM tw)

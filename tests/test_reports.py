@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import facts as Fa
 from ledgerlens.operators import report_comparison as Rc
 from ledgerlens.sources import files as Fi
 
@@ -57,3 +58,18 @@ def test_pairs_take_their_focus_and_documents_of_one_company_have_no_peer(spark)
         1: ("Alpha Limited", 10.0, 20.0, 2, "underperform"), 2: ("Betax Limited", 20.0, 10.0, 1, "outperform"),
         3: ("Alpha Limited", 10.0, 20.0, 2, "underperform"), 4: ("Alpha Limited", 10.0, None, None, "no_data"),
     }
+
+
+def test_record_takes_names_and_currency_of_the_text_and_keeps_documents_without_facts(spark):
+    docs = spark.createDataFrame([(1, "Acme Holdings Limited\nRevenue: 5 cr\npaid in GBP", None), (2, "nothing here", None), (3, "Ticker: ABC", "Zeta Foods Limited")], "doc_id long, text string, title string")
+    facts = Fa.facts_of_lines(Fa.text_lines(docs, ["doc_id"]), ["doc_id"]).checkpoint()
+    found, companies = Fa.split_facts(facts, ["doc_id"])
+    warned = [(1, ["Deterministic explicit-fact fallback used", "x"], True, 0.99), (2, [], False, 0.99), (3, None, True, None)]
+    signals = spark.createDataFrame([(d, 0.5, True, 1, w, o, c) for d, w, o, c in warned], "doc_id long, text_quality double, has_text boolean, n_errors int, warnings array<string>, ocr_required boolean, ocr_confidence double")
+    got = {r.doc_id: r for r in Fa.document_records(docs, signals, found, companies, title="title").collect()}
+    assert (got[1].company_name, got[1].currency, got[1].revenue, got[1].n_scalars) == ("Acme Holdings Limited", "GBP", "5 cr", 2)
+    assert (got[3].company_name, got[3].ticker, got[2].company_name, got[2].n_facts) == ("Zeta Foods Limited", "ABC", None, 0)
+    # by hand: one warning counts, the scan's 0.99 stands for the text's quality; without facts nothing but that quality
+    c, t = 0.88, 0.99
+    assert got[1].confidence == round(100 * (max(0.52 * c + 0.28 * t + 0.2 * 3 / 18, 0.82 * c + 0.13 * t + 0.05 / 4) - 0.14 - 0.035), 2)
+    assert got[2].confidence == round(100 * (max(0.28 * 0.5, 0.13 * 0.5) - 0.14), 2) and got[2].confidence_score == 0.0
