@@ -338,4 +338,4 @@ def chat_history(queries: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.filter("t.content IS NOT NULL").select(
         "session_id", "session_name", "query_id", "created_at", "t.turn", "t.role", "t.content",
         F.when(F.col("t.role") == "assistant", tags).otherwise(F.array().cast("array<string>")).alias("citations"),
-    )
+    ).orderBy("session_id", "created_at", "query_id", "turn")

@@ -14,7 +14,7 @@ from ledgerlens.session import scratch_path
 from ledgerlens.sources import store as St
 from ledgerlens.streaming import incremental as Inc
 
-NAMES = "region nation customer supplier part orders lineitem events".split()
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def table_counts(spark, sf):

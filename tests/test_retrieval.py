@@ -140,3 +140,13 @@ def test_vector_search_in_sessions(spark, monkeypatch, scope):
             want |= {(q, r + 1, i, d, f"text {i}") for r, (d, i) in enumerate(near)}
     assert {(r.query_id, r["rank"], r.c, r.score, r.text) for r in hits} == want and len(hits) == len(want)
     assert R.vector_search(chunks.limit(0), queries, "c", scope=scope).collect() == []
+
+
+def test_chat_history_is_in_time_order(spark):
+    asked = spark.createDataFrame(
+        [(1, 7, "later", "b [C2] [C2]", 20), (1, 9, "first", "a", 10), (1, 8, "tie", None, 20)],
+        "session_id long, query_id long, question string, answer string, at long",
+    )
+    asked = asked.selectExpr("session_id", "query_id", "question", "answer", "timestamp_seconds(at) AS created_at")
+    rows = R.chat_history(asked, spark.createDataFrame([(1, "s")], "session_id long, session_name string")).collect()
+    assert [(r.content, len(r.citations)) for r in rows] == [("first", 0), ("a", 0), ("later", 0), ("b [C2] [C2]", 1), ("tie", 0)]
