@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import benchmark_queries, fact_queries, flag_queries, research_queries, store_queries, text_queries
+from ledgerlens.plans import benchmark_queries, fact_queries, flag_queries, reader_queries, research_queries, store_queries, text_queries
 
-MODULES = [benchmark_queries, flag_queries, research_queries, text_queries, fact_queries, store_queries]
+MODULES = [benchmark_queries, flag_queries, reader_queries, research_queries, text_queries, fact_queries, store_queries, reader_queries]
 
 
 def queries() -> dict:

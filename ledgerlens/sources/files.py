@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas, vocab
+from ledgerlens.functions.records import RECORDS, file_records, header_names
 from ledgerlens.functions.text import SPACE, squash, strip
 from ledgerlens.operators.ordering import lookup
 from ledgerlens.session import cut_lineage
@@ -101,17 +102,6 @@ def detect_delimiter(sample: Column) -> Column:
 SAMPLE_CHARS = 8192  # of the first lines, to find the delimiter
 
 
-def _header_names(cells: list[str | None]) -> list[str]:
-    """Names of the header's cells: those without a text by their place, repeated ones numbered."""
-    names: list[str] = []
-    for i, cell in enumerate(cells):
-        name, n = cell or f"Unnamed: {i}", 0
-        while (f"{name}.{n}" if n else name) in names:
-            n += 1
-        names.append(f"{name}.{n}" if n else name)
-    return names
-
-
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Rows of delimited files that share one header: (pos, cells), the header first (pos -1).
 
@@ -131,16 +121,41 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     # one column more than the header has: only a line with too many cells fills it
     lines = spark.read.schema(schema).csv(path, sep=sep, header=True, mode="PERMISSIVE").withColumn("pos", F.monotonically_increasing_id())
     rows = lines.filter("more IS NULL").select("pos", F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]).alias("cells"))
-    header = spark.createDataFrame([(-1, _header_names(list(head)))], none.schema)
+    header = spark.createDataFrame([(-1, header_names(list(head)))], none.schema)
     return header.unionByName(rows).select("pos", F.transform("cells", squash).alias("cells"))
 
 
+def read_delimited_files(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all delimited files below a folder: (name, delimiter, row_no, cells), row 0 the header.
+
+    Each file has its own delimiter, found in its first characters, and its own header; a
+    file of blank lines gives an empty header, one of no bytes no row (the manifest names it). Cells are collapsed text; they may be
+    quoted and hold line breaks, and `row_no` counts records, not lines. Short and long
+    records are treated as in `read_delimited`. Files above the size limit, which the
+    manifest rules out, are left unopened, so a file is a bounded row and stays in its task.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).filter(F.col("_metadata.file_size") <= vocab.MAX_FILE_BYTES)
+    text = F.regexp_replace("value", "^\ufeff", "")
+    named = files.select(F.col("_metadata.file_path").alias("name"), detect_delimiter(F.left(text, F.lit(SAMPLE_CHARS))).alias("delimiter"), text.alias("text"))
+    return named.mapInArrow(file_records, RECORDS).withColumn("cells", F.transform("cells", squash))
+
+
+def delimited_summary(records: DataFrame) -> DataFrame:
+    """One row per file: its delimiter, data rows and columns, and a warning where it has no data."""
+    n = F.count_if(F.col("row_no") > 0)
+    found = records.groupBy("name", "delimiter").agg(n.alias("row_count"), F.max(F.when(F.col("row_no") == 0, F.size("cells"))).alias("column_count"))
+    return found.withColumn("warning", F.when(F.col("row_count") == 0, NO_DATA_ROWS))
+
+
+NO_DATA_ROWS = "CSV extraction found no data rows"
+
+
 def normalise_cells(rows: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(r, lambda cell: squash(F.coalesce(cell, F.lit("")))))
 
 
 def table_warning(rows: Column) -> Column:
-    return F.when(F.size(rows) <= 1, "CSV extraction found no data rows")
+    return F.when(F.size(rows) <= 1, NO_DATA_ROWS)
 
 
 def extract_report_metrics(reports: DataFrame, text: str = "text", file_name: str = "file_name") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental forms: new documents become chunks, new metrics become red flags."""
+"""Incremental forms: new documents become chunks, new metrics red flags, and documents change their status."""
 
 from __future__ import annotations
 
@@ -59,3 +59,27 @@ def current_flags(spark: SparkSession, keys: list[str], out: str) -> DataFrame:
     newest = spark.read.option("basePath", f"{out}/requests").parquet(f"{out}/requests/batch=*").groupBy(*keys).agg(F.max("batch").alias("batch"))
     flags = spark.read.option("basePath", f"{out}/flags").parquet(f"{out}/flags/batch=*")
     return flags.join(newest, [*keys, "batch"], "left_semi").drop("batch")
+
+
+def document_outcomes(documents: DataFrame, facts: DataFrame, key: str, patience: str, late: str, out: str, checkpoint: str) -> StreamingQuery:
+    """What became of every document: joined to its facts, or given up after `patience` without any.
+
+    `documents` is a stream of (key, arrived), `facts` one of (key, extracted), where facts
+    count that come between the arrival and the end of the patience. Rows may arrive up to
+    `late` behind the newest ones of their stream. A document waits in the state of the join
+    until the watermark has passed its patience; documents and facts behind it are dropped
+    from the state, so that the state holds what is open and not what was ever seen.
+    """
+    waiting = documents.select(key, "arrived").withWatermark("arrived", late)
+    found = facts.select(F.col(key).alias("_key"), "extracted").withWatermark("extracted", late)
+    in_time = F.expr(f"`{key}` = _key AND extracted >= arrived AND extracted <= arrived + INTERVAL {patience}")
+    outcomes = waiting.join(found, in_time, "left_outer").drop("_key")
+    return outcomes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def document_status(documents: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """Every document as `ready` since its first facts, `failed`, or still `processing`; one row per document."""
+    ends = outcomes.groupBy(key).agg(F.min("extracted").alias("ready_at"))
+    status = F.when(F.col("ready_at").isNotNull(), "ready").when(F.col("_ended"), "failed").otherwise("processing")
+    seen = documents.groupBy(key).agg(F.min("arrived").alias("arrived"))
+    return seen.join(ends.withColumn("_ended", F.lit(True)), key, "left").select(key, "arrived", "ready_at", status.alias("status"))
