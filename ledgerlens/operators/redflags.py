@@ -18,6 +18,7 @@ from ledgerlens import vocab
 from ledgerlens.functions.text import (
     first_supported_snippet, fixed, let, metric_key, parse_number, plain_double, squash, word_key,
 )
+from ledgerlens.operators.grounding import grounded, proof_tokens, request_pieces, tokens_suffice
 from ledgerlens.operators.ordering import lookup
 from ledgerlens.session import cut_lineage
 
@@ -443,41 +444,14 @@ def risk_summary(requests: DataFrame, flags: DataFrame, keys: list[str]) -> Data
 
 
 def is_grounded(proof: Column, corpus: Column) -> Column:
-    """Whether evidence is traceable to the corpus; both are `word_key` forms."""
-    stop = F.array(*[F.lit(w) for w in vocab.GROUNDING_STOPWORDS])
-    tokens = F.array_distinct(F.filter(F.split(proof, " "), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
-    hits = F.size(F.filter(tokens, lambda w: corpus.contains(w)))
-    numeric = F.filter(tokens, lambda w: w.rlike("[0-9]"))
-    n = F.size(tokens)
-    all_numbers = (F.size(numeric) > 0) & F.forall(numeric, lambda w: corpus.contains(w))
-    return (
-        F.when(F.coalesce(proof, F.lit("")) == "", False)
-        .when(corpus.contains(proof), True)
-        .when(n == 0, False)
-        .when(all_numbers, hits >= F.greatest(F.lit(2), F.floor(n * 0.5)))
-        .when(n <= 3, hits == n)
-        .otherwise((hits >= 3) & (hits / n >= 0.65))
-    )
-
+    """Whether evidence is traceable to one text; both are `word_key` forms. Large requests: `grounding.grounded`."""
 
-def request_corpus(requests: DataFrame, metrics: DataFrame, sections: DataFrame, flags: DataFrame) -> DataFrame:
-    """All text of a request in `word_key` form, one row each (bounded by one request's input)."""
-    key = "request_id"
-    fields = ["value", "current", "previous", "prior", "current_year", "prior_year", "unit", "source"]
-    dumped = F.concat_ws(" ", "metric", *[F.concat_ws(" ", F.lit(f), F.coalesce(f, F.lit("null"))) for f in fields])
-    parts = (
-        requests.select(key, F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), F.concat_ws("\n", "company", "financial_year").alias("t"))
-        .unionByName(metrics.select(key, F.lit(1).alias("part"), F.col("pos").cast("long").alias("pos"), dumped.alias("t")))
-        .unionByName(sections.select(key, F.lit(2).alias("part"), F.col("pos").cast("long").alias("pos"), F.concat_ws("\n", "section", "content").alias("t")))
-        .unionByName(flags.select(key, F.lit(3).alias("part"), "pos", F.concat_ws("\n", "category", "title", "description", "evidence", "recommendation").alias("t")))
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "t"))), lambda p: p["t"]), "\n")
-    return parts.groupBy(key).agg(word_key(joined).alias("corpus"))
+    def verdict(tokens: Column) -> Column:
+        numbers = F.filter(tokens, lambda w: w.rlike("[0-9]"))
+        found = [F.size(F.filter(ws, lambda w: corpus.contains(w))) for ws in (tokens, numbers)]
+        return tokens_suffice(F.size(tokens), found[0], F.size(numbers), found[1])
 
-
-def grounded(flags: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Flags of another source whose evidence the request supports."""
-    return lookup(flags, corpus, ["request_id"]).filter(is_grounded(word_key(F.col("evidence")), F.col("corpus"))).drop("corpus")
+    return F.when(F.coalesce(proof, F.lit("")) == "", False).when(corpus.contains(proof), True).otherwise(let(proof_tokens(proof), verdict))
 
 
 def analyse(requests: DataFrame, metrics: DataFrame, sections: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -487,8 +461,9 @@ def analyse(requests: DataFrame, metrics: DataFrame, sections: DataFrame, others
     rule_flags = cut_lineage(rule_flags)  # read for the corpus and twice for the merge
     flags = rule_flags
     if others is not None:
-        corpus = request_corpus(requests, metrics, sections, rule_flags)
-        usable = grounded(check_flags(others).filter("reason IS NULL").drop("reason"), corpus)
+        usable = grounded(check_flags(others).filter("reason IS NULL").drop("reason"), request_pieces(requests, metrics, sections, rule_flags))
+        usable = cut_lineage(usable)
+
         def placed(df: DataFrame, source: int) -> DataFrame:
             return df.withColumn("pos", F.struct(F.lit(source).alias("source"), F.col("pos").cast("long").alias("pos")))
 

@@ -204,21 +204,23 @@ def _grams(name: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(name, i, F.lit(size))))
 
 
-def contained_names(short: DataFrame, long: DataFrame) -> DataFrame:
+def contained_names(short: DataFrame, long: DataFrame, scope: list[str] | None = None, shortest: int = 1) -> DataFrame:
     """(short, long) for every name of `long` that holds a name of `short`; both hold different, non-empty names.
 
     A short name is filed under its rarest run of three letters (a shorter name under
     itself); a long name asks with each of its own runs. Rows per name grow with its length.
+    With `scope` columns names meet only within one scope. No short name has fewer letters than `shortest`.
     """
-    runs = F.concat(*[_grams(F.col("long"), n) for n in range(1, GRAM + 1)])
-    asked = long.select("long", F.explode(runs).alias("gram"))
-    counts = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    scope = scope or []
+    runs = F.concat(*[_grams(F.col("long"), n) for n in range(min(shortest, GRAM), GRAM + 1)])
+    asked = long.select(*scope, "long", F.explode(runs).alias("gram"))
+    counts = asked.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("short") < GRAM, F.array("short")).otherwise(_grams(F.col("short"), GRAM))
     # a run that no long name has rules the short name out
-    counted = lookup(short.select("short", F.explode(own).alias("gram")), counts, ["gram"], "left")
-    filed = counted.groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
-    filed = filed.filter("rarest.n > 0").select("short", F.col("rarest.gram").alias("gram"))
-    return asked.join(filed, "gram").filter(F.col("long").contains(F.col("short"))).select("short", "long")
+    counted = lookup(short.select(*scope, "short", F.explode(own).alias("gram")), counts, [*scope, "gram"], "left")
+    filed = counted.groupBy(*scope, "short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    filed = filed.filter("rarest.n > 0").select(*scope, "short", F.col("rarest.gram").alias("gram"))
+    return asked.join(filed, [*scope, "gram"]).filter(F.col("long").contains(F.col("short"))).select(*scope, "short", "long")
 
 
 def curated_override(reports: DataFrame, curated: DataFrame, key: str) -> DataFrame:
