@@ -187,7 +187,8 @@ def stream_section_chunks(spark, sf):
     from ledgerlens.streaming.incremental import index_new_documents, read_new_files
 
     schema = I.table(spark, sf, "documents").schema
-    docs = read_new_files(spark, sf, schema, glob="documents.parquet")
+    # the table is one file or a folder of them; a stream takes a single file only by a pattern
+    docs = read_new_files(spark, f"{sf}/documents.parque[t]", schema)
     out = scratch_path(spark, "chunks")
     index_new_documents(docs.select("doc_id", "text"), ["doc_id"], out, scratch_path(spark, "chunks-log")).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "chunk_no", "section", "text")

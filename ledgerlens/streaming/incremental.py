@@ -10,9 +10,8 @@ from ledgerlens.operators.chunking import chunk_sections
 from ledgerlens.operators.redflags import exact_dedup, merge, numeric_flags
 
 
-def read_new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1000, glob: str | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+def read_new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def index_new_documents(documents: DataFrame, keys: list[str], out: str, checkpoint: str, partition: str | None = None) -> StreamingQuery:

@@ -77,3 +77,11 @@ def test_status_query_has_every_status(spark, sf_dir):
 def test_written_comparisons_keep_nulls_and_print_indented(spark):
     row = spark.range(1).select(F.struct(F.lit("x").alias("a"), F.lit(None).cast("int").alias("b")).alias("r"))
     assert '\n  "r" : {\n' in Fi.pretty_comparison(row).first().json and '"b" : null' in Fi.pretty_comparison(row).first().json
+
+
+def test_a_stream_of_documents_reads_a_table_that_is_a_folder(spark, sf_dir, tmp_path):
+    from ledgerlens.plans import research_queries as R
+
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one, folder = (R.stream_section_chunks(spark, d) for d in (sf_dir, str(tmp_path)))
+    assert folder.count() == one.count() > 0 and folder.exceptAll(one).isEmpty()
