@@ -11,6 +11,7 @@ from ledgerlens.sources import files as Fi
 from ledgerlens.streaming import incremental as Inc
 
 PER_FILE = 100  # rows that are written to one file
+TABLE_ROWS = 100_000  # rows of a table that are written to one delimited file, far below the size limit of a file
 
 # fixed values: the files of each table, their delimiter and columns (the same expression in both engines)
 DIALECTS = {
@@ -26,7 +27,7 @@ def delimited_files(spark, sf):
     root = scratch_path(spark, "delimited")
     for name, (mark, columns) in DIALECTS.items():
         cells = [F.expr(x.replace("{br}", "char(10)")).cast("string").alias(c) for c, x in columns.items()]
-        I.table(spark, sf, name).select(*cells).write.csv(f"{root}/{name}", sep=mark, header=True, escape='"')
+        I.table(spark, sf, name).select(*cells).write.option("maxRecordsPerFile", TABLE_ROWS).csv(f"{root}/{name}", sep=mark, header=True, escape='"')
     rows = Fi.read_delimited_files(spark, root)
     named = rows.select(F.element_at(F.split("name", "/"), -2).alias("folder"), "delimiter", (F.col("row_no") == 0).alias("header"), F.array_join("cells", "~").alias("cells"))
     return named.filter("NOT header").unionByName(named.filter("header").distinct())

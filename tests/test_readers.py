@@ -79,6 +79,13 @@ def test_written_comparisons_keep_nulls_and_print_indented(spark):
     assert '\n  "r" : {\n' in Fi.pretty_comparison(row).first().json and '"b" : null' in Fi.pretty_comparison(row).first().json
 
 
+def test_tables_that_would_fill_more_than_a_file_of_the_limit_are_read_whole(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(Fi.vocab, "MAX_FILE_BYTES", 4_000)  # the customers of sf0.001 take more
+    monkeypatch.setattr(Q, "TABLE_ROWS", 40)
+    counts = {r.folder: r["count"] for r in Q.delimited_files(spark, sf_dir).filter("NOT header").groupBy("folder").count().collect()}
+    assert counts == {name: Q.I.table(spark, sf_dir, name).count() for name in Q.DIALECTS}
+
+
 def test_a_stream_of_documents_reads_a_table_that_is_a_folder(spark, sf_dir, tmp_path):
     from ledgerlens.plans import research_queries as R
 
