@@ -83,6 +83,29 @@ def weigh(starts: np.ndarray, places: np.ndarray, counts: np.ndarray, idf: np.nd
     }
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (shard, idf) in order of shard and term -> the numbers of each shard as one list."""
+    current, parts = None, []
+
+    def row() -> pa.RecordBatch:
+        lists = pa.array([np.concatenate(parts)], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), lists], ["shard", "idf"])
+
+    for batch in batches:
+        shard, idf = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if parts and shard[lo] != current:
+                yield row()
+                parts = []
+            current = int(shard[lo])
+            parts.append(idf[lo:hi].copy())
+    if parts:
+        yield row()
+
+
 def weighed(kept: int, schema: pa.Schema, block: int = BLOCK):
     """Shards with the idf of each term -> shards of weights in blocks; the first `kept` columns stay."""
 

@@ -23,6 +23,7 @@ from ledgerlens.session import by_key, scratch_path
 QUERY_TERMS = 50_000  # question terms that come to a shard at a time
 QUERY_BLOCK = 2_000  # question vectors that come to a block at a time
 BROADCAST_NUMBERS = 4_000_000  # most entries of question vectors that are sent to every task
+GROUP_SHARDS = 4  # shards, each of some MB, that are read at once
 PIVOTS = 8  # stored vectors whose distances bound those between others
 
 
@@ -65,10 +66,13 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((F.lit(1) + n) / (F.lit(1) + df)) + 1
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows stored once in the shared folder and read back."""
+def _written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows stored once in the shared folder and read back.
+
+    `rows` that hold long lists go to a row group; a reader decodes up to 4096 rows of a group at once.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", rows) if rows else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,7 +93,7 @@ class TermIndex:
     without a single term still count in n, as rows of an all-zero matrix would.
 
     Postings are never joined by term: the shards' terms, one row each, meet the vocabulary,
-    and the idf goes back to the shard.
+    and the idf goes back to the shard, sorted, so that a task holds the numbers of one shard.
     """
 
     def __init__(self, chunks: DataFrame, keys: list[str], text: str = "text", stop_words=vocab.STOP_WORDS, scope: list[str] | None = None):
@@ -100,11 +104,11 @@ class TermIndex:
             rows = deal_by_scope(self._stored("words", rows), self.scope, 4 * postings.SHARD)
         schema = T.StructType([*[rows.schema[c] for c in self.scope], T.StructField("ids", T.ArrayType(rows.schema["_id"].dataType)), *T.StructType.fromDDL(postings.LISTS).fields])
         built = postings.shards(len(self.scope), keys, to_arrow_schema(schema))
-        self._shards = self._stored("shards", rows.mapInArrow(built, schema).withColumn("shard", F.monotonically_increasing_id()))
+        self._shards = self._stored("shards", rows.mapInArrow(built, schema).withColumn("shard", F.monotonically_increasing_id()), GROUP_SHARDS)
         self.vocabulary = self._stored("vocabulary", self._frequencies())
 
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        return _written(df, f"index-{name}")
+    def _stored(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        return _written(df, f"index-{name}", rows)
 
     def _frequencies(self) -> DataFrame:
         own = self.scope
@@ -123,11 +127,11 @@ class TermIndex:
             listed = self._shards.select(*self.scope, "shard", F.posexplode("terms").alias("i", "term"))
             words = self.vocabulary.drop("df")  # stored, so it is only counted
             words = F.broadcast(words) if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else words
-            known = listed.join(words, [*self.scope, "term"])
-            known = known.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "idf"))), lambda t: t["idf"]).alias("idf"))
+            known = by_key(listed.join(words, [*self.scope, "term"]).select("shard", "i", "idf"), "shard").sortWithinPartitions("shard", "i")
+            known = known.select("shard", "idf").mapInArrow(postings.gathered, "shard long, idf array<double>")
             rows = by_key(self._shards, "shard").join(known, "shard").select(*self.scope, "ids", "terms", "starts", "places", "counts", "idf")
             schema = T.StructType([*rows.schema.fields[: len(self.scope) + 1], *T.StructType.fromDDL(postings.WEIGHED).fields])
-            self._blocks = self._stored("blocks", rows.mapInArrow(postings.weighed(len(self.scope) + 1, to_arrow_schema(schema)), schema))
+            self._blocks = self._stored("blocks", rows.mapInArrow(postings.weighed(len(self.scope) + 1, to_arrow_schema(schema)), schema), GROUP_SHARDS)
         return self._blocks
 
     def question_weights(self, questions: DataFrame, qkeys: list[str], text: str) -> DataFrame:

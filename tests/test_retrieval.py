@@ -150,3 +150,24 @@ def test_chat_history_is_in_time_order(spark):
     asked = asked.selectExpr("session_id", "query_id", "question", "answer", "timestamp_seconds(at) AS created_at")
     rows = R.chat_history(asked, spark.createDataFrame([(1, "s")], "session_id long, session_name string")).collect()
     assert [(r.content, len(r.citations)) for r in rows] == [("first", 0), ("a", 0), ("later", 0), ("b [C2] [C2]", 1), ("tie", 0)]
+
+
+def test_idf_of_a_shard_is_gathered_over_batches_and_shards_are_read_few_at_a_time(spark):
+    import glob
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ledgerlens.functions import postings
+
+    rows = [(s, s + t / 100) for s in (3, 5, 9) for t in range(7)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 4]]) for i in range(2)], ["shard", "idf"]) for at in range(0, len(rows), 4)]
+    got = [r for b in postings.gathered(iter([b.slice(0, 0) for b in batches[:1]] + batches)) for r in b.to_pylist()]
+    assert got == [{"shard": s, "idf": [v for n, v in rows if n == s]} for s in (3, 5, 9)]
+
+    texts = spark.range(40).selectExpr("id", "concat('word', id, ' common') AS text", "id AS session").coalesce(1)
+    index = R.TermIndex(texts, ["id"], scope=["session"])
+    for stored in (index._shards, index.blocks):
+        for file in stored.inputFiles():
+            meta = pq.ParquetFile(glob.escape(file).replace("file://", "").replace("file:", "")).metadata
+            assert all(meta.row_group(g).num_rows <= R.GROUP_SHARDS for g in range(meta.num_row_groups))
