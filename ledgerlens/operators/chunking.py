@@ -58,43 +58,74 @@ def pack_paragraphs(c: Column, target: int = vocab.PACK_TARGET, overlap: int = v
 
     A paragraph longer than `target` is cut into overlapping windows and carries nothing on.
     """
+    return F.transform(packed_chunks(c, target, overlap), lambda x: x["text"])
+
+
+def packed_chunks(c: Column, target: int = vocab.PACK_TARGET, overlap: int = vocab.PACK_OVERLAP) -> Column:
+    """The same as array of (text, head, tail): how many characters of the text, at its start and its
+    end, are a cut piece of a line that the chunk before or after holds whole."""
     step = target - overlap
+    chunk = "array<struct<text:string,head:int,tail:int>>"
+
+    def packed(text: Column, head: Column) -> Column:
+        return F.struct(text.alias("text"), head.cast("int").alias("head"), F.lit(0).alias("tail"))
     paragraphs = F.filter(F.transform(F.split(c, "\n{2,}", -1), strip), lambda p: F.length(p) > 0)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast(chunk).alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("head"))
+
+    def window(p: Column, i: Column, last: Column) -> Column:
+        text = F.substring(p, i * step + 1, F.lit(target))
+        first = F.instr(text, "\n")  # 0 where there is none
+        rest = F.length(F.substring_index(text, "\n", -1))
+        # the window before ends with the first `overlap` characters of this one, the one after starts with the last
+        begun = (i > 0) & (F.substring(p, i * step, F.lit(1)) != "\n") & first.between(1, overlap + 1)
+        before = (i == 1) | F.substring(p, (i - 1) * step + 1, F.lit(step)).contains("\n")
+        ended = (i < last) & (F.substring(p, i * step + target + 1, F.lit(1)) != "\n") & (first > 0) & (rest <= overlap)
+        after = (i + 1 == last) | F.substring(p, (i + 1) * step + overlap + 1, F.lit(step)).contains("\n")
+        return F.struct(
+            text.alias("text"), F.when(begun & before, first).otherwise(0).cast("int").alias("head"),
+            F.when(ended & after, rest).otherwise(0).cast("int").alias("tail"),
+        )
 
     def windows(p: Column) -> Column:
         last = F.ceil(F.greatest(F.length(p) - target, F.lit(0)) / step).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(p, i * step + 1, F.lit(target)))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: window(p, i, last))
 
     def add(acc: Column, p: Column) -> Column:
         size = F.length(p)
         large = size > target
         emit = (large | (acc["n"] + size + 2 > target)) & (acc["cur"] != "")
         body = strip(acc["cur"])
-        done = F.when(emit, F.concat(acc["out"], F.array(body))).otherwise(acc["out"])
+        done = F.when(emit, F.concat(acc["out"], F.array(packed(body, acc["head"])))).otherwise(acc["out"])
         kept = F.when(emit, F.right(body, F.lit(overlap)) if overlap else F.lit("")).otherwise(acc["cur"])
         before = F.when(emit, F.least(F.length(body), F.lit(overlap))).otherwise(acc["n"])
+        first = F.length(F.substring_index(kept, "\n", 1))
+        cut = (F.length(body) > overlap) & (F.substring(body, F.length(body) - overlap, F.lit(1)) != "\n")
+        head = F.when(emit, F.when(cut & (kept != ""), first).otherwise(0)).otherwise(acc["head"])
         return F.struct(
             F.when(large, F.concat(done, windows(p))).otherwise(done).alias("out"),
             F.when(large, "").when(kept == "", p).otherwise(F.concat(kept, F.lit("\n\n"), p)).alias("cur"),
-            F.when(large, 0).otherwise(before + size + 2).alias("n"),
+            F.when(large, 0).otherwise(before + size + 2).alias("n"), F.when(large, 0).otherwise(head).cast("int").alias("head"),
         )
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
+        return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(packed(strip(acc["cur"]), acc["head"])))).otherwise(acc["out"])
 
     return F.aggregate(paragraphs, start, add, finish)
 
 
 def chunk_paragraphs(documents: DataFrame, keys: list[str], text: str = "text", **sizes) -> DataFrame:
-    """One row per packed chunk: keys, index (1-based), total, text, character_count."""
+    """One row per packed chunk: keys, index (1-based), total, text, character_count, and `lines`, the text without
+    the cut lines at its ends that a neighbour holds whole."""
     def describe(packed: Column) -> Column:
         return F.transform(
             packed,
-            lambda t, i: F.struct((i + 1).alias("index"), F.size(packed).alias("total"), t.alias("text"), F.length(t).alias("character_count")),
+            lambda x, i: F.struct(
+                (i + 1).alias("index"), F.size(packed).alias("total"), x["text"].alias("text"), F.length(x["text"]).alias("character_count"),
+                F.substring(x["text"], x["head"] + 1, F.length(x["text"]) - x["head"] - x["tail"]).alias("lines"),
+            ),
         )
 
-    rows = documents.select(*keys, F.explode(let(pack_paragraphs(F.col(text), **sizes), describe)).alias("c"))
+    rows = documents.select(*keys, F.explode(let(packed_chunks(F.col(text), **sizes), describe)).alias("c"))
     return rows.select(*keys, "c.*")
 
 

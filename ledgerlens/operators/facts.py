@@ -382,8 +382,8 @@ def extract_documents(documents: DataFrame, doc: str = "doc_id", text: str = "te
 
     chunks = chunk_paragraphs(normalise_documents(documents.select(doc, text), text), [doc], text)
     keys = [doc, "index"]
-    # the texts are read once; the facts found are few and stored
-    metrics, companies = split_facts(cut_lineage(facts_of_lines(text_lines(chunks, keys), keys)), keys)
+    # the texts are read once; the facts found are few and stored; a line that a chunk cuts is read where it is whole
+    metrics, companies = split_facts(cut_lineage(facts_of_lines(text_lines(chunks, keys, "lines"), keys)), keys)
     metrics = dedup_facts(metrics, keys, ["metric", "value", "period", "page_number"])
     companies = dedup_facts(companies, keys, ["field", "value", "page_number"])
     place = F.struct("index", F.col("pos").alias("fact"))  # chunk order before line order

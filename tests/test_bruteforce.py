@@ -418,3 +418,26 @@ def test_side_by_side_has_every_region(spark, sf_dir, tmp_path):
     assert wide.columns == ["fiscal_year", "metric", "AFRICA", "AMERICA", "EUROPE", "MIDDLE_EAST", "NEW_LAND"]
     old = {(r.fiscal_year, r.metric): r.ASIA for r in benchmark_queries.side_by_side_pivot(spark, sf_dir).collect()}
     assert old and {(r.fiscal_year, r.metric): r.NEW_LAND for r in wide.collect()} == old
+
+
+def test_a_line_that_a_chunk_cuts_is_read_where_it_is_whole(spark):
+    from ledgerlens.operators import facts as Fa
+
+    line = "Revenue: 11985 cr FY2001"
+    texts = ["x" * n + "\n" + line for n in (11_984, 11_990, 11_996, 11_999, 12_000, 23_575, 23_590)]  # cut at every place of the line
+    texts += ["y" * 11_000 + "\n\n" + "gross " + line + "\n" + "z" * 375 + "\n\n" + "w" * 2_000, "y" * 13_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = Fa.extract_documents(docs)
+    got = {(r.doc_id, r.place, r.value, r.period) for r in out["metrics"].collect() if r.doc_id < 7}
+    assert got == {(i, 0, "11985 cr FY2001", "FY2001") for i in range(7)}
+    assert [(r.doc_id, r.metric) for r in out["metrics"].filter("doc_id >= 7").collect()] == [(7, "Gross Revenue")]
+    # nothing but cut lines is left out: every line stands whole in the `lines` of some chunk, or no chunk holds it whole
+    rng = random.Random(7)
+    texts = ["\n".join(rng.choice("ab") * rng.randint(0, 30) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {}
+    for r in C.chunk_paragraphs(docs, ["doc_id"], target=50, overlap=12).collect():
+        held.setdefault(r.doc_id, []).extend(x.strip() for x in r.lines.split("\n"))
+        assert r.lines in r.text
+    for i, text in enumerate(texts):
+        assert all(x in held[i] for x in text.split("\n") if 0 < len(x) <= 12), text
