@@ -73,6 +73,28 @@ def steady(value: Column) -> Column:
     """The value to 15 significant digits, to be rounded to one or two decimals next.
 
     A half then stays a half, whatever was added before it. From 1e12 on these digits do not
-    reach below two decimals, where the value stays as it is.
+    reach below two decimals, where the value stays as it is. The formatter rounds the shortest
+    decimal that names a double; where that ends in a 5 just behind the digits kept, the true
+    value of the double decides, by its product with a power of ten and that product's error.
     """
-    return F.when(F.abs(value) < 1e12, F.format_string("%.14e", value).cast("double")).otherwise(value)
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    def judged(p: Column) -> Column:
+        a, scale = p["size"], p["scale"]
+        (ah, al), (sh, sl) = halves(a), halves(scale)
+        error = ((ah * sh - a * scale) + ah * sl + al * sh) + al * sl
+        whole = F.floor(a * scale).cast("long")
+        rest = a * scale - whole
+        down = (rest < 0.5) | ((rest == 0.5) & ((error < 0) | ((error == 0) & (whole % 2 == 0))))
+        return F.when(down, p["sign"] * (whole.cast("double") / scale))
+
+    digits = F.format_string("%.16e", F.abs(value))  # d.dddddddddddddd, two more digits, the exponent
+    places = 14 - F.substring_index(digits, "e", -1).try_cast("int")
+    tie = (F.substring(digits, 17, 2) == "50") & places.between(0, 22)  # powers of ten that are exact doubles
+    parts = F.struct(F.abs(value).alias("size"), F.pow(F.lit(10.0), places.cast("double")).alias("scale"), F.signum(value).alias("sign"))
+    below = F.when(tie, F.transform(F.array(parts), judged)[0])
+    rounded = F.coalesce(below, F.format_string("%.14e", value).cast("double"))
+    return F.when(F.abs(value) < 1e12, rounded).otherwise(value)

@@ -54,3 +54,10 @@ def test_small_and_large_values_keep_their_means(spark):
         assert got["c1"].peer_average == 5e23 / 3
         big = B.benchmark(peers(spark, [1e23, 3e-7, 2e-7]), None, ["fiscal_year"], SIZE, unique).first()
         assert (big.focus_rank, big.total_ranked, big.flag) == (1, 3, "outperform")
+
+
+def test_fifteen_digits_are_rounded_on_the_true_value_of_a_double(spark):
+    pairs = [(928.8, 960.0), (447.6, 480.0), (856.05, 780.0), (851.17, 940.0), (167.49, 180.0), (921.8, 880.0), (926.2, 880.0), (1.0, 3.0), (5.0, 5.0)]
+    numbers = [(v - m) / abs(m) * 100 for v, m in pairs] + [0.0, 1e11 + 0.5, 999.9999999999995, 1e-9 / 3]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", sums.steady(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == {x: float(f"{x:.14e}") for x in numbers}
