@@ -159,26 +159,26 @@ def support_counts(percent: int = 92):
     return count
 
 
-def _first_distinct(signatures, percent: int) -> list[bool]:
-    kept: dict[int, set[str]] = {}  # by length: only lengths within the band can reach `percent`
+def _first_distinct(signatures, percent: int, agree=None) -> list[bool]:
+    kept: dict[tuple, set[str]] = {}  # by length: only lengths within the band can reach `percent`
     flags = []
-    for key in signatures:
+    for key, same in zip(signatures, [None] * len(signatures) if agree is None else agree):
         size = len(key)
         band = range(-(-size * percent // (200 - percent)), size * (200 - percent) // percent + 1)
         fresh = bool(key) and not any(
-            key in kept.get(n, ()) or any(at_least(key, other, percent) for other in kept.get(n, ())) for n in band
+            key in kept.get((same, n), ()) or any(at_least(key, other, percent) for other in kept.get((same, n), ())) for n in band
         )
         if fresh:
-            kept.setdefault(size, set()).add(key)
+            kept.setdefault((same, size), set()).add(key)
         flags.append(fresh)
     return flags
 
 
 def first_distinct(percent: int = 96):
-    """Column function: ordered signatures -> whether each differs from all kept before it."""
+    """Column function: ordered signatures, and what look-alikes must agree in (or null) -> whether each differs from all kept before it."""
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def mark(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else _first_distinct(v, percent))
+    def mark(values: pd.Series, agree: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else _first_distinct(v, percent, a) for v, a in zip(values, agree)], dtype=object)
 
     return mark

@@ -220,13 +220,18 @@ def best_company_values(facts: DataFrame, doc: str = "doc_id", percent: int = 92
     return listed.select(doc, "field", F.array_min(scored)["value"].alias("value"))
 
 
-def distinct_metrics(facts: DataFrame, doc: str = "doc_id", percent: int = 96) -> DataFrame:
-    """Metric facts without look-alikes of earlier ones, in canonical order (`place`)."""
+def distinct_metrics(facts: DataFrame, doc: str = "doc_id", percent: int = 96, same: list[str] | None = None) -> DataFrame:
+    """Metric facts without look-alikes of earlier ones, in canonical order (`place`).
+
+    The original compares whole facts, so that two long amounts that differ in a digit are
+    look-alikes. With `same`, only facts that agree in those columns can be.
+    """
     exact = F.lower(strip(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("metric", "value", "unit", "period", "page_number")])))
     columns = ["pos", "field", "metric", "value", "unit", "period", "page_number", "confidence"]
     once = first_by(facts.withColumn("signature", exact), [doc, "signature"], "pos", columns)
     listed = once.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*columns, "signature"))).alias("c"))
-    listed = listed.withColumn("keep", first_distinct(percent)(F.transform("c", lambda x: x["signature"])))
+    agree = F.lit(None).cast("array<string>") if same is None else F.transform("c", lambda x: F.concat_ws("\n", *[F.coalesce(x[c], F.lit("")) for c in same]))
+    listed = listed.withColumn("keep", first_distinct(percent)(F.transform("c", lambda x: x["signature"]), agree))
     rank = F.create_map(*[F.lit(x) for i, f in enumerate(vocab.METRIC_FIELDS) for x in (f, i)])
 
     def text(c: Column) -> Column:
@@ -307,7 +312,8 @@ def document_confidence(
     once = both.groupBy(doc, signature.alias("s")).agg(F.max("confidence").alias("confidence"))
     found = once.groupBy(doc).agg(
         F.count(F.lit(1)).alias("n_facts"),
-        (F.sum(F.col("confidence").cast("decimal(20,10)")).cast("double") / F.count("confidence")).alias("mean_confidence"),
+        # both as whole numbers, so that the quotient is the double nearest to the mean
+        (F.sum(F.floor(F.col("confidence").cast("decimal(20,10)") * 10**10)).cast("double") / (F.count("confidence") * F.lit(1e10))).alias("mean_confidence"),
     )
     scalars = companies.groupBy(doc).agg(F.count_distinct("field").alias("n_scalars"))
     df = lookup(lookup(documents, found, [doc], "left"), scalars, [doc], "left").na.fill(0, ["n_facts", "n_scalars"])
@@ -342,7 +348,8 @@ def company_name_of(documents: DataFrame, text: str = "text", title: str | None
 
 
 def document_records(
-    documents: DataFrame, signals: DataFrame, metrics: DataFrame, companies: DataFrame, doc: str = "doc_id", text: str = "text", title: str | None = None
+    documents: DataFrame, signals: DataFrame, metrics: DataFrame, companies: DataFrame, doc: str = "doc_id", text: str = "text", title: str | None = None,
+    same: list[str] | None = None,
 ) -> DataFrame:
     """One wide row per document: its company fields, a value per metric field, and its score.
 
@@ -350,9 +357,9 @@ def document_records(
     several times; `signals` is what `document_confidence` needs but the model's confidence,
     which is the mean over the facts. A legal name in the title comes before the facts; the
     text's own legal name and currency stand in where the facts have none. Documents
-    without facts have a row of nulls and their score.
+    without facts have a row of nulls and their score. `same` is that of `distinct_metrics`.
     """
-    distinct, chosen = distinct_metrics(metrics, doc), best_metrics(metrics, doc)
+    distinct, chosen = distinct_metrics(metrics, doc, same=same), best_metrics(metrics, doc)
     currency = detect_document_currency(distinct, chosen, doc, documents, text)
     named = company_name_of(documents, text).select(doc, F.col("company_name").alias("value"))
 

@@ -15,6 +15,7 @@ from ledgerlens.sources import files as Fi
 
 DOC = ["doc_id"]
 CODES = ["USD", "EUR", "GBP"]
+SAME = ["value"]  # the SQL keeps the net incomes of two years apart, however alike their digits are
 
 
 def statements(spark, sf):
@@ -83,8 +84,8 @@ def fact_pivot(spark, sf):
 
 
 def fact_fuzzy_dedup(spark, sf):
-    """Facts without look-alikes of earlier ones, in canonical order."""
-    return Fa.distinct_metrics(_metrics(spark, sf)).select("doc_id", "place", "metric", "value", "unit", "period", "page_number")
+    """Facts without look-alikes of earlier ones that state the same value, in canonical order."""
+    return Fa.distinct_metrics(_metrics(spark, sf), same=SAME).select("doc_id", "place", "metric", "value", "unit", "period", "page_number")
 
 
 def company_values(spark, sf):
@@ -116,7 +117,7 @@ def _doc_signals(spark, sf):
 def doc_confidence(spark, sf):
     metrics, companies = _facts(spark, sf)
     metrics = _once(metrics)
-    out = Fa.document_confidence(_doc_signals(spark, sf), Fa.distinct_metrics(metrics), Fa.best_metrics(metrics), companies)
+    out = Fa.document_confidence(_doc_signals(spark, sf), Fa.distinct_metrics(metrics, same=SAME), Fa.best_metrics(metrics), companies)
     return out.select("doc_id", "n_facts", "n_scalars", "confidence")
 
 
@@ -130,7 +131,7 @@ def extraction_records(spark, sf):
     signals = _doc_signals(spark, sf).drop("model_confidence", "n_warnings").select(
         "*", warnings.alias("warnings"), (F.col("doc_id") % 3 == 0).alias("ocr_required"), F.lit(0.91).alias("ocr_confidence")
     )
-    return Fa.document_records(statements(spark, sf), signals, _once(metrics), companies)
+    return Fa.document_records(statements(spark, sf), signals, _once(metrics), companies, same=SAME)
 
 
 def mean_confidence(spark, sf):
