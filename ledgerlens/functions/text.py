@@ -7,6 +7,7 @@ classes are ASCII only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 
 SPACE = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(SPACE, c))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 NUMBER = r"\(?[-+]?\d[\d,]*(?:\.\d+)?\)?"
 
@@ -45,7 +47,7 @@ def first_per_key(items: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squash(c: Column) -> Column:
@@ -80,14 +82,29 @@ def approx_tokens(c: Column) -> Column:
     return F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4).cast("int")
 
 
-def rewrite(c: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
-    """Replace each match of `pattern` by an expression of the matched text."""
+def rewrite(c: Column, pattern: str, replacement: Callable[[Column], Column], mark: str = "$0") -> Column:
+    """Replace each match of `pattern` by an expression of the matched text, or of the groups that `mark` names.
+
+    One pass puts each match between two control characters; the pieces are then told by
+    their place. A text that holds such a character itself carries others in its stead meanwhile.
+    """
+
+    def weave(marked: Column) -> Column:
+        pieces = F.transform(
+            F.split(marked, "\x01", -1), lambda piece, i: F.when(i % 2 == 1, F.coalesce(replacement(piece), F.lit(""))).otherwise(piece)
+        )
+        return F.when(marked.contains("\x01"), F.array_join(pieces, "")).otherwise(marked)
+
+    def swap(text: Column, *pairs: tuple[str, str]) -> Column:
+        for old, new in pairs:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return text
 
     def woven(text: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replacement)
-        pairs = F.zip_with(gaps, found, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
-        return F.when(text.rlike(pattern), F.array_join(pairs, "")).otherwise(text)
+        clash = text.contains("\x01")
+        free = F.when(clash, swap(text, ("\x03", "\x03\x04"), ("\x01", "\x03\x05"))).otherwise(text)
+        out = let(F.regexp_replace(free, pattern, f"\x01{mark}\x01"), weave)
+        return let(out, lambda t: F.when(clash, swap(t, ("\x03\x05", "\x01"), ("\x03\x04", "\x03"))).otherwise(t))
 
     return let(c, woven)
 
@@ -181,16 +198,28 @@ def round_exact(c: Column, decimals: int) -> Column:
 
 # --- canonical forms inside running text ------------------------------------
 
+def starts_with_one_of(chars: str, others: str = "") -> str:
+    """A look at the next character, cheaper than trying every alternative that begins with one of `chars`.
+
+    Upper and lower case, and the letters that match s and i without case.
+    """
+    both = dict.fromkeys(chars.upper() + chars.lower())
+    odd = "ſ" * ("s" in both) + "ıİ" * ("i" in both)
+    return f"(?=[{''.join(both)}{odd}{others}])"
+
+
 CURRENCY_PATTERN = (
+    starts_with_one_of("".join(code[0] for code in vocab.REWRITTEN_CODES) + "".join(vocab.CURRENCY_SYMBOLS)) +
     f"(?iu)({'|'.join(vocab.REWRITTEN_CODES)}|[{''.join(vocab.CURRENCY_SYMBOLS)}])"
     f"{SPACE}*({NUMBER})({SPACE}*{any_of(vocab.SCALE_WORDS)})?"
 )
-PERCENT_PATTERN = rf"(?U)(?<![\w.])({NUMBER})\s*%"
-THOUSANDS_PATTERN = r"(?U)(?<![\w.])\(?[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?(?![\w.])"
+# the first character is looked at before what stands before it, which is dearer
+PERCENT_PATTERN = rf"(?U)(?=[-+(\d])(?<![\w.])({NUMBER})\s*%"
+THOUSANDS_PATTERN = r"(?U)(?=[-+(\d])(?<![\w.])\(?[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?(?![\w.])"
 DATE_PATTERN = (
-    rf"(?iU)\b{vocab.MONTH_PATTERN}\s+\d{{1,2}},?\s+\d{{4}}\b"
+    "(?U)" + starts_with_one_of("JFMASOND", r"\d") + rf"(?i:\b{vocab.MONTH_PATTERN}\s+\d{{1,2}},?\s+\d{{4}}\b"
     rf"|\b\d{{1,2}}\s+{vocab.MONTH_PATTERN}\s+\d{{4}}\b"
-    r"|\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b"
+    r"|\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b)"
 )
 
 
@@ -198,18 +227,19 @@ def canonical_currencies(c: Column) -> Column:
     symbols = F.create_map(*[F.lit(x) for pair in vocab.CURRENCY_SYMBOLS.items() for x in pair])
 
     def replacement(hit: Column) -> Column:
-        mark = F.upper(F.regexp_extract(hit, CURRENCY_PATTERN, 1))
-        number = canonical_number(F.regexp_extract(hit, CURRENCY_PATTERN, 2))
-        scale = blank_to_null(F.regexp_extract(hit, CURRENCY_PATTERN, 3))
-        return F.concat_ws(" ", F.coalesce(F.try_element_at(symbols, mark), mark), number, scale)
+        def form(parts: Column) -> Column:
+            mark = F.upper(F.get(parts, F.lit(0)))
+            number = canonical_number(F.get(parts, F.lit(1)))
+            scale = blank_to_null(F.get(parts, F.lit(2)))
+            return F.concat_ws(" ", F.coalesce(F.try_element_at(symbols, mark), mark), number, scale)
 
-    return rewrite(c, CURRENCY_PATTERN, replacement)
+        return let(F.split(hit, "\x02", -1), form)
+
+    return rewrite(c, CURRENCY_PATTERN, replacement, "$1\x02$2\x02$3")
 
 
 def canonical_percents(c: Column) -> Column:
-    return rewrite(
-        c, PERCENT_PATTERN, lambda hit: F.concat(canonical_number(F.regexp_replace(hit, r"(?U)\s*%$", "")), F.lit("%"))
-    )
+    return rewrite(c, PERCENT_PATTERN, lambda number: F.concat(canonical_number(number), F.lit("%")), "$1")
 
 
 def canonical_thousands(c: Column) -> Column:
