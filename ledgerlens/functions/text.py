@@ -47,7 +47,8 @@ def first_per_key(items: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACES))
+    # two trims: of `btrim` over a Python function Spark loses that function when plans are joined
+    return F.rtrim(F.ltrim(c, F.lit(SPACES)), F.lit(SPACES))
 
 
 def squash(c: Column) -> Column:
