@@ -101,13 +101,9 @@ def rewrite(c: Column, pattern: str, replacement: Callable[[Column], Column], ma
             text = F.replace(text, F.lit(old), F.lit(new))
         return text
 
-    def woven(text: Column) -> Column:
-        clash = text.contains("\x01")
-        free = F.when(clash, swap(text, ("\x03", "\x03\x04"), ("\x01", "\x03\x05"))).otherwise(text)
-        out = let(F.regexp_replace(free, pattern, f"\x01{mark}\x01"), weave)
-        return let(out, lambda t: F.when(clash, swap(t, ("\x03\x05", "\x01"), ("\x03\x04", "\x03"))).otherwise(t))
-
-    return let(c, woven)
+    # no lambda looks at a variable of one around it: Spark then lost Python functions of the chain
+    free = swap(c, ("\x03", "\x03\x04"), ("\x01", "\x03\x05"))
+    return swap(let(F.regexp_replace(free, pattern, f"\x01{mark}\x01"), weave), ("\x03\x05", "\x01"), ("\x03\x04", "\x03"))
 
 
 # --- numbers ---------------------------------------------------------------

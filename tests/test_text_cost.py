@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as X
+from ledgerlens.operators import dedup as D
 
 ODD = "\x01a $5 \x03\x05 b\x03\x04 Jan 5, 2020\x01"
 
@@ -33,3 +34,11 @@ def test_strip_takes_every_space_off_the_ends(spark):
     ends = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
     assert one(spark, X.strip, f"{ends}a{ends}b᠎{ends}") == f"a{ends}b᠎"
     assert one(spark, X.strip, ends) == "" and one(spark, X.strip, None) is None
+
+
+def test_normalised_documents_can_be_planned_again(spark):
+    """The chain of rewrites between two Python functions ran only as the first of its kind in a session."""
+    docs = spark.createDataFrame([(1, "on Jan 5, 2020 for $ 1,000 at (5) %\nend")], "doc_id long, text string")
+    for _ in range(3):
+        out = D.normalise_documents(docs).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("h"), "text")
+        assert out.first().text == "on 2020-01-05 for USD 1000 at -5%\nend"
