@@ -61,15 +61,64 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def _shared_start(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def near_common_length(a: str, b: str) -> int:
+    """`common_length` of strings that share most of their ends."""
+    start = _shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _shared_start(a[::-1], b[::-1])
+    return start + end + common_length(a[: len(a) - end], b[: len(b) - end])
+
+
+def _resembles(key: str, by_size: dict, percent: int) -> bool:
+    """Whether `key` reaches `percent` with a string of `by_size` (length -> strings).
+
+    Of one more piece of the key than letters may be added and left out, one at least stands
+    unbroken in a string that reaches `percent`; only those strings are compared.
+    """
+    size = len(key)
+    least, most = -(-size * percent // (200 - percent)), size * (200 - percent) // percent
+    sizes = range(least, most + 1) if most - least < len(by_size) else sorted(n for n in by_size if least <= n <= most)
+    pieces = None
+    for n in sizes:
+        rivals = by_size.get(n)
+        if not rivals:
+            continue
+        if pieces is None:
+            count = (100 - percent) * (size + most) // 100 + 1
+            cuts = [size * i // count for i in range(count + 1)]
+            pieces = [key[i:j] for i, j in zip(cuts, cuts[1:])]
+        for rival in rivals:
+            if any(piece in rival for piece in pieces) and 200 * near_common_length(key, rival) >= percent * (size + n):
+                return True
+    return False
+
+
 def _novel(keys, known, percent: int, window: int, least: int, learn: bool) -> list[bool]:
-    near = list(known)
-    equal, flags = set(near), []
+    near = deque(known[max(0, len(known) - window):] if window else known)
+    by_size: dict[int, deque] = {}  # the strings of `near` by length, oldest first
+    for key in near:
+        by_size.setdefault(len(key), deque()).append(key)
+    equal, flags = set(known), []
     for key in keys:
-        rivals = near[-window:] if len(key) > least else []
-        flags.append(not key or key not in equal and not any(at_least(key, rival, percent) for rival in rivals))
+        flags.append(not key or key not in equal and not (len(key) > least and _resembles(key, by_size, percent)))
         if learn and key and flags[-1]:
             equal.add(key)
             near.append(key)
+            by_size.setdefault(len(key), deque()).append(key)
+            if window and len(near) > window:
+                by_size[len(near.popleft())].popleft()
     return flags
 
 
@@ -83,7 +132,7 @@ def novel_lines(percent: int, window: int, least: int = 0, learn: bool = True):
 
     def kept(keyed, known) -> list[str]:
         keys, lines = zip(*(x.split("\n", 1) for x in keyed)) if len(keyed) else ((), ())
-        flags = _novel(keys, () if known is None else known, percent, window, least, learn)
+        flags = _novel(keys, () if known is None else list(known), percent, window, least, learn)
         return [line for line, flag in zip(lines, flags) if flag]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
