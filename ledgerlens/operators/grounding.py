@@ -2,7 +2,8 @@
 
 A request is many pieces of text; they are never put together. A token holds no space, so
 it stands in the request's text exactly if one of the request's distinct words holds it:
-words and tokens meet by their runs of three letters. Only evidence that the tokens leave
+the few tokens of a usual request are looked for in each of its pieces, those of a request
+with many meet its words by their runs of three letters. Only evidence that the tokens leave
 open, yet don't rule out, is looked for as a whole, in blocks that overlap by its length.
 """
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens import vocab
 from ledgerlens.functions.text import word_key
+from ledgerlens.operators.ordering import lookup
 from ledgerlens.session import cut_lineage
 from ledgerlens.sources.files import contained_names
 
 KEY = "request_id"
 BLOCK_CHARS = 65_536  # of the text that one block adds
+FEW_TOKENS = 64  # distinct tokens of a request up to which they go to its pieces
 CELL = 4096  # neighbouring places whose lengths are added up together
 
 
@@ -55,11 +58,24 @@ def request_pieces(requests: DataFrame, metrics: DataFrame, sections: DataFrame,
     return pieces.filter("t <> ''")
 
 
+def found_tokens(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The (request_id, short) of `tokens`, distinct rows, that stand in a piece of their request."""
+    sized = tokens.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    few = lookup(tokens, sized.filter(F.col("n") <= FEW_TOKENS), [KEY]).groupBy(KEY).agg(F.collect_list("short").alias("few"))
+    hits = F.filter("few", lambda t: F.col("t").contains(t))
+    found = lookup(pieces, few, [KEY]).select(KEY, F.explode(hits).alias("short")).distinct()
+    many = cut_lineage(sized.filter(F.col("n") > FEW_TOKENS).select(KEY))  # read twice
+    if many.isEmpty():
+        return found
+    words = pieces.join(many, KEY, "left_semi").select(KEY, F.explode(F.split("t", " ")).alias("long")).distinct()
+    rest = contained_names(tokens.join(many, KEY, "left_semi"), words, [KEY], shortest=3).select(KEY, "short").distinct()
+    return found.unionByName(rest)
+
+
 def token_counts(proofs: DataFrame, pieces: DataFrame) -> DataFrame:
     """(request_id, proof) with the number of its tokens, of those found, and the same of those with a digit."""
     tokens = proofs.select(KEY, "proof", F.explode(proof_tokens(F.col("proof"))).alias("short"))
-    words = pieces.select(KEY, F.explode(F.split("t", " ")).alias("long")).distinct()
-    found = contained_names(tokens.select(KEY, "short").distinct(), words, [KEY], shortest=3).select(KEY, "short").distinct()
+    found = found_tokens(tokens.select(KEY, "short").distinct(), pieces)
     marked = tokens.join(found.withColumn("hit", F.lit(True)), [KEY, "short"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     number = F.col("short").rlike("[0-9]")
     counts = {"n": F.count(F.lit(1)), "hits": F.count_if("hit"), "numbers": F.count_if(number), "number_hits": F.count_if(number & F.col("hit"))}

@@ -62,3 +62,18 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], PIECES)
     assert G.grounded(spark.createDataFrame([("r", 0, "debt")], FLAGS), none).isEmpty()
     assert G.grounded(spark.createDataFrame([], FLAGS), none).isEmpty()
+
+
+def test_few_tokens_go_to_the_pieces_and_many_to_the_words(spark, monkeypatch):
+    """Both ways find the same tokens; a request with few never takes its words apart."""
+    words = [f"w{i}x" for i in range(200)]
+    rows = [("a", f"{w}q tail") for w in words[::2]] + [("b", "alpha beta"), ("b", "gammadelta"), ("c", "none")]
+    pieces = spark.createDataFrame(rows, "request_id string, t string")
+    few = [("b", t) for t in ("alpha", "delta", "epsilon")] + [("c", "alpha"), ("d", "alpha")]
+    many = [("a", w) for w in words]
+    tokens = spark.createDataFrame(few + many, "request_id string, short string")
+    expected = {("a", w) for w in words[::2]} | {("b", "alpha"), ("b", "delta")}
+    assert {tuple(r) for r in G.found_tokens(tokens, pieces).collect()} == expected
+    monkeypatch.setattr(G, "contained_names", None)
+    proofs = spark.createDataFrame([("b", "alpha epsilon delta")], "request_id string, proof string")
+    assert G.token_counts(proofs, pieces).first()[2:] == (3, 2, 0, 0)
