@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import vocab
 from ledgerlens.functions.similarity import split_pieces
-from ledgerlens.functions.text import LINE_BREAK, SPACE, any_of, first_per_key, legal_name, let, split_lines, squash, strip, word_key
+from ledgerlens.functions.text import LINE_BREAK, SPACE, any_of, first_per_key, legal_name, let, split_lines, squash, starts_with_one_of, strip, word_key
 
 HEADER = r"SECTION \d+:"
 FIRST_LINE = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*"
@@ -58,12 +58,12 @@ def pack_paragraphs(c: Column, target: int = vocab.PACK_TARGET, overlap: int = v
 
     A paragraph longer than `target` is cut into overlapping windows and carries nothing on.
     """
-    return F.transform(packed_chunks(c, target, overlap), lambda x: x["text"])
+    return F.transform(packed_chunks(c, target, overlap, ends=False), lambda x: x["text"])
 
 
-def packed_chunks(c: Column, target: int = vocab.PACK_TARGET, overlap: int = vocab.PACK_OVERLAP) -> Column:
+def packed_chunks(c: Column, target: int = vocab.PACK_TARGET, overlap: int = vocab.PACK_OVERLAP, ends: bool = True) -> Column:
     """The same as array of (text, head, tail): how many characters of the text, at its start and its
-    end, are a cut piece of a line that the chunk before or after holds whole."""
+    end, are a cut piece of a line that the chunk before or after holds whole. Without `ends` both are 0."""
     step = target - overlap
     chunk = "array<struct<text:string,head:int,tail:int>>"
 
@@ -74,6 +74,9 @@ def packed_chunks(c: Column, target: int = vocab.PACK_TARGET, overlap: int = voc
 
     def window(p: Column, i: Column, last: Column) -> Column:
         text = F.substring(p, i * step + 1, F.lit(target))
+        return let(text, lambda t: marked(p, i, last, t)) if ends else packed(text, F.lit(0))
+
+    def marked(p: Column, i: Column, last: Column, text: Column) -> Column:
         first = F.instr(text, "\n")  # 0 where there is none
         rest = F.length(F.substring_index(text, "\n", -1))
         # the window before ends with the first `overlap` characters of this one, the one after starts with the last
@@ -92,20 +95,27 @@ def packed_chunks(c: Column, target: int = vocab.PACK_TARGET, overlap: int = voc
 
     def add(acc: Column, p: Column) -> Column:
         size = F.length(p)
-        large = size > target
-        emit = (large | (acc["n"] + size + 2 > target)) & (acc["cur"] != "")
-        body = strip(acc["cur"])
+        emit = ((size > target) | (acc["n"] + size + 2 > target)) & (acc["cur"] != "")
+        # each value that is looked at more than once is made once
+        return let(F.struct(size.alias("size"), F.when(emit, strip(acc["cur"])).alias("body")), lambda e: put(acc, p, e["size"], e["body"]))
+
+    def put(acc: Column, p: Column, size: Column, body: Column) -> Column:
+        large, emit, length = size > target, body.isNotNull(), F.length(body)
         done = F.when(emit, F.concat(acc["out"], F.array(packed(body, acc["head"])))).otherwise(acc["out"])
         kept = F.when(emit, F.right(body, F.lit(overlap)) if overlap else F.lit("")).otherwise(acc["cur"])
-        before = F.when(emit, F.least(F.length(body), F.lit(overlap))).otherwise(acc["n"])
-        first = F.length(F.substring_index(kept, "\n", 1))
-        cut = (F.length(body) > overlap) & (F.substring(body, F.length(body) - overlap, F.lit(1)) != "\n")
-        head = F.when(emit, F.when(cut & (kept != ""), first).otherwise(0)).otherwise(acc["head"])
-        return F.struct(
-            F.when(large, F.concat(done, windows(p))).otherwise(done).alias("out"),
-            F.when(large, "").when(kept == "", p).otherwise(F.concat(kept, F.lit("\n\n"), p)).alias("cur"),
-            F.when(large, 0).otherwise(before + size + 2).alias("n"), F.when(large, 0).otherwise(head).cast("int").alias("head"),
-        )
+
+        def joined(kept: Column) -> Column:
+            before = F.when(emit, F.least(length, F.lit(overlap))).otherwise(acc["n"])
+            first = F.length(F.substring_index(kept, "\n", 1))
+            cut = (length > overlap) & (F.substring(body, length - overlap, F.lit(1)) != "\n")
+            head = F.when(emit, F.when(cut & (kept != ""), first).otherwise(0)).otherwise(acc["head"])
+            return F.struct(
+                done.alias("out"), F.when(kept == "", p).otherwise(F.concat(kept, F.lit("\n\n"), p)).alias("cur"),
+                (before + size + 2).alias("n"), head.cast("int").alias("head"),
+            )
+
+        alone = F.struct(F.concat(done, windows(p)).alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("head"))
+        return F.when(large, alone).otherwise(let(kept, joined))
 
     def finish(acc: Column) -> Column:
         return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(packed(strip(acc["cur"]), acc["head"])))).otherwise(acc["out"])
@@ -145,12 +155,19 @@ def chunk_pages(pages: DataFrame, keys: list[str], metadata: list[str], text: st
 
 # --- budgeted context -------------------------------------------------------------
 
-HAS_VALUE = rf"(?iu){any_of(vocab.CURRENCY_CODES)}|[$?]|\d"
+HAS_VALUE = rf"[$?\d]|{starts_with_one_of(''.join(code[0] for code in vocab.CURRENCY_CODES))}(?iu){any_of(vocab.CURRENCY_CODES)}"
 PAGE_MARK = r"(?:page|ocr page)[^\S\n]+(\d+)\b"
 
 
+def holds_one_of(words) -> str:
+    """A pattern for texts that hold one of the (plain) words anywhere: words that hold another are left out, the rest are tried by their first letter."""
+    least = [w for w in dict.fromkeys(words) if not any(other != w and other in w for other in words)]
+    heads = sorted({w[0] for w in least})
+    return f"(?=[{''.join(heads)}])" + any_of(f"{head}{any_of(w[1:] for w in least if w[0] == head)}" for head in heads)
+
+
 def _keys(aliases: dict) -> str:
-    return any_of(dict.fromkeys(vocab.label_key(a) for names in aliases.values() for a in names))
+    return holds_one_of([vocab.label_key(a) for names in aliases.values() for a in names])
 
 
 def is_signal_line(line: Column) -> Column:
@@ -167,10 +184,11 @@ def is_signal_line(line: Column) -> Column:
 
 def split_at_pages(c: Column) -> Column:
     """The text cut before every line with a page mark: array of (page, lines)."""
-    marked = F.regexp_replace(
-        F.regexp_replace(F.translate(c, "\x01\x02", ""), LINE_BREAK, "\n"),
-        rf"(?imdU)^(?=[^\n]*?\b{PAGE_MARK})", "\x01$1\x02",
-    )
+    def mark(text: Column) -> Column:
+        # a text that names no page, as most chunks of prose, is not searched line by line
+        return F.when(F.lower(text).contains("page"), F.regexp_replace(text, rf"(?imdU)^(?=[^\n]*?\b{PAGE_MARK})", "\x01$1\x02")).otherwise(text)
+
+    marked = let(F.regexp_replace(F.translate(c, "\x01\x02", ""), LINE_BREAK, "\n"), mark)
 
     def part(segment: Column) -> Column:
         page = F.regexp_extract(segment, "^(\\d+)\x02", 1)
@@ -226,21 +244,24 @@ def budget_chunks(
     chunks: Column, per_chunk: int = vocab.BUDGET_PER_CHUNK, total: int = vocab.BUDGET_TOTAL, most: int = vocab.BUDGET_CHUNKS
 ) -> Column:
     """For an ordered array of chunk texts: array of (index, text, chosen, truncated, reason)."""
-    prepared = F.transform(
-        chunks, lambda t, i: F.struct((i + 1).alias("index"), t.alias("text"), F.when(F.length(t) > 0, signal_text(t)).otherwise("").alias("signal"))
-    )
+    numbered = F.transform(chunks, lambda t, i: F.struct((i + 1).alias("index"), t.alias("text")))
     result = "array<struct<index:int,text:string,chosen:boolean,truncated:boolean,reason:string>>"
     start = F.struct(F.array().cast(result).alias("out"), F.lit(total).alias("left"), F.lit(0).alias("n"))
 
     def add(acc: Column, c: Column) -> Column:
         limit = F.least(F.lit(per_chunk), acc["left"])
         whole = F.length(c["text"]) <= limit
-        short = F.when(F.length(c["signal"]) > 0, c["signal"]).otherwise(F.left(c["text"], limit))
-        fitted = F.when(whole, c["text"]).when(F.length(short) <= limit, short).otherwise(cut_to_lines(short, limit))
         reason = F.when(acc["n"] >= most, f"LLM chunk budget reached ({most} chunks per extraction)").when(
             (acc["left"] <= 0) | F.lit(per_chunk <= 0), f"LLM input character budget reached ({total} chars per extraction)"
         )
 
+        def fit(signal: Column) -> Column:
+            short = F.when(F.length(signal) > 0, signal).otherwise(F.left(c["text"], limit))
+            return let(short, lambda s: F.when(F.length(s) <= limit, s).otherwise(cut_to_lines(s, limit)))
+
+        # only a chunk that is not ruled out and does not fit as it is has its lines looked at
+        fitted = F.when(reason.isNotNull() | whole, c["text"]).otherwise(let(signal_text(c["text"]), fit))
+
         def place(text: Column) -> Column:
             why = F.coalesce(reason, F.when(F.length(strip(text)) == 0, "Chunk contained no text after LLM budget compaction"))
             take = why.isNull()
@@ -256,4 +277,4 @@ def budget_chunks(
 
         return let(fitted, place)
 
-    return F.aggregate(prepared, start, add, lambda acc: acc["out"])
+    return F.aggregate(numbered, start, add, lambda acc: acc["out"])

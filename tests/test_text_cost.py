@@ -1,8 +1,12 @@
 """Text steps that run once per row: the same results, and each pattern searched once."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from ledgerlens import vocab
 from ledgerlens.functions import text as X
+from ledgerlens.operators import chunking as C
 from ledgerlens.operators import dedup as D
 
 ODD = "\x01a $5 \x03\x05 b\x03\x04 Jan 5, 2020\x01"
@@ -42,3 +46,28 @@ def test_normalised_documents_can_be_planned_again(spark):
     for _ in range(3):
         out = D.normalise_documents(docs).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("h"), "text")
         assert out.first().text == "on 2020-01-05 for USD 1000 at -5%\nend"
+
+
+def test_chunks_that_fit_or_are_ruled_out_are_not_searched(spark, monkeypatch):
+    def searched(c):
+        return F.when(c.contains("long"), c).otherwise(F.raise_error(F.lit("looked at")))
+
+    monkeypatch.setattr(C, "signal_text", searched)
+    df = spark.createDataFrame([(["fits", "too long " * 3, "ruled out and not to be looked at"],)], "chunks array<string>")
+    got = df.select(C.budget_chunks(F.col("chunks"), 20, 100, 2).alias("b")).first().b
+    assert [(b.chosen, b.truncated) for b in got] == [(True, False), (True, True), (False, False)]
+
+
+def test_packing_makes_each_value_once(spark):
+    frame = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = frame.select(C.packed_chunks(F.col("t")).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("rtrim") <= 3  # of a paragraph, of what is handed on, of the end
+
+
+def test_alias_patterns_without_those_that_hold_another():
+    for aliases in (vocab.METRIC_ALIASES, vocab.COMPANY_ALIASES):
+        words = [vocab.label_key(a) for names in aliases.values() for a in names]
+        pattern = C.holds_one_of(words)
+        assert len(pattern) < len(X.any_of(dict.fromkeys(words)))
+        for word in words:
+            assert re.search(pattern, f"the {word}s") and bool(re.search(pattern, word[1:])) == bool(re.search(X.any_of(words), word[1:]))
