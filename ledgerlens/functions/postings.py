@@ -5,13 +5,12 @@ Plain helpers that run inside Arrow tasks on one bounded shard at a time.
 
 from __future__ import annotations
 
-import itertools
 import sys
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Ship these helpers inside the task, so that executors need no copy of the package.
@@ -25,44 +24,78 @@ LISTS = "terms array<string>, starts array<int>, places array<int>, counts array
 WEIGHED = "terms array<string>, term_at array<int>, blocks array<int>, tops array<double>, block_at array<int>, places array<int>, weights array<double>"
 
 
-def shard_row(ids: list, tokens: list[list[str]]) -> dict:
-    """The texts in order of their ids, and per term the places and counts of its texts."""
+def shard_row(ids: list, tokens: list[list[str]] | pa.Array) -> dict:
+    """The texts' order by their ids, and per term, numbered as they come in it, the places and counts of its texts."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    number = defaultdict(itertools.count().__next__)
-    flat = np.fromiter((number[t] for i in order for t in tokens[i]), np.int64)
-    place = np.repeat(np.arange(len(ids)), [len(tokens[i]) for i in order])
+    tokens = (tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.list_(pa.string()))).take(pa.array(order, pa.int64()))
+    place = np.repeat(np.arange(len(ids)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+    coded = tokens.flatten().dictionary_encode()
+    flat = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    said = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    if not said.all():  # what a text without words is split into
+        number = np.cumsum(said) - 1
+        place, flat = place[said[flat]], number[flat[said[flat]]]
+    terms = coded.dictionary.filter(pa.array(said)).to_pylist()
     pairs, counts = np.unique(flat * len(ids) + place, return_counts=True)
-    starts = np.searchsorted(pairs // len(ids), np.arange(len(number) + 1))
-    return {"ids": [ids[i] for i in order], "terms": list(number), "starts": starts, "places": pairs % len(ids), "counts": counts}
+    starts = np.searchsorted(pairs // len(ids), np.arange(len(terms) + 1))
+    return {"order": order, "terms": terms, "starts": starts, "places": pairs % len(ids), "counts": counts}
+
+
+def _one(values, kind: pa.DataType) -> pa.Array:
+    """One row that holds the values as its list."""
+    values = values.cast(kind.value_type) if isinstance(values, pa.Array) else pa.array(values, kind.value_type)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(kind)
+
+
+def _joined(parts: list[pa.Array]) -> pa.Array:
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
 def shards(scope: int, keys: list[str], schema: pa.Schema, size: int = SHARD):
     """Rows of (scope columns, id struct, words joined by blanks) in runs of equal scopes -> one row per shard."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, tokens = None, [], []
+        current, ids, words, held = None, [], [], 0
 
         def row():
-            made = shard_row([tuple(i[k] for k in keys) for i in ids], tokens)
-            made["ids"] = [dict(zip(keys, i)) for i in made["ids"]]
-            return pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(current, schema)), *(pa.array([made[f.name]], f.type) for f in list(schema)[scope:])], schema=schema)
+            own = _joined(ids)
+            tokens = pc.split_pattern(pc.fill_null(_joined(words), ""), " ")
+            lists = shard_row(list(zip(*(own.field(k).to_pylist() for k in keys))), tokens)
+            lists["ids"] = own.take(pa.array(lists["order"], pa.int64()))
+            return pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(current, schema)), *(_one(lists[f.name], f.type) for f in list(schema)[scope:])], schema=schema)
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(scope)]
-            for i, (id_, words) in enumerate(zip(batch.column(scope).to_pylist(), batch.column(scope + 1).to_pylist())):
-                own = tuple(c[i] for c in columns)
-                if ids and (own != current or len(ids) >= size):
-                    yield row()
-                    ids, tokens = [], []
-                current = own
-                ids.append(id_)
-                tokens.append(words.split(" ") if words else [])
-        if ids:
+            rows = batch.num_rows
+            scopes = list(zip(*(batch.column(i).to_pylist() for i in range(scope)))) if scope else [()] * rows
+            edges = [0, *(i for i in range(1, rows) if scopes[i] != scopes[i - 1]), rows] if rows else []
+            for low, high in zip(edges, edges[1:]):
+                while low < high:
+                    if held and (scopes[low] != current or held >= size):
+                        yield row()
+                        ids, words, held = [], [], 0
+                    current, taken = scopes[low], min(high - low, size - held)
+                    ids.append(batch.column(scope).slice(low, taken))
+                    words.append(batch.column(scope + 1).slice(low, taken))
+                    low, held = low + taken, held + taken
+        if held:
             yield row()
 
     return built
 
 
+def frequencies(scope: int, schema: pa.Schema):
+    """Shards as (scope columns, terms, starts) -> a row per term with the number of texts that hold it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                terms, starts = (batch.column(scope + i)[at].values for i in range(2))
+                own = [batch.column(i).take(pa.array(np.full(len(terms), at))) for i in range(scope)]
+                yield pa.RecordBatch.from_arrays([*own, terms, pa.array(np.diff(np.asarray(starts)), pa.int64())], schema=schema)
+
+    return counted
+
+
 def weigh(starts: np.ndarray, places: np.ndarray, counts: np.ndarray, idf: np.ndarray, texts: int, block: int = BLOCK) -> dict:
     """Weights of unit length per text, and the largest of each term's blocks."""
     raw = counts * np.repeat(idf, np.diff(starts))
@@ -115,8 +148,8 @@ def weighed(kept: int, schema: pa.Schema, block: int = BLOCK):
             for at in range(batch.num_rows):
                 values = [np.asarray(column[c][at].values) for c in ("starts", "places", "counts", "idf")]
                 row = weigh(*values, len(column["ids"][at]), block)
-                row["terms"] = column["terms"][at].as_py()
-                rest = [pa.array([row[f.name]], f.type) for f in list(schema)[kept:]]
+                row["terms"] = column["terms"][at].values
+                rest = [_one(row[f.name], f.type) for f in list(schema)[kept:]]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 1) for i in range(kept)), *rest], schema=schema)
 
     return made
@@ -125,8 +158,8 @@ def weighed(kept: int, schema: pa.Schema, block: int = BLOCK):
 class Shard:
     """Weights of one shard, and the k best texts of a question in it."""
 
-    def __init__(self, terms: list[str], term_at, blocks, tops, block_at, places, weights, texts: int, block: int = BLOCK):
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, terms: list[str] | dict[str, int], term_at, blocks, tops, block_at, places, weights, texts: int, block: int = BLOCK):
+        self.number = terms if isinstance(terms, dict) else {t: i for i, t in enumerate(terms)}
         self.term_at, self.blocks, self.tops, self.block_at, self.places, self.weights = term_at, blocks, tops, block_at, places, weights
         self.texts, self.block, self.scored = texts, block, 0
 
@@ -191,7 +224,9 @@ def searched(k: int, schema: pa.Schema, block: int = BLOCK):
             for at in range(batch.num_rows):
                 ids, asked = column["ids"][at].values, column["asked"][at].values
                 lists = [np.asarray(column[c][at].values) for c in ("term_at", "blocks", "tops", "block_at", "places", "weights")]
-                shard = Shard(column["terms"][at].as_py(), *lists, len(ids), block)
+                wanted = pc.unique(asked.field(1))
+                number = pc.index_in(wanted, value_set=column["terms"][at].values)
+                shard = Shard({t: i for t, i in zip(wanted.to_pylist(), number.to_pylist()) if i is not None}, *lists, len(ids), block)
                 questions: dict[int, list[tuple[str, float]]] = {}
                 for q, t, w in zip(*(asked.field(i).to_pylist() for i in range(3))):
                     questions.setdefault(q, []).append((t, w))

@@ -112,8 +112,9 @@ class TermIndex:
 
     def _frequencies(self) -> DataFrame:
         own = self.scope
-        listed = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("starts", i + 1) - F.get("starts", i)).cast("long").alias("n")))
-        df = self._shards.select(*own, F.explode(listed).alias("t")).groupBy(*own, "t.term").agg(F.sum("t.n").alias("df"))
+        schema = T.StructType([*[self._shards.schema[c] for c in own], *T.StructType.fromDDL("term string, n long").fields])
+        counted = postings.frequencies(len(own), to_arrow_schema(schema))
+        df = self._shards.select(*own, "terms", "starts").mapInArrow(counted, schema).groupBy(*own, "term").agg(F.sum("n").alias("df"))
         if not own:
             n = self._shards.agg(F.sum(F.size("ids"))).first()[0] or 0
             return df.withColumn("idf", idf(F.lit(n), F.col("df")))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens import vocab
@@ -171,3 +172,14 @@ def test_idf_of_a_shard_is_gathered_over_batches_and_shards_are_read_few_at_a_ti
         for file in stored.inputFiles():
             meta = pq.ParquetFile(glob.escape(file).replace("file://", "").replace("file:", "")).metadata
             assert all(meta.row_group(g).num_rows <= R.GROUP_SHARDS for g in range(meta.num_row_groups))
+
+
+def test_frequencies_of_shards_come_per_term():
+    """One row per term of each shard, with the scope; no expression runs per term."""
+    lists = pa.list_(pa.string()), pa.list_(pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None]), pa.array([["x", "y"], []], lists[0]), pa.array([[0, 3, 4], [0]], lists[1])], ["s", "terms", "starts"])
+    schema = pa.schema([("s", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+    assert [tuple(r.values()) for b in postings.frequencies(1, schema)(iter([batch])) for r in b.to_pylist()] == [("a", "x", 3), ("a", "y", 1)]
+    row = postings.shard_row([7, 3, 5], pa.array([["b", "a", "b"], [""], ["a", "c"]]))
+    assert row["order"] == [1, 2, 0] and row["terms"] == ["a", "c", "b"]
+    assert [v.tolist() for v in (row["starts"], row["places"], row["counts"])] == [[0, 2, 3, 4], [1, 2, 1, 2], [1, 1, 1, 2]]
