@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 
 SPACE = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# all runs but a single blank, which may stay; plain characters are told by one range, as the class of spaces is dear
+LOOSE_SPACE = f" (?=[^!-~]){SPACE}+|(?=[^ -~]){SPACE}+"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(SPACE, c))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 NUMBER = r"\(?[-+]?\d[\d,]*(?:\.\d+)?\)?"
@@ -53,7 +55,7 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Runs of whitespace become one space; no leading or trailing space."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, LOOSE_SPACE, " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -354,7 +356,7 @@ def tidy_value(c: Column) -> Column:
 def legal_name(c: Column) -> Column:
     """The company name in a title or line, or null when it is no legal-entity name."""
     edges = r"^[ \-?:;,.\t]+|[ \-?:;,.\t]+$"
-    suffix = f"(?iuU){vocab.LEGAL_SUFFIX_PATTERN}"
+    suffix = f"{starts_with_one_of('LPIC')}(?iuU){vocab.LEGAL_SUFFIX_PATTERN}"
 
     def trim_edges(x: Column) -> Column:
         return F.regexp_replace(x, edges, "")

@@ -8,6 +8,7 @@ from ledgerlens import vocab
 from ledgerlens.functions import text as X
 from ledgerlens.operators import chunking as C
 from ledgerlens.operators import dedup as D
+from ledgerlens.operators import facts as Fa
 
 ODD = "\x01a $5 \x03\x05 b\x03\x04 Jan 5, 2020\x01"
 
@@ -71,3 +72,16 @@ def test_alias_patterns_without_those_that_hold_another():
         assert len(pattern) < len(X.any_of(dict.fromkeys(words)))
         for word in words:
             assert re.search(pattern, f"the {word}s") and bool(re.search(pattern, word[1:])) == bool(re.search(X.any_of(words), word[1:]))
+
+
+def test_single_blanks_are_not_matches(spark):
+    assert not re.search(X.LOOSE_SPACE, "words of a line, with é and ~ and !") and "(?=[^!-~])" in str(X.squash(F.col("t")))
+    assert one(spark, X.squash, " a  b\tc 　 d e f ") == "a b c d e f"
+
+
+def test_prefix_patterns_are_searched_once(spark):
+    frame = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = frame.select(Fa.metric_from_line(F.col("t")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert all(plan.count(pattern[:400]) == 1 for pattern in Fa.METRIC_PREFIXES)
+    for line, want in (("Revenue: 5", ["Revenue", "5"]), ("\x01Revenue\x025", None), ("EBITDA (7) \x02", ["EBITDA", "(7) \x02"]), ("no alias 5", None)):
+        assert one(spark, lambda c: Fa.prefixed(c, Fa.METRIC_PREFIXES[0]), line) == want
