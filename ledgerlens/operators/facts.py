@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 from ledgerlens.functions.similarity import first_distinct, support_counts
 from ledgerlens.functions.text import (
-    NUMBER, any_of, detect_currency, detect_period, detect_unit, legal_name, let, round_exact, squash, strip, tidy_value, word_key,
+    NUMBER, any_of, detect_currency, detect_period, detect_unit, legal_name, let, round_exact, squash, starts_with_one_of, strip, tidy_value, word_key,
 )
 from ledgerlens.operators.chunking import split_at_pages
 from ledgerlens.operators.ordering import best_by, first_by, lookup
@@ -45,7 +45,9 @@ COMPANY_PREFIX = _prefix_pattern(sorted((a for a, *_ in _COMPANY_ORDER), key=len
 NARRATIVE = (
     rf"(?iuU)\b({'|'.join(_LONG_FIRST)})\b\s+(?:was|were|is|are|totaled|totalled|amounted to|of|at)\s+({_VALUE})"
 )
-METRIC_WORD = f"(?iu){any_of(_LONG_FIRST)}"
+# of the aliases that hold another one only that need be looked for
+_LEAST = [a for a in _LONG_FIRST if not any(other != a and other in a for other in _LONG_FIRST)]
+METRIC_WORD = f"{starts_with_one_of(''.join(a[0] for a in _LEAST))}(?iu){any_of(_LEAST)}"
 COMPANY_WORD = rf"(?iu)^\s*{any_of(a for a, *_ in _COMPANY_ORDER)}"
 
 
@@ -63,6 +65,12 @@ def _field_at(order: list) -> Column:
     return F.array(*[F.lit(field) for _, field, _ in order])
 
 
+def prefixed(line: Column, pattern: str) -> Column:
+    """[alias, value] of a line that is a match of a prefix pattern as a whole, or null; the pattern is searched once."""
+    told = F.regexp_replace(line, pattern, "\x01$1\x02$2$3")
+    return let(told, lambda t: F.when(t != line, F.split(F.substring(t, 2, 2**31 - 1), "\x02", 2)))
+
+
 def metric_from_line(line: Column) -> Column:
     """(field, value) of the first alias in lookup order that the line states, or null.
 
@@ -70,13 +78,12 @@ def metric_from_line(line: Column) -> Column:
     one alias the prefix counts first.
     """
     places, ends = _order_map(_METRIC_ORDER), _order_map(_METRIC_ORDER, suffixes=True)
-    candidates = []
-    for pattern in METRIC_PREFIXES:
-        alias = F.lower(F.regexp_extract(line, pattern, 1))
-        value = F.concat(F.regexp_extract(line, pattern, 2), F.regexp_extract(line, pattern, 3))
-        candidates.append(
-            F.when(alias != "", F.struct((F.try_element_at(places, alias) * 2).alias("o"), F.lit(0).alias("i"), tidy_value(value).alias("value")))
-        )
+    candidates = [
+        let(prefixed(line, pattern), lambda p: F.when(
+            p.isNotNull(), F.struct((F.try_element_at(places, F.lower(F.get(p, F.lit(0)))) * 2).alias("o"), F.lit(0).alias("i"), tidy_value(F.get(p, F.lit(1))).alias("value")),
+        ))
+        for pattern in METRIC_PREFIXES
+    ]
     told = F.transform(
         F.regexp_extract_all(line, F.lit(NARRATIVE), F.lit(0)),
         lambda hit, i: F.struct(
@@ -92,12 +99,13 @@ def metric_from_line(line: Column) -> Column:
 
 def company_from_line(line: Column) -> Column:
     """(field, value) of a company-info prefix line, or null."""
-    alias = F.lower(F.regexp_extract(line, COMPANY_PREFIX, 1))
-    value = tidy_value(F.concat(F.regexp_extract(line, COMPANY_PREFIX, 2), F.regexp_extract(line, COMPANY_PREFIX, 3)))
-    field = F.get(_field_at(_COMPANY_ORDER), F.try_element_at(_order_map(_COMPANY_ORDER), alias))
-    return F.when(
-        line.rlike(COMPANY_WORD) & (alias != ""), let(value, lambda v: F.when(v != "", F.struct(field.alias("field"), v.alias("value"))))
-    )
+    places, fields = _order_map(_COMPANY_ORDER), _field_at(_COMPANY_ORDER)
+
+    def fact(p: Column) -> Column:
+        field = F.get(fields, F.try_element_at(places, F.lower(F.get(p, F.lit(0)))))
+        return let(tidy_value(F.get(p, F.lit(1))), lambda v: F.when(v != "", F.struct(field.alias("field"), v.alias("value"))))
+
+    return F.when(line.rlike(COMPANY_WORD), let(prefixed(line, COMPANY_PREFIX), lambda p: F.when(p.isNotNull(), fact(p))))
 
 
 # --- lines ------------------------------------------------------------------------
