@@ -20,6 +20,11 @@ BROADCAST_ROWS = 200_000  # most rows of a derived table that is broadcast
 HOT_SHARE = 10_000  # a key is hot when it holds more than 1 / HOT_SHARE of the rows
 
 
+def key_hash(*keys: str) -> Column:
+    """A number to group by in front of keys: rows are then sorted by it, where texts that begin alike are slow to compare."""
+    return F.xxhash64(*keys).alias("_hash")
+
+
 def first_by(df: DataFrame, keys: list[str], pos: str, columns: list[str] | None = None) -> DataFrame:
     """The row with the lowest `pos` per key, as a partial aggregate."""
     columns = columns or [c for c in df.columns if c not in keys]

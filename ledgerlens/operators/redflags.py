@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from ledgerlens.functions.text import (
     first_supported_snippet, fixed, let, metric_key, parse_number, plain_double, squash, word_key,
 )
 from ledgerlens.operators.grounding import grounded, proof_tokens, request_pieces, tokens_suffice
-from ledgerlens.operators.ordering import lookup
+from ledgerlens.operators.ordering import key_hash
 from ledgerlens.session import cut_lineage
 
 FLAG_FIELDS = ["category", "title", "severity", "description", "evidence", "recommendation"]
@@ -52,7 +52,7 @@ def pick_concepts(metrics: DataFrame, keys: list[str], concepts=vocab.RISK_CONCE
     )
     known = known.withColumn("m", value)
     picks = [F.min_by("m", F.when(F.col("concept") == c, F.col("pos"))).alias(c) for c in concepts]
-    return known.groupBy(*keys).agg(*picks)
+    return known.groupBy(key_hash(*keys), *keys).agg(*picks).select(*keys, *concepts)
 
 
 # --- evidence --------------------------------------------------------------------
@@ -380,26 +380,58 @@ def exact_dedup(flags: DataFrame, keys: list[str]) -> DataFrame:
     """One flag per category, title and start of evidence: the first of the highest severity."""
     marks = [F.col("category").alias("_c"), word_key(F.col("title")).alias("_t"), F.left(word_key(F.col("evidence")), F.lit(140)).alias("_e")]
     best = F.min_by(F.struct(*FLAG_FIELDS), F.struct((-severity_rank(F.col("severity"))).alias("s"), "pos"))
-    return flags.groupBy(*keys, *marks).agg(F.min("pos").alias("pos"), best.alias("f")).select(*keys, "pos", "f.*")
+    marked = flags.select("*", *marks)
+    cell = [*keys, "_c", "_t", "_e"]
+    return marked.groupBy(key_hash(*cell), *cell).agg(F.min("pos").alias("pos"), best.alias("f")).select(*keys, "pos", "f.*")
+
+
+STANDING = [f for f in FLAG_FIELDS if f not in ("category", "evidence")]
+
+
+def _cells(flags: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Flags with the cell they are merged in: the request, the category and the words of the title."""
+    return flags.withColumn("_t", word_key(F.col("title"))), [*keys, "category", "_t"]
+
+
+def standing(flags: DataFrame, keys: list[str]) -> DataFrame:
+    """What `merge` leaves, without the evidence: the first flag of the highest severity per category and title.
+
+    One aggregate; enough for counts and roll-ups.
+    """
+    marked, cell = _cells(flags, keys)
+    first = F.min_by(F.struct(*STANDING), F.struct(-severity_rank(F.col("severity")), "pos"))
+    return marked.groupBy(key_hash(*cell), *cell).agg(first.alias("b")).select(*keys, "category", "b.*")
 
 
 def merge(flags: DataFrame, keys: list[str]) -> DataFrame:
     """One flag per category and title, as folding in input order would leave it.
 
     The first flag of the highest severity stands; a longer evidence that comes later
-    replaces its evidence. Two aggregates, no ordered pass over a group; `flags` is read
-    twice, so a costly input should be stored first.
+    replaces its evidence. One aggregate, no ordered pass over a group, stored once. It
+    leaves open only cells whose longest evidence stands before that flag while milder
+    flags come after it; `flags` is read again for those, and not where there are none.
     """
-    marked = flags.withColumn("_t", word_key(F.col("title")))
-    cell = [*keys, "category", "_t"]
-    fields = [f for f in FLAG_FIELDS if f not in ("category", "evidence")]
-    base = marked.groupBy(*cell).agg(
-        F.min_by(F.struct(F.col("pos").alias("base_pos"), *fields), F.struct((-severity_rank(F.col("severity"))).alias("s"), "pos")).alias("b")
+    marked, cell = _cells(flags, keys)
+    rank = severity_rank(F.col("severity"))
+    size = F.coalesce(F.length("evidence"), F.lit(-1))
+    milder = range(len(vocab.SEVERITIES))  # every rank but the highest
+    found = marked.groupBy(key_hash(*cell), *cell).agg(
+        F.min_by(F.struct(F.col("pos").alias("base_pos"), rank.alias("rank"), *STANDING), F.struct(-rank, "pos")).alias("b"),
+        F.min_by("evidence", F.struct(-rank, -size, "pos")).alias("own"),  # no flag of the highest severity comes before the first
+        F.min_by(F.struct("pos", "evidence"), F.struct(-size, "pos")).alias("longest"),
+        *[F.max(F.when(rank == r, F.col("pos"))).alias(f"last_{r}") for r in milder],
     )
-    longest = F.min_by("evidence", F.struct((-F.coalesce(F.length("evidence"), F.lit(-1))).alias("n"), "pos"))
-    later = lookup(marked.select(*cell, "pos", "evidence"), base, cell).filter("pos >= b.base_pos")
-    merged = later.groupBy(*cell, "b").agg(longest.alias("evidence"))
-    return merged.select(*keys, "category", *[F.col("b")[f].alias(f) for f in fields], "evidence")
+    behind = reduce(or_, [F.coalesce((F.col("b.rank") > r) & (F.col(f"last_{r}") >= F.col("b.base_pos")), F.lit(False)) for r in milder])
+    whole = F.col("longest.pos") >= F.col("b.base_pos")
+    evidence = F.when(whole, F.col("longest.evidence")).otherwise(F.col("own"))
+    stored = cut_lineage(found.select(*cell, "b", evidence.alias("evidence"), (~whole & behind).alias("open")))
+    merged, unsure = stored.filter(~F.col("open")).drop("open"), stored.filter("open").select(*cell, "b")
+    if not unsure.isEmpty():
+        same = reduce(and_, [F.col(f"f.{c}").eqNullSafe(F.col(f"u.{c}")) for c in cell])
+        later = marked.alias("f").join(unsure.alias("u"), same & (F.col("f.pos") >= F.col("u.b.base_pos"))).select("f.pos", "f.evidence", "u.*")
+        longest = F.min_by("evidence", F.struct((-F.coalesce(F.length("evidence"), F.lit(-1))).alias("n"), "pos"))
+        merged = merged.unionByName(later.groupBy(*cell, "b").agg(longest.alias("evidence")))
+    return merged.select(*keys, "category", *[F.col("b")[f].alias(f) for f in STANDING], "evidence")
 
 
 def display_order() -> list[Column]:
@@ -470,4 +502,4 @@ def analyse(requests: DataFrame, metrics: DataFrame, sections: DataFrame, others
         # every flag of another source stands after every rule flag
         flags = placed(rule_flags, 0).unionByName(placed(usable, 1), allowMissingColumns=True)
     merged = merge(flags, keys)
-    return merged, risk_summary(requests, merged, keys)
+    return merged, risk_summary(requests, standing(flags, keys), keys)

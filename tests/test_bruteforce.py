@@ -256,6 +256,28 @@ def test_merge_of_flags(spark):
     assert got == {("A", "One two", "High", "d2", "eeee"), ("A", "Other", "Low", "d4", "e"), ("B", "One two", "Medium", "d5", "ee")}
 
 
+@pytest.mark.parametrize("severities", [("Low", "Medium", "High", "Critical", "none"), ("Low", "High")])
+def test_merge_of_flags_as_a_fold(spark, severities):
+    """Merged as an ordered fold leaves them; `standing` is the same without the evidence, and neither joins the flags to themselves."""
+    rng = random.Random(len(severities))
+    rows = [(rng.choice([None, 1, 2]), pos, rng.choice("AB"), rng.choice(["One two", "one-two", "Other"]), rng.choice(severities), f"d{pos}", "e" * rng.randint(0, 6) or None, "r") for pos in range(120)]
+    fold = {}
+    rank = {"Low": 1, "Medium": 2, "High": 3, "Critical": 4}
+    for k, _, category, title, severity, description, evidence, _ in rows:
+        cell = (k, category, title.lower().replace("-", " "))
+        old = fold.get(cell)
+        if old is None or rank.get(severity, 0) > rank.get(old[1], 0):
+            fold[cell] = [title, severity, description, evidence]
+        elif evidence is not None and len(evidence) > len(old[3] or ""):
+            old[3] = evidence
+    df = spark.createDataFrame(rows, "k int, pos long, category string, title string, severity string, description string, evidence string, recommendation string").repartition(6)
+    heads = R.standing(df, ["k"])
+    assert {(r.k, r.category, r.title, r.severity, r.description) for r in heads.collect()} == {(k, c, *v[:3]) for (k, c, _), v in fold.items()}
+    assert "Join" not in heads._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.k, r.category, r.title, r.severity, r.description, r.evidence) for r in R.merge(df, ["k"]).collect()]
+    assert sorted(map(str, got)) == sorted(str((k, c, *v)) for (k, c, _), v in fold.items())
+
+
 def test_split_lookup_keeps_all_rows(spark, monkeypatch):
     monkeypatch.setattr(O, "HOT_SHARE", 4)
     rows = [("hot", i) for i in range(600)] + [(f"k{i % 50}", i) for i in range(400)]
