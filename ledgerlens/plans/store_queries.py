@@ -150,8 +150,10 @@ def stream_red_flags(spark, sf):
     """Red flags of requests whose metrics come in three batches, through a stream."""
     path, out = scratch_path(spark, "metrics"), scratch_path(spark, "flags")
     rows = metrics(spark, sf)
-    rows.repartition(3, "metric").write.parquet(path)
-    changes = Inc.read_new_files(spark, path, rows.schema, files_per_batch=1)
+    files = spark.sparkContext.defaultParallelism  # a batch; the metrics of a request fall into all of them
+    share = F.pmod(F.xxhash64(*KEYS), F.lit(8 * files))
+    rows.repartition(3 * files, "metric", share).write.parquet(path)
+    changes = Inc.read_new_files(spark, path, rows.schema, files)
     Inc.flag_new_metrics(changes, KEYS, out, scratch_path(spark, "flags-log"), buckets=8).awaitTermination()
     return Inc.current_flags(spark, KEYS, out).select(*KEYS, "category", "title", "severity", "evidence")
 

@@ -33,26 +33,35 @@ def flag_new_metrics(changes: DataFrame, keys: list[str], out: str, checkpoint:
     earlier batches said of it. A batch that is replayed overwrites its own folders.
     """
     history = f"{out}/metrics"
+    near = ["_near", *keys]  # with a number in front rows meet and are sorted by it; one shuffle places them for all steps
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        own.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{history}/batch={batch_id}")
+        # a bucket of any size is split over tasks
+        own.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{history}/batch={batch_id}")
         written = spark.read.parquet(f"{history}/batch={batch_id}")
-        touched = written.select(*keys, "bucket").distinct()
-        read = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        read = [r.bucket for r in written.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        written.select(*keys).distinct().write.mode("overwrite").parquet(f"{out}/requests/batch={batch_id}")
+        touched = spark.read.parquet(f"{out}/requests/batch={batch_id}").select(*keys).withColumn("_near", F.xxhash64(*keys))
         stored = spark.read.schema(own.withColumn("batch", F.lit(0)).schema).option("basePath", history).parquet(f"{history}/batch=*")
-        stored = stored.filter(F.col("bucket").isin(read) & (F.col("batch") <= batch_id)).join(touched.drop("bucket"), keys, "left_semi")
-        newest = stored.groupBy(*keys, "metric").agg(F.max("batch").alias("batch"))
-        metrics = stored.join(newest, [*keys, "metric", "batch"], "left_semi").drop("bucket", "batch")
-        touched.drop("bucket").write.mode("overwrite").parquet(f"{out}/requests/batch={batch_id}")
-        merge(exact_dedup(numeric_flags(metrics, keys), keys), keys).write.mode("overwrite").parquet(f"{out}/flags/batch={batch_id}")
+        stored = stored.filter(F.col("bucket").isin(read) & (F.col("batch") <= batch_id)).withColumn("_near", F.xxhash64(*keys))
+        metrics = newest_metrics(stored.join(touched, near, "left_semi").repartition(*near), near)
+        merge(exact_dedup(numeric_flags(metrics, near), near), near).drop("_near").write.mode("overwrite").parquet(f"{out}/flags/batch={batch_id}")
 
     return (
         changes.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def newest_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each metric of a request the first row of the newest `batch` that names it; the rules read no other."""
+    fields = ["pos", "current_raw", "prior_raw", "is_number"]
+    order = F.struct(-F.col("batch"), F.col("pos").isNull(), "pos")
+    newest = metrics.groupBy(*keys, "metric").agg(F.min_by(F.struct(*fields), order).alias("m"))
+    return newest.select(*keys, "metric", "m.*")
+
+
 def current_flags(spark: SparkSession, keys: list[str], out: str) -> DataFrame:
     """The flags of each request's newest batch; a request that lost its flags has none."""
     newest = spark.read.option("basePath", f"{out}/requests").parquet(f"{out}/requests/batch=*").groupBy(*keys).agg(F.max("batch").alias("batch"))

@@ -168,6 +168,16 @@ def test_stream_replaces_the_flags_of_a_request(spark, tmp_path):
     assert send(2, [("c", "10", "100")]) == {("b", "Revenue decline"), ("c", "Revenue decline")}
 
 
+def test_newest_metrics_of_a_request(spark):
+    """The newest batch that names a metric counts, in it the first place; a row without a place only where there is no other."""
+    rows = [("a", "Revenue", 0, 1, "old"), ("a", "Revenue", 1, 7, "late"), ("a", "Revenue", 1, 3, "first"), ("a", "Revenue", 1, None, "no place"), ("a", "EBITDA", 0, None, "alone")]
+    schema = "request_id string, metric string, batch int, pos int, current_raw string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "CAST(NULL AS string) AS prior_raw", "true AS is_number").repartition(4)
+    found = Inc.newest_metrics(df, ["request_id"])
+    assert {(r.metric, r.pos, r.current_raw) for r in found.collect()} == {("Revenue", 3, "first"), ("EBITDA", None, "alone")}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_shared_folder_and_spread(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
