@@ -20,9 +20,9 @@ FIELDS = [field for field, *_ in vocab.BENCHMARK_METRICS]
 
 def document_metrics(reports: DataFrame, curated: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
     """Company metrics of each report (doc, text, file_name): a matching curated row, else what its text states."""
-    own = extract_report_metrics(reports).drop("text", "file_name")
-    found = own.withColumn("is_curated", F.lit(False)) if curated is None else curated_override(own, curated, doc)
-    return cut_lineage(found)  # read for the focus, the ranks and the means
+    # stored as it is read twice by the override, and for the focus, the ranks and the means
+    own = cut_lineage(extract_report_metrics(reports).drop("text", "file_name"))
+    return own.withColumn("is_curated", F.lit(False)) if curated is None else cut_lineage(curated_override(own, curated, doc))
 
 
 def compare_documents(members: DataFrame, figures: DataFrame, set_cols: list[str], focus: str | Column | None = None, doc: str = "doc_id") -> DataFrame:

@@ -73,3 +73,19 @@ def test_record_takes_names_and_currency_of_the_text_and_keeps_documents_without
     c, t = 0.88, 0.99
     assert got[1].confidence == round(100 * (max(0.52 * c + 0.28 * t + 0.2 * 3 / 18, 0.82 * c + 0.13 * t + 0.05 / 4) - 0.14 - 0.035), 2)
     assert got[2].confidence == round(100 * (max(0.28 * 0.5, 0.13 * 0.5) - 0.14), 2) and got[2].confidence_score == 0.0
+
+
+def test_reports_are_extracted_once(spark):
+    """The override reads what was extracted several times; the texts are gone through once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        read.add(1)
+        return text
+
+    texts = [(i, f"ACME{i} LIMITED\nRevenue from Operations were Rs {i}00\nFY2024", f"annual_report_{i}.pdf") for i in range(6)]
+    reports = spark.createDataFrame(texts, "doc_id long, raw string, file_name string").select("doc_id", F.udf(passed, "string")("raw").alias("text"), "file_name")
+    curated = spark.createDataFrame([(1, "Acme3 Limited Holdings", "FY1990", None, "curated", 7.0)], "pos long, company_name string, fiscal_year string, source_document string, source_page string, revenue_cr double")
+    found = {r.doc_id: r.revenue_cr for r in Rc.document_metrics(reports, curated).collect()}
+    assert found == {i: 7.0 if i == 3 else (i * 100.0 or 100000.0) for i in range(6)}
+    assert read.value == len(texts)
