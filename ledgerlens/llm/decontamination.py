@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ascii_lower, bounded, split_words, stage
+from ledgerlens.llm.common import ascii_lower, bounded, left_by_key, split_words, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -92,7 +92,7 @@ def _judged(df: DataFrame, items: DataFrame, carried: Column, text_col: str, ite
     found = candidates(index, probes(index, windows))
     found = found.join(bounded(windows.select("window", F.size("terms").alias("size"), "items")), "window")
     found = stage(found.groupBy("key").agg(F.collect_set(F.struct("start", "size", "window", "items")).alias("found")), "candidates")
-    rows = df.select(carried.alias("row"), F.col(text_col).alias("text"), _key(F.col(text_col)).alias("key")).join(found, "key", "left")
+    rows = left_by_key(df.select(carried.alias("row"), F.col(text_col).alias("text"), _key(F.col(text_col)).alias("key")), found, "key")
     rows = rows.select("row", words_of(F.col("text")).alias("words"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
     exact = F.filter("found", lambda m: F.array_join(F.slice("words", m["start"] + 1, m["size"]), " ") == m["window"])
     rows = rows.select("row", F.size("words").cast("long").alias("n_words"), F.sort_array(exact).alias("exact"))

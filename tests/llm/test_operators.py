@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, graph, language_id, mixing, near_duplicates, quality_classifier, quality_rules, repeats, toxicity, url_filters, warc
+from ledgerlens.llm import common, decontamination, graph, language_id, mixing, near_duplicates, quality_classifier, quality_rules, repeats, toxicity, url_filters, warc
 from ledgerlens.llm.labels import sigmoid
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, key string, node string"
@@ -415,3 +415,15 @@ def test_mixing_weighs_every_source(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(mixing, "HELD", 2)
         assert mixing.mix(df.withColumn("text", F.lit(" "))).filter("weight = 0 AND probability = 0 AND NOT selected").count() == 2000
+
+
+@pytest.mark.parametrize("most", [2_000_000, 1])
+def test_rows_without_a_match_are_not_shuffled(spark, monkeypatch, most):
+    """A left join by key, of which the rows that the other side does not hold stay where they are."""
+    monkeypatch.setattr(common, "KEY_ROWS", most)
+    rows = spark.range(200).selectExpr("CAST(id % 40 AS string) AS key", "id")
+    held = common.stage(spark.range(0, 60, 6).selectExpr("CAST(id AS string) AS key", "array(id) AS found"), "held")
+    out = common.left_by_key(rows, held, "key")
+    assert out.columns == ["key", "id", "found"]
+    assert {(r.id, tuple(r.found or ())) for r in out.collect()} == {(i, (i % 40,) if i % 40 % 6 == 0 else ()) for i in range(200)} and out.count() == 200
+    assert ("LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()) == (most > 1)
