@@ -3,8 +3,10 @@
 Index. Every task tokenises whole texts and writes shards: the inverted lists of about
 SHARD_BYTES of text (a longer text is a shard of its own), one row each, with the lengths of
 its documents and, per term, the places and counts of its documents, the highest count and
-the shortest document. Number of documents, tokens and document frequencies are aggregates
-over the stored shards.
+the shortest document. Terms and lists are stored as bytes (whole numbers of the least
+width), so that only Python takes them apart: the JVM moves them whole and never holds a
+value of its own per term or place. Number of documents, tokens and document frequencies are
+aggregates over the stored shards.
 
 Search. The questions' terms, with their weights, go to the shards, in blocks of at most
 ASKED_ROWS terms; every shard answers each question on its own. Its terms are taken from
@@ -44,6 +46,8 @@ from ledgerlens.operators.ordering import top_k
 
 K = 10
 SHARD_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20  # of the index that a writer or reader holds at once
+HIT_ROWS = 100_000  # hits of a shard that are handed on at once
 ASKED_ROWS = 200_000  # question terms that are sent to every task at once
 # bytes of terms as they are compared: digits, letters (A-Z lower-cased) and all beyond ASCII; others end a term
 TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -56,6 +60,17 @@ def terms(text: str | None) -> list[bytes]:
 # --- index --------------------------------------------------------------------------
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as bytes of their least width, which the last byte tells."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return values.astype(kind.newbyteorder("<")).tobytes() + bytes([kind.itemsize])
+
+
+def unpacked(raw) -> np.ndarray:
+    width = raw[-1]
+    return np.frombuffer(raw, f"<u{width}", (len(raw) - 1) // width)
+
+
 class _Shard:
     """Documents and tokens that are gathered for one row of the index."""
 
@@ -78,12 +93,10 @@ class _Shard:
         pairs, counts = np.unique(pairs, return_counts=True)  # by term, then document
         starts = np.searchsorted(pairs // docs, np.arange(len(self.number) + 1))
         places = pairs % docs
-        values = [
-            self.ids, lengths, list(self.number), starts, places, counts,
-            np.maximum.reduceat(counts, starts[:-1]), np.minimum.reduceat(lengths[places], starts[:-1]),
-        ]
-        kinds = [kind, pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(t)) for v, t in zip(values, kinds)], NAMES)
+        lists = [starts, places, counts, np.maximum.reduceat(counts, starts[:-1]), np.minimum.reduceat(lengths[places], starts[:-1])]
+        blobs = [b" ".join(self.number), *map(packed, lists)]
+        first = [pa.array([self.ids], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*first, *(pa.array([b], pa.binary()) for b in blobs)], NAMES)
 
 
 NAMES = ["ids", "lengths", "terms", "starts", "places", "counts", "most", "shortest"]
@@ -109,9 +122,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored shards."""
     kind = df.schema[id_col].dataType
-    lists = "lengths array<int>, terms array<binary>, starts array<int>, places array<int>, counts array<int>, most array<int>, shortest array<int>"
+    lists = "lengths array<int>, terms binary, starts binary, places binary, counts binary, most binary, shortest binary"
     schema = StructType([StructField("ids", ArrayType(kind)), *StructType.fromDDL(lists).fields])
-    return stage(df.select(id_col, text_col).mapInArrow(_shards, schema), "shards")
+    return stage(df.select(id_col, text_col).mapInArrow(_shards, schema), "shards", GROUP_BYTES)
 
 
 def corpus_size(index: DataFrame) -> tuple[int, int]:
@@ -120,10 +133,17 @@ def corpus_size(index: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def _list_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.schema([("term", pa.binary()), ("n", pa.int64())])
+    for batch in batches:
+        for at in range(batch.num_rows):
+            held, starts = (batch.column(i)[at].as_buffer() for i in range(2))
+            yield batch_of(kind, held.to_pybytes().split(), np.diff(unpacked(starts).astype(np.int64)))
+
+
 def document_frequencies(index: DataFrame) -> DataFrame:
     """term and df over all shards."""
-    per_shard = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("starts", i + 1) - F.get("starts", i)).alias("n")))
-    return index.select(F.explode(per_shard).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("df"))
+    return index.select("terms", "starts").mapInArrow(_list_sizes, "term binary, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 # --- search -------------------------------------------------------------------------
@@ -177,6 +197,11 @@ def ranked(asked: list[tuple[int, np.ndarray, np.ndarray, int]], documents: int,
     return have, score[have]
 
 
+def _hits(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    number, docs, score = (np.concatenate(c) for c in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(number), ids.take(pa.array(docs, pa.int64())), pa.array(score)], ["question", "doc_id", "score"])
+
+
 def _answers(questions: list[tuple[int, list[tuple[bytes, int]]]], scores: Scores, k: int, kind: pa.DataType | None = None):
     """Each shard's k best (and their equals) per question. questions: number, and (term, weight) from the rarest."""
     wanted = sorted({t for _, asked in questions for t, _ in asked})
@@ -184,16 +209,16 @@ def _answers(questions: list[tuple[int, list[tuple[bytes, int]]]], scores: Score
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                column = {name: batch.column(i)[at].values for i, name in enumerate(NAMES)}
-                lengths, starts, places, counts, most, shortest = (np.asarray(column[c]) for c in ("lengths", "starts", "places", "counts", "most", "shortest"))
-                norms, least = scores.norms(lengths), scores.norms(shortest)
-                lists = {}
-                for term, i in zip(wanted, pc.index_in(pa.array(wanted, pa.binary()), value_set=column["terms"]).to_pylist()):
+                ids, lengths = (batch.column(i)[at].values for i in range(2))
+                held, *blobs = (batch.column(i)[at].as_buffer() for i in range(2, len(NAMES)))
+                starts, places, counts, most, shortest = map(unpacked, blobs)
+                norms, lists = scores.norms(np.asarray(lengths)), {}
+                for term, i in zip(wanted, pc.index_in(pa.array(wanted, pa.binary()), value_set=pa.array(held.to_pybytes().split(), pa.binary())).to_pylist()):
                     if i is not None:
                         own = places[starts[i] : starts[i + 1]]
-                        bound = int(scores.impacts(most[i : i + 1], least[i : i + 1])[0])
+                        bound = int(scores.impacts(most[i : i + 1], scores.norms(shortest[i : i + 1]))[0])
                         lists[term] = own, scores.impacts(counts[starts[i] : starts[i + 1]], norms[own]), bound
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                found, rows = [], 0
                 for number, asked in questions:
                     here = [(w, *lists[t][:2], w * lists[t][2]) for t, w in asked if t in lists]
                     docs, score = ranked(here, len(lengths), k)
@@ -201,10 +226,12 @@ def _answers(questions: list[tuple[int, list[tuple[bytes, int]]]], scores: Score
                         near = score >= np.partition(score, len(score) - k)[len(score) - k]
                         docs, score = docs[near], score[near]
                     found.append((np.full(len(docs), number), docs, score))
+                    rows += len(docs)
+                    if rows >= HIT_ROWS:
+                        yield _hits(ids, found)
+                        found, rows = [], 0
                 if found:
-                    number, docs, score = (np.concatenate(c) for c in zip(*found))
-                    ids = column["ids"].take(pa.array(docs, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(number), ids, pa.array(score)], ["question", "doc_id", "score"])
+                    yield _hits(ids, found)
 
     return answered
 

@@ -6,7 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import jaccard_join, near_duplicates, ranked_search, whitening
@@ -80,6 +83,51 @@ def test_accumulators_are_limited_but_scores_whole():
     assert ranked_search.ranked(wide, 50, 3)[0].tolist() == [1, 2, 3]
 
 
+@pytest.fixture
+def shipped():
+    """What a test sets in the module holds in the tasks as well."""
+    cloudpickle.register_pickle_by_value(ranked_search)
+    yield
+    cloudpickle.unregister_pickle_by_value(ranked_search)
+
+
+def test_index_leaves_no_value_per_term_to_the_jvm(spark, monkeypatch, shipped):
+    """A shard is a row of few values, and a writer or reader holds only a part of a task's shards at once."""
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(ranked_search, "GROUP_BYTES", 100_000, raising=False)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"t{rng.randrange(10**6)}" for _ in range(200))) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    index = ranked_search.build_index(docs)
+    shards, groups, values = index.count(), 0, Counter()
+    for file in index.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                values[meta.row_group(g).column(c).path_in_schema.split(".")[0]] += meta.row_group(g).column(c).num_values
+    assert shards > 20 and groups > 5
+    assert {values[c] for c in ("terms", "starts", "places", "counts", "most", "shortest")} == {shards}
+    assert ranked_search.corpus_size(index) == (1000, 200_000)
+    want = Counter(t for r in docs.collect() for t in set(r["text"].encode().split()))
+    assert {bytes(r["term"]): r["df"] for r in ranked_search.document_frequencies(index).collect()} == want
+
+
+def test_whole_numbers_survive_packing():
+    for values in ([0], [255, 0], [256], [65535, 1], [65536], [2**32 - 1], [2**32, 7], []):
+        assert ranked_search.unpacked(pa.py_buffer(ranked_search.packed(np.array(values, np.int64)))).tolist() == values
+    assert len(ranked_search.packed(np.full(1000, 255))) == 1001
+
+
+def test_hits_are_handed_on_in_parts(spark, monkeypatch, shipped):
+    """Many equal scores, more than are handed on at once, from shards of a few documents."""
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 300)
+    monkeypatch.setattr(ranked_search, "HIT_ROWS", 7, raising=False)
+    docs = [(i if i % 9 else None, "same words here") for i in range(60)] + [(100 + i, f"same w{i}") for i in range(20)]
+    items = [(i, text) for i, text in enumerate(["same", "words w3", "none", "here same", "w5 w6 same", "words"])]
+    found = ranked_search.ranked_search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert ranks(found) == brute_ranks(docs, items)
+
+
 def test_norms_beyond_64_bits():
     scores = ranked_search.Scores(10**14, 10**17)
     assert scores.norms(np.array([10, 10**6])).tolist() == [25, 25 + 75 * 10**6 * 10**14 // 10**17]
